@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from tidewatch.plans import checks_panel  # noqa: F401
+from tidewatch.plans import checks_collect, checks_panel  # noqa: F401
 from tidewatch.plans.registry import ORACLE, QUERIES  # noqa: F401
