@@ -111,6 +111,10 @@ def term_pattern(term: str) -> str:
     return r"(?U)\b" + re.escape(term) + r"\b"
 
 
+def _member(words: Sequence[str]):
+    return lambda x: x.isin(*words)
+
+
 def count_terms(lowered: Column, runs: Column, terms: Iterable[str]) -> Column:
     """Sum over terms of whole-word matches, overlaps between terms counted each.
 
@@ -128,7 +132,7 @@ def count_terms(lowered: Column, runs: Column, terms: Iterable[str]) -> Column:
             hit = F.when(F.contains(lowered, F.lit(term)), F.regexp_count(lowered, F.lit(term_pattern(term))))
             parts.append(F.coalesce(hit, F.lit(0)) * times)
     for times, words in by_times.items():
-        parts.append(F.size(F.filter(runs, lambda x, w=tuple(words): x.isin(*w))) * times)
+        parts.append(F.size(F.filter(runs, _member(words))) * times)
     total = F.lit(0)
     for p in parts:
         total = total + p

@@ -238,7 +238,11 @@ def valid_events(events: DataFrame) -> DataFrame:
 
 
 def events_in_range(events: DataFrame, panel: DataFrame) -> DataFrame:
-    """Per community and event: does the event fall between its first and last week."""
+    """Per community and event: the events between its first and last week.
+
+    A community's span is spread over its calendar years, so the join is on the year.
+    """
     span = panel.groupBy("community").agg(F.min("week_start").alias("first"), F.max("week_start").alias("last"))
+    years = span.withColumn("_year", F.explode(F.sequence(F.year("first"), F.year("last"))))
     inside = F.col("event_date").between(F.col("first"), F.col("last"))
-    return span.join(events, inside).select("community", "label", "event_date")
+    return events.withColumn("_year", F.year("event_date")).join(years, "_year").where(inside).select("community", "label", "event_date")

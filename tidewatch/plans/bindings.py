@@ -233,4 +233,4 @@ cleaned AS (
            trim(regexp_replace(lower(regexp_replace(selftext, '(?i)https?://\S+|www\.\S+', '', 'g')), '""" + SPACE + r"""', ' ', 'g')) AS clean_text
     FROM posts WHERE selftext NOT IN ('[deleted]', '[removed]', ''))
   WHERE length(clean_text) >= 20),
-tokened AS (SELECT *, list_filter(string_split(clean_text, ' '), x -> x <> '') AS tok FROM cleaned)"""
+tokened AS (SELECT *, [x for x in string_split(clean_text, ' ') if x <> ''] AS tok FROM cleaned)"""
