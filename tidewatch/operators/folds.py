@@ -77,7 +77,7 @@ def fold_labels(scored: DataFrame, thresholds: DataFrame, compat: bool = False,
     nxt = F.lead(score).over(Window.partitionBy("community").orderBy("week_start"))
     train = rows.select("community", F.col("week_idx").alias("_row"), nxt.alias("_next"))
     f = thresholds.select("community", "fold_i", "test_idx", "train_end", "test_score", "t2")
-    pairs = f.join(train, (f["community"] == train["community"]) & (F.col("_row") < F.col("train_end"))).drop(train["community"])
+    pairs = f.join(train, "community").where(F.col("_row") < F.col("train_end"))
     last = F.col("_row") == F.col("train_end") - 1
     value = F.when(last, F.col("test_score") if compat else F.lit(None).cast("double")).otherwise(F.col("_next"))
     out = pairs.withColumn("_v", value).groupBy("community", "fold_i", "test_idx").agg(

@@ -54,10 +54,10 @@ def _tail(n: int, fraction: float, minimum: int) -> int:
     return min(max(minimum, int(round(n * fraction))), max(0, n - 1))
 
 
-def _fit_tabular(x, y, opts):
-    """(raw probabilities of all rows, calibrator, model); the tail of the rows calibrates."""
+def _fit_tabular(x, y, opts, need_positive: bool = False):
+    """(coefficients, intercept, calibrator); the last rows calibrate, the others fit."""
     n_fit = len(y) - _tail(len(y), opts["fraction"], opts["min_samples"])
-    if n_fit < 2 or not 0 < y[:n_fit].sum():
+    if n_fit < 1 or (need_positive and not y[:n_fit].sum()):
         return None
     l2 = fits.search_l2(x[:n_fit], y[:n_fit], opts["grid"])
     coef, b = fits.fit_binary(x[:n_fit], y[:n_fit], l2)
@@ -95,7 +95,7 @@ def _fold_block(opts: dict):
             pos = int((known >= 2).sum())
             n = len(known)
             short = n < opts["length"] + 5 or len(set(known)) < 2 if sequence else n < 10 or pos < 2
-            base = dict(community=f.community, fold_i=int(f.fold_i), week_idx=int(f.test_idx), n_train=n, n_crisis_train=pos,
+            base = dict(community=f.fold_community, fold_i=int(f.fold_i), week_idx=int(f.test_idx), n_train=n, n_crisis_train=pos,
                         crisis_rate_train=pos / n if n else 0.0)
             if short or x[at[int(f.test_idx)]] is None:
                 reason = "insufficient_sequence_or_class_variety" if sequence else folds.REASON
@@ -117,7 +117,7 @@ def _fold_block(opts: dict):
             pred = state if sequence else int(prob >= opts["threshold"])
             out.append({**base, "prob": prob, "pred": pred, "calibrator": cal["type"], "skipped": False})
         names = [c.split()[0] for c in FOLD_SCHEMA.split(", ")]
-        return pd.DataFrame(out).reindex(columns=names)
+        return pd.DataFrame({n: pd.Series([o.get(n) for o in out], dtype=object) for n in names})
 
     return run
 
@@ -145,12 +145,14 @@ def walk_forward(
     fitted = folds.fold_thresholds(rows.withColumnRenamed("score", score), grid, gap, cuts, score)
     fitted = fitted.withColumn("block", F.floor(F.col("fold_i") / folds_per_task).cast("int"))
     blocks = fitted.groupBy("community", "block").agg(F.max("test_idx").alias("upto"))
-    on = (rows["community"] == blocks["community"]) & (rows["week_idx"] <= blocks["upto"])
-    spread = rows.join(blocks, on).select(rows["community"], "block", "week_idx", "next_score", "x")
+    spread = rows.join(blocks, "community").where(F.col("week_idx") <= F.col("upto")).select("community", "block", "week_idx", "next_score", "x")
     opts = _options(sequence_length, threshold, fraction, method, min_samples, min_class, l2_grid, compat)
+    asked = fitted.select(
+        F.col("community").alias("fold_community"), F.col("block").alias("fold_block"),
+        "fold_i", "test_idx", "train_end", "test_score", "t1", "t2", "t3",
+    )
     records = (
-        spread.groupBy("community", "block")
-        .cogroup(fitted.select("community", "block", "fold_i", "test_idx", "train_end", "test_score", "t1", "t2", "t3").groupBy("community", "block"))
+        spread.groupBy("community", "block").cogroup(asked.groupBy("fold_community", "fold_block"))
         .applyInPandas(_fold_block(opts), FOLD_SCHEMA)
     )
     actual = fitted.select("community", F.col("test_idx").alias("week_idx"), F.col("actual").alias("_a"))
@@ -169,7 +171,7 @@ def _final(opts: dict):
             return empty
         x = np.vstack([np.asarray(v, dtype=float) for v in rows["x"][keep]])
         y = rows["label"][keep].to_numpy(dtype=int)
-        fit = _fit_sequence(x, y, opts) if sequence else _fit_tabular(x, (y >= 2).astype(float), opts)
+        fit = _fit_sequence(x, y, opts) if sequence else _fit_tabular(x, (y >= 2).astype(float), opts, need_positive=True)
         if fit is None:
             return empty
         coef, b, cal = fit
@@ -238,7 +240,7 @@ def labeled_rows(scored: DataFrame, features: Sequence[str], cuts: Sequence[floa
 
 
 def _whole_fit(l2: float, min_rows: int, min_positive: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         y = rows["y"].to_numpy(dtype=float)
         if len(y) < min_rows or y.sum() < min_positive:
             return pd.DataFrame({"community": [], "variant": [], "model": []})
