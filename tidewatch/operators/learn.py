@@ -234,7 +234,7 @@ def holdout_predictions(scored: DataFrame, features: Sequence[str], models: Data
 def labeled_rows(scored: DataFrame, features: Sequence[str], cuts: Sequence[float] = STATE_CUTS, score: str = "distress_score") -> DataFrame:
     """Weeks with a known next-week class: community, week_idx, x, y (1 = elevated)."""
     rows = scored if "week_idx" in scored.columns else with_week_index(scored)
-    s = scoring.states(rows, scoring.fit_thresholds(rows, cuts, score), score).where(F.col("label").isNotNull())
+    s = scoring.fit_states(rows, cuts, score).where(F.col("label").isNotNull())
     x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
     return s.select("community", "week_start", "week_idx", x.alias("x"), (F.col("label") >= 2).cast("int").alias("y"))
 

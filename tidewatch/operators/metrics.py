@@ -84,30 +84,45 @@ def roc_auc(predictions: DataFrame) -> DataFrame:
     return t.groupBy(*by).agg(F.try_divide(F.sum(wins), F.nullif(pairs.cast("double"), F.lit(0.0))).alias("roc_auc"))
 
 
-def ranking_metrics(predictions: DataFrame) -> DataFrame:
-    """Both areas from one pass over the tie table."""
-    t, by = _by_probability(predictions)
-    step = (F.col("tp") / F.nullif("all_tp", F.lit(0))) * (F.col("cum_tp") / F.col("cum_n"))
-    wins = (F.col("n") - F.col("tp")) * (F.col("cum_tp") - F.col("tp") + F.col("tp") / 2.0)
-    pairs = F.max(F.col("all_tp") * (F.col("all_n") - F.col("all_tp"))).cast("double")
-    return t.groupBy(*by).agg(
+def metric_pack(predictions: DataFrame) -> DataFrame:
+    """Counts, precision/recall/F1, both areas and the 2x2 confusion per community and model.
+
+    One aggregate per distinct probability feeds the counts and the areas alike.
+    """
+    by = _by(predictions)
+    pred, actual = F.col("pred"), F.col("actual")
+    ties = evaluated(predictions).groupBy(*by, "prob").agg(
+        F.count("*").alias("n"), F.sum(actual.cast("long")).alias("pos"), *_tally(actual, pred)
+    )
+    down = Window.partitionBy(*by).orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*by)
+    t = ties.withColumn("cum_n", F.sum("n").over(down)).withColumn("cum_pos", F.sum("pos").over(down)).withColumn(
+        "all_pos", F.sum("pos").over(whole)).withColumn("all_n", F.sum("n").over(whole))
+    step = (F.col("pos") / F.nullif("all_pos", F.lit(0))) * (F.col("cum_pos") / F.col("cum_n"))
+    wins = (F.col("n") - F.col("pos")) * (F.col("cum_pos") - F.col("pos") + F.col("pos") / 2.0)
+    pairs = F.max(F.col("all_pos") * (F.col("all_n") - F.col("all_pos"))).cast("double")
+    g = t.groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")],
         F.coalesce(F.sum(step), F.lit(0.0)).alias("pr_auc"),
         F.try_divide(F.sum(wins), F.nullif(pairs, F.lit(0.0))).alias("roc_auc"),
     )
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return g.select(
+        *by, (tp + fp + fn + tn).alias("n_valid_predictions"), (tp + fn).alias("n_crisis_actual"),
+        (tp + fp).alias("n_crisis_predicted"), mathx.ratio(tp, tp + fn).alias("recall"), mathx.ratio(tp, tp + fp).alias("precision"),
+        mathx.ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), "tp", "fp", "fn", "tn", "pr_auc", "roc_auc",
+    )
 
 
-def metric_pack(predictions: DataFrame) -> DataFrame:
-    """Counts, precision/recall/F1, both areas and the 2x2 confusion per community and model."""
-    by = _by(predictions)
-    c = confusion(predictions)
-    counts = c.select(
-        *by,
-        (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n_valid_predictions"),
-        (F.col("tp") + F.col("fn")).alias("n_crisis_actual"),
-        (F.col("tp") + F.col("fp")).alias("n_crisis_predicted"),
-        "recall", "precision", "f1", "tp", "fp", "fn", "tn",
+def _top_k(ranked: DataFrame, by: list[str], k_values: Sequence[int], ranks: dict[str, str]) -> DataFrame:
+    """Positives within the first k of each named ranking, one row per group and k."""
+    caught = lambda rank, k: F.coalesce(F.sum(F.when(F.col(rank) <= k, F.col("actual"))), F.lit(0)).cast("long")
+    sums = ranked.groupBy(*by).agg(
+        F.count("*").alias("n_weeks"), F.coalesce(F.sum("actual"), F.lit(0)).cast("long").alias("total_positives"),
+        *[caught(rank, k).alias(f"_{out}_{k}") for out, rank in ranks.items() for k in k_values],
     )
-    return counts.join(ranking_metrics(predictions), by)
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), *[F.col(f"_{out}_{k}").alias(out) for out in ranks]) for k in k_values])
+    return sums.select(*by, "n_weeks", "total_positives", F.inline(rows))
 
 
 def top_k_recall(predictions: DataFrame, k_values: Sequence[int] = K_VALUES, score: str = "prob") -> DataFrame:
@@ -115,28 +130,28 @@ def top_k_recall(predictions: DataFrame, k_values: Sequence[int] = K_VALUES, sco
     by = _by(predictions)
     order = Window.partitionBy(*by).orderBy(F.desc(score), "week_idx")
     ranked = evaluated(predictions).withColumn("_rank", F.row_number().over(order))
-    sums = ranked.groupBy(*by).agg(
-        F.sum("actual").cast("long").alias("total_positives"),
-        F.count("*").alias("n_weeks"),
-        *[F.coalesce(F.sum(F.when(F.col("_rank") <= k, F.col("actual"))), F.lit(0)).cast("long").alias(f"_k{k}") for k in k_values],
-    )
-    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_k{k}").alias("captured")) for k in k_values])
-    return sums.select(*by, "n_weeks", "total_positives", F.inline(rows)).withColumn(
-        "recall", mathx.ratio(F.col("captured"), F.col("total_positives"))
-    )
+    return _top_k(ranked, by, k_values, {"captured": "_rank"}).withColumn(
+        "recall", mathx.ratio(F.col("captured"), F.col("total_positives")))
 
 
 def decision_usefulness(predictions: DataFrame, k_values: Sequence[int] = K_VALUES) -> DataFrame:
-    """Top-K recall of the model, of random alerts and of "alert after an elevated week"."""
+    """Top-K recall of the model, of random alerts and of "alert after an elevated week".
+
+    Both rankings are windows over one partitioning and reduced by one aggregate.
+    """
     by = _by(predictions)
-    before = Window.partitionBy(*by).orderBy("week_idx")
-    model = top_k_recall(predictions, k_values)
-    naive = evaluated(predictions).withColumn("_last", F.coalesce(F.lag("actual").over(before), F.lit(0)))
-    persistence = top_k_recall(naive, k_values, score="_last").select(
-        *by, "k", F.col("captured").alias("persistence_captured"), F.col("recall").alias("persistence_recall")
+    group = Window.partitionBy(*by)
+    ranked = (
+        evaluated(predictions)
+        .withColumn("_last", F.coalesce(F.lag("actual").over(group.orderBy("week_idx")), F.lit(0)))
+        .withColumn("_rank", F.row_number().over(group.orderBy(F.desc("prob"), "week_idx")))
+        .withColumn("_naive", F.row_number().over(group.orderBy(F.desc("_last"), "week_idx")))
     )
-    random = F.when(F.col("total_positives") > 0, F.least("k", "n_weeks") / F.col("n_weeks")).otherwise(F.lit(0.0))
-    return model.withColumn("random_recall", random).join(persistence, [*by, "k"])
+    t = _top_k(ranked, by, k_values, {"captured": "_rank", "persistence_captured": "_naive"})
+    known = F.col("total_positives")
+    random = F.when(known > 0, F.least("k", "n_weeks") / F.col("n_weeks")).otherwise(F.lit(0.0))
+    return t.withColumn("recall", mathx.ratio(F.col("captured"), known)).withColumn("random_recall", random).withColumn(
+        "persistence_recall", mathx.ratio(F.col("persistence_captured"), known))
 
 
 def lead_times(predictions: DataFrame, crisis_min: int = 1) -> DataFrame:

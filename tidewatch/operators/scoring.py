@@ -49,6 +49,26 @@ def states(scored: DataFrame, thresholds: DataFrame, score: str = "distress_scor
     )
 
 
+def fit_states(scored: DataFrame, cuts: Sequence[float] = STATE_CUTS, score: str = "distress_score") -> DataFrame:
+    """``fit_thresholds`` and ``states`` on the same rows in one pass.
+
+    The thresholds are window aggregates over the partitioning that the score and the
+    next-week lookup use anyway, so nothing is aggregated aside and joined back.
+    """
+    whole = Window.partitionBy("community")
+    fitted = scored.withColumn("_m", F.avg(score).over(whole)).withColumn("_s", F.stddev_samp(score).over(whole))
+    for i, k in enumerate(cuts, 1):
+        fitted = fitted.withColumn(f"t{i}", F.col("_m") + F.lit(float(k)) * F.col("_s"))
+    levels = [F.col("t1"), F.col("t2"), F.col("t3")]
+    upcoming = F.lead(score).over(Window.partitionBy("community").orderBy("week_start"))
+    return (
+        fitted.withColumn("state", mathx.bucket(F.col(score), levels))
+        .withColumn("label", mathx.bucket(upcoming, levels))
+        .withColumn("is_crisis_week", (F.col(score) > F.col("t3")).cast("int"))
+        .drop("_m", "_s")
+    )
+
+
 def score_deltas(scored: DataFrame, score: str = "distress_score", band: float = 0.05) -> DataFrame:
     """Change against the week before and its trend word."""
     before = F.lag(score).over(Window.partitionBy("community").orderBy("week_start"))

@@ -70,8 +70,7 @@ def scored_panel(spark: SparkSession, sf: str, normalize: bool = True) -> DataFr
 
 
 def state_panel(spark: SparkSession, sf: str) -> DataFrame:
-    s = scored_panel(spark, sf)
-    return scoring.states(s, scoring.fit_thresholds(s, CUTS))
+    return scoring.fit_states(scored_panel(spark, sf), CUTS)
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,18 +85,15 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("post_volume") / F.nullif(F.max("post_volume").over(whole), F.lit(0.0))).alias("pt"),
         (F.col("unique_posters") / F.nullif(F.max("unique_posters").over(whole), F.lit(0.0))).alias("ps"),
     )
-    base = ["community", "week_start", "week_idx"]
-    tab = rows.select(
-        *base, F.lit("tabular").alias("model"),
-        F.when(F.col("week_idx") >= 5, (F.col("pt") >= 0.5).cast("int")).alias("pred"),
+    tabular = F.struct(
+        F.lit("tabular").alias("model"), F.when(F.col("week_idx") >= 5, (F.col("pt") >= 0.5).cast("int")).alias("pred"),
         F.when(F.col("week_idx") >= 5, F.col("pt")).alias("prob"), (F.col("label") >= 2).cast("int").alias("actual"),
     )
-    seq = rows.select(
-        *base, F.lit("sequence").alias("model"),
-        F.when(F.col("week_idx") >= 8, mathx.bucket(F.col("ps"), (0.35, 0.5, 0.65))).alias("pred"),
+    sequence = F.struct(
+        F.lit("sequence").alias("model"), F.when(F.col("week_idx") >= 8, mathx.bucket(F.col("ps"), (0.35, 0.5, 0.65))).alias("pred"),
         F.when(F.col("week_idx") >= 8, F.col("ps")).alias("prob"), F.col("label").alias("actual"),
     )
-    return tab.unionByName(seq)
+    return rows.select("community", "week_start", "week_idx", F.inline(F.array(tabular, sequence)))
 
 
 def binary_predictions(spark: SparkSession, sf: str) -> DataFrame:

@@ -71,7 +71,7 @@ def evaluate(
 def watch(panel: DataFrame, weights: Mapping[str, float] = SCORE_WEIGHTS, cuts: Sequence[float] = STATE_CUTS) -> dict[str, DataFrame]:
     """Drift, level changes and state escalations of a panel."""
     scored = scoring.composite_score(panel, weights, normalize=True)
-    labeled = scoring.states(scored, scoring.fit_thresholds(scored, cuts))
+    labeled = scoring.fit_states(scored, cuts)
     drifted = monitor.drift(panel)
     return {
         "drift": drifted, "changes": monitor.level_changes(drifted),
