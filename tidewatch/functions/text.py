@@ -10,11 +10,13 @@ from pyspark.sql import Column, functions as F
 
 from tidewatch.schemas import DELETED_BODIES, NO_AUTHOR
 
-# Patterns.
-URL = r"(?iU)https?://\S+|www\.\S+"
+# Patterns.  Separators of the control range count as white space too.
+WS = r"\s\x1c-\x1f"
+WORD = r"0-9A-Za-z_\p{L}\p{N}"
+URL = rf"(?iU)https?://[^{WS}]+|www\.[^{WS}]+"
 EMAIL = r"(?i)[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-SPACES = r"(?U)\s+"
-WORD_RUN = r"(?U)\w+"
+SPACES = rf"(?U)[{WS}]+"
+WORD_RUN = rf"[{WORD}]+"
 
 # First-person word sets.
 SINGULAR = ("i", "me", "my", "myself", "mine")
@@ -22,11 +24,15 @@ PLURAL = ("we", "us", "our", "ourselves", "ours")
 
 
 def strip_urls(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), URL, "")
+    """The pattern needs "://" or "www."; a byte search spares most texts the regex."""
+    t = F.coalesce(c, F.lit(""))
+    may = F.contains(t, F.lit("://")) | F.contains(F.lower(t), F.lit("www."))
+    return F.when(may, F.regexp_replace(t, URL, "")).otherwise(t)
 
 
 def strip_emails(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), EMAIL, "")
+    t = F.coalesce(c, F.lit(""))
+    return F.when(F.contains(t, F.lit("@")), F.regexp_replace(t, EMAIL, "")).otherwise(t)
 
 
 def squeeze(c: Column) -> Column:
@@ -36,7 +42,7 @@ def squeeze(c: Column) -> Column:
 
 def strip_unicode(c: Column) -> Column:
     """Trim Unicode white space at both ends, inner white space kept."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"(?U)^[{WS}]+|[{WS}]+$", "")
 
 
 def clean(c: Column) -> Column:
@@ -46,7 +52,8 @@ def clean(c: Column) -> Column:
 
 
 def join_title(title: Column, body: Column) -> Column:
-    return F.when((title != "") & (body != ""), F.concat(title, F.lit(". "), body)).otherwise(F.concat(title, body))
+    """``title. body``, or the part that is there; each part is evaluated once."""
+    return F.concat_ws(". ", F.nullif(title, F.lit("")), F.nullif(body, F.lit("")))
 
 
 def pseudonym(author: Column, salt: str) -> Column:
@@ -69,9 +76,10 @@ def slug(c: Column) -> Column:
     return F.when(s == "", F.lit("unknown_file")).otherwise(s)
 
 
-def tokens(c: Column) -> Column:
-    """White-space tokens without empty ones."""
-    return F.filter(F.split(c, SPACES), lambda x: x != "")
+def tokens(c: Column, tidy: bool = False) -> Column:
+    """White-space tokens without empty ones; ``tidy`` text is already squeezed."""
+    t = c if tidy else squeeze(c)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
 def word_runs(lowered: Column) -> Column:
@@ -83,9 +91,10 @@ def distinct_ratio(toks: Column) -> Column:
     return F.when(F.size(toks) > 0, F.size(F.array_distinct(toks)) / F.size(toks)).otherwise(F.lit(0.0))
 
 
-def share_in(toks: Column, vocabulary: Sequence[str]) -> Column:
-    hits = F.size(F.filter(toks, lambda x: F.lower(x).isin(*vocabulary)))
-    return F.when(F.size(toks) > 0, hits / F.size(toks)).otherwise(F.lit(0.0))
+def share_in(lowered: Column, vocabulary: Sequence[str]) -> Column:
+    """Share of lower-case tokens that are in the vocabulary."""
+    hits = F.size(F.filter(lowered, _member(vocabulary)))
+    return F.when(F.size(lowered) > 0, hits / F.size(lowered)).otherwise(F.lit(0.0))
 
 
 def sentence_count(c: Column) -> Column:
@@ -96,10 +105,9 @@ def syllable_count(lowered: Column) -> Column:
     return F.regexp_count(lowered, F.lit("[aeiouy]+"))
 
 
-def grade_level(c: Column, toks: Column) -> Column:
+def grade_level(lowered: Column, n: Column) -> Column:
     """Flesch-Kincaid grade from vowel-group syllables; no words gives 0."""
-    n = F.size(toks)
-    grade = 0.39 * n / sentence_count(c) + 11.8 * syllable_count(F.lower(c)) / n - 15.59
+    grade = 0.39 * n / sentence_count(lowered) + 11.8 * syllable_count(lowered) / n - 15.59
     return F.when(n > 0, grade).otherwise(F.lit(0.0))
 
 
@@ -108,25 +116,39 @@ def normal_terms(terms: Iterable[str]) -> list[str]:
 
 
 def term_pattern(term: str) -> str:
-    return r"(?U)\b" + re.escape(term) + r"\b"
+    """Word boundaries on both sides, for terms that begin or end with any character."""
+    is_word = lambda ch: ch == "_" or ch.isalnum()
+    before = rf"(?<![{WORD}])" if is_word(term[0]) else rf"(?<=[{WORD}])"
+    after = rf"(?![{WORD}])" if is_word(term[-1]) else rf"(?=[{WORD}])"
+    return before + re.escape(term) + after
 
 
-def _member(words: Sequence[str]):
-    return lambda x: x.isin(*words)
+def is_single_word(term: str) -> bool:
+    return all(ch == "_" or ch.isalnum() for ch in term)
+
+
+def _member(words: Iterable[str]):
+    listed = list(words)
+    return lambda x: x.isin(*listed)
+
+
+def single_words(lexicons: Iterable[Iterable[str]]) -> list[str]:
+    return sorted({t for terms in lexicons for t in normal_terms(terms) if is_single_word(t)})
 
 
 def count_terms(lowered: Column, runs: Column, terms: Iterable[str]) -> Column:
     """Sum over terms of whole-word matches, overlaps between terms counted each.
 
     A term of word characters only matches exactly the word runs equal to it, so all
-    such terms cost one hash-set pass over ``runs`` instead of one regex scan each.
-    Phrases fall back to a regex, run only on texts that contain the phrase at all.
+    such terms cost one hash-set pass over ``runs`` instead of one regex scan each
+    (``runs`` may be cut down to the words of all lexicons beforehand).  Phrases fall
+    back to a regex, run only on texts that contain the phrase at all.
     """
     counted = Counter(normal_terms(terms))
     parts: list[Column] = []
     by_times: dict[int, list[str]] = {}
     for term, times in counted.items():
-        if re.fullmatch(r"\w+", term):
+        if is_single_word(term):
             by_times.setdefault(times, []).append(term)
         else:
             hit = F.when(F.contains(lowered, F.lit(term)), F.regexp_count(lowered, F.lit(term_pattern(term))))

@@ -104,10 +104,15 @@ def drop_deleted(posts: DataFrame) -> DataFrame:
 
 
 def clean_posts(posts: DataFrame, min_length: int = 20) -> DataFrame:
-    """Deleted posts out, ``clean_text`` from title and body, short texts out."""
-    title = text.clean(F.col("title")) if "title" in posts.columns else F.lit("")
-    cleaned = drop_deleted(posts).withColumn("clean_text", text.join_title(title, text.clean(F.col("selftext"))))
-    return cleaned.where(F.length("clean_text") >= min_length)
+    """Deleted posts out, ``clean_text`` from title and body, short texts out.
+
+    The length rule is an array filter under ``explode``: a plain ``where`` would be
+    pushed below the projection and run the cleaning a second time on every text.
+    """
+    body = text.clean(F.col("selftext"))
+    whole = text.join_title(text.clean(F.col("title")), body) if "title" in posts.columns else body
+    long_enough = F.filter(F.array(whole), lambda t: F.length(t) >= min_length)
+    return drop_deleted(posts).select(*[c for c in posts.columns if c != "clean_text"], F.explode(long_enough).alias("clean_text"))
 
 
 def resolve_clock(posts: DataFrame, day_column: str = "created_utc_dt") -> DataFrame:

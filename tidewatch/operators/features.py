@@ -24,58 +24,77 @@ NEGATION_FACTOR = -0.74
 MAX_INLINE_LEXICON = 20_000  # entries; larger valence tables take the join
 
 
-def with_tokens(posts: DataFrame, column: str = "clean_text") -> DataFrame:
-    """``_tok`` white-space tokens, ``_low`` lower-cased text, ``_runs`` word runs."""
-    return posts.withColumn("_tok", text.tokens(F.col(column))).withColumn("_low", F.lower(column)).withColumn(
-        "_runs", text.word_runs(F.col("_low"))
-    )
+def with_tokens(posts: DataFrame, column: str = "clean_text", words: Sequence[str] = ()) -> DataFrame:
+    """``_low`` lower-cased text, ``_tok`` its white-space tokens, ``_runs`` its word runs.
+
+    Cleaned text is lower-case and squeezed already, so it is cut at single blanks.  With
+    ``words`` only those word runs are kept: the families then look at a few hits, not
+    at every word.
+    """
+    tidy = column == "clean_text"
+    low = F.col(column) if tidy else F.lower(column)
+    runs = text.word_runs(F.col("_low"))
+    if words:
+        runs = F.filter(runs, lambda x: x.isin(*words))
+    base = posts.withColumn("_low", low).withColumn("_tok", text.tokens(F.col("_low"), tidy))
+    return base.withColumn("_runs", runs)
 
 
 def linguistic_columns(column: str = "clean_text") -> dict[str, Column]:
+    # Lower-casing keeps tokens apart or equal except for case, which the type-token ratio respects.
     tok = F.col("_tok")
+    cased = tok if column == "clean_text" else text.tokens(F.col(column))
     return {
         "n_words": F.size(tok),
         "n_chars_clean": F.when(F.size(tok) > 0, F.length(column)).otherwise(F.lit(0)),
-        "type_token_ratio": text.distinct_ratio(tok),
-        "flesch_kincaid": text.grade_level(F.col(column), tok),
+        "type_token_ratio": text.distinct_ratio(cased),
+        "flesch_kincaid": text.grade_level(F.col("_low"), F.size(tok)),
         "singular_ratio": text.share_in(tok, text.SINGULAR),
         "plural_ratio": text.share_in(tok, text.PLURAL),
     }
 
 
+FAMILIES = (*PER_WORD_FAMILIES, *PER_POST_FAMILIES)
+
+
 def lexicon_columns(lexicons: Mapping[str, Iterable[str]]) -> dict[str, Column]:
     """Matches per family; a family without terms counts nothing."""
-    families = (*PER_WORD_FAMILIES, *PER_POST_FAMILIES)
-    return {f"n_{f}": text.count_terms(F.col("_low"), F.col("_runs"), lexicons.get(f, ())) for f in families}
+    return {f"n_{f}": text.count_terms(F.col("_low"), F.col("_runs"), lexicons.get(f, ())) for f in FAMILIES}
+
 
+def post_metrics(
+    posts: DataFrame, lexicons: Mapping[str, Iterable[str]], column: str = "clean_text",
+    valence: Mapping[str, float] | None = None, negators: Iterable[str] = (),
+) -> DataFrame:
+    """Adds the per-post numbers of the linguistic and lexicon families, and of sentiment when a valence table is given.
 
-def post_metrics(posts: DataFrame, lexicons: Mapping[str, Iterable[str]], column: str = "clean_text") -> DataFrame:
-    """Adds the per-post numbers of the linguistic and lexicon families."""
-    ready = with_tokens(posts, column)
-    made = {**linguistic_columns(column), **lexicon_columns(lexicons)}
+    Tokens are cut once and shared by all families.
+    """
+    lists = {k: list(v) for k, v in lexicons.items()}
+    ready = with_tokens(posts, column, text.single_words(lists.values()))
+    made = {**linguistic_columns(column), **lexicon_columns(lists)}
+    if valence is not None:
+        ready = ready.withColumn("_hits", valence_hits(valence, negators))
+        made |= sentiment_columns()
     return ready.select(*posts.columns, *[c.alias(n) for n, c in made.items()])
 
 
 # --- sentiment ---------------------------------------------------------------
 
 
-def _scores(pos: Column, neg: Column, neutral: Column, total: Column) -> list[Column]:
+def _scores(pos: Column, neg: Column, neutral: Column, total: Column) -> dict[str, Column]:
     whole = pos + F.abs(neg) + neutral
     part = lambda x: F.when(whole > 0, x / whole).otherwise(F.lit(0.0))
     compound = total / F.sqrt(total * total + F.lit(COMPOUND_ALPHA))
-    return [
-        part(pos).alias("pos"), part(F.abs(neg)).alias("neg"), part(neutral).alias("neu"),
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), compound)).alias("compound"),
-    ]
+    return {"pos": part(pos), "neg": part(F.abs(neg)), "neu": part(neutral),
+            "compound": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), compound))}
 
 
-def sentiment_inline(
-    posts: DataFrame, valence: Mapping[str, float], negators: Iterable[str] = (), column: str = "clean_text"
-) -> DataFrame:
-    """Adds pos, neg, neu, compound; the valence table travels as literals.
+def valence_hits(valence: Mapping[str, float], negators: Iterable[str] = ()) -> Column:
+    """Signed valences of the tokens in ``_tok`` that carry one, in order.
 
-    Terms of equal valence share one hash set, so a token costs one probe to be
-    skipped and a few more only when it carries sentiment.
+    A token costs one probe of a hash set; only the positions that hit are looked at
+    again.  Terms of equal valence share one set.
     """
     if len(valence) > MAX_INLINE_LEXICON:
         raise ValueError("valence table too large for literals; use sentiment_join")
@@ -84,31 +103,41 @@ def sentiment_inline(
         if v:
             by_value.setdefault(float(v), []).append(term.lower())
     every = [t for ts in by_value.values() for t in ts]
+    if not every:
+        return F.array().cast("array<double>")
     negs = [n.lower() for n in negators]
-    base = posts.withColumn("_tok", F.transform(text.tokens(F.col(column)), F.lower))
-    pairs = F.zip_with(
-        F.col("_tok"), F.concat(F.array(F.lit("")), F.slice(F.col("_tok"), 1, F.greatest(F.size("_tok") - 1, F.lit(0)))),
-        lambda t, p: F.struct(t.alias("t"), p.alias("p")),
-    )
+    tok = F.col("_tok")
 
-    def value(x: Column) -> Column:
+    def value(i: Column) -> Column:
         expr = None
         for v, terms in by_value.items():
-            cond = x["t"].isin(*terms)
+            cond = F.get(tok, i).isin(*terms)
             expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
-        flip = F.when(x["p"].isin(*negs), F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0)) if negs else F.lit(1.0)
-        return expr.otherwise(F.lit(0.0)) * flip
-
-    if every:
-        hits = F.transform(F.filter(pairs, lambda x: x["t"].isin(*every)), value)
-    else:
-        hits = F.array().cast("array<double>")
-    scored = base.withColumn("_hits", hits)
+        signed = expr.otherwise(F.lit(0.0))
+        if negs:
+            signed = signed * F.when((i > 0) & F.get(tok, i - 1).isin(*negs), F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0))
+        return signed
+
+    at = F.filter(F.transform(tok, lambda x, i: F.when(x.isin(*every), i)), lambda i: i.isNotNull())
+    return F.transform(at, value)
+
+
+def sentiment_columns() -> dict[str, Column]:
+    """pos, neg, neu and compound from ``_tok`` and ``_hits``."""
     add = lambda keep, shift: F.aggregate(F.filter("_hits", keep), F.lit(0.0), lambda a, v: a + v + F.lit(shift))
-    pos, neg = add(lambda v: v > 0, 1.0), add(lambda v: v < 0, -1.0)
     total = F.aggregate("_hits", F.lit(0.0), lambda a, v: a + v)
     neutral = (F.size("_tok") - F.size("_hits")).cast("double")
-    return scored.select(*posts.columns, *_scores(pos, neg, neutral, total))
+    return _scores(add(lambda v: v > 0, 1.0), add(lambda v: v < 0, -1.0), neutral, total)
+
+
+def sentiment_inline(
+    posts: DataFrame, valence: Mapping[str, float], negators: Iterable[str] = (), column: str = "clean_text"
+) -> DataFrame:
+    """Adds pos, neg, neu, compound; the valence table travels as literals."""
+    tidy = column == "clean_text"
+    tok = text.tokens(F.col(column) if tidy else F.lower(column), tidy)
+    base = posts.withColumn("_tok", tok).withColumn("_hits", valence_hits(valence, negators))
+    return base.select(*posts.columns, *[c.alias(n) for n, c in sentiment_columns().items()])
 
 
 def sentiment_join(
@@ -121,7 +150,8 @@ def sentiment_join(
     task that exploded the post, so the shuffle carries one row per post with a hit.
     Spark chooses the join from the size of the table.
     """
-    base = posts.select(key, F.transform(text.tokens(F.col(column)), F.lower).alias("_tok"))
+    tidy = column == "clean_text"
+    base = posts.select(key, text.tokens(F.col(column) if tidy else F.lower(column), tidy).alias("_tok"))
     pairs = F.zip_with(
         F.col("_tok"), F.concat(F.array(F.lit("")), F.slice(F.col("_tok"), 1, F.greatest(F.size("_tok") - 1, F.lit(0)))),
         lambda t, p: F.struct(t.alias("token"), p.alias("previous")),
@@ -141,8 +171,9 @@ def sentiment_join(
     )
     out = posts.join(sums, key, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    neutral = (F.size(text.tokens(F.col(column))) - F.coalesce("_n", F.lit(0))).cast("double")
-    return out.select(*posts.columns, *_scores(zero("_pos"), zero("_neg"), neutral, zero("_sum")))
+    neutral = (F.size(text.tokens(F.col(column), tidy)) - F.coalesce("_n", F.lit(0))).cast("double")
+    scores = _scores(zero("_pos"), zero("_neg"), neutral, zero("_sum"))
+    return out.select(*posts.columns, *[c.alias(n) for n, c in scores.items()])
 
 
 # --- weekly aggregates of post metrics ---------------------------------------

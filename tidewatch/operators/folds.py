@@ -91,12 +91,17 @@ def fold_labels(scored: DataFrame, thresholds: DataFrame, compat: bool = False,
     )
 
 
-def sequences(panel: DataFrame, features: Sequence[str], length: int) -> DataFrame:
-    """Fixed-length windows ending at each row, flattened to one array per row."""
+def sequence_column(features: Sequence[str], length: int) -> Column:
+    """The last ``length`` weeks flattened to one array; null while there are fewer."""
     w = Window.partitionBy("community").orderBy("week_start").rowsBetween(-(length - 1), 0)
-    rows = F.collect_list(F.array(*[F.col(c).cast("double") for c in features])).over(w)
-    out = panel.withColumn("sequence", rows).where(F.size("sequence") == length)
-    return out.withColumn("sequence", F.flatten("sequence"))
+    row = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+    rows = F.collect_list(row).over(w)
+    return F.when(F.count("*").over(w) == length, F.flatten(rows))
+
+
+def sequences(panel: DataFrame, features: Sequence[str], length: int) -> DataFrame:
+    """Fixed-length windows ending at each row, one per row from the length-th week on."""
+    return panel.withColumn("sequence", sequence_column(features, length)).where(F.col("sequence").isNotNull())
 
 
 def fold_diagnostics(records: DataFrame, low: float = 0.05) -> DataFrame:

@@ -18,11 +18,12 @@ from tidewatch.functions import fits, mathx
 from tidewatch.operators import folds, metrics, scoring, serve
 from tidewatch.operators.weekly import with_week_index
 from tidewatch.schemas import FAMILY_COLUMNS, STATE_CUTS
+from tidewatch.session import spread
 
 CALIBRATOR = "struct<type:string,coef:double,intercept:double,x:array<double>,y:array<double>>"
 FOLD_SCHEMA = (
     "community string, fold_i int, week_idx int, prob double, pred int, n_train int, n_crisis_train int, "
-    "crisis_rate_train double, calibrator string, skipped boolean, skip_reason string"
+    "crisis_rate_train double, calibrator string, skipped boolean, skip_reason string, actual int"
 )
 TABULAR_MODEL = f"community string, model struct<intercept:double,coef:array<double>>, calibrator {CALIBRATOR}"
 SEQUENCE_MODEL = f"community string, model struct<intercept:array<double>,coef:array<array<double>>>, calibrator {CALIBRATOR}"
@@ -32,18 +33,14 @@ def _rows(scored: DataFrame, features: Sequence[str], length: int | None, score:
     """community, week_idx, score, next score and the model input of each week."""
     rows = scored if "week_idx" in scored.columns else with_week_index(scored)
     nxt = F.lead(score).over(Window.partitionBy("community").orderBy("week_start"))
-    if length:
-        rows = rows.join(
-            folds.sequences(rows, features, length).select("community", "week_start", F.col("sequence").alias("x")),
-            ["community", "week_start"], "left",
-        )
-    else:
-        rows = rows.withColumn("x", F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]))
-    return rows.select("community", "week_start", "week_idx", F.col(score).alias("score"), nxt.alias("next_score"), "x")
+    x = folds.sequence_column(features, length) if length else F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
+    return rows.select("community", "week_start", "week_idx", F.col(score).alias("score"), nxt.alias("next_score"), x.alias("x"))
 
 
-def _development(rows: DataFrame, holdout: int, min_train: int, gap: int) -> DataFrame:
-    return folds.holdout_split(rows, holdout, min_train + gap)
+def _with_dev(rows: DataFrame, holdout: int, min_train: int, gap: int) -> DataFrame:
+    """``dev_n``, the community's number of development weeks, on every row."""
+    n = F.count("*").over(Window.partitionBy("community"))
+    return rows.withColumn("dev_n", folds.dev_rows(n, holdout, min_train + gap))
 
 
 def _classes(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -79,40 +76,38 @@ def _fit_sequence(x, y4, opts):
 def _fold_block(opts: dict):
     sequence = opts["length"] is not None
 
-    def run(rows: pd.DataFrame, fold_rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("week_idx")
-        at = {int(i): k for k, i in enumerate(rows["week_idx"])}
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("week_idx").reset_index(drop=True)  # row k is week k: blocks start at week 0
         x = [None if v is None else np.asarray(v, dtype=float) for v in rows["x"]]
         nxt = rows["next_score"].to_numpy(dtype=float)
         out = []
-        for f in fold_rows.itertuples(index=False):
+        for f in rows[rows["asked"]].itertuples(index=False):
+            end = int(f.week_idx) - opts["gap"]
             cuts = np.array([f.t1, f.t2, f.t3], dtype=float)
-            values = nxt[: f.train_end].copy()
-            values[-1] = f.test_score if opts["compat"] else np.nan
-            keep = np.array([np.isfinite(v) and x[i] is not None for i, v in enumerate(values)])
-            labels = _classes(values[keep], cuts)
+            values = nxt[:end].copy()
+            values[-1] = f.score if opts["compat"] else np.nan
             known = _classes(values[np.isfinite(values)], cuts)
-            pos = int((known >= 2).sum())
-            n = len(known)
+            n, pos = len(known), int((known >= 2).sum())
             short = n < opts["length"] + 5 or len(set(known)) < 2 if sequence else n < 10 or pos < 2
-            base = dict(community=f.fold_community, fold_i=int(f.fold_i), week_idx=int(f.test_idx), n_train=n, n_crisis_train=pos,
-                        crisis_rate_train=pos / n if n else 0.0)
-            if short or x[at[int(f.test_idx)]] is None:
+            base = dict(community=f.community, fold_i=int(f.fold_i), week_idx=int(f.week_idx), n_train=n, n_crisis_train=pos,
+                        crisis_rate_train=pos / n if n else 0.0, actual=None if pd.isna(f.actual) else int(f.actual))
+            here = x[int(f.week_idx)]
+            if short or here is None:
                 reason = "insufficient_sequence_or_class_variety" if sequence else folds.REASON
                 out.append({**base, "skipped": True, "skip_reason": reason})
                 continue
-            train = np.vstack([x[i] for i in np.flatnonzero(keep)])
+            keep = np.array([np.isfinite(v) and x[i] is not None for i, v in enumerate(values)])
+            train, labels = np.vstack([x[i] for i in np.flatnonzero(keep)]), _classes(values[keep], cuts)
             fit = _fit_sequence(train, labels, opts) if sequence else _fit_tabular(train, (labels >= 2).astype(float), opts)
             if fit is None:
                 out.append({**base, "skipped": True, "skip_reason": "insufficient_fit_window"})
                 continue
             coef, b, cal = fit
-            z = x[at[int(f.test_idx)]]
             if sequence:
-                p = fits.softmax((coef @ z + b)[None, :])[0]
+                p = fits.softmax((coef @ here + b)[None, :])[0]
                 raw, state = p[2] + p[3], int(np.argmax(p))
             else:
-                raw = 1.0 / (1.0 + np.exp(-np.clip(z @ coef + b, -35, 35)))
+                raw = 1.0 / (1.0 + np.exp(-np.clip(here @ coef + b, -35, 35)))
             prob = float(fits.calibrate(np.array([raw]), cal)[0])
             pred = state if sequence else int(prob >= opts["threshold"])
             out.append({**base, "prob": prob, "pred": pred, "calibrator": cal["type"], "skipped": False})
@@ -122,8 +117,8 @@ def _fold_block(opts: dict):
     return run
 
 
-def _options(length, threshold, fraction, method, min_samples, min_class, grid, compat) -> dict:
-    return dict(length=length, threshold=threshold, fraction=fraction, method=method, min_samples=min_samples,
+def _options(length, gap, threshold, fraction, method, min_samples, min_class, grid, compat) -> dict:
+    return dict(length=length, gap=gap, threshold=threshold, fraction=fraction, method=method, min_samples=min_samples,
                 min_class=min_class, grid=tuple(grid), compat=compat)
 
 
@@ -138,26 +133,33 @@ def walk_forward(
     Without ``sequence_length`` the binary tabular model (pred 0/1, actual 0/1), with it
     the 4-class model on the last L weeks (pred and actual 0..3, prob = P(state >= 2)).
     """
-    span = min_train + (sequence_length or 0)
-    rows = _rows(scored, features, sequence_length, score)
-    dev = _development(rows, holdout, span, gap).select("community", F.col("dev_n").alias("n_weeks"))
-    grid = folds.fold_grid(dev, span, gap)
-    fitted = folds.fold_thresholds(rows.withColumnRenamed("score", score), grid, gap, cuts, score)
-    fitted = fitted.withColumn("block", F.floor(F.col("fold_i") / folds_per_task).cast("int"))
-    blocks = fitted.groupBy("community", "block").agg(F.max("test_idx").alias("upto"))
-    spread = rows.join(blocks, "community").where(F.col("week_idx") <= F.col("upto")).select("community", "block", "week_idx", "next_score", "x")
-    opts = _options(sequence_length, threshold, fraction, method, min_samples, min_class, l2_grid, compat)
-    asked = fitted.select(
-        F.col("community").alias("fold_community"), F.col("block").alias("fold_block"),
-        "fold_i", "test_idx", "train_end", "test_score", "t1", "t2", "t3",
+    first = min_train + (sequence_length or 0) + gap
+    rows = _with_dev(_rows(scored, features, sequence_length, score), holdout, first - gap, gap)
+    # A test week is its own fold: its thresholds are expanding statistics of the same series.
+    past = Window.partitionBy("community").orderBy("week_start").rowsBetween(Window.unboundedPreceding, -(gap + 1))
+    rows = rows.withColumn("_m", F.avg("score").over(past)).withColumn("_s", F.stddev_samp("score").over(past))
+    for i, k in enumerate(cuts, 1):
+        rows = rows.withColumn(f"t{i}", F.col("_m") + F.lit(float(k)) * F.col("_s"))
+    state = mathx.bucket(F.col("next_score"), [F.col("t1"), F.col("t2"), F.col("t3")])
+    rows = rows.withColumn("actual", state if sequence_length else (state >= 2).cast("int"))
+    # A row goes to the block of its own fold and to all later ones, which train on it.
+    block = lambda week: F.floor((week - first) / F.lit(folds_per_task)).cast("int")
+    needed = F.sequence(F.greatest(block(F.col("week_idx")), F.lit(0)), block(F.col("dev_n") - 1))
+    blocks = (
+        rows.where((F.col("dev_n") > first) & (F.col("week_idx") < F.col("dev_n")))
+        .withColumn("fold_i", F.col("week_idx") - first).withColumn("block", F.explode(needed))
+        .withColumn("asked", (F.col("fold_i") >= 0) & (block(F.col("week_idx")) == F.col("block")))
     )
-    records = (
-        spread.groupBy("community", "block").cogroup(asked.groupBy("fold_community", "fold_block"))
-        .applyInPandas(_fold_block(opts), FOLD_SCHEMA)
-    )
-    actual = fitted.select("community", F.col("test_idx").alias("week_idx"), F.col("actual").alias("_a"))
-    seen = F.col("_a") if sequence_length else (F.col("_a") >= 2).cast("int")
-    return records.join(actual, ["community", "week_idx"]).withColumn("actual", seen).drop("_a")
+    opts = _options(sequence_length, gap, threshold, fraction, method, min_samples, min_class, l2_grid, compat)
+    columns = ("community", "block", "week_idx", "fold_i", "asked", "score", "next_score", "x", "t1", "t2", "t3", "actual")
+    return spread(blocks.select(*columns), "community", "block").groupBy("community", "block").applyInPandas(_fold_block(opts), FOLD_SCHEMA)
+
+
+def _whole_cuts(score: str, cuts: Sequence[float], used: Column | None = None) -> list[Column]:
+    """Thresholds of a community over the rows that ``used`` marks (all by default)."""
+    whole = Window.partitionBy("community")
+    v = F.col(score) if used is None else F.when(used, F.col(score))
+    return [F.avg(v).over(whole) + F.lit(float(k)) * F.stddev_samp(v).over(whole) for k in cuts]
 
 
 def _final(opts: dict):
@@ -189,28 +191,28 @@ def final_models(
     """One model and calibrator per community, fitted on its development weeks."""
     span = min_train + (sequence_length or 0)
     rows = _rows(scored, features, sequence_length, score)
-    dev = _development(rows, holdout, span, gap)
-    train = rows.join(dev.where(F.col("dev_n") > span + gap).select("community", "dev_n"), "community").where(F.col("week_idx") < F.col("dev_n"))
-    t = scoring.fit_thresholds(train, cuts, "score")
+    train = _with_dev(rows, holdout, span, gap).where((F.col("dev_n") > span + gap) & (F.col("week_idx") < F.col("dev_n")))
     # The last development week is labelled by the first holdout week, as a final fit may.
-    labeled = train.join(t, "community").withColumn("label", mathx.bucket(F.col("next_score"), [F.col("t1"), F.col("t2"), F.col("t3")]))
-    opts = _options(sequence_length, 0.3, fraction, method, min_samples, min_class, l2_grid, False)
+    labeled = train.withColumn("label", mathx.bucket(F.col("next_score"), _whole_cuts("score", cuts)))
+    opts = _options(sequence_length, gap, 0.3, fraction, method, min_samples, min_class, l2_grid, False)
     schema = SEQUENCE_MODEL if sequence_length else TABULAR_MODEL
-    return labeled.select("community", "week_idx", "label", "x").groupBy("community").applyInPandas(_final(opts), schema)
+    return spread(labeled.select("community", "week_idx", "label", "x"), "community").groupBy("community").applyInPandas(_final(opts), schema)
 
 
 def predict(scored: DataFrame, features: Sequence[str], models: DataFrame, sequence_length: int | None = None,
-            threshold: float = 0.3, score: str = "distress_score") -> DataFrame:
+            threshold: float = 0.3, score: str = "distress_score", keep: Sequence[str] = ()) -> DataFrame:
     """Every week through its community's final model, in JVM expressions."""
-    rows = _rows(scored, features, sequence_length, score).join(models, "community").where(F.col("x").isNotNull())
+    base = scored if "week_idx" in scored.columns else with_week_index(scored)
+    x = folds.sequence_column(features, sequence_length) if sequence_length else F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
+    keys = ("community", "week_start", "week_idx")
+    rows = base.select(*keys, *keep, x.alias("x")).where(F.col("x").isNotNull()).join(models, "community")
     if sequence_length:
-        probs = serve.class_probabilities(F.col("x"), F.col("model"))
-        out = rows.withColumn("_p", probs).withColumn(
-            "prob", metrics.apply_calibrator(F.element_at("_p", 3) + F.element_at("_p", 4), F.col("calibrator")))
+        out = rows.withColumn("_p", serve.class_probabilities(F.col("x"), F.col("model")))
+        out = out.withColumn("prob", metrics.apply_calibrator(F.element_at("_p", 3) + F.element_at("_p", 4), F.col("calibrator")))
         out = out.withColumn("pred", F.array_position("_p", F.array_max("_p")).cast("int") - 1)
-        return out.select("community", "week_start", "week_idx", "pred", "prob", metrics.rescale_classes(F.col("_p"), F.col("prob")).alias("probs"))
+        return out.select(*keys, *keep, "pred", "prob", metrics.rescale_classes(F.col("_p"), F.col("prob")).alias("probs"))
     prob = metrics.apply_calibrator(serve.linear_probability(F.col("x"), F.col("model")), F.col("calibrator"))
-    return rows.withColumn("prob", prob).select("community", "week_start", "week_idx", (F.col("prob") >= threshold).cast("int").alias("pred"), "prob")
+    return rows.withColumn("prob", prob).select(*keys, *keep, (F.col("prob") >= threshold).cast("int").alias("pred"), "prob")
 
 
 def holdout_predictions(scored: DataFrame, features: Sequence[str], models: DataFrame, *, cuts: Sequence[float] = STATE_CUTS,
@@ -218,13 +220,15 @@ def holdout_predictions(scored: DataFrame, features: Sequence[str], models: Data
                         threshold: float = 0.3, score: str = "distress_score") -> DataFrame:
     """Final models on the weeks kept back, with the actual class by development thresholds."""
     span = min_train + (sequence_length or 0)
-    rows = scored if "week_idx" in scored.columns else with_week_index(scored)
-    dev = _development(rows, holdout, span, gap).select("community", "dev_n")
-    t = scoring.fit_thresholds(rows.join(dev, "community").where(F.col("week_idx") < F.col("dev_n")), cuts, score)
-    labeled = scoring.states(rows, t, score).select("community", "week_idx", "label")
-    out = predict(rows, features, models, sequence_length, threshold, score).join(dev, "community").where(F.col("week_idx") >= F.col("dev_n"))
+    rows = _with_dev(scored if "week_idx" in scored.columns else with_week_index(scored), holdout, span, gap)
+    nxt = F.lead(score).over(Window.partitionBy("community").orderBy("week_start"))
+    rows = rows.withColumn("_next", nxt)
+    for i, c in enumerate(_whole_cuts(score, cuts, F.col("week_idx") < F.col("dev_n")), 1):
+        rows = rows.withColumn(f"_t{i}", c)
+    labeled = rows.withColumn("label", mathx.bucket(F.col("_next"), [F.col("_t1"), F.col("_t2"), F.col("_t3")]))
+    out = predict(labeled, features, models, sequence_length, threshold, score, keep=("label", "dev_n"))
     actual = F.col("label") if sequence_length else (F.col("label") >= 2).cast("int")
-    return out.join(labeled, ["community", "week_idx"]).where(F.col("label").isNotNull()).select(
+    return out.where((F.col("week_idx") >= F.col("dev_n")) & F.col("label").isNotNull()).select(
         "community", "week_idx", "pred", "prob", actual.alias("actual"))
 
 
@@ -261,7 +265,7 @@ def fit_variants(rows: DataFrame, variants: Mapping[str, Sequence[int]] | None,
     ])
     wide = rows.select("community", "y", "x", F.inline(cells)).withColumn("x", F.zip_with("x", "mask", lambda a, m: a * m))
     schema = "community string, variant string, model struct<intercept:double,coef:array<double>>"
-    return wide.select("community", "variant", "y", "x").groupBy("community", "variant").applyInPandas(_whole_fit(l2, min_rows, min_positive), schema)
+    return spread(wide.select("community", "variant", "y", "x"), "community", "variant").groupBy("community", "variant").applyInPandas(_whole_fit(l2, min_rows, min_positive), schema)
 
 
 def transfer(scored: DataFrame, features: Sequence[str], communities: Sequence[str], cuts: Sequence[float] = STATE_CUTS,

@@ -154,33 +154,37 @@ def decision_usefulness(predictions: DataFrame, k_values: Sequence[int] = K_VALU
         "persistence_recall", mathx.ratio(F.col("persistence_captured"), known))
 
 
-def lead_times(predictions: DataFrame, crisis_min: int = 1) -> DataFrame:
-    """One row per onset of an actual crisis and its number of flagged weeks just before."""
+def _onsets(predictions: DataFrame, crisis_min: int) -> tuple[DataFrame, list[str]]:
+    """``_onset`` (first week of an actual crisis) and ``lead`` (flagged weeks just before) on every row."""
     by = _by(predictions)
     order = Window.partitionBy(*by).orderBy("week_idx")
     hot = F.coalesce((F.col("actual") >= crisis_min).cast("int"), F.lit(0))
     flagged = F.coalesce((F.col("pred") >= crisis_min).cast("int"), F.lit(0))
-    marked = predictions.withColumn("_hot", hot).withColumn("_flag", flagged)
+    marked = predictions.withColumn("_hot", hot).withColumn("_flag", flagged).withColumn("_pos", F.row_number().over(order))
     # Length of the flagged run that ends at a row: rows since the last unflagged one.
-    position = F.row_number().over(order)
-    marked = marked.withColumn("_pos", position)
     last_clear = F.max(F.when(F.col("_flag") == 0, F.col("_pos"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     marked = marked.withColumn("_run", F.col("_pos") - F.coalesce(last_clear, F.lit(0)))
     onset = (F.col("_hot") == 1) & (F.coalesce(F.lag("_hot").over(order), F.lit(0)) == 0)
-    lead = F.coalesce(F.lag("_run").over(order), F.lit(0))
-    return marked.select(*by, "week_idx", onset.alias("_onset"), lead.cast("int").alias("lead")).where("_onset").drop("_onset")
+    lead = F.coalesce(F.lag("_run").over(order), F.lit(0)).cast("int")
+    return marked.select(*by, "week_idx", onset.alias("_onset"), lead.alias("lead")), by
+
+
+def lead_times(predictions: DataFrame, crisis_min: int = 1) -> DataFrame:
+    """One row per onset of an actual crisis and its number of flagged weeks just before."""
+    rows, _ = _onsets(predictions, crisis_min)
+    return rows.where("_onset").drop("_onset")
 
 
 def lead_time_summary(predictions: DataFrame, crisis_min: int = 1) -> DataFrame:
     """Onsets, mean and percentiles (linear interpolation) of the lead; no onset gives zeros."""
-    by = _by(predictions)
-    found = lead_times(predictions, crisis_min).groupBy(*by).agg(
-        F.count("*").alias("n_onsets"),
-        F.avg("lead").alias("mean"),
-        F.percentile(F.col("lead").cast("double"), F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9))).alias("_q"),
+    rows, by = _onsets(predictions, crisis_min)
+    lead = F.when(F.col("_onset"), F.col("lead").cast("double"))
+    found = rows.groupBy(*by).agg(
+        F.count(lead).alias("n_onsets"), F.avg(lead).alias("mean"),
+        F.percentile(lead, F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9))).alias("_q"),
     )
-    found = found.select(*by, "n_onsets", "mean", *[F.col("_q")[i].alias(n) for i, n in enumerate(("p50", "p75", "p90"))])
-    return predictions.select(*by).distinct().join(found, by, "left").fillna(0)
+    q = lambda i: F.coalesce(F.get("_q", F.lit(i)), F.lit(0.0))
+    return found.select(*by, "n_onsets", F.coalesce("mean", F.lit(0.0)).alias("mean"), *[q(i).alias(n) for i, n in enumerate(("p50", "p75", "p90"))])
 
 
 def reliability(predictions: DataFrame, bins: int = 10) -> DataFrame:

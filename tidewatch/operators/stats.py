@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tidewatch.functions import mathx, special
 from tidewatch.operators.monitor import long_features
 from tidewatch.operators.weekly import with_week_index
+from tidewatch.session import spread
 
 BY = ("community", "feature")
 
@@ -68,17 +69,20 @@ def train_stats(panel: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def iqr_outliers(panel: DataFrame, features: Sequence[str], factor: float = 1.5, minimum: int = 8) -> DataFrame:
-    """Weeks outside Q1 - k*IQR .. Q3 + k*IQR; short or flat features give none."""
-    long = long_features(panel, features, ("community", "week_start"))
-    p = feature_profile(panel, features).select(*BY, "q1", "q3", "n_valid")
-    iqr = F.col("q3") - F.col("q1")
-    bounds = p.where((F.col("n_valid") >= minimum) & (iqr != 0)).select(
-        *BY, (F.col("q1") - factor * iqr).alias("lower_bound"), (F.col("q3") + factor * iqr).alias("upper_bound")
-    )
+    """Weeks outside Q1 - k*IQR .. Q3 + k*IQR; short or flat features give none.
+
+    The quartiles are taken over the window of one series (a community's weeks of one
+    feature), so the rows are read and shuffled once.
+    """
+    series = Window.partitionBy(*BY)
+    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).over(series)
+    long = long_features(panel, features, ("community", "week_start")).where(F.col("value").isNotNull())
+    rows = long.withColumn("_q", q).withColumn("_n", F.count("*").over(series))
+    iqr = F.col("_q")[1] - F.col("_q")[0]
+    bounded = rows.where((F.col("_n") >= minimum) & (iqr != 0)).withColumn(
+        "lower_bound", F.col("_q")[0] - factor * iqr).withColumn("upper_bound", F.col("_q")[1] + factor * iqr)
     out = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
-    return long.join(bounds, list(BY)).where(out).withColumn(
-        "direction", F.when(F.col("value") > F.col("upper_bound"), "high").otherwise("low")
-    )
+    return bounded.where(out).withColumn("direction", F.when(F.col("value") > F.col("upper_bound"), "high").otherwise("low")).drop("_q", "_n")
 
 
 def trend(scored: DataFrame, score: str = "distress_score", flat: float = 0.1, minimum: int = 4) -> DataFrame:
@@ -251,4 +255,4 @@ def granger(scored: DataFrame, communities: Sequence[str], max_lag: int = 4, sco
     One group is one pair of weekly series, bounded by the calendar.
     """
     pairs = aligned_pairs(scored, communities, score)
-    return pairs.groupBy("source", "target").applyInPandas(_granger_group(max_lag), GRANGER_SCHEMA)
+    return spread(pairs, "source", "target").groupBy("source", "target").applyInPandas(_granger_group(max_lag), GRANGER_SCHEMA)

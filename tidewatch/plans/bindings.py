@@ -217,7 +217,7 @@ binary_predictions AS (
   FROM predictions),
 evaluated AS (SELECT * FROM binary_predictions WHERE pred IS NOT NULL AND prob IS NOT NULL AND actual IS NOT NULL)"""
 
-SPACE = r"[\s\x0B\x85\p{Z}]+"
+SPACE = r"[\s\x0B\x1c-\x1f\x85\p{Z}]+"
 
 DOCUMENTS = r"""posts AS (
   SELECT 'd' || doc_id AS post_id, lang AS community, TIMESTAMP '2018-01-01' + to_days(CAST((doc_id * 37) % 364 AS INTEGER)) + to_hours(doc_id % 24) AS ts,

@@ -92,7 +92,7 @@ def date_range(spark, sf):
     return clean.between_dates(e, "2024-01-08", "2024-01-15").agg(F.count("*").alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
 
 
-URL_SQL = r"(?i)https?://[^\s\x0B\x85\p{Z}]+|www\.[^\s\x0B\x85\p{Z}]+"
+URL_SQL = r"(?i)https?://[^\s\x0B\x1c-\x1f\x85\p{Z}]+|www\.[^\s\x0B\x1c-\x1f\x85\p{Z}]+"
 MAIL_SQL = r"(?i)[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
 

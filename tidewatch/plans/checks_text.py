@@ -11,7 +11,7 @@ from tidewatch.plans import jobs
 from tidewatch.plans.registry import query, shown
 from tidewatch.schemas import PER_POST_FAMILIES, PER_WORD_FAMILIES
 
-WORDCHAR = r"\pL\pN_\pM"
+WORDCHAR = r"\pL\pN_"
 
 
 def term_count_sql(term: str) -> str:
@@ -166,7 +166,7 @@ def topic_shift_jsd(spark, sf):
 @query("token_stats", "WITH " + b.DOCUMENTS + """ SELECT post_id, len(tok) AS n_tokens, len(list_distinct(tok)) AS n_distinct, list_max([length(x) for x in tok]) AS longest,
   len([x for x in tok if x = 'the']) AS n_the FROM tokened""")
 def token_stats(spark, sf):
-    t = b.clean_documents(spark, sf).withColumn("tok", text.tokens(F.col("clean_text")))
+    t = b.clean_documents(spark, sf).withColumn("tok", text.tokens(F.col("clean_text"), tidy=True))
     return shown(t.select("post_id", F.size("tok").alias("n_tokens"), F.size(F.array_distinct("tok")).alias("n_distinct"),
                           F.array_max(F.transform("tok", F.length)).alias("longest"), F.size(F.filter("tok", lambda x: x == "the")).alias("n_the")))
 

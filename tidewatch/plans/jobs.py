@@ -33,10 +33,9 @@ def feature_panel(
     Sentiment columns (pos, neg, neu, compound) are computed from ``valence`` unless the
     posts already carry them.  Without topics the topic block is three zero columns.
     """
-    rows = clean_rows
-    if "compound" not in rows.columns:
-        rows = features.sentiment_inline(rows, valence or {}, negators)
-    panel = features.weekly_features(features.post_metrics(rows, lexicons))
+    given = "compound" in clean_rows.columns
+    metrics_rows = features.post_metrics(clean_rows, lexicons, valence=None if given else valence or {}, negators=negators)
+    panel = features.weekly_features(metrics_rows)
     if topic_column:
         panel = topics.attach_topics(panel, topics.topic_features(topics.topic_counts(clean_rows, topic_column)))
     else:

@@ -41,3 +41,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidewatch-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition small rows that are expensive to work on.
+
+    Adaptive execution sizes partitions by bytes and would put a whole panel into one
+    task; a given number of partitions is kept as it is, and a grouped fit on the same
+    keys needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
