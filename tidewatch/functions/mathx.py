@@ -55,7 +55,8 @@ def sigmoid(z: Column) -> Column:
 
 
 def clip01(p: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
+    """Into 0..1; null stays null (``least`` and ``greatest`` skip nulls)."""
+    return F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
 
 
 def clamp(index: Column, n: Column) -> Column:
@@ -71,7 +72,8 @@ def interpolate(x: Column, xs: Column, ys: Column) -> Column:
     lo = F.greatest(F.lit(1), F.least(below, n - 1))
     x0, x1 = F.element_at(xs, lo), F.element_at(xs, lo + 1)
     y0, y1 = F.element_at(ys, lo), F.element_at(ys, lo + 1)
-    return F.when(x1 > x0, y0 + (y1 - y0) * (v - x0) / (x1 - x0)).otherwise(y1)
+    inside = F.when(x1 > x0, y0 + (y1 - y0) * (v - x0) / (x1 - x0)).otherwise(y1)
+    return F.when(x.isNotNull(), inside)
 
 
 def pct_delta(value: Column, baseline: Column, digits: int = 1) -> Column:

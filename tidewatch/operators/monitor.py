@@ -10,6 +10,9 @@ from tidewatch.functions import mathx
 from tidewatch.schemas import DRIFT_SIGNALS, LEVEL_CUTS, LEVEL_NAMES
 
 
+Z_DIGITS = 9
+
+
 def name_of(value: Column, names: dict[int, str], default: Column | None = None) -> Column:
     table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     found = F.element_at(table, value.cast("int"))
@@ -41,11 +44,12 @@ def drift(panel: DataFrame, signals: Sequence[str] = DRIFT_SIGNALS, baseline_wee
         v = F.col(s).cast("double")
         zs[s] = mathx.zscore(v, F.avg(v).over(past), F.stddev_samp(v).over(past))
     scored = panel.select("community", "week_start", *[F.coalesce(z, F.lit(0.0)).alias(f"z_{s}") for s, z in zs.items()])
-    size = [F.abs(F.col(f"z_{s}")) for s in used]
-    top = F.greatest(*size) if len(size) > 1 else size[0]
+    # Sizes are compared at nine digits, so that sums added in another order cannot turn a tie or a cut.
+    size = {s: F.round(F.abs(F.col(f"z_{s}")), Z_DIGITS) for s in used}
+    top = F.greatest(*size.values()) if len(size) > 1 else size[used[0]]
     leveled = scored.withColumn("aggregate_level", mathx.bucket(top, LEVEL_CUTS))
     return leveled.withColumn("alert_level_name", name_of(F.col("aggregate_level"), LEVEL_NAMES)).withColumn(
-        "dominant_signal", strongest(used, lambda s: F.abs(F.col(f"z_{s}")))
+        "dominant_signal", strongest(used, size.get)
     )
 
 

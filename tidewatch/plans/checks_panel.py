@@ -14,12 +14,15 @@ FIRST, LAST = "1995-01-01", "2001-09-01"
 @query("weekly_panel", "WITH " + b.PANEL + """,
 comments AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS week_start, lower(trim(o_orderpriority)) AS community, count(*) AS n
              FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
-SELECT p.community, iso_year, iso_week, p.week_start, CAST(post_volume AS BIGINT) AS post_count, round(avg_score, 4) AS avg_score,
+SELECT p.community, iso_year, iso_week, p.week_start, CAST(post_volume AS BIGINT) AS post_count, CAST(round(avg_score * post_volume * 100) AS BIGINT) AS score_cents,
        CAST(coalesce(c.n, 0) AS DOUBLE) AS total_comments, CAST(unique_posters AS BIGINT) AS unique_authors,
        round(new_poster_ratio, 4) AS new_author_ratio, is_missing_week
 FROM panel p LEFT JOIN comments c USING (community, week_start)""")
 def weekly_panel(spark, sf):
-    return shown(weekly.weekly_panel(b.order_posts(spark, sf, comments=True)).drop("hour_counts"), 4)
+    # Mean prices end on rounding ties; whole cents compare exactly.
+    cents = F.round(F.col("avg_score") * F.col("post_count") * 100).cast("long")
+    p = weekly.weekly_panel(b.order_posts(spark, sf, comments=True))
+    return shown(p.withColumn("score_cents", cents).drop("hour_counts", "avg_score"), 4)
 
 
 @query("weekly_gap_fill", "WITH " + b.PANEL + """
@@ -255,8 +258,8 @@ def _drift_z(c: str) -> str:
 
 
 DRIFT = b.PANEL + ", z AS (SELECT community, week_start, " + ", ".join(_drift_z(c) for c in b.SIGNALS) + " FROM panel), top AS (SELECT *, greatest(" + ", ".join(
-    f"abs(z_{c})" for c in b.SIGNALS) + ") AS m FROM z), drift AS (SELECT *, CASE WHEN m >= 3 THEN 3 WHEN m >= 2 THEN 2 WHEN m >= 1 THEN 1 ELSE 0 END AS aggregate_level, CASE " + " ".join(
-    f"WHEN abs(z_{c}) = m THEN '{c}'" for c in b.SIGNALS) + " END AS dominant_signal FROM top)"
+    f"round(abs(z_{c}), 9)" for c in b.SIGNALS) + ") AS m FROM z), drift AS (SELECT *, CASE WHEN m >= 3 THEN 3 WHEN m >= 2 THEN 2 WHEN m >= 1 THEN 1 ELSE 0 END AS aggregate_level, CASE " + " ".join(
+    f"WHEN round(abs(z_{c}), 9) = m THEN '{c}'" for c in b.SIGNALS) + " END AS dominant_signal FROM top)"
 
 
 @query("drift_levels", "WITH " + DRIFT + " SELECT community, week_start, " + ", ".join(f"round(z_{c}, 5) + 0.0 AS z_{c}" for c in b.SIGNALS) + """,

@@ -242,7 +242,7 @@ def _z12(c: str) -> str:
     return f"abs(coalesce(CASE WHEN stddev_samp({c}) OVER {w} > 1e-12 THEN ({c} - avg({c}) OVER {w}) / stddev_samp({c}) OVER {w} ELSE 0 END, 0))"
 
 
-@query("text_drift", "WITH " + WEEKLY_TEXT + ", m AS (SELECT community, week_start, greatest(" + ", ".join(_z12(c) for c in TEXT_SIGNALS) + ") AS m FROM panel) SELECT community, week_start, CAST(CASE WHEN m >= 3 THEN 3 WHEN m >= 2 THEN 2 WHEN m >= 1 THEN 1 ELSE 0 END AS BIGINT) AS aggregate_level FROM m")
+@query("text_drift", "WITH " + WEEKLY_TEXT + ", m AS (SELECT community, week_start, round(greatest(" + ", ".join(_z12(c) for c in TEXT_SIGNALS) + "), 9) AS m FROM panel) SELECT community, week_start, CAST(CASE WHEN m >= 3 THEN 3 WHEN m >= 2 THEN 2 WHEN m >= 1 THEN 1 ELSE 0 END AS BIGINT) AS aggregate_level FROM m")
 def text_drift(spark, sf):
     return shown(monitor.drift(_document_panel(spark, sf), TEXT_SIGNALS).select("community", "week_start", "aggregate_level"))
 

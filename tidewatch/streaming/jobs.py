@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidewatch.functions import dates
 from tidewatch.functions.mathx import FLAT_STD
 from tidewatch.operators import weekly
+from tidewatch.operators.monitor import Z_DIGITS
 from tidewatch.schemas import LEVEL_CUTS, LEVEL_NAMES
 from tidewatch.sources import ledger
 
@@ -53,8 +54,9 @@ def _drift_step(signals: Sequence[str], baseline: int):
                 hist = np.vstack(past)
                 std = hist.std(axis=0, ddof=1)
                 z = np.where(std > FLAT_STD, (now - hist.mean(axis=0)) / np.where(std > FLAT_STD, std, 1.0), 0.0)
-            level = int(sum(np.abs(z).max() >= c for c in LEVEL_CUTS))
-            out.append((key[0], r.week_start, *z.tolist(), level, LEVEL_NAMES[level], signals[int(np.argmax(np.abs(z)))]))
+            size = np.round(np.abs(z), Z_DIGITS)
+            level = int(sum(size.max() >= c for c in LEVEL_CUTS))
+            out.append((key[0], r.week_start, *z.tolist(), level, LEVEL_NAMES[level], signals[int(np.argmax(size))]))
             past = (past + [now])[-baseline:]
         state.update(([p.tolist() for p in past],))
         names = ["community", "week_start", *[f"z_{s}" for s in signals], "aggregate_level", "alert_level_name", "dominant_signal"]
