@@ -106,7 +106,7 @@ def test_manifest_detects_change(spark, tmp_path):
     p = write(f"{tmp_path}/in/a.txt", "one")
     write(f"{tmp_path}/in/b.txt", "two")
     ledger.rewrite(ledger.file_manifest(spark, f"{tmp_path}/in"), f"{tmp_path}/manifest")
-    known = spark.read.parquet(f"{tmp_path}/manifest")
+    known = ledger.load_table(spark, f"{tmp_path}/manifest")
     assert ledger.changed_files(ledger.file_manifest(spark, f"{tmp_path}/in"), known).count() == 0
     write(p, "changed")
     assert ledger.changed_files(ledger.file_manifest(spark, f"{tmp_path}/in"), known).count() == 1
@@ -127,8 +127,8 @@ def test_upsert_keeps_one_row_and_latest(spark, tmp_path):
     new = lambda ts: spark.createDataFrame([("a", "2024-01-01", "s", ts)], "community string, week string, source string, at string")
     keys = ["community", "week", "source"]
     ledger.rewrite(ledger.upsert(None, new("1"), keys, "at"), f"{tmp_path}/p")
-    ledger.rewrite(ledger.upsert(ledger.load_artifact(spark, f"{tmp_path}/p"), new("2"), keys, "at"), f"{tmp_path}/p")
-    assert rows(spark.read.parquet(f"{tmp_path}/p")) == [("a", "2024-01-01", "s", "2")]
+    ledger.rewrite(ledger.upsert(ledger.load_table(spark, f"{tmp_path}/p"), new("2"), keys, "at"), f"{tmp_path}/p")
+    assert rows(ledger.load_table(spark, f"{tmp_path}/p")) == [("a", "2024-01-01", "s", "2")]
 
 
 def test_lexicon_and_legacy_briefs(spark, tmp_path):
@@ -159,3 +159,42 @@ def test_export_latest(spark, tmp_path):
     df = spark.range(30).select(F.col("id").alias("timestamp"))
     ledger.export_latest(df, f"{tmp_path}/x", 10)
     assert sorted(r[0] for r in spark.read.json(f"{tmp_path}/x").collect()) == list(range(20, 30))
+
+
+def test_rewrite_survives_a_lost_writer(spark, tmp_path):
+    t = f"{tmp_path}/t"
+    for i in range(3):
+        old = ledger.load_table(spark, t)
+        new = spark.createDataFrame([(i,)], "x int")
+        ledger.rewrite(new if old is None else old.unionByName(new), t)
+    assert rows(ledger.load_table(spark, t)) == [(0,), (1,), (2,)]
+    fail = ledger.load_table(spark, t).select(F.raise_error(F.lit("executor lost")).cast("int").alias("x"))
+    with pytest.raises(Exception, match="executor lost"):
+        ledger.rewrite(fail, t)
+    assert rows(ledger.load_table(spark, t)) == [(0,), (1,), (2,)]
+
+
+def test_recent_falls_back_to_export(spark, tmp_path):
+    df = spark.range(5).select(F.col("id").alias("timestamp"))
+    assert ledger.recent_or(spark, f"{tmp_path}/log", f"{tmp_path}/json") is None
+    df.write.json(f"{tmp_path}/json")
+    assert [r[0] for r in ledger.recent_or(spark, f"{tmp_path}/log", f"{tmp_path}/json", 2).collect()] == [4, 3]
+    ledger.append(df.where("timestamp < 2"), f"{tmp_path}/log")
+    assert ledger.recent_or(spark, f"{tmp_path}/log", f"{tmp_path}/json").count() == 2
+
+
+def test_inserted_rows(spark):
+    before = spark.createDataFrame([("a",), ("a",)], "community string")
+    after = spark.createDataFrame([("a",), ("a",), ("a",), ("b",)], "community string")
+    assert rows(ledger.inserted_rows(before, after)) == [("a", 1), ("b", 1)]
+
+
+def test_nested_results(spark, tmp_path):
+    write(f"{tmp_path}/r.json", json.dumps({
+        "lonely": {"xgb": {"recall": 0.5, "per_week": {"predictions": [float("nan"), 1.0], "probabilities": [float("nan"), 0.7], "actuals": [0.0, 1.0]}},
+                   "lstm": {"recall": 0.25, "per_week": {"predictions": [2.0], "probabilities": [0.4], "actuals": [3.0]}}},
+        "anxiety": {"xgb": {"error": "Too few valid predictions"}}}))
+    res = files.read_results(spark, f"{tmp_path}/r.json")
+    assert rows(res, "community", "model", "recall") == [("anxiety", "tabular", None), ("lonely", "sequence", 0.25), ("lonely", "tabular", 0.5)]
+    long = files.result_series(res)
+    assert rows(long) == [("lonely", "sequence", 0, 2.0, 0.4, 3.0), ("lonely", "tabular", 0, None, None, 0.0), ("lonely", "tabular", 1, 1.0, 0.7, 1.0)]

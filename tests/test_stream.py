@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tidewatch.operators import monitor, weekly
+from tidewatch.sources import ledger
 from tidewatch.streaming import jobs
 
 
@@ -68,4 +69,4 @@ def test_upsert_sink_is_idempotent(spark, tmp_path):
     write = jobs.upsert_sink(f"{tmp_path}/t", ["k"], "at")
     write(df, 0)
     write(df, 0)
-    assert rows(spark.read.parquet(f"{tmp_path}/t")) == [("a", 2), ("b", 1)]
+    assert rows(ledger.load_table(spark, f"{tmp_path}/t")) == [("a", 2), ("b", 1)]

@@ -375,6 +375,36 @@ def recall_table(usefulness: DataFrame) -> DataFrame:
     return usefulness.select(*_by(usefulness), "k", "captured", "total_positives", "recall", "random_recall", "persistence_recall")
 
 
+_PACK = "map<string,struct<captured:bigint,total_positives:bigint,recall:double>>"
+USEFULNESS = f"struct<model:{_PACK},random_expected_recall:map<string,double>,persistence:{_PACK}>"
+
+
+def usefulness_json(usefulness: DataFrame) -> DataFrame:
+    """One nested JSON text per community and model, keyed by K (the stored report form)."""
+    by = _by(usefulness)
+    key = F.col("k").cast("string")
+    entries = lambda *cols: F.map_from_entries(F.sort_array(F.collect_list(F.struct(key.alias("k"), F.struct(*cols).alias("v")))))
+    packed = usefulness.groupBy(*by).agg(
+        entries("captured", "total_positives", "recall").alias("model_recall"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(key.alias("k"), F.col("random_recall").alias("v"))))).alias("random"),
+        entries(F.col("persistence_captured").alias("captured"), "total_positives", F.col("persistence_recall").alias("recall")).alias("persistence"),
+    )
+    body = F.struct(F.col("model_recall").alias("model"), F.col("random").alias("random_expected_recall"), "persistence")
+    return packed.select(*by, F.to_json(body).alias("usefulness"))
+
+
+def recall_table_from_json(reports: DataFrame, column: str = "usefulness") -> DataFrame:
+    """Nested Recall@K reports to rows (one per K), the three metric maps joined on K."""
+    by = _by(reports)
+    j = F.from_json(F.col(column), USEFULNESS)
+    rows = reports.select(*by, j.alias("j")).select(*by, "j", F.explode("j.model").alias("key", "m"))
+    persistence = F.element_at("j.persistence", F.col("key"))
+    return rows.select(
+        *by, F.col("key").cast("int").alias("k"), "m.captured", "m.total_positives", "m.recall",
+        F.element_at("j.random_expected_recall", F.col("key")).alias("random_recall"), persistence["recall"].alias("persistence_recall"),
+    )
+
+
 def monitoring_only(metrics: DataFrame, minimum: int = 10) -> DataFrame:
     return metrics.select(*_by(metrics), "n_crisis_actual", (F.col("n_crisis_actual") < minimum).alias("monitoring_only"))
 

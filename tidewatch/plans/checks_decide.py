@@ -241,10 +241,11 @@ def label_agreement(spark, sf):
     return shown(narrate.label_agreement(d, second, ["doc_id"]))
 
 
-@query("audit_sample")
+@query("audit_sample", "WITH " + b.STATES + " SELECT community, least(count(*), 10) AS n_sampled, CAST(0 AS BIGINT) AS n_unlabelled FROM states WHERE label IS NOT NULL GROUP BY community")
 def audit_sample(spark, sf):
-    """Seeded sample of labelled weeks (its draw has no SQL twin)."""
-    return shown(narrate.sample_labelled(b.state_panel(spark, sf).select("community", "week_start", "label")))
+    """Seeded sample of labelled weeks: its size and that it holds labelled weeks only."""
+    s = narrate.sample_labelled(b.state_panel(spark, sf).select("community", "week_start", "label"))
+    return s.groupBy("community").agg(F.count("*").alias("n_sampled"), F.count_if(F.col("label").isNull()).alias("n_unlabelled"))
 
 
 @query("audit_prompts", """WITH c AS (SELECT conv_id, string_agg('Post ' || r || ': ' || text, chr(10) || chr(10) ORDER BY r) AS body FROM (

@@ -80,7 +80,8 @@ def decision_usefulness(spark, sf):
 @query("recall_table", P + TOPK + f""" SELECT community, model, k, captured, total_positives, {_r('captured', 'total_positives')} AS recall,
   round(CASE WHEN total_positives > 0 THEN least(k, n_weeks)::DOUBLE / n_weeks ELSE 0 END, 6) AS random_recall, {_r('persistence_captured', 'total_positives')} AS persistence_recall FROM topk""")
 def recall_table(spark, sf):
-    return shown(metrics.recall_table(metrics.decision_usefulness(b.binary_predictions(spark, sf))))
+    reports = metrics.usefulness_json(metrics.decision_usefulness(b.binary_predictions(spark, sf)))
+    return shown(metrics.recall_table_from_json(reports))
 
 
 LEAD = """, flags AS (SELECT *, coalesce(CASE WHEN actual >= 1 THEN 1 ELSE 0 END, 0) AS hot, coalesce(CASE WHEN pred >= 1 THEN 1 ELSE 0 END, 0) AS flag FROM binary_predictions),

@@ -12,6 +12,7 @@ from tidewatch.operators import monitor, weekly
 from tidewatch.plans import bindings as b
 from tidewatch.plans.checks_panel import DRIFT
 from tidewatch.plans.registry import query, shown
+from tidewatch.sources import ledger
 from tidewatch.streaming import jobs
 
 
@@ -61,7 +62,7 @@ def unique_post_stream(spark, sf):
 def provenance_stream(spark, sf):
     o = _stream(spark, sf, "orders").select(F.col("o_orderstatus").alias("source"), F.col("o_orderdate").alias("logged_at"))
     path = _run(spark, o, lambda folder: jobs.upsert_sink(f"{folder}/table", ["source"], "logged_at"), "table")
-    return spark.read.parquet(path).select("source", "logged_at")
+    return ledger.load_table(spark, path).select("source", "logged_at")
 
 
 def _panel_stream(spark, sf):
@@ -91,4 +92,4 @@ def panel_drift_stream(spark, sf):
     """The foreachBatch form: panel table kept up to date, drift recomputed from it."""
     panel = _panel_stream(spark, sf)
     path = _run(spark, panel, lambda folder: jobs.panel_update_sink(f"{folder}/panel", f"{folder}/drift", lambda p: monitor.drift(p, b.SIGNALS)), "drift")
-    return shown(spark.read.parquet(path).select("community", "week_start", "aggregate_level", "dominant_signal"))
+    return shown(ledger.load_table(spark, path).select("community", "week_start", "aggregate_level", "dominant_signal"))

@@ -255,9 +255,9 @@ def text_score(spark, sf):
     return shown(scoring.composite_score(_document_panel(spark, sf), normalize=False).select("community", "week_start", "distress_score"), 5)
 
 
-@query("weekly_cap")
+@query("weekly_cap", "WITH " + b.DOCUMENTS + " SELECT community, week_start, least(count(*), 5) AS n_posts FROM cleaned GROUP BY ALL")
 def weekly_cap(spark, sf):
-    """Sampling operator (its draw has no SQL twin): at most 5 posts per community and week."""
+    """Sampling operator: at most 5 posts per community and week (the draw itself is checked by tests)."""
     s = topics.cap_per_week(b.clean_documents(spark, sf), 5)
     return weekly.with_week(s).groupBy("community", "week_start").agg(F.count("*").alias("n_posts"))
 

@@ -258,3 +258,27 @@ def read_prediction_log(spark: SparkSession, path: str) -> DataFrame:
     )
     df = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     return df.where(F.col("_bad").isNull()).drop("_bad")
+
+
+# Model names of stored results.
+MODEL_KEYS = {"xgb": "tabular", "lstm": "sequence", "ensemble": "ensemble"}
+_SERIES = "struct<predictions:array<double>,probabilities:array<double>,actuals:array<double>>"
+_RESULT = f"struct<error:string,recall:double,precision:double,f1:double,pr_auc:double,roc_auc:double,n_crisis_actual:int,per_week:{_SERIES}>"
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Stored evaluation results ({community: {model: {...}}}) as one row per community and model."""
+    whole = spark.read.option("wholetext", "true").text(path)
+    parsed = F.from_json("value", f"map<string,map<string,{_RESULT}>>", {"allowNonNumericNumbers": "true"})
+    per_community = whole.select(F.explode(parsed).alias("community", "models"))
+    names = F.create_map(*[F.lit(x) for kv in MODEL_KEYS.items() for x in kv])
+    rows = per_community.select("community", F.explode("models").alias("key", "r"))
+    return rows.select("community", F.coalesce(F.element_at(names, F.col("key")), F.col("key")).alias("model"), "r.*")
+
+
+def result_series(results: DataFrame) -> DataFrame:
+    """Weekly series of stored results in long form, NaN as null."""
+    from tidewatch.operators.metrics import explode_arrays
+
+    arrays = results.where(F.col("per_week").isNotNull()).select("community", "model", "per_week.*")
+    return explode_arrays(arrays)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch.sources.files import load_artifact
@@ -54,7 +55,7 @@ def fingerprint(manifest: DataFrame, config_json: str) -> DataFrame:
 
 def is_current(spark: SparkSession, stored: str, now: DataFrame) -> bool:
     """Does the stored fingerprint table equal the one just computed (two single rows)."""
-    old = load_artifact(spark, stored)
+    old = load_table(spark, stored)
     return old is not None and old.select("fingerprint").first() == now.select("fingerprint").first()
 
 
@@ -70,15 +71,51 @@ def export_latest(log: DataFrame, path: str, n: int = 1000, clock: str = "timest
     log.orderBy(F.desc(clock)).limit(n).write.mode("overwrite").json(path)
 
 
+def _slots(spark: SparkSession, path: str) -> list[tuple[int, str, DataFrame | None]]:
+    """(version, folder, rows) of the two copies of a table, the current one first."""
+    found = []
+    for name in ("even", "odd"):
+        folder = f"{path.rstrip('/')}/{name}"
+        df = load_artifact(spark, folder)
+        version = df.agg(F.max("_version")).first()[0] if df is not None else None
+        found.append((version or 0, folder, df if version else None))
+    return sorted(found, key=lambda x: -x[0])
+
+
+def load_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """Current copy of a table kept by ``rewrite``; None when there is none."""
+    _, _, df = _slots(spark, path)[0]
+    return df.drop("_version") if df is not None else None
+
+
 def rewrite(df: DataFrame, path: str) -> None:
     """Replace a small table by its next version.
 
-    The next version is written beside the old one first, so the read of the old files
-    has ended before they are replaced and a lost executor cannot lose both.
+    A table lives in two folders.  The next version goes into the older one, so the
+    current copy stays readable while it is written (``df`` may be computed from it)
+    and a job that is lost half way leaves it untouched.
     """
-    staged = path.rstrip("/") + "_next"
-    df.write.mode("overwrite").parquet(staged)
-    df.sparkSession.read.parquet(staged).write.mode("overwrite").parquet(path)
+    (version, _, _), (_, older, _) = _slots(df.sparkSession, path)
+    df.withColumn("_version", F.lit(version + 1)).write.mode("overwrite").parquet(older)
+
+
+def recent_or(spark: SparkSession, path: str, fallback: str, n: int = 20, clock: str = "timestamp") -> DataFrame | None:
+    """Latest n transitions of the log table, else of its JSON export, else None."""
+    log = load_artifact(spark, path)
+    if log is None:
+        try:
+            log = spark.read.json(fallback)
+        except AnalysisException:
+            return None
+    return log.orderBy(F.desc(clock)).limit(n)
+
+
+def inserted_rows(before: DataFrame, after: DataFrame, by: str = "community") -> DataFrame:
+    """Rows a gap fill really added: rows after de-duplication minus rows before."""
+    a = before.groupBy(by).agg(F.count("*").alias("_a"))
+    b = after.groupBy(by).agg(F.count("*").alias("_b"))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return b.join(a, by, "full").select(by, (n(F.col("_b")) - n(F.col("_a"))).alias("inserted_rows"))
 
 
 def flatten_profile(profile: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def upsert_sink(path: str, keys: Sequence[str], clock: str):
     """foreachBatch writer that keeps one row per key, latest clock; replays change nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        old = ledger.load_artifact(batch.sparkSession, path)
+        old = ledger.load_table(batch.sparkSession, path)
         ledger.rewrite(ledger.upsert(old, batch, keys, clock), path)
 
     return write
@@ -110,9 +110,9 @@ def panel_update_sink(panel_path: str, out_path: str, operator):
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        old = ledger.load_artifact(batch.sparkSession, panel_path)
+        old = ledger.load_table(batch.sparkSession, panel_path)
         ledger.rewrite(ledger.upsert(old, batch.withColumn("_at", F.current_timestamp()), ["community", "week_start"], "_at"), panel_path)
-        operator(batch.sparkSession.read.parquet(panel_path)).write.mode("overwrite").parquet(out_path)
+        ledger.rewrite(operator(ledger.load_table(batch.sparkSession, panel_path)), out_path)
 
     return write
 
