@@ -136,4 +136,5 @@ def test_evaluate_job(scored):
     out = jobs.evaluate(scored, COLS, {"f2": 1.0}, sequence_length=3)
     m = {r["model"] for r in out["metrics"].collect()}
     assert m == {"tabular", "sequence", "ensemble"}
+    assert out["lead_time"].count() == 6
     assert out["diagnostics"].count() == 2 and out["usefulness"].count() == 2 * 3 * 4

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions import fits, mathx
@@ -314,10 +315,10 @@ def ablation(scored: DataFrame, features: Sequence[str], families: Mapping[str,
     models = fit_variants(rows, variants, len(features), l2, 15, 2)
     p = rows.join(models, "community").withColumn("prob", serve.linear_probability(F.col("x"), F.col("model"))).select(
         "community", F.col("variant").alias("model"), "week_idx", "prob", (F.col("prob") >= 0.5).cast("int").alias("pred"), F.col("y").alias("actual"))
-    areas = metrics.average_precision(p)
-    full = areas.where(F.col("model") == "full").select("community", F.col("pr_auc").alias("full_pr_auc"))
+    whole = F.max(F.when(F.col("model") == "full", F.col("pr_auc"))).over(Window.partitionBy("community"))
+    areas = metrics.average_precision(p).withColumn("full_pr_auc", whole)
     removed = F.create_map(*[F.lit(x) for k, v in groups.items() for x in (k, len([c for c in v if c in pos]))])
-    return areas.where(F.col("model") != "full").join(full, "community").select(
+    return areas.where((F.col("model") != "full") & F.col("full_pr_auc").isNotNull()).select(
         "community", F.col("model").alias("family"), "pr_auc", "full_pr_auc",
         (F.col("full_pr_auc") - F.col("pr_auc")).alias("pr_auc_drop"), F.element_at(removed, F.col("model")).alias("n_features_removed"),
     )
@@ -399,20 +400,25 @@ def fit_topics(posts: DataFrame, k: int = 15, vocabulary: int = 20_000, min_docs
 
     Online LDA keeps only the k x vocabulary matrix and walks the posts in mini-batches.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
 
-    usable = posts.where(F.length("clean_text") > 10)
+    usable = posts.where(F.length("clean_text") > 10).select("clean_text")
     if usable.limit(2 * min_topic_size).count() < 2 * min_topic_size:
         return None
-    steps = [
+    words = Pipeline(stages=[
         RegexTokenizer(inputCol="clean_text", outputCol="_words", pattern=r"(?U)\W+", minTokenLength=2),
         StopWordsRemover(inputCol="_words", outputCol="_kept"),
         CountVectorizer(inputCol="_kept", outputCol="features", vocabSize=vocabulary, minDF=min_docs),
-        LDA(k=k, maxIter=rounds, seed=seed, optimizer="online", featuresCol="features"),
-    ]
-    return Pipeline(stages=steps).fit(usable)
+    ]).fit(usable)
+    # Every round of the fit reads the word counts, not the texts.
+    counts = words.transform(usable).select("features").persist(StorageLevel.DISK_ONLY)
+    try:
+        topics = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online", featuresCol="features").fit(counts)
+    finally:
+        counts.unpersist()
+    return PipelineModel(stages=[*words.stages, topics])
 
 
 def assign_topics(posts: DataFrame, model) -> DataFrame:

@@ -246,15 +246,13 @@ def error_timeline(predictions: DataFrame) -> DataFrame:
 
 
 def confusion_4class(predictions: DataFrame) -> DataFrame:
-    """All 16 (actual, predicted) cells per community and model."""
+    """All 16 (actual, predicted) cells per community and model, from one aggregate."""
     by = _by(predictions)
-    cells = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(
-        F.floor(i / 4).cast("int").alias("actual"), F.pmod(i, F.lit(4)).cast("int").alias("pred")))
-    seen = evaluated(predictions).groupBy(*by, F.col("actual").cast("int").alias("actual"), F.col("pred").cast("int").alias("pred")).agg(
-        F.count("*").alias("n")
-    )
-    spine = seen.select(*by).distinct().select(*by, F.inline(cells))
-    return spine.join(seen, [*by, "actual", "pred"], "left").fillna(0, ["n"])
+    cells = [(a, p) for a in range(4) for p in range(4)]
+    counts = evaluated(predictions).groupBy(*by).agg(
+        *[F.count_if((F.col("actual") == a) & (F.col("pred") == p)).alias(f"_{a}{p}") for a, p in cells])
+    rows = F.array(*[F.struct(F.lit(a).alias("actual"), F.lit(p).alias("pred"), F.col(f"_{a}{p}").alias("n")) for a, p in cells])
+    return counts.select(*by, F.inline(rows))
 
 
 def per_class(predictions: DataFrame) -> DataFrame:
@@ -333,17 +331,19 @@ def average_metrics(metrics: DataFrame, names: Sequence[str] = ("recall", "preci
     return metrics.groupBy("community").agg(*[F.avg(n).alias(n) for n in names])
 
 
+def _by_model(models: Sequence[str], names: Sequence[str]) -> list[Column]:
+    return [F.max(F.when(F.col("model") == m, F.col(n))).alias(f"{m}_{n}") for m in models for n in names]
+
+
 def compare_models(metrics: DataFrame, models: Sequence[str], names: Sequence[str] = ("recall", "precision", "f1", "pr_auc", "roc_auc")) -> DataFrame:
     """One row per community, one column per model and metric."""
-    return metrics.groupBy("community").agg(*[
-        F.max(F.when(F.col("model") == m, F.col(n))).alias(f"{m}_{n}") for m in models for n in names
-    ])
+    return metrics.groupBy("community").agg(*_by_model(models, names))
 
 
 def section_summary(metrics: DataFrame, models: Sequence[str], support: int = 10) -> DataFrame:
-    wide = compare_models(metrics, models, ("pr_auc", "recall"))
-    alerts = metrics.groupBy("community").agg(F.count_if(F.col("n_crisis_actual") < support).alias("alerts"))
-    return wide.join(alerts, "community")
+    """PR-AUC and recall side by side and the number of models with too little support."""
+    alerts = F.count_if(F.col("n_crisis_actual") < support).alias("alerts")
+    return metrics.groupBy("community").agg(*_by_model(models, ("pr_auc", "recall")), alerts)
 
 
 def performance_bands(metrics: DataFrame, tabular: str, sequence: str, high: float = 0.45, low: float = 0.20) -> DataFrame:

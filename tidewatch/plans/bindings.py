@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tidewatch.functions import mathx
 from tidewatch.operators import clean, features, scoring, weekly
 from tidewatch.schemas import PANEL_KEYS
+from tidewatch.session import cut_lineage
 
 # Signals of the order panel and their weights in the composite score.
 WEIGHTS = {"avg_negative": 0.25, "hopelessness_density": 0.20, "help_seeking_density": 0.15, "isolation_density": 0.10,
@@ -73,12 +74,24 @@ def state_panel(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.fit_states(scored_panel(spark, sf), CUTS)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A panel, prediction table or model table that a query reads more than once.
+
+    It is computed from the posts once and kept as a reliable checkpoint: these tables
+    are small, the scan behind them is not.
+    """
+    return cut_lineage(df)
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    return predictions_of(state_panel(spark, sf))
+
+
+def predictions_of(s: DataFrame) -> DataFrame:
     """Two deterministic "models" in long form: a binary one and a 4-class one.
 
     Probabilities are exact ratios of weekly counts, so both engines rank alike.
     """
-    s = state_panel(spark, sf)
     whole = Window.partitionBy("community")
     rows = s.select(
         "community", "week_start", "week_idx", "label",

@@ -21,7 +21,7 @@ ALLOCATION = LATEST + ", allocation AS (SELECT *, " + HOURS.format(b="10.0::DOUB
 
 
 def _latest(spark, sf):
-    return decide.with_effectiveness(decide.latest_known(b.predictions(spark, sf).where("model = 'sequence'")), EFFECT)
+    return b.stored(decide.with_effectiveness(decide.latest_known(b.predictions(spark, sf).where("model = 'sequence'")), EFFECT))
 
 
 @query("allocation", P + ALLOCATION + " SELECT * FROM allocation")
@@ -149,8 +149,8 @@ ctx AS (SELECT community, week_start, week_idx, iso_year || '-W' || lpad(CAST(is
 
 
 def _context(spark, sf):
-    p = b.predictions(spark, sf).where("model = 'sequence'")
-    return narrate.brief_context(b.state_panel(spark, sf), p, RANKED)
+    s = b.stored(b.state_panel(spark, sf))
+    return narrate.brief_context(s, b.predictions_of(s).where("model = 'sequence'"), RANKED)
 
 
 @query("brief_context", P + CTX + " SELECT community, week_start, week_idx, week, predicted_state, previous_state, distress_score_delta, top_features FROM ctx")
@@ -226,8 +226,8 @@ f AS (SELECT community, week_idx, week_start, 'post_volume' AS feature, post_vol
   round(value, 6) AS value, round(average, 6) AS average, round(CASE WHEN average <> 0 THEN (value - average) / abs(average) * 100 ELSE 0 END, 4) + 0.0 AS diff_pct, CASE WHEN average <> 0 AND value > average THEN 'above' ELSE 'below' END AS direction
 FROM ev JOIN f ON f.community = ev.community AND f.week_idx BETWEEN event_idx - 3 AND event_idx - 1 LEFT JOIN predictions p ON p.community = f.community AND p.week_idx = f.week_idx AND p.model = 'tabular'""")
 def case_lookback(spark, sf):
-    s = b.state_panel(spark, sf)
-    p = b.predictions(spark, sf).where("model = 'tabular'")
+    s = b.stored(b.state_panel(spark, sf))
+    p = b.predictions_of(s).where("model = 'tabular'")
     c = narrate.case_lookback(s, s.where("is_crisis_week = 1").select("community", "week_idx"), ["post_volume", "avg_negative"], p)
     return shown(c.withColumn("diff_pct", F.round("diff_pct", 4)))
 
@@ -266,9 +266,10 @@ def audit_prompts(spark, sf):
     for c, w in b.WEIGHTS.items()) + ") SELECT community, feature, round(importance, 6) AS importance FROM i")
 def linear_attribution(spark, sf):
     cols = list(b.WEIGHTS)
-    rows = learn.labeled_rows(b.scored_panel(spark, sf), cols, b.CUTS)
+    scored = b.stored(b.scored_panel(spark, sf))
+    rows = learn.labeled_rows(scored, cols, b.CUTS)
     model = F.struct(F.lit(0.0).alias("intercept"), F.array(*[F.lit(w) for w in b.WEIGHTS.values()]).alias("coef"))
-    models = b.order_panel(spark, sf).select("community").distinct().withColumn("model", model)
+    models = scored.select("community").distinct().withColumn("model", model)
     return shown(learn.linear_attribution(rows, models, cols))
 
 

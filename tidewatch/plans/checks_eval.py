@@ -154,7 +154,7 @@ PAIR = """, a AS (SELECT * FROM predictions WHERE model = 'sequence' AND week_id
 
 
 def _pair(spark, sf):
-    p = b.predictions(spark, sf)
+    p = b.stored(b.predictions(spark, sf))
     return p.where("model = 'sequence' AND week_idx % 7 <> 0"), p.where("model = 'tabular' AND week_idx % 5 <> 0")
 
 
@@ -175,7 +175,7 @@ def ensemble_scored(spark, sf):
 s AS (SELECT community, CAST(unnest(generate_series(0, n - 1)) AS BIGINT) AS week_idx FROM g)
 SELECT s.community, s.week_idx, CAST(p.pred AS DOUBLE) AS pred, round(p.prob, 6) AS prob, CAST(p.actual AS DOUBLE) AS actual FROM s LEFT JOIN predictions p ON p.community = s.community AND p.week_idx = s.week_idx AND p.model = 'tabular'""")
 def array_results(spark, sf):
-    p = b.predictions(spark, sf).where("model = 'tabular'")
+    p = b.stored(b.predictions(spark, sf).where("model = 'tabular'"))
     val = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
     rows = F.array_sort(F.collect_list(F.struct("week_idx", val("pred").alias("p"), val("prob").alias("q"), val("actual").alias("a"))))
     arrays = p.groupBy("community").agg(rows.alias("r")).select(
@@ -252,7 +252,7 @@ def first_hits(spark, sf):
 @query("latest_state", P + """ SELECT community, model, round(max(probability), 4) AS probability, CAST(max(state) AS BIGINT) AS state FROM (SELECT community, model, arg_max(prob, week_idx) FILTER (WHERE prob IS NOT NULL) AS probability,
   arg_max(pred, week_idx) FILTER (WHERE pred IS NOT NULL) AS state FROM predictions GROUP BY ALL) GROUP BY ALL""")
 def latest_state(spark, sf):
-    p = b.predictions(spark, sf)
+    p = b.stored(b.predictions(spark, sf))
     both = [decide.latest_known(p.where(F.col("model") == m)).withColumn("model", F.lit(m)) for m in ("tabular", "sequence")]
     return shown(both[0].unionByName(both[1]))
 

@@ -15,7 +15,7 @@ DEV = ", dev AS (SELECT community, CASE WHEN count(*) <= 28 THEN count(*) ELSE c
 
 
 def _raw(spark, sf):
-    return b.scored_panel(spark, sf, normalize=False)
+    return b.stored(b.scored_panel(spark, sf, normalize=False))
 
 
 @query("model_walk_forward")
@@ -103,14 +103,14 @@ def ablation(spark, sf):
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
-    rows = learn.labeled_rows(_raw(spark, sf), COLS, b.CUTS)
-    return shown(learn.permutation_importance(rows, learn.fit_variants(rows, None, len(COLS)), COLS))
+    rows = b.stored(learn.labeled_rows(_raw(spark, sf), COLS, b.CUTS))
+    return shown(learn.permutation_importance(rows, b.stored(learn.fit_variants(rows, None, len(COLS))), COLS))
 
 
 @query("pooled_trees")
 def pooled_trees(spark, sf):
     """Boosted trees over all communities, scored in-sample."""
-    rows = learn.labeled_rows(_raw(spark, sf), COLS, b.CUTS)
+    rows = b.stored(learn.labeled_rows(_raw(spark, sf), COLS, b.CUTS))
     p = learn.gbt_probability(rows, learn.fit_gbt(rows, depth=3, trees=10))
     return shown(metrics.average_precision(p.select("community", F.lit("trees").alias("model"), "prob", F.lit(0).alias("pred"), F.col("y").alias("actual"))))
 
@@ -118,7 +118,7 @@ def pooled_trees(spark, sf):
 @query("batch_score")
 def batch_score(spark, sf):
     raw = _raw(spark, sf)
-    tab = learn.final_models(raw, COLS, cuts=b.CUTS)
+    tab = b.stored(learn.final_models(raw, COLS, cuts=b.CUTS))
     seq = learn.predict(raw, COLS, learn.final_models(raw, COLS, cuts=b.CUTS, sequence_length=6), 6)
     out = serve.score_batch(
         raw, tab.select("community", "model"), COLS, stats=stats.train_stats(raw, COLS), calibrators=tab.select("community", "calibrator"),
@@ -137,7 +137,7 @@ j AS (SELECT l.*, mean, std, abs(value - mean) AS d FROM long l JOIN st USING (c
 def batch_checks(spark, sf):
     """Guardrail, drift warnings and availability of the scoring job."""
     raw = _raw(spark, sf)
-    tab = learn.final_models(raw, COLS, cuts=b.CUTS)
+    tab = b.stored(learn.final_models(raw, COLS, cuts=b.CUTS))
     out = serve.score_batch(raw, tab.select("community", "model"), COLS, stats=stats.train_stats(raw, COLS), monitoring_only=["5-low"], max_sigma=4.0)
     return shown(out.select("community", "week_start", F.array_join("violations", ",").alias("violations"), F.size("drift_warnings").alias("n_warnings"), "has_drift", "prediction_available"))
 

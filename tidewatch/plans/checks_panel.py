@@ -186,7 +186,7 @@ fitted AS (SELECT *, test_idx - 27 AS fold_i, test_idx - 1 AS train_end, mean +
 SELECT community, fold_i, test_idx, train_end, round(t1, 6) AS t1, round(t2, 6) AS t2, round(t3, 6) AS t3,
        CAST({b.bucket_sql('next_score', ('t1', 't2', 't3'))} AS BIGINT) AS actual FROM fitted""")
 def fold_thresholds(spark, sf):
-    s = b.scored_panel(spark, sf, normalize=False)
+    s = b.stored(b.scored_panel(spark, sf, normalize=False))
     return shown(folds.fold_thresholds(s, folds.fold_grid(s), cuts=b.CUTS).select("community", "fold_i", "test_idx", "train_end", "t1", "t2", "t3", "actual"))
 
 
@@ -203,14 +203,14 @@ fold_records AS (SELECT *, CASE WHEN n_train > 0 THEN n_crisis_train / n_train::
 SELECT community, fold_i, test_idx, n_train, n_crisis_train, round(crisis_rate_train, 6) AS crisis_rate_train, skipped,
        CASE WHEN skipped THEN '{folds.REASON}' END AS skip_reason FROM fold_records""")
 def fold_labels(spark, sf):
-    s = b.scored_panel(spark, sf, normalize=False)
+    s = b.stored(b.scored_panel(spark, sf, normalize=False))
     return shown(folds.fold_labels(s, folds.fold_thresholds(s, folds.fold_grid(s), cuts=b.CUTS)))
 
 
 @query("fold_labels_as_coded", "WITH " + b.RAW_SCORED + LABELLED.format(last="f.test_score") + """
 SELECT community, fold_i, test_idx, n_train, n_crisis_train, round(crisis_rate_train, 6) AS crisis_rate_train, skipped FROM fold_records""")
 def fold_labels_as_coded(spark, sf):
-    s = b.scored_panel(spark, sf, normalize=False)
+    s = b.stored(b.scored_panel(spark, sf, normalize=False))
     return shown(folds.fold_labels(s, folds.fold_thresholds(s, folds.fold_grid(s), cuts=b.CUTS), compat=True).drop("skip_reason"))
 
 
@@ -222,7 +222,7 @@ SELECT community, count(*) AS n_total_folds, count(*) FILTER (WHERE NOT skipped)
   count(*) FILTER (WHERE NOT skipped AND crisis_rate_train <= 0.05) AS n_low_balance_folds,
   round(coalesce(avg(n_train) FILTER (WHERE NOT skipped), 0), 6) AS mean_train_size FROM fold_records GROUP BY community""")
 def fold_diagnostics(spark, sf):
-    s = b.scored_panel(spark, sf, normalize=False)
+    s = b.stored(b.scored_panel(spark, sf, normalize=False))
     return shown(folds.fold_diagnostics(folds.fold_labels(s, folds.fold_thresholds(s, folds.fold_grid(s), cuts=b.CUTS))))
 
 
@@ -333,7 +333,7 @@ def train_stats(spark, sf):
 SELECT community, week_start, feature, round(value, 4) AS value, round(abs(value - mean) / std, 4) AS z FROM long JOIN stats USING (community, feature)
 WHERE std > 0 AND abs(value - mean) > 2.5 * std""")
 def drift_warnings(spark, sf):
-    p = b.order_panel(spark, sf)
+    p = b.stored(b.order_panel(spark, sf))
     w = monitor.drift_warnings(monitor.long_features(p, b.PANEL_FEATURES), stats.train_stats(p, b.PANEL_FEATURES))
     return shown(w.select("community", "week_start", "feature", "value", "z"), 4)
 
@@ -343,6 +343,6 @@ SELECT community, feature, count(*) AS n, count(*) FILTER (WHERE std > 0 AND abs
        round(max(CASE WHEN std > 0 THEN least(greatest(value, mean - 3 * std), mean + 3 * std) ELSE value END), 4) AS max_value
 FROM long JOIN stats USING (community, feature) GROUP BY ALL""")
 def sigma_guardrail(spark, sf):
-    p = b.order_panel(spark, sf)
+    p = b.stored(b.order_panel(spark, sf))
     g = monitor.guardrail(monitor.long_features(p, b.PANEL_FEATURES), stats.train_stats(p, b.PANEL_FEATURES), 3.0, clip=True)
     return shown(g.groupBy("community", "feature").agg(F.count("*").alias("n"), F.count_if("clipped").alias("n_clipped"), F.max("value").alias("max_value")), 4)

@@ -78,7 +78,8 @@ n0 AS (SELECT community, feature, count(*) AS n FROM outliers GROUP BY ALL), n A
 SELECT community, 'outlier_prone' AS flag, feature, CAST(n AS DOUBLE) AS value FROM n WHERE r <= 3
 UNION ALL SELECT community, 'low_crisis_rate', '', round(avg(CASE WHEN label >= 2 THEN 1.0::DOUBLE ELSE 0 END), 6) FROM states WHERE label IS NOT NULL GROUP BY community HAVING avg(CASE WHEN label >= 2 THEN 1.0::DOUBLE ELSE 0 END) < 0.05""")
 def quality_flags(spark, sf):
-    return shown(stats.quality_flags(b.order_panel(spark, sf), b.state_panel(spark, sf), b.PANEL_FEATURES))
+    s = b.stored(b.state_panel(spark, sf))
+    return shown(stats.quality_flags(s, s, b.PANEL_FEATURES))
 
 
 FOUR = ("post_volume", "unique_posters", "new_poster_ratio", "avg_negative")
@@ -117,7 +118,7 @@ def top_correlated(spark, sf):
 @query("community_pairs", "WITH " + b.SCORED + """, back AS (SELECT community, distress_score AS v, row_number() OVER (PARTITION BY community ORDER BY week_start DESC) AS back FROM scored)
 SELECT a.community AS source, c.community AS target, count(*) AS n, round(corr(a.v, c.v), 6) + 0.0 AS rho FROM back a JOIN back c ON a.back = c.back AND a.community <> c.community GROUP BY ALL""")
 def community_pairs(spark, sf):
-    p = stats.aligned_pairs(b.scored_panel(spark, sf), COMMUNITIES)
+    p = stats.aligned_pairs(b.stored(b.scored_panel(spark, sf)), COMMUNITIES)
     return shown(p.groupBy("source", "target").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho")))
 
 
@@ -128,10 +129,10 @@ m AS (SELECT source, target, count(*) AS n, var_pop(y) AS vy, var_pop(y1) AS v1,
 s AS (SELECT source, target, n, n * (vy - c1 * c1 / v1) AS ssr_r, n * (vy - (c1 * c1 * v2 - 2 * c1 * c2 * c12 + c2 * c2 * v1) / (v1 * v2 - c12 * c12)) AS ssr_u FROM m)
 SELECT source, target, n, round((ssr_r - ssr_u) / (ssr_u / (n - 3)), 4) AS f_stat FROM s""")
 def granger_lag1(spark, sf):
-    g = stats.granger(b.scored_panel(spark, sf), COMMUNITIES, 1)
+    g = stats.granger(b.stored(b.scored_panel(spark, sf)), COMMUNITIES, 1)
     return shown(g.select("source", "target", "n", "f_stat"), 4)
 
 
 @query("granger_all_lags")
 def granger_all_lags(spark, sf):
-    return shown(stats.granger(b.scored_panel(spark, sf), COMMUNITIES, 4), 4)
+    return shown(stats.granger(b.stored(b.scored_panel(spark, sf)), COMMUNITIES, 4), 4)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.operators import clean, features, folds, learn, metrics, monitor, scoring, temporal, topics, weekly
 from tidewatch.schemas import SCORE_WEIGHTS, STATE_CUTS
+from tidewatch.session import cut_lineage
+from tidewatch.sources import files
 
 
 def collect(frames: Iterable[DataFrame], salt: str) -> DataFrame:
@@ -24,6 +26,20 @@ def prepare(posts: DataFrame, min_length: int = 20) -> DataFrame:
     return clean.resolve_clock(clean.clean_posts(keyed, min_length))
 
 
+def store_clean(posts: DataFrame, path: str, files_per_community: int = 1, min_length: int = 20) -> DataFrame:
+    """Writes the clean posts and returns them read back.
+
+    The feature job reads its input twice: once with the texts and once for (community,
+    clock, author).  From a stored table the second read touches three narrow columns
+    and no text is cleaned again.
+    """
+    keep = ("post_id", "community", "ts", "author_hash", "score", "num_comments", "data_source", "clean_text")
+    rows = prepare(posts, min_length)
+    files.spread_by_community(rows.select(*[c for c in keep if c in rows.columns]), files_per_community).write.mode(
+        "overwrite").partitionBy("community").parquet(path)
+    return posts.sparkSession.read.parquet(path)
+
+
 def feature_panel(
     clean_rows: DataFrame, lexicons: Mapping[str, Iterable[str]], valence: Mapping[str, float] | None = None,
     negators: Sequence[str] = (), topic_column: str | None = None, windows: Sequence[int] = (2, 4),
@@ -47,12 +63,18 @@ def evaluate(
     panel: DataFrame, columns: Sequence[str], weights: Mapping[str, float] = SCORE_WEIGHTS,
     cuts: Sequence[float] = STATE_CUTS, sequence_length: int = 6, threshold: float = 0.3,
 ) -> dict[str, DataFrame]:
-    """Both models walked forward, their ensemble, metrics and lead times."""
+    """Both models walked forward, their ensemble, metrics and lead times.
+
+    The fold records feed several reports, so they are kept as checkpoints: a few
+    hundred rows per community that took thousands of fits.
+    """
     scored = weekly.with_week_index(scoring.composite_score(panel, weights, normalize=False))
-    tab = learn.walk_forward(scored, columns, cuts=cuts, threshold=threshold)
-    seq = learn.walk_forward(scored, columns, cuts=cuts, threshold=threshold, sequence_length=sequence_length)
-    pick = lambda df: df.select("community", "week_idx", "pred", "prob", "actual")
-    tabular, sequence = pick(tab.where(~F.col("skipped"))), pick(seq.where(~F.col("skipped")))
+    tab = cut_lineage(learn.walk_forward(scored, columns, cuts=cuts, threshold=threshold))
+    seq = cut_lineage(learn.walk_forward(scored, columns, cuts=cuts, threshold=threshold, sequence_length=sequence_length))
+    # A skipped fold stays as a week without values: it ends a run of flagged weeks.
+    actual = F.when(~F.col("skipped"), F.col("actual")).alias("actual")
+    pick = lambda df: df.select("community", "week_idx", "pred", "prob", actual)
+    tabular, sequence = pick(tab), pick(seq)
     ens = metrics.ensemble(sequence, tabular, threshold)
     named = (
         tabular.withColumn("model", F.lit("tabular"))

@@ -168,11 +168,15 @@ def read_dump(spark: SparkSession, path: str, community: str | None = None) -> D
     return df.where(F.col("created_utc").isNotNull()).withColumn("created_utc_dt", F.timestamp_seconds("created_utc"))
 
 
+def spread_by_community(posts: DataFrame, files_per_community: int = 1) -> DataFrame:
+    """Rows of a community together, a hot one spread over several writers by a hash of the id."""
+    slot = F.pmod(F.xxhash64("post_id"), F.lit(max(1, files_per_community)))
+    return posts.repartition(F.col("community"), slot)
+
+
 def save_posts(posts: DataFrame, path: str, files_per_community: int = 1) -> None:
-    """Partitioned by community.  A hash of the id spreads a hot community over several writers."""
     clean.validate(posts, "raw")
-    spread = F.pmod(F.xxhash64("post_id"), F.lit(max(1, files_per_community)))
-    (posts.repartition(F.col("community"), spread) if files_per_community > 0 else posts).write.mode("overwrite").partitionBy("community").parquet(path)
+    spread_by_community(posts, files_per_community).write.mode("overwrite").partitionBy("community").parquet(path)
 
 
 def load_posts(spark: SparkSession, path: str, communities: Sequence[str] | None = None) -> DataFrame:
