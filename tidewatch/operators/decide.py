@@ -187,7 +187,7 @@ def select_features(importance: DataFrame, known: DataFrame, ratio: float = 0.01
     by = ["community"] if "community" in rows.columns else []
     if not by:
         rows = rows.withColumn("community", F.lit(""))
-    order = Window.partitionBy("community").orderBy(F.desc("importance"), "feature")
+    order = Window.partitionBy("community").orderBy(F.desc(F.round("importance", 9)), "feature")
     top = F.max("importance").over(Window.partitionBy("community"))
     ranked = rows.withColumn("rank", F.row_number().over(order)).withColumn("_keep", F.col("importance") >= top * ratio)
     ranked = ranked.withColumn("_n", F.count_if("_keep").over(Window.partitionBy("community")))

@@ -188,8 +188,8 @@ def collinear_pairs(panel: DataFrame, features: Sequence[str], cut: float = 0.9)
 
 
 def top_features(table: DataFrame, value: Column, n: int, name: str = "feature") -> DataFrame:
-    """Top n rows per community by a value, with a total order."""
-    w = Window.partitionBy("community").orderBy(F.desc(value), name)
+    """Top n rows per community by a value (compared at nine digits, ties by name)."""
+    w = Window.partitionBy("community").orderBy(F.desc(F.round(value, 9)), name)
     return table.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 

@@ -118,7 +118,7 @@ def scenario_what_if(spark, sf):
 
 
 @query("feature_selection", "WITH " + b.PANEL + ", i AS (" + " UNION ALL ".join(f"SELECT community, '{c}' AS feature, stddev_pop({c}) / nullif(avg({c}), 0) AS importance FROM panel GROUP BY community" for c in b.PANEL_FEATURES if c != "avg_score") + """),
-r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY importance DESC, feature) AS rank, importance >= max(importance) OVER (PARTITION BY community) * 0.5 AS keep FROM i),
+r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY round(importance, 9) DESC, feature) AS rank, importance >= max(importance) OVER (PARTITION BY community) * 0.5 AS keep FROM i),
 n AS (SELECT *, count(*) FILTER (WHERE keep) OVER (PARTITION BY community) AS k FROM r)
 SELECT community, feature, round(importance, 6) AS importance, rank FROM n WHERE CASE WHEN k < 2 THEN rank <= 2 ELSE keep END AND rank <= 4""")
 def feature_selection(spark, sf):
@@ -274,7 +274,7 @@ def linear_attribution(spark, sf):
 
 
 @query("top_importance", "WITH " + b.PANEL + ", i AS (" + " UNION ALL ".join(f"SELECT community, '{c}' AS feature, stddev_pop({c}) AS importance FROM panel GROUP BY community" for c in b.PANEL_FEATURES) + """)
-SELECT community, feature, rank FROM (SELECT community, feature, row_number() OVER (PARTITION BY community ORDER BY importance DESC, feature) AS rank FROM i) WHERE rank <= 5""")
+SELECT community, feature, rank FROM (SELECT community, feature, row_number() OVER (PARTITION BY community ORDER BY round(importance, 9) DESC, feature) AS rank FROM i) WHERE rank <= 5""")
 def top_importance(spark, sf):
     long = monitor.long_features(b.order_panel(spark, sf), b.PANEL_FEATURES).groupBy("community", "feature").agg(F.stddev_pop("value").alias("importance"))
     return shown(stats.top_features(long, F.col("importance"), 5).select("community", "feature", "rank"))

@@ -109,7 +109,7 @@ def collinear_pairs(spark, sf):
 
 @query("top_correlated", S + ", long AS (" + " UNION ALL ".join(f"SELECT community, '{c}' AS feature, {c} AS value, CASE WHEN label >= 2 THEN 1.0::DOUBLE ELSE 0 END AS y FROM states" for c in FOUR) + f"""),
 r AS (SELECT community, feature, {_rank_sql('value', 'community, feature')} AS rx, {_rank_sql('y', 'community, feature')} AS ry FROM long), c AS (SELECT community, feature, corr(rx, ry) AS rho FROM r GROUP BY ALL)
-SELECT community, feature, rank FROM (SELECT community, feature, row_number() OVER (PARTITION BY community ORDER BY abs(rho) DESC, feature) AS rank FROM c) WHERE rank <= 2""")
+SELECT community, feature, rank FROM (SELECT community, feature, row_number() OVER (PARTITION BY community ORDER BY round(abs(rho), 9) DESC, feature) AS rank FROM c) WHERE rank <= 2""")
 def top_correlated(spark, sf):
     rho = stats.spearman_label(b.state_panel(spark, sf), FOUR)
     return shown(stats.top_features(rho, F.abs("spearman_rho"), 2).select("community", "feature", "rank"))
