@@ -91,12 +91,6 @@ def distinct_ratio(toks: Column) -> Column:
     return F.when(F.size(toks) > 0, F.size(F.array_distinct(toks)) / F.size(toks)).otherwise(F.lit(0.0))
 
 
-def share_in(lowered: Column, vocabulary: Sequence[str]) -> Column:
-    """Share of lower-case tokens that are in the vocabulary."""
-    hits = F.size(F.filter(lowered, _member(vocabulary)))
-    return F.when(F.size(lowered) > 0, hits / F.size(lowered)).otherwise(F.lit(0.0))
-
-
 def sentence_count(c: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(c, F.lit(r"[.!?]+")))
 

@@ -24,12 +24,14 @@ NEGATION_FACTOR = -0.74
 MAX_INLINE_LEXICON = 20_000  # entries; larger valence tables take the join
 
 
-def with_tokens(posts: DataFrame, column: str = "clean_text", words: Sequence[str] = ()) -> DataFrame:
-    """``_low`` lower-cased text, ``_tok`` its white-space tokens, ``_runs`` its word runs.
+def with_tokens(
+    posts: DataFrame, column: str = "clean_text", words: Sequence[str] = (), marks: Sequence[str] = ()
+) -> DataFrame:
+    """``_low`` lower-cased text, ``_tok`` its white-space tokens, ``_at`` positions of marked tokens, ``_runs`` word runs.
 
     Cleaned text is lower-case and squeezed already, so it is cut at single blanks.  With
-    ``words`` only those word runs are kept: the families then look at a few hits, not
-    at every word.
+    ``words`` only those word runs are kept, and ``marks`` are looked up in one pass: the
+    families then look at a few hits, not at every word again.
     """
     tidy = column == "clean_text"
     low = F.col(column) if tidy else F.lower(column)
@@ -37,7 +39,19 @@ def with_tokens(posts: DataFrame, column: str = "clean_text", words: Sequence[st
     if words:
         runs = F.filter(runs, lambda x: x.isin(*words))
     base = posts.withColumn("_low", low).withColumn("_tok", text.tokens(F.col("_low"), tidy))
-    return base.withColumn("_runs", runs)
+    return base.withColumn("_at", marked_positions(marks)).withColumn("_runs", runs)
+
+
+def marked_positions(marks: Sequence[str]) -> Column:
+    """Positions in ``_tok`` of the tokens that are in a word list."""
+    if not marks:
+        return F.array().cast("array<int>")
+    return F.filter(F.transform(F.col("_tok"), lambda x, i: F.when(x.isin(*marks), i)), lambda i: i.isNotNull())
+
+
+def _share(vocabulary: Sequence[str]) -> Column:
+    hits = F.size(F.filter(F.col("_at"), lambda i: F.get(F.col("_tok"), i).isin(*vocabulary)))
+    return F.when(F.size("_tok") > 0, hits / F.size("_tok")).otherwise(F.lit(0.0))
 
 
 def linguistic_columns(column: str = "clean_text") -> dict[str, Column]:
@@ -49,8 +63,8 @@ def linguistic_columns(column: str = "clean_text") -> dict[str, Column]:
         "n_chars_clean": F.when(F.size(tok) > 0, F.length(column)).otherwise(F.lit(0)),
         "type_token_ratio": text.distinct_ratio(cased),
         "flesch_kincaid": text.grade_level(F.col("_low"), F.size(tok)),
-        "singular_ratio": text.share_in(tok, text.SINGULAR),
-        "plural_ratio": text.share_in(tok, text.PLURAL),
+        "singular_ratio": _share(text.SINGULAR),
+        "plural_ratio": _share(text.PLURAL),
     }
 
 
@@ -71,7 +85,8 @@ def post_metrics(
     Tokens are cut once and shared by all families.
     """
     lists = {k: list(v) for k, v in lexicons.items()}
-    ready = with_tokens(posts, column, text.single_words(lists.values()))
+    marks = sorted({*text.SINGULAR, *text.PLURAL, *valence_terms(valence or {})})
+    ready = with_tokens(posts, column, text.single_words(lists.values()), marks)
     made = {**linguistic_columns(column), **lexicon_columns(lists)}
     if valence is not None:
         ready = ready.withColumn("_hits", valence_hits(valence, negators))
@@ -90,11 +105,14 @@ def _scores(pos: Column, neg: Column, neutral: Column, total: Column) -> dict[st
             "compound": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), compound))}
 
 
+def valence_terms(valence: Mapping[str, float]) -> list[str]:
+    return sorted({t.lower() for t, v in valence.items() if v})
+
+
 def valence_hits(valence: Mapping[str, float], negators: Iterable[str] = ()) -> Column:
     """Signed valences of the tokens in ``_tok`` that carry one, in order.
 
-    A token costs one probe of a hash set; only the positions that hit are looked at
-    again.  Terms of equal valence share one set.
+    Only the marked positions ``_at`` are looked at; terms of equal valence share one set.
     """
     if len(valence) > MAX_INLINE_LEXICON:
         raise ValueError("valence table too large for literals; use sentiment_join")
@@ -118,7 +136,7 @@ def valence_hits(valence: Mapping[str, float], negators: Iterable[str] = ()) ->
             signed = signed * F.when((i > 0) & F.get(tok, i - 1).isin(*negs), F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0))
         return signed
 
-    at = F.filter(F.transform(tok, lambda x, i: F.when(x.isin(*every), i)), lambda i: i.isNotNull())
+    at = F.filter(F.col("_at"), lambda i: F.get(tok, i).isin(*every))
     return F.transform(at, value)
 
 
@@ -136,7 +154,8 @@ def sentiment_inline(
     """Adds pos, neg, neu, compound; the valence table travels as literals."""
     tidy = column == "clean_text"
     tok = text.tokens(F.col(column) if tidy else F.lower(column), tidy)
-    base = posts.withColumn("_tok", tok).withColumn("_hits", valence_hits(valence, negators))
+    base = posts.withColumn("_tok", tok).withColumn("_at", marked_positions(valence_terms(valence)))
+    base = base.withColumn("_hits", valence_hits(valence, negators))
     return base.select(*posts.columns, *[c.alias(n) for n, c in sentiment_columns().items()])
 
 
