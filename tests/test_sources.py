@@ -65,6 +65,15 @@ def test_date_filter_keeps_range(spark, tmp_path):
     assert [r["selftext"] for r in posts.collect()] == ["new"]
 
 
+@pytest.mark.parametrize("body", ['[\n {"subreddit": "lonely", "body": "one text", "created": 1546300800, "id": "7"},\n {"subreddit": "x", "body": "b", "created": 1, "id": "8"}\n]',
+                                  '{"subreddit": "lonely", "body": "one text", "created": 1546300800, "id": "7"}\n'])
+def test_json_files(spark, tmp_path, body):
+    write(f"{tmp_path}/lonely_a.json", body)
+    write(f"{tmp_path}/sub/lonely_b.jsonl", '{"subreddit": "Lonely", "body": "two text", "created": 1546300801, "id": "9"}\n')
+    posts = files.load_community(files.read_by_suffix(spark, str(tmp_path)).values(), "lonely")
+    assert rows(posts, "post_id", "selftext", "created_utc") == [("7", "one text", 1546300800), ("9", "two text", 1546300801)]
+
+
 def test_file_selection(spark):
     names = ["lonely_2019_features_tfidf.csv", "lonely_2021_features_tfidf.csv", "lonely_2019_plain.csv", "anxiety_2019_features_x.csv"]
     df = spark.createDataFrame([(n,) for n in names], "f string")

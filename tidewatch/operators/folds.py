@@ -69,19 +69,21 @@ def fold_labels(scored: DataFrame, thresholds: DataFrame, compat: bool = False,
                 min_rows: int = 10, min_positive: int = 2) -> DataFrame:
     """Fold records: training size, elevated weeks, and whether the fold is skipped.
 
-    Range join inside a community (a few hundred weeks) reduced at once to one row per
-    fold.  A training row is labelled by its next row inside the training span; with
-    ``compat`` the last one takes the score of the test row instead of staying unlabelled.
+    A training row is labelled by its next row inside the training span; with ``compat``
+    the last one takes the score of the test row instead of staying unlabelled.  The
+    series of a community (one array of weekly scores) meets each of its folds once and
+    is counted in place, so no fold x week rows are made.
     """
     rows = scored if "week_idx" in scored.columns else with_week_index(scored)
-    nxt = F.lead(score).over(Window.partitionBy("community").orderBy("week_start"))
-    train = rows.select("community", F.col("week_idx").alias("_row"), nxt.alias("_next"))
+    series = rows.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("week_idx", F.col(score).alias("v")))).alias("_s"))
     f = thresholds.select("community", "fold_i", "test_idx", "train_end", "test_score", "t2")
-    pairs = f.join(train, "community").where(F.col("_row") < F.col("train_end"))
-    last = F.col("_row") == F.col("train_end") - 1
-    value = F.when(last, F.col("test_score") if compat else F.lit(None).cast("double")).otherwise(F.col("_next"))
-    out = pairs.withColumn("_v", value).groupBy("community", "fold_i", "test_idx").agg(
-        F.count("_v").cast("int").alias("n_train"), F.count_if(F.col("_v") >= F.col("t2")).cast("int").alias("n_crisis_train")
+    # Next scores of the rows 0 .. train_end - 2 are the scores 1 .. train_end - 1.
+    seen = F.transform(F.slice("_s", 2, F.greatest(F.col("train_end") - 1, F.lit(0))), lambda x: x["v"])
+    values = F.array_append(seen, F.col("test_score")) if compat else seen
+    known = f.join(series, "community").withColumn("_v", F.filter(values, lambda v: v.isNotNull()))
+    out = known.select(
+        "community", "fold_i", "test_idx", F.size("_v").alias("n_train"),
+        F.size(F.filter("_v", lambda v: v >= F.col("t2"))).alias("n_crisis_train"),
     )
     skipped = (F.col("n_train") < min_rows) | (F.col("n_crisis_train") < min_positive)
     return (

@@ -76,6 +76,7 @@ def archive_counts(ruled: DataFrame) -> DataFrame:
     return clean.row_rule_counts(ruled, "file")
 
 
+# Post bodies contain line breaks inside quotes, so CSV files are read whole-record and not split.
 READERS = {
     "csv": lambda r: r.option("header", "true").option("multiLine", "true").option("escape", '"').format("csv"),
     "parquet": lambda r: r.format("parquet"),
@@ -84,6 +85,13 @@ READERS = {
 }
 
 
+def _is_array(spark: SparkSession, path: str, glob: str) -> bool:
+    """Do the .json files hold one array (else one object per line); they share one shape."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    first = lines.where(F.trim("value") != "").first()
+    return first is not None and first["value"].lstrip().startswith("[")
+
+
 def read_by_suffix(spark: SparkSession, path: str, suffixes: Sequence[str] = tuple(READERS), name_glob: str = "") -> dict[str, DataFrame]:
     """One DataFrame per file type found below ``path``; unreadable files are skipped.
 
@@ -96,6 +104,8 @@ def read_by_suffix(spark: SparkSession, path: str, suffixes: Sequence[str] = tup
             .option("ignoreCorruptFiles", "true")
         )
         try:
+            if s == "json" and _is_array(spark, path, f"{name_glob or '*'}.json"):
+                reader = reader.option("multiLine", "true")
             df = reader.load(path)
         except AnalysisException:
             continue  # no file of this type
