@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,23 +24,36 @@ def get_session(app: str = "tidewatch", cpus: str | None = None, shuffle_partiti
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the driver and all executors see, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset, a session on one machine gets a fresh folder; on a cluster a folder of one machine would lose
+    what another executor wrote, so that is refused.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        folder = tempfile.mkdtemp(prefix="tidewatch-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names.
 
-    ``spark.checkpoint.dir`` (or a directory already set on the context) is used as
-    it is; only when neither is set, as in tests, a fresh folder is made.
+    ``spark.checkpoint.dir`` (or a directory already set on the context) is used as it is.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidewatch-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
