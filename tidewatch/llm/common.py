@@ -32,10 +32,15 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` (a stored table) with a broadcast hint when its rows fit BROADCAST_BYTES, else as it is, for a shuffled join."""
+def fits(df: DataFrame, row_bytes: int) -> bool:
+    """Whether the rows of ``df`` (a stored table), at ``row_bytes`` each, fit BROADCAST_BYTES; at most one more is counted."""
     most = BROADCAST_BYTES // row_bytes
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return df.limit(most + 1).count() <= most
+
+
+def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` with a broadcast hint when it fits, else as it is, for a shuffled join."""
+    return F.broadcast(df) if fits(df, row_bytes) else df
 
 
 def ascii_lower(text: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import simhash
+from tidewatch.llm import decontam, line_templates, pieces, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,5 +19,72 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op8_simhash": op8_simhash}
-ORACLE: dict[str, str] = {}
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.line_report(table(spark, sf_dir, "documents"))
+
+
+SQL2 = r"""
+WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, text FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line, list_filter(regexp_split_to_array(
+        regexp_replace(string_split(text, chr(10))[i], '(^|[\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*', '\1<*>', 'g'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS tok FROM l),
+f AS (SELECT tok, len(tok) AS n, tok[1:3] AS head, count(DISTINCT doc_id) AS docs FROM t WHERE len(tok) >= 3 GROUP BY tok),
+need AS (SELECT *, CASE WHEN n >= 20 THEN 2 ELSE 8 END AS need FROM f),
+p AS (SELECT *, unnest(range(1, n + 1)) AS place FROM need),
+s AS (SELECT n, head, place, tok[place] AS token, sum(docs) AS support FROM p GROUP BY ALL),
+m AS (SELECT p.tok, string_agg(CASE WHEN support >= need THEN tok[p.place] ELSE '<*>' END, ' ' ORDER BY p.place) AS blanked,
+             sum(CASE WHEN support >= need THEN 1 ELSE 0 END) AS firm
+      FROM p JOIN s ON s.n = p.n AND s.head = p.head AND s.place = p.place AND s.token = p.tok[p.place] GROUP BY p.tok),
+lt AS (SELECT t.doc_id, t.i, len(t.tok) AS n, CASE WHEN firm * 10 >= len(t.tok) * 7 THEN blanked ELSE array_to_string(t.tok, ' ') END AS template
+       FROM t JOIN m ON m.tok = t.tok),
+r AS (SELECT template, min(doc_id) AS first FROM lt GROUP BY template, n HAVING count(DISTINCT doc_id) >= CASE WHEN n >= 20 THEN 2 ELSE 8 END),
+gone AS (SELECT lt.doc_id, lt.i FROM lt JOIN r USING (template) WHERE lt.doc_id <> r.first),
+b AS (SELECT t.doc_id, count(*) FILTER (len(t.tok) > 0) AS n_lines, count(gone.i) AS n_dropped,
+             coalesce(string_agg(t.line, chr(10) ORDER BY t.i) FILTER (gone.i IS NULL), '') AS text
+      FROM t LEFT JOIN gone ON gone.doc_id = t.doc_id AND gone.i = t.i GROUP BY t.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, b.text FROM documents d LEFT JOIN b USING (doc_id)
+"""
+
+
+def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS7 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL7 = f"""
+WITH d AS (SELECT doc_id, {_WORDS7} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS7} AS w FROM benchmark),
+starts AS (SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM starts),
+place AS (SELECT d.doc_id, d.w, s.size, unnest(range(1, len(d.w) - s.size + 2)) AS p FROM d, (SELECT DISTINCT size FROM win) s WHERE len(d.w) >= s.size),
+m AS (SELECT place.doc_id, place.p, win.size, win.item_id FROM place JOIN win
+      ON win.size = place.size AND win.gram = array_to_string(place.w[place.p:place.p + place.size - 1], ' ')),
+h AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(p, p + size)) AS x FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+       sha256(coalesce(i.s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+
+def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.select(
+        "doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), F.hex(F.xxhash64("piece_ids")).alias("pieces_hash"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
+QUERIES: dict[str, Query] = {
+    "op2_line_templates": op2_line_templates,
+    "op6_ordinal_toxicity": op6_ordinal_toxicity,
+    "op7_positional_index": op7_positional_index,
+    "op8_simhash": op8_simhash,
+    "op9_sampled_pieces": op9_sampled_pieces,
+}
+ORACLE: dict[str, str] = {"op2_line_templates": SQL2, "op7_positional_index": SQL7}
