@@ -27,6 +27,8 @@ BITS = 64
 RADIUS = 3
 #: Codes below one upper node before it is cut again.  It sets the grain of the tasks, not what is found.
 NODE_CODES = 4096
+#: Levels of upper nodes at most.  A node of the last one is searched by one task, which holds its codes only.
+LEVELS = 3
 LEAF, FANOUT, PAIRS_AT_ONCE = 32, 16, 1 << 15
 
 
@@ -202,10 +204,10 @@ def links(codes: DataFrame, radius: int = RADIUS, node_codes: int = NODE_CODES)
     """
     found, tree = [], _below([0], radius)
     nodes = _descend(codes.select(F.lit(0).cast("long").alias("mask"), "code"), tree)
-    while True:
+    for level in range(LEVELS):
         nodes = stored(nodes, "simhash-nodes")
         masks = [m for kids in tree.values() for m in kids]
-        last = min(BITS - m.bit_count() for m in masks) <= radius
+        last = level == LEVELS - 1
         crowded = stored(nodes.groupBy("mask", "pattern").count().where(F.col("count") > node_codes).select("mask", "pattern"), "simhash-crowded")
         cut = not last and not crowded.isEmpty()
         quiet = nodes.join(crowded, ["mask", "pattern"], "left_anti") if cut else nodes
