@@ -92,7 +92,7 @@ def phrase_matches(index: DataFrame, wins: DataFrame, rare: DataFrame, lists: in
     first = rare.where("rank = 1").join(wins, "window").select("term", "window", "size", "ranks", "place", "words")
     here = F.col("left") - F.col("place") + 1  # where the window would begin in the neighbourhood, from 1
     found = index.where("around IS NOT NULL").join(first, "term").where(here >= 1)
-    found = found.select("doc_id", "key", "window", "size", "ranks", (F.col("pos") - F.col("place")).alias("start"), "words", F.slice("around", here, F.col("size")).alias("there"))
+    found = found.select("doc_id", "key", "window", "size", "ranks", (F.col("pos") - F.col("place")).alias("start"), "words", F.slice("around", F.greatest(here, F.lit(1)), F.col("size")).alias("there"))
     for k in range(2, lists + 1):
         wanted = rare.where(F.col("rank") == k).select("window", F.col("term").alias("t"), F.col("place").alias("p"))
         places = index.select("term", F.col("doc_id").alias("d"), F.col("key").alias("k"), "pos")
