@@ -20,12 +20,12 @@ from tidewatch.llm.common import small_side, stored
 
 WORD = re.compile(r"\w+")
 #: Labelled rows of each label that the model is fitted on, at most; the rows with the least hash of doc_id are taken.
-FIT_ROWS = 4000
-#: Rows of the fit that must have a word before it can get a weight.
-MIN_ROWS = 5
-PENALTY, ROUNDS = 0.002, 400
+FIT_ROWS = 3000
+#: Rows of the fit, and their share, that must have a word before it can get a weight.
+MIN_ROWS, MIN_SHARE = 5, 0.001
+PENALTY, ROUNDS = 0.002, 200
 #: A text goes from this expected severity.
-REJECT = 0.3
+REJECT = 0.2
 
 
 def features(text: str | None) -> set[str]:
@@ -54,11 +54,10 @@ def fit(texts: list[str], grades: list[int], weights: list[float], penalty: floa
     A text of grade g is above the cuts below g and under the next one; each cut gives one binary term, and all of them
     share the word weights.
     """
-    sets = [features(t) for t in texts]
-    df = Counter(w for s in sets for w in s)
-    vocab = {w: k for k, w in enumerate(sorted(w for w, n in df.items() if n >= MIN_ROWS))}
-    rows = np.repeat(np.arange(len(sets)), [sum(w in vocab for w in s) for s in sets])
-    cols = np.array([vocab[w] for s in sets for w in s if w in vocab], dtype=np.int64)
+    df = Counter(w for t in texts for w in features(t))
+    vocab = {w: k for k, w in enumerate(sorted(w for w, n in df.items() if n >= max(MIN_ROWS, MIN_SHARE * len(texts))))}
+    found = [np.fromiter((vocab[w] for w in features(t) if w in vocab), dtype=np.int64) for t in texts]
+    rows, cols = np.repeat(np.arange(len(texts)), [len(f) for f in found]), np.concatenate([*found, np.zeros(0, dtype=np.int64)])
     y, share = np.array(grades), np.array(weights) / max(sum(weights), 1e-12)
     top = int(y.max(initial=0))
     if top < 1 or not len(vocab):
@@ -98,12 +97,11 @@ def graded(texts: list[str], toxic: list[int]) -> list[int]:
     Marker words are those with at least ten times the share of texts among toxic rows that they have among others;
     a toxic text with two of them or more is severe.
     """
-    sets = [features(t) for t in texts]
     bad, good = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    in_bad = Counter(w for s, t in zip(sets, toxic) if t for w in s)
-    in_good = Counter(w for s, t in zip(sets, toxic) if not t for w in s)
+    in_bad = Counter(w for x, t in zip(texts, toxic) if t for w in features(x))
+    in_good = Counter(w for x, t in zip(texts, toxic) if not t for w in features(x))
     markers = {w for w, n in in_bad.items() if n >= max(MIN_ROWS, 0.01 * bad) and n / bad >= 10 * in_good[w] / good}
-    return [0 if not t else 2 if len(s & markers) > 1 else 1 for s, t in zip(sets, toxic)]
+    return [0 if not t else 2 if len(features(x) & markers) > 1 else 1 for x, t in zip(texts, toxic)]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataFrame:
