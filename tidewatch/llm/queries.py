@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import decontam, line_templates, pieces, simhash, toxicity
+from tidewatch.llm import decontam, line_templates, pieces, quality_rules, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,28 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dr
 """
 
 
+def op3_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
+SQL3 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
+c AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+      len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+      len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in dict.fromkeys(quality_rules.STOP_WORDS))}))) AS n_stop_words,
+      len(list_filter(w, lambda x: regexp_matches(x, '[A-Z][A-Z]'))) AS n_capitals FROM d LEFT JOIN rep USING (doc_id)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, concat_ws(',',
+      CASE WHEN word_chars * 100 < n_words * 200 OR word_chars * 100 > n_words * 1200 THEN 'word_length' END,
+      CASE WHEN n_symbols * 100 > n_words * 10 THEN 'symbols' END, CASE WHEN n_capitals * 100 > n_words * 30 THEN 'capitals' END,
+      CASE WHEN n_stop_words * 100 < n_words * 8 THEN 'stop_words' END, CASE WHEN n_dup_lines * 100 > n_lines * 40 THEN 'repeated_lines' END) AS broken_rules FROM c)
+SELECT *, NOT base_failed AND broken_rules = '' AS kept FROM v
+"""
+
+
 def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -82,9 +104,10 @@ def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_line_templates": op2_line_templates,
+    "op3_rule_table": op3_rule_table,
     "op6_ordinal_toxicity": op6_ordinal_toxicity,
     "op7_positional_index": op7_positional_index,
     "op8_simhash": op8_simhash,
     "op9_sampled_pieces": op9_sampled_pieces,
 }
-ORACLE: dict[str, str] = {"op2_line_templates": SQL2, "op7_positional_index": SQL7}
+ORACLE: dict[str, str] = {"op2_line_templates": SQL2, "op3_rule_table": SQL3, "op7_positional_index": SQL7}
