@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import simhash
+from tidewatch.llm import decontam, line_templates, pieces, simhash, toxicity
 from tidewatch.llm.common import stored
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose expected severity is low; the model is fitted on the labelled ones of ``docs``."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without lines that recur; n_chars follows the text."""
+    return line_templates.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
-ORACLE_SQL = None
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its piece ids; ``text`` is what they decode to."""
+    coded = pieces.decode(pieces.encode(docs))
+    return coded.select(*[F.col("decoded").alias("text") if c == "text" else F.col(c) for c in docs.columns], "piece_ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("sentencepiece", encode_decode),
+]
+ORACLE_SQL = None  # the fit of the first stage has no SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
