@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import decontam, line_templates, pieces, quality_rules, simhash, toxicity
+from tidewatch.llm import decontam, importance, line_templates, pieces, quality_rules, simhash, toxicity, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +90,31 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+def op4_wordpiece_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_indexed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload, octet_length(encode(payload)) AS n, array_to_string(list_transform(range(8), lambda k: array_to_string(list_transform([15, 10, 5, 0],
+        lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, k * 5 + 1, 5) AS BIGINT) >> s) & 31 AS INTEGER) + 1, 1)), '')), '') AS digest,
+        max(page_id) OVER (PARTITION BY payload) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to FROM d
+"""
+
+
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws the share of the rows that the labels call good."""
+    labels = table(spark, sf_dir, "labels").where("quality IN (0, 1)")
+    share = labels.agg(F.avg("quality")).first()[0] or 0.0
+    return importance.resampled(table(spark, sf_dir, "documents"), labels.where("quality = 1"), share=share)
+
+
 def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -105,9 +130,12 @@ def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_line_templates": op2_line_templates,
     "op3_rule_table": op3_rule_table,
+    "op4_wordpiece_lengths": op4_wordpiece_lengths,
+    "op5_indexed_warc": op5_indexed_warc,
     "op6_ordinal_toxicity": op6_ordinal_toxicity,
     "op7_positional_index": op7_positional_index,
     "op8_simhash": op8_simhash,
     "op9_sampled_pieces": op9_sampled_pieces,
+    "op10_importance_resampling": op10_importance_resampling,
 }
-ORACLE: dict[str, str] = {"op2_line_templates": SQL2, "op3_rule_table": SQL3, "op7_positional_index": SQL7}
+ORACLE: dict[str, str] = {"op2_line_templates": SQL2, "op3_rule_table": SQL3, "op5_indexed_warc": SQL5, "op7_positional_index": SQL7}
