@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import decontam, importance, line_templates, pieces, quality_rules, simhash, toxicity, warc, wordpiece
+from tidewatch.llm import decontam, importance, licenses, line_templates, pieces, quality_rules, simhash, toxicity, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_conditional_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.licenses(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.size("found").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("found.license")), ",").alias("licenses"),
+        F.to_json("found").alias("places"),
+    )
+
+
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.line_report(table(spark, sf_dir, "documents"))
 
@@ -128,6 +136,7 @@ def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_conditional_compression": op1_conditional_compression,
     "op2_line_templates": op2_line_templates,
     "op3_rule_table": op3_rule_table,
     "op4_wordpiece_lengths": op4_wordpiece_lengths,
