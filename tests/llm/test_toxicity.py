@@ -18,7 +18,7 @@ def test_fit_orders_grades():
     got = [np.mean([model.severity(t) for t, x in zip(texts, grades) if x == g]) for g in range(3)]
     assert got[0] < 0.4 < got[1] < 1.5 < got[2] and model.cuts[0] < model.cuts[1]
     assert model.weights["bad"] > 0 and model.weights["awful"] > 0 and sum(k.startswith("w") for k in model.weights) < 25
-    assert model.severity(None) == model.severity("") == pytest.approx(sum(1 / (1 + np.exp(c)) for c in model.cuts))
+    assert model.severity(None) == model.severity("") == 0 and model.severity("unseen") == pytest.approx(sum(1 / (1 + np.exp(c)) for c in model.cuts))
 
 
 def test_fit_is_a_minimum():

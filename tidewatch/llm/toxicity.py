@@ -25,7 +25,7 @@ FIT_ROWS = 3000
 MIN_ROWS, MIN_SHARE = 5, 0.001
 PENALTY, ROUNDS = 0.002, 200
 #: A text goes from this expected severity.
-REJECT = 0.2
+REJECT = 0.5
 
 
 def features(text: str | None) -> set[str]:
@@ -39,8 +39,11 @@ class Model(NamedTuple):
     cuts: tuple[float, ...]
 
     def severity(self, text: str | None) -> float:
-        """Expected grade of a text; a null or empty one has the grade that no word supports."""
-        score = sum(self.weights[t] for t in features(text) & self.weights.keys())
+        """Expected grade of a text; without a word there is nothing to grade, and it is 0."""
+        found = features(text)
+        if not found:
+            return 0.0
+        score = sum(self.weights[t] for t in found & self.weights.keys())
         return float(sum(1 / (1 + np.exp(c - score)) for c in self.cuts))
 
 
@@ -144,7 +147,7 @@ def severity(model: Model) -> Column:
 def scored(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, reject: float = REJECT) -> DataFrame:
     """doc_id, severity and rejected of every row of ``docs``.
 
-    Null and empty texts have no word and the severity of the cuts alone.  Equal texts have equal severity, whatever
+    Null and empty texts, and others without a word, have severity 0.  Equal texts have equal severity, whatever
     their ids.  Labels without a text, of null or of other values are not used; a doc_id labelled twice is toxic if one
     label says so.  An empty table gives no rows.
     """
