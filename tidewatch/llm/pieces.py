@@ -4,7 +4,7 @@ The lattice of a text has an edge for every vocabulary piece that matches a stre
 with probability proportional to the product of its pieces' probabilities to the power ``alpha``.  Forward filtering
 sums the weight of all paths up to each place, backward sampling walks from the end and draws each last piece by its
 share.  No piece has a space or line break after another character, so the lattice falls apart at those places into
-short segments whose tables are shared by all their occurrences; the draws of a whole batch run as array steps.
+short segments whose tables are shared by all their occurrences; tables and draws of a whole batch are array steps.
 
 A draw depends on the seed, the row key, the segment's number in the text and the step, and on nothing else: a
 repeated task, another partitioning or another cluster gives the same segmentation.
@@ -18,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Where the vocabularies of public tokenizers lie on this box; a caller elsewhere gives its own path.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEGMENT = re.compile(r"\n| *[^ \n]+| +")
-#: Lattice entries a worker keeps between batches; beyond it the tables are built anew.
-TABLE_ENTRIES = 1_000_000
+#: Characters (or ids) that are worked on at once: it bounds the arrays of a task whatever its batch holds.
+CHUNK_CHARS = 1 << 21
 #: Log-probability of a character without a piece, which is spelt in bytes.
 SPELT = -20.0
 
@@ -52,77 +53,141 @@ def vocabulary(model: str = MODEL) -> tuple[list[tuple[str, int, float]], dict[i
     return [(t, i, math.log(w) - total) for t, i, w in zip(texts, own, weights)], bytes_of, spelling
 
 
+class Trie:
+    """The vocabulary as arrays, so that one step from very many nodes is a few array operations."""
+
+    EMPTY = np.int64(-1)
+
+    def __init__(self, pieces: list[tuple[str, int, float]]):
+        step: dict[int, int] = {}
+        piece = [-1]
+        for n, (text, _, _) in enumerate(pieces):
+            node = 0
+            for c in text:
+                node = step.setdefault(node << 21 | ord(c), len(piece))
+                if node == len(piece):
+                    piece.append(-1)
+            piece[node] = n
+        self.piece = np.array(piece)  # number of the piece that ends at a node
+        self.bits = max(4, (4 * len(step)).bit_length())
+        self.key, self.to = np.full(1 << self.bits, self.EMPTY), np.full(1 << self.bits, -1)
+        keys = np.fromiter(step, dtype=np.int64, count=len(step))
+        for slot, (k, v) in zip(self.slot(keys).tolist(), step.items()):
+            while self.key[slot] != self.EMPTY:
+                slot = (slot + 1) % len(self.key)
+            self.key[slot], self.to[slot] = k, v
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Next node of each, -1 where there is none."""
+        key = node << 21 | char
+        slot = self.slot(key)
+        out = np.where(self.key[slot] == key, self.to[slot], -1)
+        open_ = np.flatnonzero((self.key[slot] != key) & (self.key[slot] != self.EMPTY))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % len(self.key)
+            at = slot[open_]
+            same = self.key[at] == key[open_]
+            out[open_[same]] = self.to[at[same]]
+            open_ = open_[~same & (self.key[at] != self.EMPTY)]
+        return out
+
+
 class Lattice:
     """Backward-sampling tables of segments: for every place of a segment, the pieces that may end there and their shares."""
 
     def __init__(self, pieces: list[tuple[str, int, float]], spelling: list[int], alpha: float):
-        self.pieces = {t: (i, alpha * p) for t, i, p in pieces}
-        self.starts = {t[:k] for t, _, _ in pieces for k in range(1, len(t) + 1)}
-        self.spelling, self.spelt_weight = spelling, alpha * SPELT
-        self.spelt: dict[str, int] = {}  # characters without a piece, as ids -1, -2, ...
-        self.spelt_ids: list[list[int]] = []
-        self.clear()
-
-    def clear(self) -> None:
-        self.row: dict[str, int] = {}  # segment: row of its place 0
-        self.length: list[int] = []  # of the rows that begin a segment
-        self.bounds, self.share, self.back, self.id = [0], [], [], []
-
-    def edges(self, s: str, j: int) -> Iterator[tuple[int, int, float]]:
-        """(end, id, weight) of the pieces that begin at ``j``; a character without a piece is one edge."""
-        k, known = j + 1, False
-        while k <= len(s) and (t := s[j:k]) in self.starts:
-            if t in self.pieces:
-                known |= k == j + 1
-                yield k, *self.pieces[t]
-            k += 1
-        if not known:
-            c = s[j]
-            if c not in self.spelt:
-                self.spelt[c] = -1 - len(self.spelt_ids)
-                self.spelt_ids.append([self.spelling[b] for b in c.encode()])
-            yield j + 1, self.spelt[c], self.spelt_weight
-
-    def add(self, s: str) -> int:
-        """Row of place 0 of ``s``; place e has row + e."""
-        row = len(self.bounds) - 1
-        n = len(s)
-        into: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        total = [-math.inf] * (n + 1)
-        total[0] = 0.0
-        for j in range(n + 1):
-            if j:
-                most = max(w for _, _, w in into[j])
-                total[j] = most + math.log(sum(math.exp(w - most) for _, _, w in into[j]))
-            if j < n:
-                for k, i, w in self.edges(s, j):
-                    into[k].append((j, i, total[j] + w))
-        for e in range(n + 1):
-            upto = 0.0
-            for j, i, w in into[e]:
-                upto += math.exp(w - total[e])
-                self.share.append(row + e + min(upto, 1.0))
-                self.back.append(j)
-                self.id.append(i)
-            if into[e]:
-                self.share[-1] = row + e + 1.0
-            self.bounds.append(len(self.share))
-        self.row[s] = row
-        return row
+        self.trie = Trie(pieces)
+        self.id = np.array([i for _, i, _ in pieces])
+        self.weight = np.exp(alpha * np.array([w for _, _, w in pieces]))
+        self.single = np.array([len(t) == 1 for t, _, _ in pieces])
+        self.spelt_weight = math.exp(alpha * SPELT)
+        self.spelling = spelling
+
+    def tables(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row of place 0 of each segment (place e has row + e), and for all rows after one another, sorted by row, the
+        edges that end there: row + running share, places that the edge goes back, id.
+
+        A character without a piece is one edge whose id is -1 - its code point.  Sums are kept as shares of the sum
+        before, so a long segment doesn't run out of small numbers.
+        """
+        sizes = np.array([len(s) for s in segments], dtype=np.int64)
+        char = np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        row0 = first + np.arange(len(sizes))
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        local, left = np.arange(len(char)) - first[own], (first + sizes)[own] - np.arange(len(char))
+        at, node = np.arange(len(char)), np.zeros(len(char), dtype=np.int64)
+        known = np.zeros(len(char), dtype=bool)
+        start, size, piece = [], [], []
+        for k in range(len(char)):
+            node = self.trie.step(node, char[at + k])
+            some = node >= 0
+            at, node = at[some], node[some]
+            ends = self.trie.piece[node]
+            hit = ends >= 0
+            start.append(at[hit])
+            size.append(np.full(int(hit.sum()), k + 1))
+            piece.append(ends[hit])
+            if k == 0:
+                known[at[hit]] = True
+            more = left[at] > k + 1
+            at, node = at[more], node[more]
+            if not len(at):
+                break
+        odd = np.flatnonzero(~known)
+        start, size, piece = (np.concatenate([*x, y]) for x, y in ((start, odd), (size, np.ones(len(odd), dtype=np.int64)), (piece, np.full(len(odd), -1))))
+        weight = np.where(piece >= 0, self.weight[piece], self.spelt_weight)
+        ids = np.where(piece >= 0, self.id[piece], -1 - char[start])
+        into, source = row0[own[start]] + local[start] + size, row0[own[start]] + local[start]
+        order = np.lexsort((size, into))
+        start, size, weight, ids, into, source = (x[order] for x in (start, size, weight, ids, into, source))
+        share = self.forward(into, source, size, weight, local[start] + size, len(char) + len(sizes))
+        run = np.cumsum(share)
+        begin = np.flatnonzero(np.concatenate([[True], into[1:] != into[:-1]])) if len(into) else np.zeros(0, dtype=np.int64)
+        width = np.diff(np.append(begin, len(into)))
+        run -= np.repeat(run[begin] - share[begin], width)
+        run = np.minimum(run, 1.0)
+        run[begin + width - 1] = 1.0
+        return row0, into + run, size, ids
+
+    @staticmethod
+    def forward(into: np.ndarray, source: np.ndarray, size: np.ndarray, weight: np.ndarray, end: np.ndarray, rows: int) -> np.ndarray:
+        """Share of each edge in the weight of all paths to its end; places are filled from the left, all segments at once."""
+        total, scale = np.zeros(rows), np.zeros(rows)  # weight of the paths to a row is total * exp(scale)
+        total[:] = 1.0
+        share = np.zeros(len(into))
+        by_end = np.argsort(end, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(end[by_end])) + 1, [len(by_end)]])
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            e = by_end[lo:hi]
+            if not len(e):
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], into[e[1:]] != into[e[:-1]]]))
+            width = np.diff(np.append(begin, len(e)))
+            near = scale[source[e]]
+            top = np.maximum.reduceat(near, begin)
+            value = total[source[e]] * weight[e] * np.exp(near - np.repeat(top, width))
+            sums = np.add.reduceat(value, begin)
+            share[e] = value / np.repeat(sums, width)
+            scale[into[e[begin]]] = top + np.log(sums)
+        return share
 
     def sample(self, texts: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts after one another, and where each text's ids end."""
-        if len(self.share) > TABLE_ENTRIES:
-            self.clear()
-        rows, sizes, counts = [], [], []
-        known, add = self.row, self.add
+        index: dict[str, int] = {}
+        which, counts = [], []
         for t in texts:
             parts = SEGMENT.findall(" " + t) if t else []
-            rows += [known[p] if p in known else add(p) for p in parts]
-            sizes += map(len, parts)
+            which += [index.setdefault(p, len(index)) for p in parts]
             counts.append(len(parts))
-        row, pos, counts = np.array(rows, dtype=np.int64), np.array(sizes, dtype=np.int64), np.array(counts, dtype=np.int64)
-        share, back, ids = np.array(self.share), np.array(self.back, dtype=np.int64), np.array(self.id, dtype=np.int64)
+        which, counts = np.array(which, dtype=np.int64), np.array(counts, dtype=np.int64)
+        if not len(which):
+            return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
+        row0, share, back, ids = self.tables(list(index))
+        row, pos = row0[which], np.array([len(p) for p in index], dtype=np.int64)[which]
         own = np.repeat(keys.view(np.uint64), counts)
         number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
         stream = _mixed(own ^ _mixed(number.astype(np.uint64)))
@@ -131,25 +196,26 @@ class Lattice:
         while len(at):
             u = (_mixed(stream[at] + np.uint64(step)) >> np.uint64(11)) * 2.0**-53
             hit = np.searchsorted(share, row[at] + pos[at] + u, side="right")
-            hit = np.minimum(hit, len(share) - 1)
             steps.append((at, ids[hit]))
-            pos[at] = back[hit]
+            pos[at] -= back[hit]
             drawn[at] += 1
             at = at[pos[at] > 0]
             step += 1
         ends = np.cumsum(drawn)
-        flat = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+        flat = np.zeros(int(ends[-1]), dtype=np.int64)
         for k, (i, piece) in enumerate(steps):
             flat[ends[i] - 1 - k] = piece
         upto = np.concatenate([[0], ends])[np.cumsum(counts)]
         odd = np.flatnonzero(flat < 0)
         if len(odd):  # spell the characters without a piece
+            spelt = {c: [self.spelling[b] for b in chr(-1 - c).encode()] for c in np.unique(flat[odd]).tolist()}
             width = np.ones(len(flat), dtype=np.int64)
-            width[odd] = [len(self.spelt_ids[-1 - x]) for x in flat[odd].tolist()]
+            width[odd] = [len(spelt[c]) for c in flat[odd].tolist()]
             after = np.cumsum(width)
             wide = np.repeat(flat, width)
-            for o in odd.tolist():
-                wide[after[o] - width[o] : after[o]] = self.spelt_ids[-1 - int(flat[o])]
+            for k in range(4):
+                far = odd[width[odd] > k]
+                wide[after[far] - width[far] + k] = [spelt[c][k] for c in flat[far].tolist()]
             flat, upto = wide, np.concatenate([[0], after])[upto]
         return flat.astype(np.int32), upto
 
@@ -163,6 +229,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows (first, after last) with about ``most`` units each."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)])
+
+
 def sampler(model: str = MODEL, alpha: float = 0.5):
     """Column function (text, key): ids of one sampled segmentation, null for a null text and none for an empty one."""
     pieces, _, spelling = vocabulary(model)
@@ -172,12 +244,12 @@ def sampler(model: str = MODEL, alpha: float = 0.5):
     def ids(text: pa.Array, key: pa.Array) -> pa.Array:
         if not held:
             held.append(Lattice(pieces, spelling, alpha))
-        out, keys = [], key.to_numpy(zero_copy_only=False).astype(np.int64)
-        for k in range(0, len(text), 256):  # bounded arrays whatever the batch holds
-            part = text[k : k + 256]
-            flat, upto = held[0].sample(part.to_pylist(), keys[k : k + 256])
-            offsets = pa.array(np.concatenate([[0], upto]).astype(np.int32), mask=np.append(part.is_null().to_numpy(zero_copy_only=False), False))
-            out.append(pa.ListArray.from_arrays(offsets, pa.array(flat)))
+        texts, keys = text.to_pylist(), key.to_numpy(zero_copy_only=False).astype(np.int64)
+        out = []
+        for a, z in _chunks(np.array([len(t or "") for t in texts], dtype=np.int64), CHUNK_CHARS) if texts else ():
+            flat, upto = held[0].sample(texts[a:z], keys[a:z])
+            missing = np.array([t is None for t in texts[a:z]] + [False])
+            out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32), mask=missing), pa.array(flat)))
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     return ids
@@ -186,11 +258,30 @@ def sampler(model: str = MODEL, alpha: float = 0.5):
 def decoder(model: str = MODEL):
     """Column function (ids): the text they spell, exactly as it was encoded."""
     _, bytes_of, _ = vocabulary(model)
+    size = np.zeros(max(bytes_of) + 1, dtype=np.int64)
+    size[list(bytes_of)] = [len(b) for b in bytes_of.values()]
+    spelt = np.frombuffer(b"".join(bytes_of[i] for i in sorted(bytes_of)), dtype=np.uint8)
+    begin = np.cumsum(size) - size
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
-        spell = bytes_of.__getitem__
-        return pa.array([None if not x.is_valid else b"".join(map(spell, x.values.to_numpy().tolist()))[1:].decode() for x in ids], pa.string())
+        if not len(ids):
+            return pa.array([], pa.string())
+        counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, out = pc.list_flatten(ids).to_numpy(zero_copy_only=False), []
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        for a, z in _chunks(counts, CHUNK_CHARS):
+            part = flat[upto[a] : upto[z]]
+            width = size[part]
+            after = np.concatenate([[0], np.cumsum(width)])
+            data = spelt[np.repeat(begin[part] - after[:-1], width) + np.arange(after[-1])]
+            ends = after[upto[a : z + 1] - upto[a]]
+            full = np.diff(ends) > 0
+            data = np.delete(data, ends[:-1][full])  # the space that stands before every text
+            ends = np.concatenate([[0], ends[1:] - np.cumsum(full)]).astype(np.int32)
+            made = pa.StringArray.from_buffers(z - a, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
+            out.append(pc.if_else(ids[a:z].is_null(), pa.scalar(None, pa.string()), made))
+        return pa.concat_arrays(out)
 
     return text
 
