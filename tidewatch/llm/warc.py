@@ -131,7 +131,7 @@ def _payload(record: bytes, want: str, kind: str) -> bytes | None:
 
 def _open(path: str):
     scheme, _, rest = path.partition(":")
-    store, inside = fs.FileSystem.from_uri(f"{STORES[scheme]}://{rest if rest.startswith('///') or scheme != 'file' else '/' + rest.lstrip('/')}".replace(":////", ":///"))
+    store, inside = fs.FileSystem.from_uri(f"{STORES[scheme]}://{'/' + rest.lstrip('/') if scheme == 'file' else rest.lstrip('/')}")
     return store.open_input_file(inside)
 
 
