@@ -52,8 +52,7 @@ def test_archive_names(spark):
 def test_csv_with_extra_columns(spark, tmp_path):
     write(f"{tmp_path}/depression_2019_features_x.csv",
           "subreddit,post,date,author_hash,tfidf_fake,liwc_fake\ndepression,hello world,2019-01-01T00:00:00Z,aaa,0.1,0.2\nanxiety,other,2019-01-01T00:00:00Z,bbb,0.1,0.2\n")
-    found = files.read_by_suffix(spark, str(tmp_path))
-    posts = files.load_community(found.values(), "depression")
+    posts = files.load_community(files.read_files(spark, str(tmp_path)), "depression")
     assert posts.columns == ["post_id", "created_utc", "selftext", "community", "author", "data_source", "created_utc_dt"]
     r = posts.first()
     assert posts.count() == 1 and r["created_utc"] == 1546300800 and r["post_id"].startswith("hash_")
@@ -61,7 +60,7 @@ def test_csv_with_extra_columns(spark, tmp_path):
 
 def test_date_filter_keeps_range(spark, tmp_path):
     write(f"{tmp_path}/lonely_a.csv", "subreddit,post,date,post_id\nlonely,old,2019-01-01,1\nlonely,new,2020-06-01,2\n")
-    posts = files.load_community(files.read_by_suffix(spark, str(tmp_path)).values(), "lonely", "2020-01-01", "2020-12-31")
+    posts = files.load_community(files.read_files(spark, str(tmp_path)), "lonely", "2020-01-01", "2020-12-31")
     assert [r["selftext"] for r in posts.collect()] == ["new"]
 
 
@@ -70,10 +69,27 @@ def test_date_filter_keeps_range(spark, tmp_path):
 def test_json_files(spark, tmp_path, body):
     write(f"{tmp_path}/lonely_a.json", body)
     write(f"{tmp_path}/sub/lonely_b.jsonl", '{"subreddit": "Lonely", "body": "two text", "created": 1546300801, "id": "9"}\n')
-    posts = files.load_community(files.read_by_suffix(spark, str(tmp_path)).values(), "lonely")
+    posts = files.load_community(files.read_files(spark, str(tmp_path)), "lonely")
     assert rows(posts, "post_id", "selftext", "created_utc") == [("7", "one text", 1546300800), ("9", "two text", 1546300801)]
 
 
+def test_every_file_is_read_by_its_own_layout(spark, tmp_path):
+    write(f"{tmp_path}/a.csv", "date,subreddit,post,author,id\n2020-01-01,lonely,first text,u1,p1\n")
+    write(f"{tmp_path}/b.csv", "id,author,body,created_utc,subreddit\np2,u2,\"second\ntext\",1577836800,lonely\n")
+    write(f"{tmp_path}/c.json", '{"subreddit": "lonely", "body": "third", "created": 1577836800, "id": "p3"}\n{"subreddit": "lonely", "body": "fourth", "created": 1577836800, "id": "p4"}\n')
+    write(f"{tmp_path}/d.json", '\n[\n {"subreddit": "lonely", "body": "fifth", "created": 1577836800, "id": "p5"},\n {"subreddit": "lonely", "body": "sixth", "created": 1577836800, "id": "p6"}\n]')
+    spark.createDataFrame([("lonely", "seventh", 1577836800, "p7")], "community string, selftext string, created_utc long, post_id string").write.parquet(f"{tmp_path}/e.parquet")
+    spark.createDataFrame([(1577836800, "eighth", 8, "lonely")], "timestamp long, text string, id int, subreddit string").write.parquet(f"{tmp_path}/f.parquet")
+    write(f"{tmp_path}/g.csv", "")
+    write(f"{tmp_path}/h.parquet", "not parquet")
+    frames = files.read_files(spark, str(tmp_path))
+    posts = files.load_community(frames, "lonely")
+    assert rows(posts, "post_id", "selftext", "created_utc") == sorted(
+        [(i, t, 1577836800) for i, t in zip(["p1", "p2", "p3", "p4", "p5", "p6", "p7", "8"], ["first text", "second\ntext", "third", "fourth", "fifth", "sixth", "seventh", "eighth"])], key=repr)
+    status = {r.file: (r.rows, r.status) for r in files.file_status(spark, str(tmp_path), frames).collect() if not r.file.startswith("part-")}
+    assert status == {"a.csv": (1, "read"), "b.csv": (1, "read"), "c.json": (2, "read"), "d.json": (2, "read"), "h.parquet": (0, "skipped")}
+
+
 def test_file_selection(spark):
     names = ["lonely_2019_features_tfidf.csv", "lonely_2021_features_tfidf.csv", "lonely_2019_plain.csv", "anxiety_2019_features_x.csv"]
     df = spark.createDataFrame([(n,) for n in names], "f string")
@@ -92,7 +108,7 @@ def test_dump_aliases_and_errors(spark, tmp_path):
 
 def test_store_round_trip_and_pruning(spark, tmp_path):
     posts = spark.createDataFrame([("1", 10, "x", "a"), ("2", 20, "y", "b")], "post_id string, created_utc long, selftext string, community string")
-    files.save_posts(posts, f"{tmp_path}/raw", 2)
+    files.save_posts(posts, f"{tmp_path}/raw")
     back = files.load_posts(spark, f"{tmp_path}/raw", ["a"])
     assert rows(back.select(*posts.columns)) == [("1", 10, "x", "a")]
     assert "PartitionFilters: [isnotnull(community" in back._jdf.queryExecution().toString()

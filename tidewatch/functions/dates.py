@@ -56,31 +56,24 @@ def unix_divisor(max_abs: Column) -> Column:
     return F.when(max_abs > 1e15, F.lit(1.0e9)).when(max_abs > 1e12, F.lit(1.0e3)).otherwise(F.lit(1.0))
 
 
-MAX_SOURCES = 10_000  # sources are configured by hand; more than this is a wrong ``by`` column
-
-
 def to_unix_seconds(df: DataFrame, source: str, out: str = "created_utc", by: str | None = None) -> DataFrame:
     """Clock column of any unit, or of date strings, to unix seconds.
 
-    The unit and the "mostly numeric" test look at a whole source.  The profile (one
-    entry per source) reaches the rows as a scalar subquery, so the rows themselves
-    are neither shuffled nor joined.
+    The unit and the "mostly numeric" test look at a whole source, so the rows meet a profile with one row per source.
+    A single profile reaches them as a scalar subquery; many are an equi-join on the source, whose small side adaptive
+    execution may broadcast.
     """
     num = number_or_null(F.col(source))
-    key = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
     # A column of dates is not numeric, whatever its driver type.
-    per_source = df.groupBy(key.alias("k")).agg(
-        F.struct(
-            unix_divisor(F.max(F.abs(num))).alias("divisor"),
-            F.avg(num.isNotNull().cast("double")).alias("share"),
-        ).alias("v")
+    profile = F.struct(
+        unix_divisor(F.max(F.abs(num))).alias("divisor"),
+        F.avg(num.isNotNull().cast("double")).alias("share"),
     )
-    lookup = per_source.agg(
-        F.when(F.count("*") > MAX_SOURCES, F.raise_error(F.lit("too many sources to profile")).cast("void"))
-        .otherwise(F.lit(None)).alias("check"),
-        F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"),
-    ).select(F.when(F.col("check").isNull(), F.col("m")).alias("m")).scalar()
-    entry = F.element_at(lookup, key)
     parsed = F.unix_micros(to_timestamp_or_null(F.col(source))) / F.lit(1.0e6)
-    value = F.when(entry["share"] > 0.8, num / entry["divisor"]).otherwise(parsed)
-    return df.withColumn(out, value)
+    value = lambda v: F.when(v["share"] > 0.8, num / v["divisor"]).otherwise(parsed)
+    if by is None:
+        return df.withColumn(out, value(df.agg(profile.alias("v")).scalar()))
+    key = F.coalesce(F.col(by).cast("string"), F.lit(""))
+    per_source = df.groupBy(key.alias("_source")).agg(profile.alias("_profile"))
+    joined = df.withColumn("_key", key).join(per_source, F.col("_key") == F.col("_source"))
+    return joined.withColumn(out, value(F.col("_profile"))).drop("_key", "_source", "_profile")

@@ -62,8 +62,8 @@ def pseudonym(author: Column, salt: str) -> Column:
 
 
 def content_id(community: Column, created: Column, body: Column) -> Column:
-    """Stable id from what a row says; the 200 characters are part of the id format."""
-    text = F.concat_ws(":", community, created.cast("string"), F.substring(body, 1, 200))
+    """Stable id from what a row says, its whole body included."""
+    text = F.concat_ws(":", community, created.cast("string"), body)
     return F.concat(F.lit("hash_"), F.substring(F.sha2(text, 256), 1, 16))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -164,13 +165,18 @@ def source_compatibility(posts: DataFrame, source: str = "data_source", max_bad:
 def keep_first(df: DataFrame, keys: Iterable[str], order: Iterable[Column]) -> DataFrame:
     """One row per key: the first in ``order``.
 
-    An aggregate rather than a window, so copies of a hot key are reduced before the
-    shuffle and never meet in one task as a sorted group.
+    Keys found more than once are told by a count of the keys alone.  Rows of all other
+    keys pass through a hash join as they are; only the repeated ones go through the
+    wide aggregate, which reduces copies of a hot key before its shuffle.
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    again = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_again_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_again_{k}")) for k in keys])
+    single = df.join(again.hint("shuffle_hash"), same, "left_anti")
+    several = df.join(again.hint("shuffle_hash"), same, "left_semi")
+    picked = several.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return single.unionByName(picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns))
 
 
 def merge_with_fill(primary: DataFrame, fill: DataFrame, key: str = "post_id") -> DataFrame:

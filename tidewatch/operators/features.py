@@ -21,8 +21,6 @@ SENTIMENT_BINS = {"very_negative": -0.5, "negative": -0.05, "positive": 0.05}
 COMPOUND_ALPHA = 15.0
 NEGATION_FACTOR = -0.74
 
-MAX_INLINE_LEXICON = 20_000  # entries; larger valence tables take the join
-
 
 def with_tokens(
     posts: DataFrame, column: str = "clean_text", words: Sequence[str] = (), marks: Sequence[str] = ()
@@ -112,10 +110,9 @@ def valence_terms(valence: Mapping[str, float]) -> list[str]:
 def valence_hits(valence: Mapping[str, float], negators: Iterable[str] = ()) -> Column:
     """Signed valences of the tokens in ``_tok`` that carry one, in order.
 
-    Only the marked positions ``_at`` are looked at; terms of equal valence share one set.
+    Only the marked positions ``_at`` are looked at; terms of equal valence share one set.  The terms are literals of
+    the plan: a hand-kept list.  A table of any size goes through ``sentiment_join``, as the caller chooses.
     """
-    if len(valence) > MAX_INLINE_LEXICON:
-        raise ValueError("valence table too large for literals; use sentiment_join")
     by_value: dict[float, list[str]] = {}
     for term, v in valence.items():
         if v:

@@ -12,14 +12,13 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions import fits, mathx
-from tidewatch.operators import folds, metrics, scoring, serve
+from tidewatch.operators import folds, metrics, scoring, serve, stats
 from tidewatch.operators.weekly import with_week_index
 from tidewatch.schemas import FAMILY_COLUMNS, STATE_CUTS
-from tidewatch.session import spread
+from tidewatch.session import cut_lineage, spread
 
 CALIBRATOR = "struct<type:string,coef:double,intercept:double,x:array<double>,y:array<double>>"
 FOLD_SCHEMA = (
@@ -269,13 +268,12 @@ def fit_variants(rows: DataFrame, variants: Mapping[str, Sequence[int]] | None,
     return spread(wide.select("community", "variant", "y", "x"), "community", "variant").groupBy("community", "variant").applyInPandas(_whole_fit(l2, min_rows, min_positive), schema)
 
 
-def transfer(scored: DataFrame, features: Sequence[str], communities: Sequence[str], cuts: Sequence[float] = STATE_CUTS,
+def transfer(scored: DataFrame, features: Sequence[str], communities: Sequence[str] | DataFrame, cuts: Sequence[float] = STATE_CUTS,
              threshold: float = 0.5, l2: float = 1.0, score: str = "distress_score") -> DataFrame:
-    """Model of one community scored on another, for every ordered pair of the asked list."""
-    spark = scored.sparkSession
+    """Model of one community scored on another, for every ordered pair that is asked (a list or a table of pairs)."""
     rows = labeled_rows(scored, features, cuts, score)
     models = fit_variants(rows, None, len(features), l2).select(F.col("community").alias("source"), "model")
-    asked = spark.createDataFrame([(a, b) for a in communities for b in communities if a != b], "source string, target string")
+    asked = stats.asked_pairs(scored.sparkSession, communities)
     pairs = asked.join(models, "source").join(rows.withColumnRenamed("community", "target"), "target")
     p = pairs.withColumn("prob", serve.linear_probability(F.col("x"), F.col("model"))).select(
         F.col("target").alias("community"), F.col("source").alias("model"), "week_idx", "prob",
@@ -394,30 +392,27 @@ def tune_gbt(rows: DataFrame, grid: Sequence[Mapping[str, float]], share: float
     return max(trials, key=lambda t: t["score"]), trials
 
 
-def fit_topics(posts: DataFrame, k: int = 15, vocabulary: int = 20_000, min_docs: float = 2.0, rounds: int = 20,
-               seed: int = 42, min_topic_size: int = 10):
-    """Topic model on the posts (usually the weekly sample); None with too few texts.
+def fit_topics(posts: DataFrame, k: int = 15, width: int = 1 << 15, rounds: int = 20, seed: int = 42, min_topic_size: int = 10):
+    """Topic model on all posts; None with too few texts.
 
-    Online LDA keeps only the k x vocabulary matrix and walks the posts in mini-batches.
+    Words are hashed to ``width`` slots, so none is left out of a vocabulary.  Online LDA keeps only the k x width
+    matrix and walks the posts in mini-batches.
     """
     from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
+    from pyspark.ml.feature import HashingTF, RegexTokenizer, StopWordsRemover
 
     usable = posts.where(F.length("clean_text") > 10).select("clean_text")
     if usable.limit(2 * min_topic_size).count() < 2 * min_topic_size:
         return None
     words = Pipeline(stages=[
-        RegexTokenizer(inputCol="clean_text", outputCol="_words", pattern=r"(?U)\W+", minTokenLength=2),
+        RegexTokenizer(inputCol="clean_text", outputCol="_words", pattern=r"(?U)\W+", minTokenLength=1),
         StopWordsRemover(inputCol="_words", outputCol="_kept"),
-        CountVectorizer(inputCol="_kept", outputCol="features", vocabSize=vocabulary, minDF=min_docs),
+        HashingTF(inputCol="_kept", outputCol="features", numFeatures=width),
     ]).fit(usable)
-    # Every round of the fit reads the word counts, not the texts.
-    counts = words.transform(usable).select("features").persist(StorageLevel.DISK_ONLY)
-    try:
-        topics = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online", featuresCol="features").fit(counts)
-    finally:
-        counts.unpersist()
+    # Every round of the fit reads the word counts, not the texts; they are stored where a lost executor cannot take them.
+    counts = cut_lineage(words.transform(usable).select("features"))
+    topics = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online", featuresCol="features").fit(counts)
     return PipelineModel(stages=[*words.stages, topics])
 
 

@@ -115,9 +115,10 @@ def prompt_text(ctx: DataFrame, playbook: Column, sentences: int = 3) -> DataFra
     return context_json(ctx).withColumn("prompt", F.concat_ws("\n\n", F.col("context_json"), playbook, rules))
 
 
-def audit_prompt(posts: Column, community: Column, week: Column, label: Column, max_posts: int = 5) -> Column:
-    """Second-rater prompt for one week from the listed posts (whole texts)."""
-    numbered = F.transform(F.slice(posts, 1, max_posts), lambda p, i: F.concat(F.lit("Post "), (i + 1).cast("string"), F.lit(": "), p))
+def audit_prompt(posts: Column, community: Column, week: Column, label: Column, max_posts: int | None = None) -> Column:
+    """Second-rater prompt for one week from the listed posts (whole texts), the first ``max_posts`` of them if given."""
+    listed = posts if max_posts is None else F.slice(posts, 1, max_posts)
+    numbered = F.transform(listed, lambda p, i: F.concat(F.lit("Post "), (i + 1).cast("string"), F.lit(": "), p))
     return F.concat_ws(
         "\n", F.concat(F.lit("Community: r/"), community), F.concat(F.lit("Week: "), week),
         F.format_string("Model label: %d (%s)", label, name_of(label, STATE_NAMES, F.lit("Unknown"))),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidewatch.functions import mathx, special
 from tidewatch.operators.monitor import long_features
@@ -166,25 +166,28 @@ def with_p_value(rho: DataFrame) -> DataFrame:
     return rho.mapInPandas(tail, schema).withColumn("significant", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
 
 
+def _collinear(features: Sequence[str], cut: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ranks = pdf[list(features)].to_numpy(float)
+        moving = np.flatnonzero(ranks.std(axis=0) > mathx.FLAT_STD)
+        rho = np.atleast_2d(np.corrcoef(ranks[:, moving], rowvar=False)) if len(moving) > 1 else np.zeros((0, 0))
+        i, j = np.nonzero(np.triu(np.abs(rho) >= cut, 1))
+        names = np.array(features, dtype=object)[moving]
+        return pd.DataFrame({"community": pdf["community"].iloc[0], "feature_a": names[i] if len(i) else [], "feature_b": names[j] if len(j) else [], "spearman_rho": rho[i, j] if len(i) else []})
+
+    return run
+
+
 def collinear_pairs(panel: DataFrame, features: Sequence[str], cut: float = 0.9) -> DataFrame:
     """Feature pairs of a community whose absolute rank correlation reaches the cut.
 
-    Ranks are computed once per feature; the pair set is that of the given column list
-    (part of the question), joined week by week and reduced in the same stage.
+    Ranks are computed once per feature.  The rank matrix of a community, weeks by
+    features and so bounded by the calendar, gives all its correlations in one product.
     """
-    pos = {f: i for i, f in enumerate(features)}
     ranked = _filled(panel, features, ("community", "week_start")).withColumn("_r", average_rank(F.col("value"), *BY))
     wide = ranked.groupBy("community", "week_start").agg(*[F.max(F.when(F.col("feature") == f, F.col("_r"))).alias(f) for f in features])
-    pairs = [(a, b) for a in features for b in features if pos[a] < pos[b]]
-    corr = lambda a, b: F.when(
-        (F.stddev_pop(a) > mathx.FLAT_STD) & (F.stddev_pop(b) > mathx.FLAT_STD), F.corr(a, b)
-    )
-    sums = wide.groupBy("community").agg(*[corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"_{i}").alias("spearman_rho"))
-        for i, (a, b) in enumerate(pairs)
-    ])
-    return sums.select("community", F.inline(rows)).where(F.abs("spearman_rho") >= cut)
+    schema = "community string, feature_a string, feature_b string, spearman_rho double"
+    return wide.dropna(subset=list(features)).groupBy("community").applyInPandas(_collinear(features, cut), schema)
 
 
 def top_features(table: DataFrame, value: Column, n: int, name: str = "feature") -> DataFrame:
@@ -198,14 +201,20 @@ def top_features(table: DataFrame, value: Column, n: int, name: str = "feature")
 GRANGER_SCHEMA = "source string, target string, lag int, n long, f_stat double, p_value double, reason string"
 
 
-def aligned_pairs(scored: DataFrame, communities: Sequence[str], score: str = "distress_score") -> DataFrame:
+def asked_pairs(spark: SparkSession, communities: Sequence[str] | DataFrame) -> DataFrame:
+    """Ordered pairs (source, target): those of a short list the caller names, or a table of pairs as it is."""
+    if isinstance(communities, DataFrame):
+        return communities.select("source", "target")
+    return spark.createDataFrame([(a, b) for a in communities for b in communities if a != b], "source string, target string")
+
+
+def aligned_pairs(scored: DataFrame, communities: Sequence[str] | DataFrame, score: str = "distress_score") -> DataFrame:
     """Rows (source, target, t, x, y): both series counted back from their last week.
 
-    The pairs are those of the community list the caller asks about; each side is an
+    The pairs are those the caller asks about, a list or a table; each side is an
     equi-join on (community, weeks from the end).
     """
-    spark = scored.sparkSession
-    asked = spark.createDataFrame([(a, b) for a in communities for b in communities if a != b], "source string, target string")
+    asked = asked_pairs(scored.sparkSession, communities)
     back = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("week_start")))
     series = scored.select("community", "week_start", F.col(score).cast("double").alias("v")).withColumn("back", back)
     x = asked.join(series.select(F.col("community").alias("source"), "back", F.col("v").alias("x")), "source")
@@ -249,7 +258,7 @@ def _granger_group(max_lag: int):
     return run
 
 
-def granger(scored: DataFrame, communities: Sequence[str], max_lag: int = 4, score: str = "distress_score") -> DataFrame:
+def granger(scored: DataFrame, communities: Sequence[str] | DataFrame, max_lag: int = 4, score: str = "distress_score") -> DataFrame:
     """F test "source helps predict target" for every ordered pair and lag 1..max_lag.
 
     One group is one pair of weekly series, bounded by the calendar.

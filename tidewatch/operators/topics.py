@@ -13,14 +13,12 @@ def cap_per_week(posts: DataFrame, per_week: int = 200, seed: int = 42, key: str
 
     A sampling operator.  A week keeps the posts with the smallest hash.  Spark turns
     the ``row_number <= n`` filter into a group limit on both sides of the shuffle, so
-    a task forwards at most ``per_week`` narrow rows of a huge week.
+    a task forwards at most ``per_week`` rows of a huge week, texts included, and no
+    second pass over the posts is needed.
     """
     week = Window.partitionBy("community", "week_start").orderBy("_h", key)
-    kept = (
-        weekly.with_week(posts).select("community", "week_start", key, F.xxhash64(F.lit(seed), F.col(key)).alias("_h"))
-        .withColumn("_r", F.row_number().over(week)).where(F.col("_r") <= per_week)
-    )
-    return posts.join(kept.select(key), key, "left_semi")
+    ranked = weekly.with_week(posts).withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("_r", F.row_number().over(week))
+    return ranked.where(F.col("_r") <= per_week).select(*posts.columns)
 
 
 def topic_counts(posts: DataFrame, topic: str = "topic_id") -> DataFrame:

@@ -50,7 +50,7 @@ def row_rule_counts(spark, sf):
 
 
 @query("archive_posts", "WITH " + ARCHIVE_SQL + """
-SELECT CASE WHEN post_id = '' THEN 'hash_' || substr(sha256('en:' || created_utc || ':' || substr(body, 1, 200)), 1, 16) ELSE post_id END AS post_id,
+SELECT CASE WHEN post_id = '' THEN 'hash_' || substr(sha256('en:' || created_utc || ':' || body), 1, 16) ELSE post_id END AS post_id,
        CAST(created_utc AS BIGINT) AS created_utc, sha256(body) AS body_hash, lower(trim(community)) AS community,
        CASE WHEN author = '[deleted]' THEN '' ELSE author END AS author, 'archive' AS data_source FROM ruled WHERE skip_reason IS NULL""")
 def archive_posts(spark, sf):
@@ -58,7 +58,7 @@ def archive_posts(spark, sf):
     return p.withColumn("body_hash", F.sha2("selftext", 256)).drop("selftext")
 
 
-@query("weak_id_hash", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'hash_' || substr(sha256(lang || ':' || (1514764800 + doc_id) || ':' || substr(text, 1, 200)), 1, 16)
+@query("weak_id_hash", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'hash_' || substr(sha256(lang || ':' || (1514764800 + doc_id) || ':' || text), 1, 16)
  ELSE 'd' || doc_id END AS post_id FROM documents""")
 def weak_id_hash(spark, sf):
     d = b.table(spark, sf, "documents")

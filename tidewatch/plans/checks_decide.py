@@ -249,14 +249,11 @@ def audit_sample(spark, sf):
 
 
 @query("audit_prompts", """WITH c AS (SELECT conv_id, string_agg('Post ' || r || ': ' || text, chr(10) || chr(10) ORDER BY r) AS body FROM (
-  SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r <= 5 GROUP BY conv_id)
+  SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY conv_id)
 SELECT conv_id, sha256('Community: r/talk' || chr(10) || 'Week: 2018-W01' || chr(10) || 'Model label: 2 (Elevated Distress)' || chr(10) || body || chr(10) || 'Reply with JSON only.') AS prompt_hash FROM c""")
 def audit_prompts(spark, sf):
-    # Only the first five posts are asked about (a top-k report), found before any grouping.
-    from pyspark.sql import Window
-
-    c = b.table(spark, sf, "conversations").withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("r <= 5")
-    g = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]).alias("posts"))
+    c = b.table(spark, sf, "conversations")
+    g = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("posts"))
     p = narrate.audit_prompt(F.col("posts"), F.lit("talk"), F.lit("2018-W01"), F.lit(2))
     return g.select("conv_id", F.sha2(p, 256).alias("prompt_hash"))
 

@@ -268,7 +268,7 @@ def topic_model(spark, sf):
     from tidewatch.operators import learn
 
     posts = b.clean_documents(spark, sf)
-    model = learn.fit_topics(topics.cap_per_week(posts, 200), k=5, rounds=5)
+    model = learn.fit_topics(posts)
     if model is None:
         return topics.no_topics(weekly.weekly_panel(posts)).select("community", "week_start", "dominant_topic", "topic_entropy", "topic_shift_jsd")
     return shown(topics.topic_features(topics.topic_counts(learn.assign_topics(posts, model))))

@@ -26,7 +26,7 @@ def prepare(posts: DataFrame, min_length: int = 20) -> DataFrame:
     return clean.resolve_clock(clean.clean_posts(keyed, min_length))
 
 
-def store_clean(posts: DataFrame, path: str, files_per_community: int = 1, min_length: int = 20) -> DataFrame:
+def store_clean(posts: DataFrame, path: str, min_length: int = 20) -> DataFrame:
     """Writes the clean posts and returns them read back.
 
     The feature job reads its input twice: once with the texts and once for (community,
@@ -35,20 +35,24 @@ def store_clean(posts: DataFrame, path: str, files_per_community: int = 1, min_l
     """
     keep = ("post_id", "community", "ts", "author_hash", "score", "num_comments", "data_source", "clean_text")
     rows = prepare(posts, min_length)
-    files.spread_by_community(rows.select(*[c for c in keep if c in rows.columns]), files_per_community).write.mode(
+    files.spread_by_community(rows.select(*[c for c in keep if c in rows.columns])).write.mode(
         "overwrite").partitionBy("community").parquet(path)
     return posts.sparkSession.read.parquet(path)
 
 
 def feature_panel(
-    clean_rows: DataFrame, lexicons: Mapping[str, Iterable[str]], valence: Mapping[str, float] | None = None,
+    clean_rows: DataFrame, lexicons: Mapping[str, Iterable[str]], valence: Mapping[str, float] | DataFrame | None = None,
     negators: Sequence[str] = (), topic_column: str | None = None, windows: Sequence[int] = (2, 4),
 ) -> DataFrame:
     """Clean posts to the full feature matrix.
 
     Sentiment columns (pos, neg, neu, compound) are computed from ``valence`` unless the
-    posts already carry them.  Without topics the topic block is three zero columns.
+    posts already carry them: a mapping travels as literals, a table (token, valence) of any size is joined.  Without
+    topics the topic block is three zero columns.
     """
+    if isinstance(valence, DataFrame):
+        flips = clean_rows.sparkSession.createDataFrame([(n,) for n in negators], "token string") if negators else None
+        clean_rows, valence = features.sentiment_join(clean_rows, valence, flips), None
     given = "compound" in clean_rows.columns
     metrics_rows = features.post_metrics(clean_rows, lexicons, valence=None if given else valence or {}, negators=negators)
     panel = features.weekly_features(metrics_rows)

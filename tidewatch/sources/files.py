@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import json
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidewatch.functions import dates, text
@@ -76,44 +79,81 @@ def archive_counts(ruled: DataFrame) -> DataFrame:
     return clean.row_rule_counts(ruled, "file")
 
 
-# Post bodies contain line breaks inside quotes, so CSV files are read whole-record and not split.
-READERS = {
-    "csv": lambda r: r.option("header", "true").option("multiLine", "true").option("escape", '"').format("csv"),
-    "parquet": lambda r: r.format("parquet"),
-    "json": lambda r: r.format("json"),
-    "jsonl": lambda r: r.format("json"),
-}
+SUFFIXES = ("csv", "parquet", "json", "jsonl")
+
+
+def _csv(reader):
+    """Post bodies contain line breaks inside quotes, so CSV files are read whole-record and not split."""
+    return reader.option("header", "true").option("multiLine", "true").option("escape", '"')
 
 
-def _is_array(spark: SparkSession, path: str, glob: str) -> bool:
-    """Do the .json files hold one array (else one object per line); they share one shape."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
-    first = lines.where(F.trim("value") != "").first()
-    return first is not None and first["value"].lstrip().startswith("[")
+def list_files(spark: SparkSession, path: str, suffixes: Sequence[str] = SUFFIXES, name_glob: str = "") -> DataFrame:
+    """path, file, suffix and bytes of every file below ``path``; no content is read."""
+    globs = f"{name_glob or '*'}.{{{','.join(suffixes)}}}"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", globs).load(path)
+    return found.select("path", F.regexp_extract("path", "[^/]*$", 0).alias("file"), F.regexp_extract("path", r"[^.]*$", 0).alias("suffix"), F.col("length").alias("bytes"))
 
 
-def read_by_suffix(spark: SparkSession, path: str, suffixes: Sequence[str] = tuple(READERS), name_glob: str = "") -> dict[str, DataFrame]:
-    """One DataFrame per file type found below ``path``; unreadable files are skipped.
+def first_lines(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """First line with a character of each text file."""
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), "value")
+    lines = lines.where((F.trim("value") != "")).groupBy("path", F.spark_partition_id().alias("part")).agg(F.min_by("value", "at").alias("value"), F.min("at").alias("at"))
+    # Splits of a file lie in partitions of any order, so the split at its start is told by its block.
+    starts = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.spark_partition_id().alias("part")).where("_metadata.file_block_start = 0").distinct()
+    return {r.path: r.value.lstrip("\ufeff") for r in lines.join(starts, ["path", "part"]).select("path", "value").collect()}
 
+
+def read_files(spark: SparkSession, path: str, suffixes: Sequence[str] = SUFFIXES, name_glob: str = "") -> list[DataFrame]:
+    """The files below ``path``, a DataFrame per layout, each with the column ``file``.
+
+    Files of one layout are read together and no file is read by another's: CSV files are grouped by their own header
+    line, JSON files by whether they hold an array or an object per line, Parquet files by the schema in their footer.
     ``name_glob`` narrows the file names (for example ``lonely_2019*``).
     """
-    out = {}
-    for s in suffixes:
-        reader = READERS[s](
-            spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{name_glob or '*'}.{s}")
-            .option("ignoreCorruptFiles", "true")
-        )
-        try:
-            if s == "json" and _is_array(spark, path, f"{name_glob or '*'}.json"):
-                reader = reader.option("multiLine", "true")
-            df = reader.load(path)
-        except AnalysisException:
-            continue  # no file of this type
+    groups: dict[tuple, list[str]] = {}
+    listed = list_files(spark, path, suffixes, name_glob).where("bytes > 0").select("path", "suffix").collect()
+    text_like = [r.path for r in listed if r.suffix != "parquet"]
+    heads = first_lines(spark, text_like) if text_like else {}
+    for r in sorted(listed):
+        if r.suffix == "csv":
+            layout = (heads.get(r.path, "").rstrip("\r"),)
+        elif r.suffix == "parquet":
+            layout = (_parquet_layout(spark, r.path),)
+        else:
+            layout = (heads.get(r.path, "").lstrip().startswith("["),)
+        groups.setdefault((r.suffix, *layout), []).append(r.path)
+    out = []
+    for (suffix, layout), paths in groups.items():
+        if suffix == "csv" and layout:
+            names = next(csv.reader([layout]))
+            df = _csv(spark.read).schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(paths)
+        elif suffix == "parquet" and layout:
+            df = spark.read.schema(T.StructType.fromJson(json.loads(layout))).parquet(*paths)
+        elif suffix in ("json", "jsonl"):
+            df = spark.read.option("multiLine", str(layout).lower()).json(paths)
+        else:
+            continue  # no header or no footer: file_status says so
         if df.columns:
-            out[s] = df.withColumn("file", F.col("_metadata.file_name"))
+            out.append(df.withColumn("file", F.col("_metadata.file_name")))
     return out
 
 
+def _parquet_layout(spark: SparkSession, path: str) -> str:
+    try:
+        return spark.read.option("ignoreCorruptFiles", "true").parquet(path).schema.json()
+    except PySparkException:
+        return ""
+
+
+def file_status(spark: SparkSession, path: str, frames: Sequence[DataFrame], suffixes: Sequence[str] = SUFFIXES, name_glob: str = "") -> DataFrame:
+    """file, bytes, rows and status of every file with content below ``path``: read, or skipped (nothing in it could be read)."""
+    counts = [f.groupBy("file").agg(F.count("*").alias("rows")) for f in frames]
+    rows = reduce(DataFrame.unionByName, counts) if counts else spark.createDataFrame([], "file string, rows long")
+    status = F.when(F.coalesce("rows", F.lit(0)) > 0, "read").otherwise("skipped")
+    found = list_files(spark, path, suffixes, name_glob).join(rows.groupBy("file").agg(F.sum("rows").alias("rows")), "file", "left")
+    return found.select("file", "bytes", F.coalesce("rows", F.lit(0)).alias("rows"), status.alias("status"))
+
+
 def selected_files(file: Column, community: str, timeframes: Sequence[str]) -> Column:
     """Files of a community, one of the time frames, with precomputed features in the name."""
     name = F.lower(file)
@@ -165,7 +205,7 @@ def load_community(frames: Iterable[DataFrame], community: str, start: str | Non
 
 def read_dump(spark: SparkSession, path: str, community: str | None = None) -> DataFrame:
     """CSV dump with alias renames; unusable clocks are dropped, a missing column is an error."""
-    df = READERS["csv"](spark.read).load(path)
+    df = _csv(spark.read).csv(path)
     for alias, target in DUMP_ALIASES.items():
         if alias in df.columns and target not in df.columns:
             df = df.withColumnRenamed(alias, target)
@@ -178,15 +218,14 @@ def read_dump(spark: SparkSession, path: str, community: str | None = None) -> D
     return df.where(F.col("created_utc").isNotNull()).withColumn("created_utc_dt", F.timestamp_seconds("created_utc"))
 
 
-def spread_by_community(posts: DataFrame, files_per_community: int = 1) -> DataFrame:
-    """Rows of a community together, a hot one spread over several writers by a hash of the id."""
-    slot = F.pmod(F.xxhash64("post_id"), F.lit(max(1, files_per_community)))
-    return posts.repartition(F.col("community"), slot)
+def spread_by_community(posts: DataFrame) -> DataFrame:
+    """Rows of a community together; adaptive execution splits a hot one by its bytes, so several tasks write it."""
+    return posts.hint("rebalance", F.col("community"))
 
 
-def save_posts(posts: DataFrame, path: str, files_per_community: int = 1) -> None:
+def save_posts(posts: DataFrame, path: str) -> None:
     clean.validate(posts, "raw")
-    spread_by_community(posts, files_per_community).write.mode("overwrite").partitionBy("community").parquet(path)
+    spread_by_community(posts).write.mode("overwrite").partitionBy("community").parquet(path)
 
 
 def load_posts(spark: SparkSession, path: str, communities: Sequence[str] | None = None) -> DataFrame:
@@ -246,16 +285,10 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return df.select(family.alias("family"), F.lower(text.strip_unicode(F.col("value"))).alias("term")).where(F.col("term") != "")
 
 
-MAX_TERMS = 50_000
-
-
 def lexicon_terms(table: DataFrame) -> dict[str, list[str]]:
-    """Term lists for the lexicon expressions; refuses tables that are not hand-kept lists."""
-    rows = table.limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError("lexicon too large for term lists")
+    """Term lists of a hand-kept lexicon, for the expressions that take lists; a large one stays a table (``features.lexicon_hits``)."""
     out: dict[str, list[str]] = {}
-    for r in rows:
+    for r in table.collect():
         out.setdefault(r["family"], []).append(r["term"])
     return out
 

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidewatch.session import spread
 from tidewatch.sources.files import load_artifact
 
+#: Stores that a task opens itself (Spark's name: its name), and how much of a file it holds at a time.
+STORES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
+HASH_BYTES = 8 << 20
+
 
 def upsert(old: DataFrame | None, new: DataFrame, keys: Sequence[str], clock: str) -> DataFrame:
     """One row per key, the latest clock wins; on equal clocks the new row does."""
@@ -26,9 +34,34 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Path, size and sha256 of every file below a path, hashed in the tasks that read them."""
+    """Path, size and sha256 of every file below a path, hashed in the tasks that own the paths.
+
+    A task streams a file in pieces of HASH_BYTES, so its size does not matter.  A store that only Spark opens is read
+    through Spark, which takes files up to 2 GiB.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return df.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified_at"))
+    named = [F.col("path"), F.col("length").alias("size_bytes")]
+    some = df.select("path").head()
+    if some and some[0].partition(":")[0] not in STORES:
+        return df.select(*named, F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified_at"))
+
+    def hashed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_sha256(p) for p in b.column(0).to_pylist()], pa.string())], [*b.schema.names, "sha256"])
+
+    listed = df.select(*named, F.col("modificationTime").alias("modified_at"))
+    out = spread(listed, "path").mapInArrow(hashed, "path string, size_bytes long, modified_at timestamp, sha256 string")
+    return out.select("path", "size_bytes", "sha256", "modified_at")
+
+
+def _sha256(path: str) -> str:
+    scheme, _, rest = path.partition(":")
+    store, inside = fs.FileSystem.from_uri(f"{STORES[scheme]}://{'/' + rest.lstrip('/') if scheme == 'file' else rest.lstrip('/')}")
+    digest = hashlib.sha256()
+    with store.open_input_stream(inside) as f:
+        while part := f.read(HASH_BYTES):
+            digest.update(part)
+    return digest.hexdigest()
 
 
 def changed_files(current: DataFrame, manifest: DataFrame) -> DataFrame:
