@@ -39,7 +39,7 @@ class Hashed:
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         known = self.known
-        for w in set(words) - known.keys():
+        for w in set(words).difference(known):
             known[w] = xxhash.xxh32_intdigest(w.encode())
         h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
         pairs = (h[:-1] * np.uint64(0x9E3779B1) + h[1:]) >> np.uint64(7)

@@ -89,7 +89,7 @@ def counter(model: str = MODEL):
         sums = []
         for t in text:
             words = (t.as_py() or "").encode("utf-8", "surrogatepass").split()  # bytes: ASCII white space only
-            for w in set(words) - known.keys():
+            for w in set(words).difference(known):
                 if len(known) >= KEPT_WORDS:
                     known.clear()
                     known.update((x, auto.length(x.decode("utf-8", "surrogatepass"))) for x in set(words))
