@@ -213,25 +213,48 @@ spine AS (SELECT community, CAST(unnest(generate_series(min(week_start)::TIMESTA
 panel AS (SELECT s.community, s.week_start, CAST(coalesce(n, 0) AS DOUBLE) AS post_volume, CAST(coalesce(authors, 0) AS DOUBLE) AS unique_posters, coalesce(avg_comments, 0) AS avg_comments, coalesce(avg_negative, 0) AS avg_negative,
   coalesce(hopelessness_density, 0) AS hopelessness_density, coalesce(help_seeking_density, 0) AS help_seeking_density, coalesce(suicidality_density, 0) AS suicidality_density, coalesce(isolation_density, 0) AS isolation_density,
   coalesce(economic_stress_density, 0) AS economic_stress_density, coalesce(domestic_stress_density, 0) AS domestic_stress_density FROM spine s LEFT JOIN obs USING (community, week_start))"""
-KEPT = ("post_volume", "unique_posters", "avg_comments", "avg_negative", "hopelessness_density", "suicidality_density")
-
-
 def _document_panel(spark, sf):
     return jobs.feature_panel(b.clean_documents(spark, sf), b.LEXICONS, b.VALENCE, b.NEGATORS)
 
 
-@query("feature_matrix", "WITH " + WEEKLY_TEXT + " SELECT community, week_start, " + ", ".join(f"""round({c}, 5) AS {c}, round(coalesce({c} - lag({c}) OVER w, 0), 5) + 0.0 AS {c}_delta,
-  round(avg({c}) OVER (PARTITION BY community ORDER BY week_start ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 5) AS {c}_roll4w""" for c in KEPT) + " FROM panel WINDOW w AS (PARTITION BY community ORDER BY week_start)")
-def feature_matrix(spark, sf):
-    p = _document_panel(spark, sf)
-    return shown(p.select("community", "week_start", *[c for k in KEPT for c in (k, f"{k}_delta", f"{k}_roll4w")]), 5)
+# Every core column of the matrix from the post-level tables above; topics, which need a fitted model, are zero here.
+OBSERVED = {
+    "avg_word_count": "avg(l.n_words)", "std_word_count": "stddev_pop(l.n_words)", "avg_char_count": "avg(l.n_chars)",
+    "avg_type_token_ratio": "avg(l.ttr)", "avg_flesch_kincaid": "avg(l.grade)", "first_person_singular_ratio": "avg(l.singular)",
+    "first_person_plural_ratio": "avg(l.plural)", "avg_compound": "avg(sm.compound)", "avg_positive": "avg(sm.pos)",
+    "avg_negative": "avg(sm.neg)", "avg_neutral": "avg(sm.neu)",
+    "pct_very_negative": "avg(CASE WHEN sm.compound < -0.5 THEN 1.0::DOUBLE ELSE 0 END)",
+    "pct_negative": "avg(CASE WHEN sm.compound >= -0.5 AND sm.compound < -0.05 THEN 1.0::DOUBLE ELSE 0 END)",
+    "pct_neutral": "avg(CASE WHEN sm.compound >= -0.05 AND sm.compound <= 0.05 THEN 1.0::DOUBLE ELSE 0 END)",
+    "pct_positive": "avg(CASE WHEN sm.compound > 0.05 THEN 1.0::DOUBLE ELSE 0 END)",
+    **{f"{f}_density": f"avg(CASE WHEN k.n_words > 0 THEN k.n_{f}::DOUBLE / k.n_words ELSE 0 END)" for f in PER_WORD_FAMILIES},
+    **{f"{f}_density": f"sum(k.n_{f})::DOUBLE / count(*)" for f in PER_POST_FAMILIES},
+    "post_volume": "count(*)::DOUBLE", "avg_comments": "sum(c.num_comments)::DOUBLE / count(*)", "unique_posters": "count(DISTINCT c.author_hash)::DOUBLE",
+}
+CORE = (*OBSERVED, "new_poster_ratio", "posting_time_entropy", "topic_entropy", "topic_shift_jsd")
+MATRIX = SENTIMENT + COUNTED.removeprefix(b.DOCUMENTS) + LINGUISTIC.removeprefix(b.DOCUMENTS) + f""",
+obs AS (SELECT c.community, c.week_start, {", ".join(f"{sql} AS {c}" for c, sql in OBSERVED.items())}
+  FROM cleaned c JOIN sentiment sm USING (post_id) JOIN counted k USING (post_id) JOIN ling l USING (post_id) GROUP BY ALL),
+fresh AS (SELECT community, week_start, count(*) AS k FROM (SELECT community, author_hash, min(week_start) AS week_start FROM cleaned GROUP BY ALL) GROUP BY ALL),
+hours AS (SELECT community, week_start, -sum(p * ln(p)) AS h FROM (SELECT community, week_start, count(*) / sum(count(*)) OVER (PARTITION BY community, week_start)::DOUBLE AS p
+  FROM cleaned GROUP BY community, week_start, extract(hour FROM ts)) GROUP BY ALL),
+spine AS (SELECT community, CAST(unnest(generate_series(min(week_start)::TIMESTAMP, max(week_start)::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS week_start FROM obs GROUP BY community),
+panel AS (SELECT s.community, s.week_start, {", ".join(f"coalesce(o.{c}, 0) AS {c}" for c in OBSERVED)},
+  coalesce(coalesce(f.k, 0)::DOUBLE / o.unique_posters, 0) AS new_poster_ratio, coalesce(h.h, 0) AS posting_time_entropy, 0.0::DOUBLE AS topic_entropy, 0.0::DOUBLE AS topic_shift_jsd
+  FROM spine s LEFT JOIN obs o USING (community, week_start) LEFT JOIN fresh f USING (community, week_start) LEFT JOIN hours h USING (community, week_start))"""
 
 
-@query("feature_layout", "SELECT 123 AS n_columns, 4 AS n_meta, 0 AS n_null_cells FROM (SELECT count(*) AS n FROM documents) WHERE n > 0")
-def feature_layout(spark, sf):
-    p = _document_panel(spark, sf)
-    nulls = temporal.null_counts(p, [c for c in p.columns if c not in ("community", "week_start")])
-    return nulls.agg((F.count("*") + 2).cast("int").alias("n_columns"), F.lit(4).alias("n_meta"), F.sum("n_null").cast("int").alias("n_null_cells"))
+def _trailing(column: str, weeks: int) -> str:
+    return f"round(avg({column}) OVER (PARTITION BY community ORDER BY week_start ROWS BETWEEN {weeks - 1} PRECEDING AND CURRENT ROW), 4) + 0.0 AS {column}_roll{weeks}w"
+
+
+@query("feature_matrix", f"""WITH {MATRIX} SELECT community, week_start, CAST(extract(isoyear FROM week_start) AS BIGINT) AS iso_year, CAST(extract(week FROM week_start) AS BIGINT) AS iso_week, CAST(0 AS BIGINT) AS dominant_topic,
+  {", ".join(f"round({c}, 4) + 0.0 AS {c}, round(coalesce({c} - lag({c}) OVER w, 0), 4) + 0.0 AS {c}_delta, {_trailing(c, 2)}, {_trailing(c, 4)}" for c in CORE)},
+  round(sin(2 * pi() * extract(week FROM week_start) / 52), 4) + 0.0 AS week_sin, round(cos(2 * pi() * extract(week FROM week_start) / 52), 4) + 0.0 AS week_cos
+  FROM panel WINDOW w AS (PARTITION BY community ORDER BY week_start)""")
+def feature_matrix(spark, sf):
+    """All columns: 29 core ones with change and two trailing means each, topic, season and keys."""
+    return shown(_document_panel(spark, sf), 4)
 
 
 TEXT_SIGNALS = ("avg_negative", "hopelessness_density", "suicidality_density", "isolation_density", "post_volume")
