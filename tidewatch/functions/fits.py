@@ -68,8 +68,11 @@ def search_l2(x: np.ndarray, y: np.ndarray, grid: tuple[float, ...], splits: int
     return best
 
 
-def fit_classes(x: np.ndarray, y: np.ndarray, n_class: int = 4, l2: float = 1e-2, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax regression on min-max scaled inputs, classes weighted inversely to their count."""
+def fit_classes(x: np.ndarray, y: np.ndarray, n_class: int = 4, l2: float = 1e-2, tolerance: float = 1e-5, rounds: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax regression on min-max scaled inputs, classes weighted inversely to their count.
+
+    Steps go on until none moves a coefficient by ``tolerance``; after ``rounds`` the last one stands.
+    """
     low, span = x.min(axis=0), np.ptp(x, axis=0)
     span = np.where(span > 0, span, 1.0)
     s = (x - low) / span - 0.5
@@ -91,6 +94,8 @@ def fit_classes(x: np.ndarray, y: np.ndarray, n_class: int = 4, l2: float = 1e-2
         va = 0.9 * va - rate * (g.T @ s + l2 * a)
         vb = 0.9 * vb - rate * np.where(counts > 0, g.sum(axis=0), 0.0)
         a, b = a + va, b + vb
+        if max(np.abs(va).max(initial=0.0), np.abs(vb).max(initial=0.0)) < tolerance:
+            break
     coef = a / span
     return coef, b - coef @ (low + 0.5 * span)
 

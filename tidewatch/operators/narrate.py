@@ -15,10 +15,10 @@ FLAT_PCT = 0.5
 
 # Sentences of a brief.
 NO_ACTION = "Review the moderation playbook for this signal level."
-SENTENCE_1 = "%s (%s) is labeled %s this week based on model outputs (aggregate community-level indicator, not individual assessment)."
+SENTENCE_1 = "%s (%s): the models put this week at %s, a statement about the community as a whole and about no single member."
 SENTENCE_2 = (
-    "Distress score change vs the prior week is %+.4f; globally important features include %s "
-    "(SHAP-ranked; per-week direction in JSON)."
+    "The distress score moved by %+.4f since the week before; by overall importance the leading features are %s "
+    "(the JSON has their direction this week)."
 )
 SENTENCE_3 = "Recommended action: %s"
 SERVED_1 = "%s (%s) shows a community-level signal of %s. "

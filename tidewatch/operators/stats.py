@@ -156,11 +156,8 @@ def with_p_value(rho: DataFrame) -> DataFrame:
     def tail(batches):
         for pdf in batches:
             n, r = pdf["n"].to_numpy(float), pdf["spearman_rho"].to_numpy(float)
-            p = [
-                special.t_two_sided(ri * np.sqrt((ni - 2) / max(1e-300, 1 - ri * ri)), ni - 2) if np.isfinite(ri) else None
-                for ni, ri in zip(n, r)
-            ]
-            yield pdf.assign(p_value=pd.Series(p, index=pdf.index, dtype="float64"))
+            p = special.t_two_sided(r * np.sqrt((n - 2) / np.maximum(1e-300, 1 - r * r)), n - 2)
+            yield pdf.assign(p_value=p)
 
     schema = T.StructType([*rho.schema.fields, T.StructField("p_value", T.DoubleType())])
     return rho.mapInPandas(tail, schema).withColumn("significant", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
@@ -251,7 +248,7 @@ def _granger_group(max_lag: int):
             df2 = m - 2 * k - 1
             # An exact fit leaves nothing to test.
             f = ((small - full) / k) / (full / df2) if full > 1e-12 * max(small, 1e-300) else None
-            p = special.f_tail(f, k, df2) if f is not None else None
+            p = float(special.f_tail(f, k, df2)) if f is not None else None
             rows.append((src, tgt, k, m, f, p, None if f is not None else "exact_fit"))
         return pd.DataFrame(rows, columns=["source", "target", "lag", "n", "f_stat", "p_value", "reason"])
 

@@ -12,6 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions import dates, mathx
+from tidewatch.session import cut_lineage
 
 BY_WEEK = ("community", "week_start")
 
@@ -177,7 +178,11 @@ def cross_source(posts: DataFrame, source: str = "data_source", max_ratio: float
 
 def cross_source_report(posts: DataFrame, source: str = "data_source", max_ratio: float = 2.0) -> DataFrame:
     """One row per community: sources, weeks, overlapping weeks, discrepancies."""
-    per_week = source_weeks(posts, source).groupBy(*BY_WEEK).agg(
+    return _source_report(source_weeks(posts, source), max_ratio)
+
+
+def _source_report(by_source: DataFrame, max_ratio: float) -> DataFrame:
+    per_week = by_source.groupBy(*BY_WEEK).agg(
         F.collect_set("source").alias("ws"), (F.max("n") / F.min("n")).alias("ratio"), F.count("*").alias("k")
     )
     return per_week.groupBy("community").agg(
@@ -189,15 +194,19 @@ def cross_source_report(posts: DataFrame, source: str = "data_source", max_ratio
 
 
 def quality_report(posts: DataFrame, start: str, end: str, source: str = "data_source") -> DataFrame:
-    """Weeks seen, gaps, missing weeks, mean completeness and source discrepancies."""
-    counts = weekly_counts(posts)
+    """Weeks seen, gaps, missing weeks, mean completeness and source discrepancies.
+
+    All parts come from one small table, posts per week and source, so the posts are read and shuffled once.
+    """
+    by_source = cut_lineage(source_weeks(posts, source))
+    counts = by_source.groupBy(*BY_WEEK).agg(F.sum("n").alias("post_count"))
     seen = completeness(counts).groupBy("community").agg(
         F.count("*").alias("total_weeks_observed"),
         F.count_if("is_gap").alias("gap_weeks"),
         F.avg("completeness_score").alias("avg_completeness"),
     )
     absent = missing_weeks(counts, start, end).groupBy("community").agg(F.count("*").alias("missing_week_count"))
-    cross = cross_source_report(posts, source).select("community", "n_discrepancies")
+    cross = _source_report(by_source, 2.0).select("community", "n_discrepancies")
     return (
         seen.join(absent, "community", "left")
         .join(cross, "community", "left")

@@ -194,8 +194,8 @@ def playbook_actions(spark, sf):
 SIGNED = "CASE WHEN distress_score_delta < 0 THEN '-' ELSE '+' END || printf('%.4f', abs(distress_score_delta))"
 
 
-@query("template_brief", P + CTX + f""" SELECT community, week, 'r/' || community || ' (' || week || ') is labeled ' || predicted_state || ' this week based on model outputs (aggregate community-level indicator, not individual assessment). Distress score change vs the prior week is '
-  || {SIGNED} || '; globally important features include ' || names || ' (SHAP-ranked; per-week direction in JSON). Recommended action: ' || {ACTIONS} AS brief FROM ctx""")
+@query("template_brief", P + CTX + f""" SELECT community, week, 'r/' || community || ' (' || week || '): the models put this week at ' || predicted_state || ', a statement about the community as a whole and about no single member. The distress score moved by '
+  || {SIGNED} || ' since the week before; by overall importance the leading features are ' || names || ' (the JSON has their direction this week). Recommended action: ' || {ACTIONS} AS brief FROM ctx""")
 def template_brief(spark, sf):
     return narrate.template_brief(_context(spark, sf), _actions(spark)).select("community", "week", "brief")
 

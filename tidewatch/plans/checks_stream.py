@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,16 +10,14 @@ from tidewatch.operators import monitor, weekly
 from tidewatch.plans import bindings as b
 from tidewatch.plans.checks_panel import DRIFT
 from tidewatch.plans.registry import query, shown
+from tidewatch.session import shared_folder
 from tidewatch.sources import ledger
 from tidewatch.streaming import jobs
 
 
 def work_folder(spark) -> str:
-    """A new folder in the shared place of the cluster; a local one only when none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return f"{base.rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="tidewatch-stream-"), "run")
+    """A new folder in the shared place of the cluster."""
+    return f"{shared_folder(spark)}/tidewatch-{uuid.uuid4().hex}"
 
 
 def _stream(spark, sf, name):
