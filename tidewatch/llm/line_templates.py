@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewatch.llm.common import SPACES, small_side, stored
 
 FIELD = "<*>"
+#: White space, inside a character class.
+WIDE = r"\x20\x09-\x0D"
 #: Tokens of a line below which it is left alone (headings, rulers, single words).
 MIN_TOKENS = 3
 #: Leading tokens that lead to a leaf.
@@ -33,8 +35,7 @@ def needed(n: Column) -> Column:
 
 def tokens_of(line: Column) -> Column:
     """Tokens with numbers masked; a blank line gives one empty token."""
-    wide = r"\x20\x09-\x0D"
-    masked = F.regexp_replace(line, rf"(^|[{wide}])[^{wide}0-9]*+[0-9][^{wide}]*+", rf"$1{FIELD}")
+    masked = F.regexp_replace(line, rf"(^|[{WIDE}])[^{WIDE}0-9]*+[0-9][^{WIDE}]*+", rf"$1{FIELD}")
     return F.split(F.trim(F.when(line.rlike("[0-9]"), masked).otherwise(line), F.lit(" \t\n\x0b\x0c\r")), SPACES)
 
 
@@ -49,7 +50,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 def line_ids(docs: DataFrame) -> DataFrame:
     """doc, key, pos, n, leaf and form (MD5 of the masked tokens) of every line with enough tokens."""
     each = keyed(docs).select(F.col("_id").alias("doc"), F.col("_key").alias("key"), F.posexplode(text_lines(F.col("text"))).alias("pos", "line"))
-    each = each.select("doc", "key", "pos", tokens_of(F.col("line")).alias("t")).where(F.size("t") >= MIN_TOKENS)
+    # Told by the first tokens alone: a filter on their number would cut every line twice.
+    enough = rf"^[{WIDE}]*+(?:[^{WIDE}]++[{WIDE}]++){{{MIN_TOKENS - 1}}}[^{WIDE}]"
+    each = each.where(F.col("line").rlike(enough)).select("doc", "key", "pos", tokens_of(F.col("line")).alias("t"))
     leaf = F.xxhash64(F.size("t"), F.array_join(F.slice("t", 1, DEPTH), " "))
     return each.select("doc", "key", "pos", F.size("t").alias("n"), leaf.alias("leaf"), F.unhex(F.md5(F.array_join("t", " "))).alias("form"))
 
