@@ -226,11 +226,11 @@ def provenance_upsert(spark, sf):
     return ledger.upsert(old, new, ["community", "week_start", "source"], "logged_at")
 
 
-@query("brief_migration", """WITH o AS (SELECT doc_id AS k, 'old' AS origin FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id AS k, 'new' AS origin FROM documents WHERE doc_id % 3 = 0)
+@query("brief_migration", """WITH o AS (SELECT doc_id AS k, 'old' AS origin FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id AS k, 'new' AS origin FROM documents)
 SELECT k, origin FROM o UNION ALL SELECT k, origin FROM n WHERE k NOT IN (SELECT k FROM o)""")
 def brief_migration(spark, sf):
     d = b.table(spark, sf, "documents").select(F.col("doc_id").alias("k"))
-    old, new = d.where("k % 2 = 0").withColumn("origin", F.lit("old")), d.where("k % 3 = 0").withColumn("origin", F.lit("new"))
+    old, new = d.where("k % 2 = 0").withColumn("origin", F.lit("old")), d.withColumn("origin", F.lit("new"))
     return ledger.insert_absent(old, new, ["k"])
 
 

@@ -20,33 +20,30 @@ def class_balance(spark, sf):
     return shown(stats.class_balance(b.state_panel(spark, sf)))
 
 
-THREE = ("post_volume", "new_poster_ratio", "avg_negative")
-
-
-@query("state_profile", S + ", l AS (" + " UNION ALL ".join(f"SELECT community, label, '{c}' AS feature, {c} AS value FROM states WHERE label IS NOT NULL" for c in THREE) + """)
+@query("state_profile", S + ", l AS (" + " UNION ALL ".join(f"SELECT community, label, '{c}' AS feature, {c} AS value FROM states WHERE label IS NOT NULL" for c in b.PANEL_FEATURES) + """)
 SELECT community, feature, CAST(label AS BIGINT) AS state, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(median(value), 6) AS median FROM l GROUP BY ALL""")
 def state_profile(spark, sf):
-    return shown(stats.state_profile(b.state_panel(spark, sf), THREE))
+    return shown(stats.state_profile(b.state_panel(spark, sf), b.PANEL_FEATURES))
 
 
-GAPPY = b.PANEL + ", long AS (" + " UNION ALL ".join(f"SELECT community, '{c}' AS feature, CASE WHEN is_missing_week OR week_idx % 4 = 0 THEN NULL ELSE {c} END AS value FROM panel" for c in THREE) + ")"
+GAPPY = b.PANEL + ", long AS (" + " UNION ALL ".join(f"SELECT community, '{c}' AS feature, CASE WHEN is_missing_week OR week_idx % 4 = 0 THEN NULL ELSE {c} END AS value FROM panel" for c in b.PANEL_FEATURES) + ")"
 
 
 def _gappy(spark, sf):
     p = b.order_panel(spark, sf)
     gone = (F.col("post_volume") == 0) | (F.col("week_idx") % 4 == 0)
-    return p.select("community", *[F.when(~gone, F.col(c)).alias(c) for c in THREE])
+    return p.select("community", *[F.when(~gone, F.col(c)).alias(c) for c in b.PANEL_FEATURES])
 
 
 @query("missing_pct", "WITH " + GAPPY + " SELECT community, feature, round(avg(CASE WHEN value IS NULL THEN 1.0::DOUBLE ELSE 0 END) * 100, 6) AS missing_pct FROM long GROUP BY ALL")
 def missing_pct(spark, sf):
-    return shown(stats.missing_share(_gappy(spark, sf), THREE))
+    return shown(stats.missing_share(_gappy(spark, sf), b.PANEL_FEATURES))
 
 
 @query("feature_profile", "WITH " + GAPPY + """ SELECT community, feature, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(quantile_cont(value, 0.25), 6) AS q1,
   round(median(value), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, round(skewness(value), 5) + 0.0 AS skew, round(avg(CASE WHEN value IS NULL THEN 1.0::DOUBLE ELSE 0 END) * 100, 6) AS missing_pct, count(value) AS n_valid FROM long GROUP BY ALL""")
 def feature_profile(spark, sf):
-    return shown(stats.feature_profile(_gappy(spark, sf), THREE).withColumn("skew", F.round("skew", 5)))
+    return shown(stats.feature_profile(_gappy(spark, sf), b.PANEL_FEATURES).withColumn("skew", F.round("skew", 5)))
 
 
 IQR = b.PANEL + "," + LONG + """, q AS (SELECT community, feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, count(value) AS n FROM long GROUP BY ALL),
@@ -82,36 +79,33 @@ def quality_flags(spark, sf):
     return shown(stats.quality_flags(s, s, b.PANEL_FEATURES))
 
 
-FOUR = ("post_volume", "unique_posters", "new_poster_ratio", "avg_negative")
-
-
 def _rank_sql(value: str, by: str) -> str:
     return f"(rank() OVER (PARTITION BY {by} ORDER BY {value}) + (count(*) OVER (PARTITION BY {by}, {value}) - 1) / 2.0::DOUBLE)"
 
 
-@query("spearman_label", S + ", long AS (" + " UNION ALL ".join(f"SELECT community, '{c}' AS feature, {c} AS value, CASE WHEN label >= 2 THEN 1.0::DOUBLE ELSE 0 END AS y FROM states" for c in FOUR) + f"""),
+@query("spearman_label", S + ", long AS (" + " UNION ALL ".join(f"SELECT community, '{c}' AS feature, {c} AS value, CASE WHEN label >= 2 THEN 1.0::DOUBLE ELSE 0 END AS y FROM states" for c in b.PANEL_FEATURES) + f"""),
 r AS (SELECT community, feature, {_rank_sql('value', 'community, feature')} AS rx, {_rank_sql('y', 'community, feature')} AS ry FROM long)
 SELECT community, feature, count(*) AS n, round(corr(rx, ry), 6) + 0.0 AS spearman_rho FROM r GROUP BY ALL""")
 def spearman_label(spark, sf):
-    return shown(stats.spearman_label(b.state_panel(spark, sf), FOUR))
+    return shown(stats.spearman_label(b.state_panel(spark, sf), b.PANEL_FEATURES))
 
 
 @query("spearman_significance")
 def spearman_significance(spark, sf):
-    return shown(stats.with_p_value(stats.spearman_label(b.state_panel(spark, sf), FOUR)))
+    return shown(stats.with_p_value(stats.spearman_label(b.state_panel(spark, sf), b.PANEL_FEATURES)))
 
 
-@query("collinear_pairs", "WITH " + b.PANEL + ", r AS (SELECT community, " + ", ".join(f"{_rank_sql(c, 'community')} AS {c}" for c in FOUR) + " FROM panel), c AS (" + " UNION ALL ".join(
-    f"SELECT community, '{x}' AS feature_a, '{y}' AS feature_b, corr({x}, {y}) AS rho FROM r GROUP BY community" for i, x in enumerate(FOUR) for y in FOUR[i + 1:]) + ") SELECT community, feature_a, feature_b, round(rho, 6) AS spearman_rho FROM c WHERE abs(rho) >= 0.9")
+@query("collinear_pairs", "WITH " + b.PANEL + ", r AS (SELECT community, " + ", ".join(f"{_rank_sql(c, 'community')} AS {c}" for c in b.PANEL_FEATURES) + " FROM panel), c AS (" + " UNION ALL ".join(
+    f"SELECT community, '{x}' AS feature_a, '{y}' AS feature_b, corr({x}, {y}) AS rho FROM r GROUP BY community" for i, x in enumerate(b.PANEL_FEATURES) for y in b.PANEL_FEATURES[i + 1:]) + ") SELECT community, feature_a, feature_b, round(rho, 6) AS spearman_rho FROM c WHERE abs(rho) >= 0.9")
 def collinear_pairs(spark, sf):
-    return shown(stats.collinear_pairs(b.order_panel(spark, sf), FOUR))
+    return shown(stats.collinear_pairs(b.order_panel(spark, sf), b.PANEL_FEATURES))
 
 
-@query("top_correlated", S + ", long AS (" + " UNION ALL ".join(f"SELECT community, '{c}' AS feature, {c} AS value, CASE WHEN label >= 2 THEN 1.0::DOUBLE ELSE 0 END AS y FROM states" for c in FOUR) + f"""),
+@query("top_correlated", S + ", long AS (" + " UNION ALL ".join(f"SELECT community, '{c}' AS feature, {c} AS value, CASE WHEN label >= 2 THEN 1.0::DOUBLE ELSE 0 END AS y FROM states" for c in b.PANEL_FEATURES) + f"""),
 r AS (SELECT community, feature, {_rank_sql('value', 'community, feature')} AS rx, {_rank_sql('y', 'community, feature')} AS ry FROM long), c AS (SELECT community, feature, corr(rx, ry) AS rho FROM r GROUP BY ALL)
 SELECT community, feature, rank FROM (SELECT community, feature, row_number() OVER (PARTITION BY community ORDER BY round(abs(rho), 9) DESC, feature) AS rank FROM c) WHERE rank <= 2""")
 def top_correlated(spark, sf):
-    rho = stats.spearman_label(b.state_panel(spark, sf), FOUR)
+    rho = stats.spearman_label(b.state_panel(spark, sf), b.PANEL_FEATURES)
     return shown(stats.top_features(rho, F.abs("spearman_rho"), 2).select("community", "feature", "rank"))
 
 
