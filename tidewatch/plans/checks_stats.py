@@ -90,7 +90,16 @@ def spearman_label(spark, sf):
     return shown(stats.spearman_label(b.state_panel(spark, sf), b.PANEL_FEATURES))
 
 
-@query("spearman_significance")
+# The tail of the t distribution: with t = sqrt(df) tan(a) its density is cos(a)^(df - 1), summed here by Simpson's rule.
+@query("spearman_significance", S + ", long AS (" + " UNION ALL ".join(f"SELECT community, '{c}' AS feature, {c} AS value, CASE WHEN label >= 2 THEN 1.0::DOUBLE ELSE 0 END AS y FROM states" for c in b.PANEL_FEATURES) + f"""),
+r AS (SELECT community, feature, {_rank_sql('value', 'community, feature')} AS rx, {_rank_sql('y', 'community, feature')} AS ry FROM long),
+c AS (SELECT community, feature, count(*) AS n, corr(rx, ry) AS rho FROM r GROUP BY ALL HAVING count(*) >= 8),
+a AS (SELECT *, atan(abs(rho) / sqrt(1 - rho * rho)) AS upto FROM c WHERE NOT isnan(rho)),
+p AS (SELECT community, feature, 1 - 2 * exp(lgamma((n - 1) / 2.0::DOUBLE) - lgamma((n - 2) / 2.0::DOUBLE) - 0.5::DOUBLE * ln(pi()))
+  * sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * cos(upto * k / 2000.0::DOUBLE) ** (n - 3)) * upto / 6000 AS p
+  FROM a, (SELECT unnest(range(2001)) AS k) GROUP BY community, feature, n, upto)
+SELECT c.community, c.feature, c.n, CASE WHEN isnan(rho) THEN NULL ELSE round(rho, 6) + 0.0 END AS spearman_rho, round(greatest(p.p, 0), 6) + 0.0 AS p_value, coalesce(p.p < 0.05, false) AS significant
+FROM c LEFT JOIN p USING (community, feature)""")
 def spearman_significance(spark, sf):
     return shown(stats.with_p_value(stats.spearman_label(b.state_panel(spark, sf), b.PANEL_FEATURES)))
 
