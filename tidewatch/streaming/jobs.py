@@ -42,6 +42,18 @@ def weekly_stream(posts: DataFrame, delay: str = "7 days", watermarked: bool = F
                       "post_count", "avg_score", "total_comments", "hour_counts")
 
 
+def close_open_weeks(posts: DataFrame, closed: DataFrame) -> DataFrame:
+    """At the end of a bounded run: the weeks that the watermark has not let out yet, in the layout of the stream's sink.
+
+    ``posts`` is the batch reading of the stream's source.  Weeks before the last closed one of any community are not
+    looked at, unless a community has none; late posts beyond the watermark stay out, as in the stream.
+    """
+    last = closed.groupBy("community").agg(F.max("week_start").alias("_last"))
+    rows = weekly.with_week(posts).join(last, "community", "left").where(F.col("_last").isNull() | (F.col("week_start") > F.col("_last")))
+    out = rows.groupBy("community", "week_start").agg(*weekly.base_aggregates(posts.columns))
+    return out.select("community", "week_start", F.col("week_start").cast("timestamp").alias("week_ts"), "post_count", "avg_score", "total_comments", "hour_counts")
+
+
 def _drift_step(signals: Sequence[str], baseline: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         past = [np.array(v) for v in state.get[0]] if state.exists else []
