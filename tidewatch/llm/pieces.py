@@ -142,7 +142,7 @@ class Lattice:
         weight = np.where(piece >= 0, self.weight[piece], self.spelt_weight)
         ids = np.where(piece >= 0, self.id[piece], -1 - char[start])
         into, source = row0[own[start]] + local[start] + size, row0[own[start]] + local[start]
-        order = np.lexsort((size, into))
+        order = np.argsort(into * 64 + np.minimum(size, 63), kind="stable")  # by place, shorter pieces first
         start, size, weight, ids, into, source = (x[order] for x in (start, size, weight, ids, into, source))
         share = self.forward(into, source, size, weight, local[start] + size, len(char) + len(sizes))
         run = np.cumsum(share)
@@ -159,7 +159,7 @@ class Lattice:
         total, scale = np.zeros(rows), np.zeros(rows)  # weight of the paths to a row is total * exp(scale)
         total[:] = 1.0
         share = np.zeros(len(into))
-        by_end = np.argsort(end, kind="stable")
+        by_end = np.argsort(end.astype(np.uint16) if end.max(initial=0) < 1 << 16 else end, kind="stable")
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(end[by_end])) + 1, [len(by_end)]])
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             e = by_end[lo:hi]
