@@ -59,7 +59,8 @@ granted, provided that the above copyright notice and this permission notice app
 )
 CUE = r"(?i)licen[sc]e|copyright|permission|redistribut|rights reserved|public domain"
 WORD = re.compile(r"[^\W_]+(?:[.\-/][^\W_]+)*")
-#: Templates with the largest savings that are compared word by word, and the least share of bytes one must save.
+#: Templates that are compared word by word before a block without any confirmed one is given up (after a confirmed one
+#: all others that save enough are compared, as a block may hold several), and the least share of bytes one must save.
 RANKED, LEAST_SAVED = 3, 0.2
 #: Words that may differ, per hundred words of the template: none in a one-line notice.
 DIFFER = 5
@@ -72,6 +73,7 @@ class Scanner:
         self.reach = max(map(len, self.words), default=0)
         self.alone = zstandard.ZstdCompressor(level=9, write_content_size=False)
         dicts = [zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for w in self.words]
+        self.own = [len(self.alone.compress(" ".join(w).encode())) for w in self.words]
         self.given = [zstandard.ZstdCompressor(level=9, dict_data=d, write_content_size=False, write_dict_id=False) for d in dicts]
 
     def blocks(self, text: str) -> Iterator[list[tuple[str, int]]]:
@@ -96,10 +98,7 @@ class Scanner:
         """
         data = " ".join(block).encode()
         alone = len(self.alone.compress(data))
-        out = []
-        for k, c in enumerate(self.given):
-            own = max(1, len(self.alone.compress(" ".join(self.words[k]).encode())))
-            out.append(((alone - len(c.compress(data))) / min(alone, own), k))
+        out = [((alone - len(c.compress(data))) / min(alone, self.own[k]), k) for k, c in enumerate(self.given)]
         return sorted(out, key=lambda x: (-x[0], x[1]))
 
     def confirm(self, block: list[str], k: int) -> Iterator[tuple[int, int, list[str]]]:
@@ -134,17 +133,14 @@ class Scanner:
         found = []
         for block in self.blocks(text or ""):
             words = [w for w, _ in block]
-            ranked = [k for s, k in self.savings(words) if s >= LEAST_SAVED]
-            saved = dict((k, s) for s, k in self.savings(words))
             tried, confirmed = 0, 0
-            for k in ranked:
-                if tried >= RANKED and not confirmed:
+            for saved, k in self.savings(words):
+                if saved < LEAST_SAVED or tried >= RANKED and not confirmed:
                     break
                 tried += 1
-                hits = list(self.confirm(words, k))
-                confirmed += len(hits)
-                for a, z, diff in hits:
-                    found.append((block[a][1], block[z - 1][1] + len(words[z - 1]), -(z - a), self.names[k], round(saved[k], 4), diff))
+                for a, z, diff in self.confirm(words, k):
+                    confirmed += 1
+                    found.append((block[a][1], block[z - 1][1] + len(words[z - 1]), a - z, self.names[k], round(saved, 4), diff))
         out, spans = [], []
         for start, stop, _, name, s, diff in sorted(found, key=lambda f: (f[2], len(f[5]), f[0], f[3])):
             if all(stop <= a or start >= z for a, z in spans):
