@@ -59,9 +59,8 @@ granted, provided that the above copyright notice and this permission notice app
 )
 CUE = r"(?i)licen[sc]e|copyright|permission|redistribut|rights reserved|public domain"
 WORD = re.compile(r"[^\W_]+(?:[.\-/][^\W_]+)*")
-#: Templates that are compared word by word before a block without any confirmed one is given up (after a confirmed one
-#: all others that save enough are compared, as a block may hold several), and the least share of bytes one must save.
-RANKED, LEAST_SAVED = 3, 0.2
+#: Least share of the smaller of block and template that a template must save to be compared word by word.
+LEAST_SAVED = 0.2
 #: Words that may differ, per hundred words of the template: none in a one-line notice.
 DIFFER = 5
 
@@ -133,13 +132,10 @@ class Scanner:
         found = []
         for block in self.blocks(text or ""):
             words = [w for w, _ in block]
-            tried, confirmed = 0, 0
             for saved, k in self.savings(words):
-                if saved < LEAST_SAVED or tried >= RANKED and not confirmed:
+                if saved < LEAST_SAVED:
                     break
-                tried += 1
                 for a, z, diff in self.confirm(words, k):
-                    confirmed += 1
                     found.append((block[a][1], block[z - 1][1] + len(words[z - 1]), a - z, self.names[k], round(saved, 4), diff))
         out, spans = [], []
         for start, stop, _, name, s, diff in sorted(found, key=lambda f: (f[2], len(f[5]), f[0], f[3])):
