@@ -14,6 +14,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -131,7 +132,7 @@ def _payload(record: bytes, want: str, kind: str) -> bytes | None:
 
 def _open(path: str):
     scheme, _, rest = path.partition(":")
-    store, inside = fs.FileSystem.from_uri(f"{STORES[scheme]}://{'/' + rest.lstrip('/') if scheme == 'file' else rest.lstrip('/')}")
+    store, inside = fs.FileSystem.from_uri(f"{STORES[scheme]}://{'/' * (scheme == 'file')}{quote(rest.lstrip('/'), safe='/:@')}")
     return store.open_input_file(inside)
 
 
