@@ -24,7 +24,7 @@ def test_posts_to_features(spark, tmp_path):
     stored = jobs.collect([raw(spark)], "salt")
     assert stored.count() == 590 and "author" not in stored.columns
     assert stored.where(F.contains("selftext", F.lit("http"))).count() == 0
-    clean = jobs.store_clean(stored, f"{tmp_path}/clean", 2)
+    clean = jobs.store_clean(stored, f"{tmp_path}/clean")
     panel = jobs.feature_panel(clean, LEX, VALENCE)
     assert len(panel.columns) == 4 + 119
     features = [c for c in panel.columns if c not in PANEL_KEYS]
@@ -37,6 +37,13 @@ def test_posts_to_features(spark, tmp_path):
     assert "ReadSchema: struct<ts:timestamp,author_hash:string>" in narrow
 
 
+def test_valence_table_of_any_size(spark):
+    clean = jobs.prepare(jobs.collect([raw(spark)], "salt"))
+    table = spark.createDataFrame([*VALENCE.items(), *[(f"unused{k}", 1.0) for k in range(30_000)]], "token string, valence double")
+    cols = ("community", "week_start", F.round("avg_compound", 9), F.round("avg_negative", 9), F.round("pct_very_negative", 9), F.round("hopelessness_density", 9))
+    assert rows(jobs.feature_panel(clean, LEX, table), *cols) == rows(jobs.feature_panel(clean, LEX, VALENCE), *cols)
+
+
 def test_panel_to_alerts(spark):
     clean = jobs.prepare(jobs.collect([raw(spark)], "salt"))
     out = jobs.watch(jobs.feature_panel(clean, LEX, VALENCE))

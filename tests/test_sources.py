@@ -90,6 +90,15 @@ def test_every_file_is_read_by_its_own_layout(spark, tmp_path):
     assert status == {"a.csv": (1, "read"), "b.csv": (1, "read"), "c.json": (2, "read"), "d.json": (2, "read"), "h.parquet": (0, "skipped")}
 
 
+def test_manifest_streams_files(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(ledger, "HASH_BYTES", 7)
+    p = write(f"{tmp_path}/a b%20é.txt", "some text that takes several pieces")
+    got = ledger.file_manifest(spark, str(tmp_path), "*.txt").collect()
+    assert [(r.size_bytes, r.sha256) for r in got] == [(35, hashlib.sha256(open(p, "rb").read()).hexdigest())]
+
+
 def test_file_selection(spark):
     names = ["lonely_2019_features_tfidf.csv", "lonely_2021_features_tfidf.csv", "lonely_2019_plain.csv", "anxiety_2019_features_x.csv"]
     df = spark.createDataFrame([(n,) for n in names], "f string")
