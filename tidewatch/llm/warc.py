@@ -1,8 +1,8 @@
 """WARC archives: written by Spark, indexed first, then read back by sorted and coalesced byte ranges.
 
-Pages are dealt over archives by a hash of the row, so a payload that a third of the pages share is spread; equal
-payloads are found on narrow rows (length and digest), and of each set one page is the response that the others
-revisit.  A record is one value of Spark's text writer whose line separator is the end of a WARC record, so any file
+Equal payloads are found on narrow rows (length and digest), and of each set one page is the response that the others
+revisit.  The pages themselves are written by the tasks that read them; only where the list of revisits is too large to
+broadcast are they shuffled, by a hash of the row, so a payload that a third of the pages share is spread.  A record is one value of Spark's text writer whose line separator is the end of a WARC record, so any file
 system and the usual commit protocol serve.  The index has file, offset, length, URL and digest of every record.
 Reading takes chosen index rows, sorts them by place, merges near ranges into one read, and checks every payload
 against its digest.
@@ -59,10 +59,10 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
     every = pages.select(F.col("page_id").cast("long").alias("id"), F.xxhash64("url", "html").alias("key"), "url", payload.alias("payload"))
     narrow = stored(every.select("id", "key", F.octet_length("payload").cast("long").alias("bytes"), digest(F.col("payload")).alias("digest")), "warc-pages")
     again = revisits(narrow, least_bytes).select(F.coalesce("id", F.lit(-(2**63))).alias("i"), F.col("key").alias("k"), "refers_to")
-    total = narrow.agg(F.sum("bytes")).first()[0] or 0
-    n = max(total // archive_bytes + 1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = every.withColumn("i", F.coalesce("id", F.lit(-(2**63)))).withColumnRenamed("key", "k").repartition(n, "i", "k")
-    rows = dealt.join(again.repartition(n, "i", "k"), ["i", "k"], "left").withColumn("digest", digest(F.col("payload")))
+    n, total = narrow.agg(F.count("*"), F.sum("bytes")).first()
+    per_archive = max(1, archive_bytes * n // max(total or 0, 1))
+    rows = every.withColumn("i", F.coalesce("id", F.lit(-(2**63)))).withColumnRenamed("key", "k").join(small_side(again, 64), ["i", "k"], "left")
+    rows = rows.withColumn("digest", digest(F.col("payload")))
     revisit = F.col("refers_to").isNotNull()
     size = F.octet_length("payload")
     url = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -80,7 +80,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
         F.concat(F.lit("Content-Length: "), F.when(revisit, 0).otherwise(size).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *head), F.lit(END), F.when(revisit, "").otherwise(F.col("payload")))
-    rows.sortWithinPartitions("i", "k").select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", 0).text(folder)
+    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_archive).text(folder)
 
 
 def parse_head(head: bytes) -> dict[str, str]:
