@@ -252,7 +252,7 @@ def sampler(model: str = MODEL, alpha: float = 0.5):
             out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32), mask=missing), pa.array(flat)))
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
-    return ids
+    return ids.asNondeterministic()  # else Spark runs it again below each function of its result
 
 
 def decoder(model: str = MODEL):
