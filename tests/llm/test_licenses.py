@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow.parquet as pq
+
 from tidewatch.llm import licenses, queries
 
 T = licenses.TEMPLATES
@@ -47,3 +49,24 @@ def test_query_against_plain_search(spark, sf):
              "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
     want = {r.doc_id: {n for x, n in lines.items() if x in r.text} for r in queries.table(spark, sf, "documents").collect()}
     assert got == want
+
+
+def test_notices_that_save_little_are_found():
+    """Entropy coding of the block may eat what a one-line notice saves; it stands there all the same."""
+    rng = random.Random(11)
+    short = [(n, t) for n, t in T if len(t) < 80]
+    for _ in range(40):
+        noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(700)]
+        for name, text in short:
+            assert names(" ".join([*noise[:350], text, *noise[350:]])) == [name], text
+
+
+def test_larger_tables_against_plain_search():
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    lines = {t: n for n, t in T if t in ("Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "All rights reserved.")}
+    scanner, lost = licenses.Scanner(), []
+    for d in docs:
+        want = {n for x, n in lines.items() if x in (d["text"] or "")}
+        if want:
+            lost += [(d["doc_id"], n) for n in want - {x["license"] for x in scanner.scan(d["text"])}]
+    assert lost == []

@@ -1,14 +1,15 @@
 """License scan by conditional compression.
 
 A block of words around a cue (license, copyright, ...) is compressed alone and then with each template as raw
-dictionary: what the template explains of the block is what it saves.  The templates that save most are confirmed by
-the exact differences in wording, so a license with another version number or a changed condition is not taken for the
+dictionary: what the template explains of the block is what it saves.  Templates are ranked by that, and each is
+confirmed by the exact differences in wording, so a license with another version number or a changed condition is not taken for the
 one it resembles.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -59,8 +60,6 @@ granted, provided that the above copyright notice and this permission notice app
 )
 CUE = r"(?i)licen[sc]e|copyright|permission|redistribut|rights reserved|public domain"
 WORD = re.compile(r"[^\W_]+(?:[.\-/][^\W_]+)*")
-#: Least share of the smaller of block and template that a template must save to be compared word by word.
-LEAST_SAVED = 0.2
 #: Words that may differ, per hundred words of the template: none in a one-line notice.
 DIFFER = 5
 
@@ -69,6 +68,7 @@ class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
         self.names = [n for n, _ in templates]
         self.words = [WORD.findall(t.lower()) for _, t in templates]
+        self.counts = [Counter(w) for w in self.words]
         self.reach = max(map(len, self.words), default=0)
         self.alone = zstandard.ZstdCompressor(level=9, write_content_size=False)
         dicts = [zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for w in self.words]
@@ -100,6 +100,13 @@ class Scanner:
         out = [((alone - len(c.compress(data))) / min(alone, self.own[k]), k) for k, c in enumerate(self.given)]
         return sorted(out, key=lambda x: (-x[0], x[1]))
 
+    def possible(self, have: Counter, k: int) -> bool:
+        """Whether the block with these word counts lacks no more words of template ``k`` than may differ.
+
+        What a template saves is not asked: a one-line notice saves a few bytes, which the coding of the block may eat.
+        """
+        return sum((self.counts[k] - have).values()) <= len(self.words[k]) * DIFFER // 100
+
     def confirm(self, block: list[str], k: int) -> Iterator[tuple[int, int, list[str]]]:
         """Places (from, to) of template ``k`` in ``block`` and the differences in wording, as -word and +word.
 
@@ -132,9 +139,10 @@ class Scanner:
         found = []
         for block in self.blocks(text or ""):
             words = [w for w, _ in block]
+            have = Counter(words)
             for saved, k in self.savings(words):
-                if saved < LEAST_SAVED:
-                    break
+                if not self.possible(have, k):
+                    continue
                 for a, z, diff in self.confirm(words, k):
                     found.append((block[a][1], block[z - 1][1] + len(words[z - 1]), a - z, self.names[k], round(saved, 4), diff))
         out, spans = [], []
