@@ -70,3 +70,25 @@ def test_larger_tables_against_plain_search():
         if want:
             lost += [(d["doc_id"], n) for n in want - {x["license"] for x in scanner.scan(d["text"])}]
     assert lost == []
+
+
+def test_copies_that_lack_the_rarest_word_are_found():
+    """Copies of a license in one block, each within what may differ; no single word can anchor them all."""
+    lacking = T[2][1].replace("free of charge", "of charge")
+    for text in (f"{T[2][1]}\n{lacking}", f"{lacking}\n{T[2][1]}", f"{lacking}\nit is free"):
+        assert names(text) == ["MIT"] * text.count("NONINFRINGEMENT"), text[:40]
+    found = licenses.Scanner().scan(f"{T[2][1]}\n{lacking}")
+    assert [x["differences"] for x in found] == [[], ["-free"]]
+
+
+def test_any_words_may_be_the_ones_that_differ():
+    rng = random.Random(3)
+    for name, text in T:
+        words = text.split()
+        n = len(licenses.WORD.findall(text)) * licenses.DIFFER // 100
+        for _ in range(5 if n else 0):
+            changed = list(words)
+            for i in rng.sample(range(len(words)), n):
+                changed[i] = "changed"
+            copies = "\n".join((text, " ".join(changed), text))
+            assert names("x " * 200 + copies + " y" * 300) == [name] * 3, changed

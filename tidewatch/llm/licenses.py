@@ -11,8 +11,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
@@ -64,12 +64,19 @@ WORD = re.compile(r"[^\W_]+(?:[.\-/][^\W_]+)*")
 DIFFER = 5
 
 
+def exact(block: list[str], want: list[str]) -> tuple[int, int, list[str]] | None:
+    """The first place of ``want`` in ``block``."""
+    n = len(want)
+    at = next((i for i, w in enumerate(block) if w == want[0] and block[i : i + n] == want), None)
+    return None if at is None else (at, at + n, [])
+
+
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
         self.names = [n for n, _ in templates]
         self.words = [WORD.findall(t.lower()) for _, t in templates]
         self.counts = [Counter(w) for w in self.words]
-        self.reach = max(map(len, self.words), default=0)
+        self.reach = max((len(w) + 2 * (len(w) * DIFFER // 100) for w in self.words), default=0)  # words of the longest place
         self.alone = zstandard.ZstdCompressor(level=9, write_content_size=False)
         dicts = [zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for w in self.words]
         self.own = [len(self.alone.compress(" ".join(w).encode())) for w in self.words]
@@ -110,29 +117,56 @@ class Scanner:
     def confirm(self, block: list[str], k: int) -> Iterator[tuple[int, int, list[str]]]:
         """Places (from, to) of template ``k`` in ``block`` and the differences in wording, as -word and +word.
 
-        The rarest word of the template anchors the places to look at; each is aligned word by word.
+        The place with the fewest differences comes first, then those to the left and right of it, so every copy is
+        found whatever words it lacks.
         """
-        want = self.words[k]
-        allowed = len(want) * DIFFER // 100
-        here = set(block)
-        anchor = min((w for w in dict.fromkeys(want) if w in here), key=block.count, default=None)
-        if anchor is None:
-            return
-        done = 0
-        for at in (i for i, w in enumerate(block) if w == anchor):
-            for offset in (i for i, w in enumerate(want) if w == anchor):
-                lo = at - offset
-                if lo + len(want) + allowed < done or at < done:
-                    continue
-                lo, hi = max(done, lo - allowed), min(len(block), lo + len(want) + allowed)
-                if allowed == 0 and block[lo:hi] != want:
-                    continue
-                ops = [o for o in SequenceMatcher(None, want, block[lo:hi], autojunk=False).get_opcodes()]
-                ops = [o for n, o in enumerate(ops) if not (o[0] == "insert" and n in (0, len(ops) - 1))]  # what stands around it
-                diff = [f"-{w}" for o in ops if o[0] != "equal" for w in want[o[1] : o[2]]] + [f"+{w}" for o in ops if o[0] != "equal" for w in block[lo + o[3] : lo + o[4]]]
-                if ops and len(diff) <= 2 * allowed and sum(d[0] == "-" for d in diff) <= allowed:
-                    done = lo + ops[-1][4]
-                    yield lo + ops[0][3], done, diff
+        want, spans = self.words[k], [(0, len(block))]
+        while spans:
+            lo, hi = spans.pop()
+            here = block[lo:hi]
+            if not self.possible(Counter(here), k):
+                continue
+            found = self.aligned(here, k) if len(want) * DIFFER >= 100 else exact(here, want)
+            if found:
+                a, z, diff = found
+                yield lo + a, lo + z, diff
+                spans += [(lo, lo + a), (lo + z, hi)]
+
+    def aligned(self, block: list[str], k: int) -> tuple[int, int, list[str]] | None:
+        """The place of ``block`` that differs least from template ``k``, if that is within what may differ.
+
+        Row i of the table has the least number of words lacking or added between the first j words of the template
+        and some stretch of the block that ends at i.
+        """
+        want, allowed = self.words[k], len(self.words[k]) * DIFFER // 100
+        number = {w: n for n, w in enumerate(dict.fromkeys(want))}
+        ids, row = np.array([number[w] for w in want]), np.arange(len(want) + 1)
+        steps, far = row.copy(), np.int64(len(want) + len(block) + 1)
+        table = [row]
+        for w in block:
+            best = row + 1  # the word is added
+            best[0] = 0
+            if w in number:
+                best[1:] = np.minimum(best[1:], np.where(ids == number[w], row[:-1], far))
+            row = np.minimum.accumulate(best - steps) + steps  # words of the template are lacking
+            table.append(row)
+        cost = np.array([r[-1] for r in table])
+        for end in np.argsort(cost, kind="stable").tolist():
+            if cost[end] > 2 * allowed:
+                break
+            i, j, lacking, added = end, len(want), [], []
+            while j:
+                if i and block[i - 1] == want[j - 1] and table[i][j] == table[i - 1][j - 1]:
+                    i, j = i - 1, j - 1
+                elif table[i][j] == table[i][j - 1] + 1:
+                    j -= 1
+                    lacking.append("-" + want[j])
+                else:
+                    i -= 1
+                    added.append("+" + block[i])
+            if len(lacking) <= allowed:
+                return i, end, lacking[::-1] + added[::-1]
+        return None
 
     def scan(self, text: str | None) -> list[dict]:
         """Confirmed licenses of a text, in order of place, each place once (the most words win)."""
