@@ -99,7 +99,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 
 
 def op4_wordpiece_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordpiece.token_counts(table(spark, sf_dir, "documents"))
+    return wordpiece.piece_counts(table(spark, sf_dir, "documents"))
 
 
 def op5_indexed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

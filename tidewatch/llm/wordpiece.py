@@ -30,8 +30,19 @@ def vocabulary(model: str = MODEL) -> tuple[list[str], list[str]]:
     return [p for p in first if p and "▁" not in p], [p for p in own if "▁" not in p]
 
 
+def bare_begin(model: str = MODEL) -> bool:
+    """Whether the vocabulary has the begin of a word as a piece of its own."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    i = sp.piece_to_id("▁")
+    return sp.id_to_piece(i) == "▁" and not sp.is_unknown(i)
+
+
 class Automaton:
-    def __init__(self, first: list[str], later: list[str]):
+    """With ``bare``, a word that no piece begins is the begin of a word, one piece, and then pieces that go on."""
+
+    def __init__(self, first: list[str], later: list[str], bare: bool = False):
         self.next: dict[tuple[int, str], int] = {}
         size, final, parent = 2, set(), {}
         for root, pieces in ((0, first), (1, later)):
@@ -46,6 +57,8 @@ class Automaton:
                 final.add(node)
         self.fail: list[int] = [-1] * size  # -1: what was read cannot be segmented
         self.popped = [0] * size
+        if bare:
+            self.fail[0], self.popped[0] = 1, 1
         depth = {0: 0, 1: 0}
         for v in range(2, size):
             depth[v] = depth[parent[v][0]] + 1
@@ -77,36 +90,58 @@ class Automaton:
 
 
 def counter(model: str = MODEL):
-    """Column function (text): struct of n_words, n_tokens and n_unknown."""
+    """Column function (text): struct of n_words, n_tokens, n_unknown, n_pieces and n_unspelt."""
     first, later = vocabulary(model)
+    bare = bare_begin(model)
     held: list = []
 
-    @F.arrow_udf("n_words long, n_tokens long, n_unknown long")
+    @F.arrow_udf("n_words long, n_tokens long, n_unknown long, n_pieces long, n_unspelt long")
     def count(text: pa.Array) -> pa.Array:
         if not held:
-            held.extend((Automaton(first, later), {}))
-        auto, known = held
+            held.extend((Automaton(first, later), Automaton(first, later, bare), {}, {}))
+        auto, begun, known, spelt = held  # spelt: pieces of the words that are unknown without the bare begin
         sums = []
+
+        def learn(w: bytes) -> int:
+            word = w.decode("utf-8", "surrogatepass")
+            n = auto.length(word)
+            if n >= UNKNOWN and (m := begun.length(word)) < UNKNOWN:
+                spelt[w] = m
+            return n
+
         for t in text:
             words = (t.as_py() or "").encode("utf-8", "surrogatepass").split()  # bytes: ASCII white space only
             for w in set(words).difference(known):
                 if len(known) >= KEPT_WORDS:
                     known.clear()
-                    known.update((x, auto.length(x.decode("utf-8", "surrogatepass"))) for x in set(words))
+                    spelt.clear()
+                    known.update((x, learn(x)) for x in set(words))
                     break
-                known[w] = auto.length(w.decode("utf-8", "surrogatepass"))
+                known[w] = learn(w)
             total = sum(map(known.__getitem__, words))
-            sums.append((len(words), total % UNKNOWN, total // UNKNOWN))
-        cols = np.array(sums, dtype=np.int64).reshape(len(sums), 3)
-        return pa.StructArray.from_arrays([pa.array(cols[:, k]) for k in range(3)], ["n_words", "n_tokens", "n_unknown"])
+            n, unknown = total % UNKNOWN, total // UNKNOWN
+            more = [spelt[w] for w in words if w in spelt] if unknown else []
+            sums.append((len(words), n, unknown, n + sum(more) - len(more), unknown - len(more)))
+        cols = np.array(sums, dtype=np.int64).reshape(len(sums), 5)
+        return pa.StructArray.from_arrays([pa.array(cols[:, k]) for k in range(5)], ["n_words", "n_tokens", "n_unknown", "n_pieces", "n_unspelt"])
 
     return count
 
 
+def piece_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """``token_counts`` and, with the bare begin of a word as a piece, n_pieces and n_unspelt.
+
+    A word whose first letter has no piece that begins a word is unknown to word pieces; the model itself takes its
+    bare begin piece, then pieces that go on.  n_pieces counts those; a word that they cannot spell either is one
+    piece and unspelt.
+    """
+    return docs.select("doc_id", counter(model)("text").alias("n")).select("doc_id", "n.*")
+
+
 def token_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_words, n_tokens and n_unknown of every row of ``docs``.
 
     Words are what ASCII white space separates; a word that the vocabulary cannot segment is one token and unknown.
     Null, empty and blank texts have no words.  Equal texts have equal counts; an empty table gives no rows.
     """
-    return docs.select("doc_id", counter(model)("text").alias("n")).select("doc_id", "n.*")
+    return piece_counts(docs, model).drop("n_pieces", "n_unspelt")
