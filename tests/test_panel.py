@@ -215,6 +215,14 @@ def test_collinear(spark):
     assert [(r["feature_a"], r["feature_b"], r["spearman_rho"]) for r in got] == [("x", "y", pytest.approx(1.0))]
 
 
+def test_collinear_beside_an_absent_feature(spark):
+    x = np.random.default_rng(7).normal(size=30)
+    df = panel(spark, x=x, y=np.exp(x), z=np.random.default_rng(8).normal(size=30)).withColumn("gone", F.lit(None).cast("double"))
+    df = df.unionByName(df.withColumn("community", F.lit("other")).withColumn("gone", F.col("z")))
+    got = stats.collinear_pairs(df, ["x", "y", "gone", "z"]).collect()
+    assert sorted((r["community"] == "other", r["feature_a"], r["feature_b"]) for r in got) == [(False, "x", "y"), (True, "gone", "z"), (True, "x", "y")]
+
+
 def test_tail_probabilities():
     assert special.f_tail(6.3342, 1, 360) == pytest.approx(0.0123, abs=5e-5)
     assert special.t_two_sided(2.0, 10) == pytest.approx(0.07339, abs=1e-5)

@@ -166,6 +166,7 @@ def with_p_value(rho: DataFrame) -> DataFrame:
 def _collinear(features: Sequence[str], cut: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ranks = pdf[list(features)].to_numpy(float)
+        ranks = np.where(np.isnan(ranks).all(axis=0), 0.0, ranks)  # features that are null throughout have no pairs; the others are filled
         moving = np.flatnonzero(ranks.std(axis=0) > mathx.FLAT_STD)
         rho = np.atleast_2d(np.corrcoef(ranks[:, moving], rowvar=False)) if len(moving) > 1 else np.zeros((0, 0))
         i, j = np.nonzero(np.triu(np.abs(rho) >= cut, 1))
@@ -184,7 +185,7 @@ def collinear_pairs(panel: DataFrame, features: Sequence[str], cut: float = 0.9)
     ranked = _filled(panel, features, ("community", "week_start")).withColumn("_r", average_rank(F.col("value"), *BY))
     wide = ranked.groupBy("community", "week_start").agg(*[F.max(F.when(F.col("feature") == f, F.col("_r"))).alias(f) for f in features])
     schema = "community string, feature_a string, feature_b string, spearman_rho double"
-    return wide.dropna(subset=list(features)).groupBy("community").applyInPandas(_collinear(features, cut), schema)
+    return wide.groupBy("community").applyInPandas(_collinear(features, cut), schema)
 
 
 def top_features(table: DataFrame, value: Column, n: int, name: str = "feature") -> DataFrame:
