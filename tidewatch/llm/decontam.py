@@ -22,6 +22,8 @@ GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Lists that are intersected for a window, rarest first; the words beyond are compared in place.
 LISTS = 2
+#: Words of a window that may be lacking where it is near, per hundred: one of ten.
+LACKING = 10
 
 
 def words_of(text: Column) -> Column:
@@ -115,20 +117,69 @@ def proximity_matches(index: DataFrame, rare: DataFrame, within: int = WINDOW) -
     return met.groupBy("doc_id", "key", "window").agg(F.min("pos").alias("pos"))
 
 
-def build_index(docs: DataFrame, wins: DataFrame, lists: int = LISTS) -> tuple[DataFrame, DataFrame]:
+def near_matches(docs: DataFrame, wins: DataFrame, size: int = WINDOW, lacking: int = LACKING) -> DataFrame:
+    """Windows near a place of a text: doc_id, key and window.
+
+    A run of consecutive words, longer than the window by what may lack, holds all but that of the window's distinct
+    words in any order.  Of the rarest words of a window, one more than may lack, one must be there: their places are
+    looked up in the index, and all words of the window are counted in the neighbourhood stored with each.
+    """
+    lack = lambda n: F.floor(n * lacking / 100).cast("int")
+    reach = size + size * lacking // 100
+    words = wins.select("window", F.size("words").alias("size"), F.array_distinct("words").alias("words"))
+    words = words.withColumn("may", lack(F.size("words"))).withColumn("span", F.col("size") + F.col("may")).withColumn("need", F.size("words") - F.col("may"))
+    each = words.select("window", "may", F.explode("words").alias("term"))
+    terms = stored(each.select("term").distinct(), "near-words")
+    counts = stored(term_counts(docs, terms), "near-counts")
+    over = Window.partitionBy("window").orderBy(F.col("n").asc_nulls_first(), "term")
+    rare = each.join(counts, "term", "left").withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= F.col("may") + 1)
+    rare = stored(rare.where(F.col("n").isNotNull()).select("term", "window"), "near-rare")
+    wanted = stored(rare.select("term").distinct().withColumn("near", F.lit(True)), "near-terms")
+    index = stored(postings(docs, wanted, reach), "near-postings")
+    wanted_words = stored(rare.join(words, "window").select("term", "window", "words", "span", "need"), "near-windows")
+    found = index.where("around IS NOT NULL").join(small_side(wanted_words, 512), "term")
+    held = lambda there: F.size(F.array_intersect(there, F.col("words"))) >= F.col("need")
+    found = found.where(held(F.col("around")))
+    starts = F.sequence(F.greatest(F.lit(1), F.col("left") + 2 - F.col("span")), F.col("left") + 1)
+    found = found.where(F.exists(starts, lambda i: held(F.slice("around", i, F.col("span")))))
+    return found.select("doc_id", "key", "window").distinct()
+
+
+def proximity(docs: DataFrame, items: DataFrame, size: int = WINDOW, lacking: int = LACKING) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_near (windows near a place of the text), n_near_items, near_items_sha256
+    and near.
+
+    Exact places are near as well; so are reordered windows and those of which few words were changed, left out or put
+    in (see ``near_matches``).  Null, blank and repeated rows and null ids are treated as in ``contamination``.
+    """
+    wins, holders = windows(items, size)
+    found = stored(near_matches(docs, stored(wins, "window-words"), size, lacking), "near-matches")
+    listed = found.join(holders, "window").groupBy("doc_id", "key").agg(
+        F.count_distinct("window").alias("n_near"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    report = listed.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "n_near", "items")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"))
+    out = rows.join(report, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    n_near, items_of = F.coalesce("n_near", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
+    return out.select(
+        "doc_id", n_near.alias("n_near"), F.size(items_of).cast("long").alias("n_near_items"),
+        F.sha2(F.array_join(items_of, ","), 256).alias("near_items_sha256"), (n_near > 0).alias("near"),
+    )
+
+
+def build_index(docs: DataFrame, wins: DataFrame, lists: int = LISTS, reach: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """The stored postings of the rarest words of ``wins``, and the ranking (see ``rare_terms``)."""
     terms = stored(wins.select(F.explode("words").alias("term")).distinct(), "terms")
     counts = stored(term_counts(docs, terms), "term-counts")
     rare = stored(rare_terms(wins, counts, lists), "rare-terms")
     wanted = stored(rare.groupBy("term").agg(F.bool_or(F.col("rank") == 1).alias("near")), "index-terms")
-    return stored(postings(docs, wanted), "postings"), rare
+    return stored(postings(docs, wanted, reach), "postings"), rare
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, lists: int = LISTS) -> tuple[DataFrame, DataFrame]:
     """Exact window places in ``docs`` (doc_id, key, window, start, size), and the items of each window."""
     wins, holders = windows(items, size)
     wins = stored(wins, "window-words")
-    index, rare = build_index(docs, wins, lists)
+    index, rare = build_index(docs, wins, lists, size)
     return stored(phrase_matches(index, wins, rare, lists).distinct(), "phrase-matches"), holders
 
 

@@ -80,6 +80,10 @@ def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _WORDS7 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL7 = f"""
 WITH d AS (SELECT doc_id, {_WORDS7} AS w FROM documents),
@@ -143,6 +147,7 @@ QUERIES: dict[str, Query] = {
     "op5_indexed_warc": op5_indexed_warc,
     "op6_ordinal_toxicity": op6_ordinal_toxicity,
     "op7_positional_index": op7_positional_index,
+    "op7_proximity": op7_proximity,
     "op8_simhash": op8_simhash,
     "op9_sampled_pieces": op9_sampled_pieces,
     "op10_importance_resampling": op10_importance_resampling,
