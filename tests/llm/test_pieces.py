@@ -60,3 +60,16 @@ def test_query(spark, sf):
     got = queries.QUERIES["op9_sampled_pieces"](spark, sf)
     assert got.where("NOT lossless OR n_pieces < 1").count() == 0
     assert got.count() == queries.table(spark, sf, "documents").count() and got.select(F.countDistinct("doc_id")).first()[0] == got.count()
+
+
+def test_largest_draws_stay_in_their_row(monkeypatch):
+    """Draws next to 1 take the last edge of their own place, and shares don't depend on the rest of the batch."""
+    vocab = [(c, 1 + k, -1.0 - k) for k, c in enumerate("abcd ")] + [("ab", 6, -2.0), ("cd", 7, -2.0), (" a", 8, -3.0)]
+    text_of = {i: t for t, i, _ in vocab}
+    lattice, rng = pieces.Lattice(vocab, list(range(256)), 0.5), np.random.default_rng(1)
+    texts = ["".join(x) for x in rng.choice(list("abcd"), size=(3000, 12))]
+    run = lattice.tables([texts[-1]])[2]
+    assert lattice.tables(texts)[2][-len(run):].tolist() == run.tolist()
+    monkeypatch.setattr(pieces, "_mixed", lambda x: np.full(len(x), 2**64 - 1, dtype=np.uint64))
+    flat, upto = lattice.sample(texts, np.arange(len(texts)))
+    assert ["".join(text_of[i] for i in x) for x in np.split(flat.tolist(), upto[:-1])] == [" " + t for t in texts]

@@ -106,11 +106,12 @@ class Lattice:
         self.spelt_weight = math.exp(alpha * SPELT)
         self.spelling = spelling
 
-    def tables(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row of place 0 of each segment (place e has row + e), and for all rows after one another, sorted by row, the
-        edges that end there: row + running share, places that the edge goes back, id.
+    def tables(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row of place 0 of each segment (place e has row + e), the first edge of each row (and the end of the last),
+        and for all rows after one another, sorted by row, the edges that end there: running share, places that the
+        edge goes back, id.
 
-        A character without a piece is one edge whose id is -1 - its code point.  Sums are kept as shares of the sum
+        Running shares are counted in 2^-53 within their row, so they are the same whatever else is in the batch.  A character without a piece is one edge whose id is -1 - its code point.  Sums are kept as shares of the sum
         before, so a long segment doesn't run out of small numbers.
         """
         sizes = np.array([len(s) for s in segments], dtype=np.int64)
@@ -145,13 +146,14 @@ class Lattice:
         order = np.argsort(into * 64 + np.minimum(size, 63), kind="stable")  # by place, shorter pieces first
         start, size, weight, ids, into, source = (x[order] for x in (start, size, weight, ids, into, source))
         share = self.forward(into, source, size, weight, local[start] + size, len(char) + len(sizes))
-        run = np.cumsum(share)
+        first_edge = np.concatenate([[0], np.cumsum(np.bincount(into, minlength=len(char) + len(sizes)))])
         begin = np.flatnonzero(np.concatenate([[True], into[1:] != into[:-1]])) if len(into) else np.zeros(0, dtype=np.int64)
         width = np.diff(np.append(begin, len(into)))
-        run -= np.repeat(run[begin] - share[begin], width)
-        run = np.minimum(run, 1.0)
-        run[begin + width - 1] = 1.0
-        return row0, into + run, size, ids
+        units = (share * 2.0**53).astype(np.uint64)
+        run = np.cumsum(units)  # may wrap around, which the difference undoes
+        run = np.minimum(run - np.repeat(run[begin] - units[begin], width), np.uint64(1 << 53))
+        run[begin + width - 1] = 1 << 53
+        return row0, first_edge, run, size, ids
 
     @staticmethod
     def forward(into: np.ndarray, source: np.ndarray, size: np.ndarray, weight: np.ndarray, end: np.ndarray, rows: int) -> np.ndarray:
@@ -186,7 +188,7 @@ class Lattice:
         which, counts = np.array(which, dtype=np.int64), np.array(counts, dtype=np.int64)
         if not len(which):
             return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
-        row0, share, back, ids = self.tables(list(index))
+        row0, first_edge, run, back, ids = self.tables(list(index))
         row, pos = row0[which], np.array([len(p) for p in index], dtype=np.int64)[which]
         own = np.repeat(keys.view(np.uint64), counts)
         number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -194,8 +196,7 @@ class Lattice:
         at, steps, step = np.arange(len(row)), [], 0
         drawn = np.zeros(len(row), dtype=np.int64)
         while len(at):
-            u = (_mixed(stream[at] + np.uint64(step)) >> np.uint64(11)) * 2.0**-53
-            hit = np.searchsorted(share, row[at] + pos[at] + u, side="right")
+            hit = drawn_edges(first_edge, run, row[at] + pos[at], _mixed(stream[at] + np.uint64(step)) >> np.uint64(11))
             steps.append((at, ids[hit]))
             pos[at] -= back[hit]
             drawn[at] += 1
@@ -220,6 +221,16 @@ class Lattice:
         return flat.astype(np.int32), upto
 
 
+def drawn_edges(first_edge: np.ndarray, run: np.ndarray, row: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """First edge of each row whose running share is above ``u`` (counted in 2^-53), by halving the row's own edges."""
+    low, high = first_edge[row], first_edge[row + 1] - 1
+    for _ in range(int((high - low).max(initial=0)).bit_length()):
+        mid = (low + high) >> 1
+        above = run[mid] > u
+        low, high = np.where(above, low, mid + 1), np.where(above, mid, high)
+    return low
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Scrambled 64-bit numbers: neighbouring inputs give unrelated outputs."""
     with np.errstate(over="ignore"):
