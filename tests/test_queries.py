@@ -45,3 +45,10 @@ def test_texts_are_never_shuffled(spark, sf):
 def test_column_pruning(spark, sf):
     p = plan(spark, sf, "new_author_ratio")
     assert "ReadSchema: struct<o_custkey:bigint,o_orderdate:timestamp_ntz,o_orderpriority:string>" in p
+
+
+@pytest.mark.parametrize("name", ("ensemble_merge", "ensemble_scored", "replay_rows", "replay_asof"))
+def test_all_weeks_have_their_query(name):
+    """The queries with gaps have one beside them that reads every week."""
+    sql = catalog.ORACLE[f"{name}_weeks"]
+    assert "week_idx %" not in sql and "1996" not in sql and sql != catalog.ORACLE[name]

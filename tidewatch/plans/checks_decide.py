@@ -8,7 +8,7 @@ from tidewatch.functions import mathx
 from tidewatch.operators import decide, learn, monitor, narrate, scoring, stats
 from tidewatch.plans import bindings as b
 from tidewatch.plans.checks_stats import COMMUNITIES
-from tidewatch.plans.registry import query, shown
+from tidewatch.plans.registry import ORACLE, query, shown
 from tidewatch.schemas import STATE_NAMES
 
 P = "WITH " + b.PREDICTIONS
@@ -94,6 +94,19 @@ def replay_asof(spark, sf):
     return decide.replay_asof(weeks, asks)
 
 
+@query("replay_rows_weeks", ORACLE["replay_rows"].replace(" WHERE NOT (community LIKE '1%' AND week_start >= DATE '1996-01-01')", ""))
+def replay_rows_weeks(spark, sf):
+    """``replay_rows`` over all weeks of all communities."""
+    return shown(decide.replay_rows(b.order_panel(spark, sf), "1998-02-05").select("community", "week_start", "week_idx", "post_volume"))
+
+
+@query("replay_asof_weeks", ORACLE["replay_asof"].replace(" WHERE week_idx % 3 = 1", ""))
+def replay_asof_weeks(spark, sf):
+    """``replay_asof`` over all weeks."""
+    asks = b.order_posts(spark, sf).select("community", F.col("ts").cast("date").alias("replay_week")).distinct()
+    return decide.replay_asof(b.order_panel(spark, sf), asks)
+
+
 @query("trailing_weeks", "WITH " + b.PANEL + """ SELECT community, week_start, back FROM (SELECT community, week_start, row_number() OVER (PARTITION BY community ORDER BY week_start DESC) AS back FROM panel WHERE week_start <= DATE '1999-06-07') WHERE back <= 12""")
 def trailing_weeks(spark, sf):
     return shown(decide.trailing(b.order_panel(spark, sf), "1999-06-07").select("community", "week_start", "back"))

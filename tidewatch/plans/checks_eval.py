@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import mathx
 from tidewatch.operators import decide, metrics
 from tidewatch.plans import bindings as b
-from tidewatch.plans.registry import query, shown
+from tidewatch.plans.registry import ORACLE, query, shown
 
 P = "WITH " + b.PREDICTIONS
 
@@ -171,6 +171,26 @@ def ensemble_scored(spark, sf):
     return shown(metrics.ensemble(*_pair(spark, sf)))
 
 
+PAIR_WEEKS = """, a AS (SELECT * FROM predictions WHERE model = 'sequence'), t AS (SELECT * FROM predictions WHERE model = 'tabular')"""
+
+
+def _pair_weeks(spark, sf):
+    p = b.stored(b.predictions(spark, sf))
+    return p.where("model = 'sequence'"), p.where("model = 'tabular'")
+
+
+@query("ensemble_merge_weeks", ORACLE["ensemble_merge"].replace(PAIR, PAIR_WEEKS))
+def ensemble_merge_weeks(spark, sf):
+    """``ensemble_merge`` over all weeks of both models."""
+    return shown(metrics.merge_models(*_pair_weeks(spark, sf)))
+
+
+@query("ensemble_scored_weeks", ORACLE["ensemble_scored"].replace(PAIR, PAIR_WEEKS))
+def ensemble_scored_weeks(spark, sf):
+    """``ensemble_scored`` over all weeks of both models."""
+    return shown(metrics.ensemble(*_pair_weeks(spark, sf)))
+
+
 @query("array_results", P + """, g AS (SELECT community, count(*) + 3 AS n FROM predictions WHERE model = 'tabular' GROUP BY community),
 s AS (SELECT community, CAST(unnest(generate_series(0, n - 1)) AS BIGINT) AS week_idx FROM g)
 SELECT s.community, s.week_idx, CAST(p.pred AS DOUBLE) AS pred, round(p.prob, 6) AS prob, CAST(p.actual AS DOUBLE) AS actual FROM s LEFT JOIN predictions p ON p.community = s.community AND p.week_idx = s.week_idx AND p.model = 'tabular'""")
