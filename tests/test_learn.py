@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tidewatch.functions import fits
 from tidewatch.operators import learn, metrics, serve, stats
-from tidewatch.plans import jobs
+from tidewatch.plans import checks_learn, jobs
 
 W = [dt.date(2020, 1, 6) + dt.timedelta(weeks=i) for i in range(130)]
 COLS = ["f1", "f2", "f3"]
@@ -138,3 +138,18 @@ def test_evaluate_job(scored):
     assert m == {"tabular", "sequence", "ensemble"}
     assert out["lead_time"].count() == 6
     assert out["diagnostics"].count() == 2 and out["usefulness"].count() == 2 * 3 * 4
+
+
+def test_pooled_trees_has_the_operator_defaults(spark, sf, monkeypatch):
+    asked, fit = [], learn.fit_gbt
+    monkeypatch.setattr(learn, "fit_gbt", lambda rows, **options: asked.append(options) or fit(rows, depth=1, trees=1))
+    checks_learn.pooled_trees(spark, sf)
+    assert asked == [{}]
+
+
+def test_tabular_search_runs_by_default(scored, monkeypatch):
+    """The penalty of a final model is the one with the best recall over the time splits, out of several."""
+    assert len(learn.L2_GRID) > 1
+    default, searched, single = (learn.final_models(scored, COLS, **o) for o in ({}, {"l2_grid": (1.0, 0.1, 10.0)}, {"l2_grid": (1.0,)}))
+    coef = lambda m: rows(m, "community", "model.coef")
+    assert coef(default) == coef(searched) != coef(single)

@@ -28,6 +28,9 @@ FOLD_SCHEMA = (
 TABULAR_MODEL = f"community string, model struct<intercept:double,coef:array<double>>, calibrator {CALIBRATOR}"
 SEQUENCE_MODEL = f"community string, model struct<intercept:array<double>,coef:array<array<double>>>, calibrator {CALIBRATOR}"
 
+#: Penalties of the tabular search; the first one is taken where there are too few rows to search, and by sequence models.
+L2_GRID = (1.0, 0.1, 10.0)
+
 
 def _rows(scored: DataFrame, features: Sequence[str], length: int | None, score: str) -> DataFrame:
     """community, week_idx, score, next score and the model input of each week."""
@@ -125,7 +128,7 @@ def _options(length, gap, threshold, fraction, method, min_samples, min_class, g
 def walk_forward(
     scored: DataFrame, features: Sequence[str], *, cuts: Sequence[float] = STATE_CUTS, sequence_length: int | None = None,
     min_train: int = 26, gap: int = 1, holdout: int = 12, threshold: float = 0.3, fraction: float = 0.2,
-    method: str = "platt", min_samples: int = 20, min_class: int = 3, l2_grid: Sequence[float] = (1.0,),
+    method: str = "platt", min_samples: int = 20, min_class: int = 3, l2_grid: Sequence[float] = L2_GRID,
     compat: bool = False, folds_per_task: int = 16, score: str = "distress_score",
 ) -> DataFrame:
     """Fold records with the calibrated prediction and the actual class of every test week.
@@ -186,7 +189,7 @@ def _final(opts: dict):
 def final_models(
     scored: DataFrame, features: Sequence[str], *, cuts: Sequence[float] = STATE_CUTS, sequence_length: int | None = None,
     min_train: int = 26, gap: int = 1, holdout: int = 12, fraction: float = 0.2, method: str = "platt",
-    min_samples: int = 20, min_class: int = 3, l2_grid: Sequence[float] = (1.0,), score: str = "distress_score",
+    min_samples: int = 20, min_class: int = 3, l2_grid: Sequence[float] = L2_GRID, score: str = "distress_score",
 ) -> DataFrame:
     """One model and calibrator per community, fitted on its development weeks."""
     span = min_train + (sequence_length or 0)

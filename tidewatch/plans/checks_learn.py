@@ -111,7 +111,7 @@ def permutation_importance(spark, sf):
 def pooled_trees(spark, sf):
     """Boosted trees over all communities, scored in-sample."""
     rows = b.stored(learn.labeled_rows(_raw(spark, sf), COLS, b.CUTS))
-    p = learn.gbt_probability(rows, learn.fit_gbt(rows, depth=3, trees=10))
+    p = learn.gbt_probability(rows, learn.fit_gbt(rows))
     return shown(metrics.average_precision(p.select("community", F.lit("trees").alias("model"), "prob", F.lit(0).alias("pred"), F.col("y").alias("actual"))))
 
 
