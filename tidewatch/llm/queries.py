@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import decontam, importance, licenses, line_templates, pieces, quality_rules, simhash, toxicity, warc, wordpiece
+from tidewatch.llm import decontam, importance, licenses, line_templates, pieces, quality_rules, simhash, toxicity, warc, whitening, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -139,6 +139,10 @@ def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_conditional_compression": op1_conditional_compression,
     "op2_line_templates": op2_line_templates,
@@ -151,5 +155,6 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_sampled_pieces": op9_sampled_pieces,
     "op10_importance_resampling": op10_importance_resampling,
+    "op11_jacobi_davidson": op11_jacobi_davidson,
 }
 ORACLE: dict[str, str] = {"op2_line_templates": SQL2, "op3_rule_table": SQL3, "op5_indexed_warc": SQL5, "op7_positional_index": SQL7}
