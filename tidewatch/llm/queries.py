@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import decontam, importance, licenses, line_templates, pieces, quality_rules, simhash, toxicity, warc, whitening, wordpiece
+from tidewatch.llm import decontam, importance, kdshards, licenses, line_templates, pieces, quality_rules, simhash, toxicity, warc, whitening, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -143,6 +143,12 @@ def op11_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen leaves of near equal bytes."""
+    placed = kdshards.shards(table(spark, sf_dir, "documents"), leaves=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_conditional_compression": op1_conditional_compression,
     "op2_line_templates": op2_line_templates,
@@ -156,5 +162,6 @@ QUERIES: dict[str, Query] = {
     "op9_sampled_pieces": op9_sampled_pieces,
     "op10_importance_resampling": op10_importance_resampling,
     "op11_jacobi_davidson": op11_jacobi_davidson,
+    "op12_kd_shards": op12_kd_shards,
 }
 ORACLE: dict[str, str] = {"op2_line_templates": SQL2, "op3_rule_table": SQL3, "op5_indexed_warc": SQL5, "op7_positional_index": SQL7}
