@@ -40,7 +40,7 @@ def coordinate(column: Column, kind: T.DataType) -> Column:
 
 
 def points(docs: DataFrame, dims: tuple[str, ...] = DIMS, uid: str | None = None) -> DataFrame:
-    """uid (unique), doc_id, size, text_crc32, at (coordinates), tie: the narrow table of ``docs``, written once so that uid stays.
+    """uid (unique), doc_id, size, text_crc32, at (coordinates), node (the root), tie: the narrow table of ``docs``, written once so that uid stays.
 
     ``size`` names the weight, any other name a column of ``docs``.  uid counts within each written partition, whose
     number is in its upper bits; a stored column of such numbers can be named instead.
@@ -48,7 +48,8 @@ def points(docs: DataFrame, dims: tuple[str, ...] = DIMS, uid: str | None = None
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0).cast("long"))
     at = [size if d == "size" else coordinate(F.col(d), docs.schema[d].dataType) for d in dims]
-    rows = docs.select((F.col(uid) if uid else F.monotonically_increasing_id()).alias("uid"), F.col("doc_id"), size.alias("size"), crc.alias("text_crc32"), F.array(*at).alias("at"))
+    rows = docs.select((F.col(uid) if uid else F.monotonically_increasing_id()).alias("uid"), F.col("doc_id"), size.alias("size"), crc.alias("text_crc32"), F.array(*at).alias("at"),
+                       F.lit(0).cast("long").alias("node"))
     return stored(rows.withColumn("tie", F.expr("text_crc32 * 16777216 + (xxhash64(uid) & 16777215)")), "points")
 
 
@@ -68,7 +69,7 @@ def tree(rows: DataFrame, leaves: int, dims: int) -> tuple[DataFrame, list[Cut]]
     by its first leaf.  Halves miss their share by at most half a row or FINEST of the node's bytes.
     """
     spark = rows.sparkSession
-    rows = rows.withColumn("node", F.lit(0).cast("long")).withColumn("leaves", F.lit(leaves).cast("long"))
+    rows = rows.withColumn("leaves", F.lit(leaves).cast("long"))
     every: list[Cut] = []
     spread: list[float] = []
     for _ in range(math.ceil(math.log2(leaves))):
