@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import decontam, importance, kdshards, licenses, line_templates, pieces, quality_rules, simhash, toxicity, warc, whitening, wordpiece
+from tidewatch.llm import decontam, importance, kdshards, licenses, line_templates, merkle, pieces, quality_rules, simhash, toxicity, warc, whitening, wordpiece
+from tidewatch.llm.common import LOWER, UPPER
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -149,6 +150,40 @@ def op12_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_butterfly_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, seen={"text": merkle.tampered(F.col("text"), F.col("doc_id"))}).drop("seen")
+
+
+def _sql13() -> str:
+    """The tree level by level; a group or table that is down to one node keeps it."""
+    def enc(c: str) -> str:
+        return f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    low = f"CASE WHEN crc % 5 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END"
+    fields = [enc(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    crc = ("xor(list_reduce([4294967295] || [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')], lambda c, b: "
+           "list_reduce([xor(c, b)] || repeat([CAST(0 AS BIGINT)], 8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)")
+    parts = [f"d AS (SELECT *, {crc} AS crc FROM documents)",
+             f"v AS (SELECT doc_id, source, sha256(concat({', '.join(fields)}, {enc('text')})) AS leaf, sha256(concat({', '.join(fields)}, {enc('(' + low + ')')})) AS seen FROM d)",
+             "f0 AS (SELECT *, leaf AS digest, seen AS now, '' AS proof, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, seen) - 1 AS p FROM v)"]
+
+    def climb(name: str, group: str, levels: int) -> str:
+        """``levels`` times: nodes of a level (one row each), their runs, and every document's fold through its run."""
+        for k in range(levels):
+            parts.append(f"{name}n{k} AS (SELECT DISTINCT {group}, p, digest FROM {name}{k})")
+            parts.append(f"{name}r{k} AS (SELECT {group}, r, run, sum(held) OVER (PARTITION BY {group}) AS nodes FROM (SELECT {group}, p // 16 AS r, string_agg(digest, '' ORDER BY p) AS run, count(*) AS held FROM {name}n{k} GROUP BY ALL))")
+            left, right = "left(run, 64 * (p % 16))", "substr(run, 64 * (p % 16) + 65)"
+            parts.append(f"{name}{k + 1} AS (SELECT x.* EXCLUDE (digest, now, proof, p), CASE WHEN nodes > 1 THEN sha256(run) ELSE digest END AS digest, CASE WHEN nodes > 1 THEN sha256({left} || now || {right}) ELSE now END AS now, "
+                         f"CASE WHEN nodes > 1 THEN proof || {left} || {right} ELSE proof END AS proof, p // 16 AS p FROM {name}{k} x JOIN {name}r{k} y ON x.{group} IS NOT DISTINCT FROM y.{group} AND x.p // 16 = y.r)")
+        return f"{name}{levels}"
+
+    last = climb("f", "source", 6)
+    parts.append(f"t0 AS (SELECT * EXCLUDE (p), digest AS subroot, dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS p, 1 AS every FROM {last})")
+    last = climb("t", "every", 4)
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = digest AS verified FROM {last}"
+
+
 QUERIES: dict[str, Query] = {
     "op1_conditional_compression": op1_conditional_compression,
     "op2_line_templates": op2_line_templates,
@@ -163,5 +198,6 @@ QUERIES: dict[str, Query] = {
     "op10_importance_resampling": op10_importance_resampling,
     "op11_jacobi_davidson": op11_jacobi_davidson,
     "op12_kd_shards": op12_kd_shards,
+    "op13_butterfly_manifest": op13_butterfly_manifest,
 }
-ORACLE: dict[str, str] = {"op2_line_templates": SQL2, "op3_rule_table": SQL3, "op5_indexed_warc": SQL5, "op7_positional_index": SQL7}
+ORACLE: dict[str, str] = {"op2_line_templates": SQL2, "op3_rule_table": SQL3, "op5_indexed_warc": SQL5, "op7_positional_index": SQL7, "op13_butterfly_manifest": _sql13()}
