@@ -38,3 +38,24 @@ def test_verdicts(spark):
 def test_one_projection(spark, sf):
     plan = quality_rules.judged(queries.table(spark, sf, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Exchange", "Python", "Arrow", "Join"))
+
+
+def test_filters_on_verdicts(spark, sf):
+    """A filter is pushed below the projection with all it needs: the windows are sorted once there and once above."""
+    docs = queries.table(spark, sf, "documents")
+    every = {r.doc_id: r for r in quality_rules.judged(docs).collect()}
+    for column in ("kept", "base_failed"):
+        for wanted in (True, False):
+            some = quality_rules.judged(docs).where(f"{column} = {wanted}")
+            assert {r.doc_id for r in some.collect()} == {k for k, r in every.items() if r[column] == wanted}
+            plan = some._jdf.queryExecution().optimizedPlan().toString()
+            assert 1 <= plan.count("xxhash64") <= 2
+
+
+def test_windows_that_share_a_hash(spark, monkeypatch):
+    """With a hash that tells nothing apart all windows are sorted by their words, and counts stay exact."""
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *c: quality_rules.F.length(c[0]).cast("long"))
+    texts = ["a b c a b c a b", "a b c d a b e a b c", "x x x x", "p q r s t u v w p q r", "aa b c aa b d aa b c"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.judged(df).collect()}
+    assert got == {k: counts(t)[4] for k, t in enumerate(texts)}
