@@ -1,6 +1,8 @@
 """Sampled segmentations: lossless, reproducible, and with the probabilities of a brute-force lattice."""
 
 import math
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -73,3 +75,38 @@ def test_largest_draws_stay_in_their_row(monkeypatch):
     monkeypatch.setattr(pieces, "_mixed", lambda x: np.full(len(x), 2**64 - 1, dtype=np.uint64))
     flat, upto = lattice.sample(texts, np.arange(len(texts)))
     assert ["".join(text_of[i] for i in x) for x in np.split(flat.tolist(), upto[:-1])] == [" " + t for t in texts]
+
+
+def test_blocks_do_not_matter(monkeypatch):
+    """Very long texts are cut within; the ids are the same for any block, batch and order of work."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdeé漢 \n"), size=k)) for k in rng.integers(1, 12, 3000)]
+    texts = [" ".join(rng.choice(words, size=400_000)), None, "", "x" * 150_000 + " y", "é" * 70_000, "漢字" * 30_000, " " * 70_000, "\n" * 3000] + words
+    keys = np.arange(len(texts)) % 1000
+    vocab, bytes_of, spelling = pieces.vocabulary()
+    flat, upto = pieces.Lattice(vocab, spelling, 0.5).sample(texts, keys)
+    assert len(texts[0]) > 2_000_000
+    ids = np.split(flat, upto[:-1])
+    for t, i in zip(texts, ids):
+        assert b"".join(bytes_of[x] for x in i.tolist()).decode() == (" " + t if t else "")
+    for chunk, held in ((1 << 17, 1 << 12), (1 << 22, 1 << 22)):
+        monkeypatch.setattr(pieces, "CHUNK", chunk)
+        monkeypatch.setattr(pieces, "HELD_EDGES", held)
+        lattice = pieces.Lattice(vocab, spelling, 0.5)
+        some = [lattice.sample(texts[a : a + 700], keys[a : a + 700]) for a in range(0, len(texts), 700)]
+        assert np.array_equal(np.concatenate([f for f, _ in some]), flat)
+
+
+def test_memory_of_one_long_text():
+    """A text of 20 million characters takes little beyond itself and its ids."""
+    code = """
+import resource, numpy as np, pyarrow as pa
+from tidewatch.llm import pieces
+vocab, _, spelling = pieces.vocabulary()
+text = pa.array([" " + "some words of a very long text\\n" * 650_000])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+flat, upto = pieces.Lattice(vocab, spelling, 0.5).sample_array(text, np.arange(1))
+print(len(flat), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before, before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300).stdout.split()
+    assert int(out[0]) > 4_000_000 and int(out[1]) < 400_000

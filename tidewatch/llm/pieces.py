@@ -4,7 +4,9 @@ The lattice of a text has an edge for every vocabulary piece that matches a stre
 with probability proportional to the product of its pieces' probabilities to the power ``alpha``.  Forward filtering
 sums the weight of all paths up to each place, backward sampling walks from the end and draws each last piece by its
 share.  No piece has a space or line break after another character, so the lattice falls apart at those places into
-short segments whose tables are shared by all their occurrences; tables and draws of a whole batch are array steps.
+short segments whose tables are shared by all their occurrences.  Work goes on in blocks of CHUNK bytes that are cut
+between segments, also within a text, so a task holds as much for one very long text as for many short ones; tables
+of segments that come again are held from block to block, up to HELD_EDGES.
 
 A draw depends on the seed, the row key, the segment's number in the text and the step, and on nothing else: a
 repeated task, another partitioning or another cluster gives the same segmentation.
@@ -13,7 +15,6 @@ repeated task, another partitioning or another cluster gives the same segmentati
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +24,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Where the vocabularies of public tokenizers lie on this box; a caller elsewhere gives its own path.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SEGMENT = re.compile(r"\n| *[^ \n]+| +")
-#: Characters (or ids) that are worked on at once: it bounds the arrays of a task whatever its batch holds.
-CHUNK_CHARS = 1 << 21
+#: Bytes that are worked on at once: it bounds the arrays of a task whatever its batch holds.
+CHUNK = 1 << 18
+#: A stretch without a space or line break is cut after this many bytes (less what keeps a character whole), so one is no longer than a block.
+LONGEST = 1 << 16
+#: Lattice edges (13 bytes each) of repeated segments that are held between blocks.
+HELD_EDGES = 1 << 20
+#: Ids or texts decoded at once.
+CHUNK_IDS = 1 << 18
 #: Log-probability of a character without a piece, which is spelt in bytes.
 SPELT = -20.0
 
@@ -105,8 +111,9 @@ class Lattice:
         self.single = np.array([len(t) == 1 for t, _, _ in pieces])
         self.spelt_weight = math.exp(alpha * SPELT)
         self.spelling = spelling
+        self._forget()
 
-    def tables(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def tables(self, segments: list[str] | pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row of place 0 of each segment (place e has row + e), the first edge of each row (and the end of the last),
         and for all rows after one another, sorted by row, the edges that end there: running share, places that the
         edge goes back, id.
@@ -114,8 +121,11 @@ class Lattice:
         Running shares are counted in 2^-53 within their row, so they are the same whatever else is in the batch.  A character without a piece is one edge whose id is -1 - its code point.  Sums are kept as shares of the sum
         before, so a long segment doesn't run out of small numbers.
         """
-        sizes = np.array([len(s) for s in segments], dtype=np.int64)
-        char = np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        segments = pa.array(segments, pa.string()) if isinstance(segments, list) else segments
+        sizes = pc.utf8_length(segments).to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = np.frombuffer(segments.buffers()[1], dtype=np.int32)[segments.offset : segments.offset + len(segments) + 1]
+        spelt = segments.buffers()[2][int(offsets[0]) : int(offsets[-1])].to_pybytes() if len(segments) else b""
+        char = np.frombuffer(spelt.decode().encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         first = np.cumsum(sizes) - sizes
         row0 = first + np.arange(len(sizes))
         own = np.repeat(np.arange(len(sizes)), sizes)
@@ -179,34 +189,79 @@ class Lattice:
 
     def sample(self, texts: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts after one another, and where each text's ids end."""
-        index: dict[str, int] = {}
-        which, counts = [], []
-        for t in texts:
-            parts = SEGMENT.findall(" " + t) if t else []
-            which += [index.setdefault(p, len(index)) for p in parts]
-            counts.append(len(parts))
-        which, counts = np.array(which, dtype=np.int64), np.array(counts, dtype=np.int64)
-        if not len(which):
-            return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
-        row0, first_edge, run, back, ids = self.tables(list(index))
-        row, pos = row0[which], np.array([len(p) for p in index], dtype=np.int64)[which]
-        own = np.repeat(keys.view(np.uint64), counts)
-        number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        stream = _mixed(own ^ _mixed(number.astype(np.uint64)))
+        return self.sample_array(pa.array([" " + t if t else "" for t in texts], pa.string()), keys)
+
+    def sample_array(self, text: pa.StringArray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that begin with the space that stands before every text; an empty one has no ids."""
+        offsets = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64) if len(text) else np.zeros(1, dtype=np.int64)
+        held, flat, counts, done = text.buffers()[2], [], np.zeros(len(text), dtype=np.int64), (-1, 0)
+        data = np.frombuffer(held, dtype=np.uint8) if held is not None else np.zeros(0, dtype=np.uint8)
+        a, end, base = int(offsets[0]), int(offsets[-1]), keys.view(np.uint64)
+        while a < end:
+            starts, z = _starts(data, offsets, a, min(end, a + CHUNK), end)
+            own = np.searchsorted(offsets, starts, side="right") - 1
+            fresh = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            number = np.arange(len(own)) - np.repeat(fresh, np.diff(np.append(fresh, len(own))))
+            if own[0] == done[0]:  # a text that goes on
+                number[own == own[0]] += done[1]
+            done = int(own[-1]), int(number[-1]) + 1
+            segments = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, z).astype(np.int32)), held)
+            ids, drawn = self._drawn(segments, _mixed(base[own] ^ _mixed(number.astype(np.uint64))))
+            flat.append(ids)
+            counts += np.bincount(own, weights=drawn, minlength=len(counts)).astype(np.int64)
+            a = z
+        return np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32), np.cumsum(counts)
+
+    def _looked_up(self, segments: pa.StringArray, counts: np.ndarray) -> np.ndarray:
+        """Row of place 0 of each of these different segments in the held tables; new ones are added, repeated ones to stay."""
+        if self.edges >= HELD_EDGES:
+            self._forget()
+        rows = np.full(len(segments), -1, dtype=np.int64)
+        if len(self.names):
+            known = pc.index_in(segments, value_set=self.names).fill_null(-1).to_numpy(zero_copy_only=False)
+            rows[known >= 0] = self.row0[known[known >= 0]]
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            new = new[np.argsort(-np.minimum(counts[new], 2), kind="stable")]  # those to stay come first
+            taken = segments.take(pa.array(new))
+            row0, first_edge, run, back, ids = self.tables(taken)
+            r, e = self.rows, self.edges
+            self.first_edge, self.run = _put(self.first_edge, r, first_edge + e), _put(self.run, e, run)
+            self.back, self.ids = _put(self.back, e, back.astype(np.int32)), _put(self.ids, e, ids.astype(np.int32))
+            rows[new] = row0 + r
+            stay = int((counts[new] > 1).sum())
+            last = int(row0[stay]) if stay < len(new) else len(first_edge) - 1
+            self.rows, self.edges = r + last, e + int(first_edge[last])
+            self.names = pa.concat_arrays([self.names, taken[:stay]])
+            self.row0 = np.concatenate([self.row0, row0[:stay] + r])
+        return rows
+
+    def _forget(self) -> None:
+        self.names, self.row0, self.rows, self.edges = pa.array([], pa.string()), np.zeros(0, dtype=np.int64), 0, 0
+        self.first_edge, self.run, self.back, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+
+    def _drawn(self, segments: pa.StringArray, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments after one another, and how many each has."""
+        coded = segments.dictionary_encode()
+        which, different = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        row = self._looked_up(different, np.bincount(which, minlength=len(different)))[which]
+        pos = pc.utf8_length(different).to_numpy(zero_copy_only=False).astype(np.int64)[which]
         at, steps, step = np.arange(len(row)), [], 0
         drawn = np.zeros(len(row), dtype=np.int64)
+        place, left, own = row + pos, pos, stream
         while len(at):
-            hit = drawn_edges(first_edge, run, row[at] + pos[at], _mixed(stream[at] + np.uint64(step)) >> np.uint64(11))
-            steps.append((at, ids[hit]))
-            pos[at] -= back[hit]
+            hit = drawn_edges(self.first_edge, self.run, place, _mixed(own + np.uint64(step)) >> np.uint64(11))
+            steps.append((at, self.ids[hit]))
+            gone = self.back[hit]
             drawn[at] += 1
-            at = at[pos[at] > 0]
+            left = left - gone
+            more = np.flatnonzero(left > 0)
+            at, left, place, own = at[more], left[more], (place - gone)[more], own[more]
             step += 1
         ends = np.cumsum(drawn)
-        flat = np.zeros(int(ends[-1]), dtype=np.int64)
+        flat = np.zeros(int(ends[-1]), dtype=np.int32)
         for k, (i, piece) in enumerate(steps):
             flat[ends[i] - 1 - k] = piece
-        upto = np.concatenate([[0], ends])[np.cumsum(counts)]
         odd = np.flatnonzero(flat < 0)
         if len(odd):  # spell the characters without a piece
             spelt = {c: [self.spelling[b] for b in chr(-1 - c).encode()] for c in np.unique(flat[odd]).tolist()}
@@ -217,8 +272,45 @@ class Lattice:
             for k in range(4):
                 far = odd[width[odd] > k]
                 wide[after[far] - width[far] + k] = [spelt[c][k] for c in flat[far].tolist()]
-            flat, upto = wide, np.concatenate([[0], after])[upto]
-        return flat.astype(np.int32), upto
+            drawn = np.diff(np.concatenate([[0], after])[np.concatenate([[0], ends])])
+            flat = wide
+        return flat, drawn
+
+
+def _put(array: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
+    """``array`` with ``new`` from ``at`` on; it grows by half again when it is full and is written in place otherwise."""
+    if at + len(new) > len(array):
+        wider = np.zeros((at + len(new)) * 3 // 2, dtype=array.dtype)
+        wider[:at] = array[:at]
+        array = wider
+    array[at : at + len(new)] = new
+    return array
+
+
+def _starts(data: np.ndarray, offsets: np.ndarray, a: int, z: int, end: int) -> tuple[np.ndarray, int]:
+    """Places in a..z (bytes) where segments begin, the first at ``a``, and the end of the last whole one.
+
+    A segment is a line break, spaces and the word after them, or spaces before a line break or the end.  It doesn't
+    matter where a block ends: a long stretch is cut by its distance to the cut before.
+    """
+    b = data[a:z]
+    before = np.concatenate([[10], b[:-1]])
+    first = (b == 10) | (before == 10) | ((b == 32) & (before != 32))
+    texts = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, z)]
+    first[texts - a] = True
+    starts = np.flatnonzero(first) + a
+    long_ = np.flatnonzero(np.diff(np.append(starts, z)) > LONGEST)
+    if len(long_):
+        more, stops = [], np.append(starts, z)
+        for k in long_.tolist():
+            at = int(stops[k])
+            while stops[k + 1] - at > LONGEST:
+                at += LONGEST
+                while data[at] & 0xC0 == 0x80:
+                    at -= 1
+                more.append(at)
+        starts = np.sort(np.append(starts, more))
+    return (starts, z) if z == end else (starts[:-1], int(starts[-1]))
 
 
 def drawn_edges(first_edge: np.ndarray, run: np.ndarray, row: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -246,24 +338,26 @@ def _chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)])
 
 
+#: Lattices of a worker by model and alpha: a worker serves many tasks.
+_LATTICES: dict[tuple[str, float], Lattice] = {}
+
+
 def sampler(model: str = MODEL, alpha: float = 0.5):
     """Column function (text, key): ids of one sampled segmentation, null for a null text and none for an empty one."""
     pieces, _, spelling = vocabulary(model)
-    held: list[Lattice] = []
 
     @F.arrow_udf("array<int>")
     def ids(text: pa.Array, key: pa.Array) -> pa.Array:
-        if not held:
-            held.append(Lattice(pieces, spelling, alpha))
-        texts, keys = text.to_pylist(), key.to_numpy(zero_copy_only=False).astype(np.int64)
-        out = []
-        for a, z in _chunks(np.array([len(t or "") for t in texts], dtype=np.int64), CHUNK_CHARS) if texts else ():
-            flat, upto = held[0].sample(texts[a:z], keys[a:z])
-            missing = np.array([t is None for t in texts[a:z]] + [False])
-            out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32), mask=missing), pa.array(flat)))
-        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+        if (model, alpha) not in _LATTICES:
+            _LATTICES[model, alpha] = Lattice(pieces, spelling, alpha)
+        if not len(text):
+            return pa.array([], pa.list_(pa.int32()))
+        missing = text.is_null().to_numpy(zero_copy_only=False)
+        flat, upto = _LATTICES[model, alpha].sample_array(pc.fill_null(text.cast(pa.string()), ""), key.to_numpy(zero_copy_only=False).astype(np.int64))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32), mask=np.append(missing, False)), pa.array(flat))
 
-    return ids.asNondeterministic()  # else Spark runs it again below each function of its result
+    spread = ids.asNondeterministic()  # else Spark runs it again below each function of its result
+    return lambda text, key: spread(F.when(F.col(text) != "", F.concat(F.lit(" "), text)).otherwise(F.col(text)), key)
 
 
 def decoder(model: str = MODEL):
@@ -281,7 +375,7 @@ def decoder(model: str = MODEL):
         counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         flat, out = pc.list_flatten(ids).to_numpy(zero_copy_only=False), []
         upto = np.concatenate([[0], np.cumsum(counts)])
-        for a, z in _chunks(counts, CHUNK_CHARS):
+        for a, z in _chunks(counts, CHUNK_IDS):
             part = flat[upto[a] : upto[z]]
             width = size[part]
             after = np.concatenate([[0], np.cumsum(width)])
@@ -305,12 +399,17 @@ def encode(docs: DataFrame, seed: int = 0, alpha: float = 0.5, model: str = MODE
     """``docs`` with piece_ids, one sampled segmentation of ``text`` seeded by ``doc_id``.
 
     A null text has null ids, an empty one no ids; repeated rows get the same segmentation, a null doc_id is one more
-    key.  Characters without a piece, and a literal U+2581, are spelt in byte pieces.  Columns are kept, but for one
-    named piece_ids, which is replaced.
+    key; an empty table stays empty.  A text may be as long as a row can be: it is worked on in blocks, and a stretch
+    of over LONGEST bytes without space or line break is cut, so no piece spans such a cut.  Characters without a
+    piece, and a literal U+2581, are spelt in byte pieces.  Columns are kept, but for one named piece_ids, which is
+    replaced.
     """
     return docs.withColumn("piece_ids", sampler(model, alpha)("text", row_key(F.col("doc_id"), seed)))
 
 
-def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
-    """``coded`` with ``decoded``, the text of ``piece_ids``; equal to the text that was encoded."""
-    return coded.withColumn("decoded", decoder(model)("piece_ids"))
+def decode(coded: DataFrame, model: str = MODEL, into: str = "decoded") -> DataFrame:
+    """``coded`` with column ``into``, the text of ``piece_ids``; equal to the text that was encoded.
+
+    Null ids give null, no ids the empty text.  Columns are kept, but for one named ``into``, which is replaced.
+    """
+    return coded.withColumn(into, decoder(model)("piece_ids"))
