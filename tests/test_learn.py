@@ -153,3 +153,61 @@ def test_tabular_search_runs_by_default(scored, monkeypatch):
     default, searched, single = (learn.final_models(scored, COLS, **o) for o in ({}, {"l2_grid": (1.0, 0.1, 10.0)}, {"l2_grid": (1.0,)}))
     coef = lambda m: rows(m, "community", "model.coef")
     assert coef(default) == coef(searched) != coef(single)
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Two communities whose next week's score is one of four steps, told by the two weeks before."""
+    frames = []
+    for c, seed in (("a", 5), ("b", 6)):
+        rng = np.random.default_rng(seed)
+        step = rng.integers(0, 4, 130)
+        f1 = np.append(step[1:], 0) + 0.2 * rng.normal(size=130)
+        frames.append(pd.DataFrame({"community": c, "week_start": W[:130], "distress_score": step - 1.5, "f1": f1, "f2": rng.normal(size=130)}))
+    return spark.createDataFrame(pd.concat(frames)).cache()
+
+
+@pytest.mark.parametrize("l2", [1.0, 1e-2, 1e-4])
+@pytest.mark.parametrize("width", [1, 3, 12, 36])
+def test_softmax_fit_is_a_minimum(l2, width):
+    rng = np.random.default_rng(width)
+    x, y = rng.normal(size=(80, width)) * rng.uniform(0.1, 50, width), rng.choice([0, 1, 3], 80)
+    coef, b, converged = fits.fit_classes(x, y, l2=l2)
+    assert converged and np.isfinite(coef).all()
+    low, span = x.min(axis=0), np.ptp(x, axis=0)
+    s, n = (x - low) / span - 0.5, np.bincount(y, minlength=4)
+    w = np.array([1 / n[k] if n[k] else 0 for k in range(4)])[y]
+    w /= w.sum()
+
+    def loss(a, c):
+        z = s @ a.T + c
+        z = z - z.max(axis=1, keepdims=True)
+        return w @ (np.log(np.exp(z).sum(axis=1)) - z[np.arange(80), y]) + l2 / 2 * (a * a).sum()
+
+    a, c = coef * span, b + coef @ (low + 0.5 * span)
+    at = loss(a, c)
+    for _ in range(30):
+        da, dc = rng.normal(size=a.shape) * 0.02, rng.normal(size=4) * 0.02
+        da[2], dc[2] = 0, 0  # the class never seen
+        assert loss(a + da, c + dc) > at - 1e-7
+    with pytest.raises(ArithmeticError):
+        fits.fit_classes(np.array([[np.nan], [1.0]]), np.array([0, 1]))
+
+
+def test_sequence_models_tell_planted_classes(planted):
+    w = learn.walk_forward(planted, ["f1", "f2"], sequence_length=3, cuts=(-0.6, 0.0, 0.6)).where("not skipped AND actual IS NOT NULL").toPandas()
+    assert w.converged.all() and w.prob.std() > 0.1
+    recall = [(w.pred[w.actual == k] == k).mean() for k in range(4)]
+    assert np.mean(recall) > 0.6
+
+
+def test_search_by_halving_finds_the_best_of_the_grid(planted):
+    """All candidates in one rung are the full grid; halving ends with its winner here."""
+    o = dict(lengths=(2, 4), l2_grid=(1e-3, 3.0), cuts=(-0.6, 0.0, 0.6))
+    full = learn.search_sequence(planted, ["f1", "f2"], rungs=1, **o).toPandas()
+    some = learn.search_sequence(planted, ["f1", "f2"], rungs=3, **o).toPandas()
+    assert len(full) == 8 and full.groupby("community").kept.sum().tolist() == [1, 1]
+    assert some.groupby(["community", "rung"]).size().tolist() == [4, 2, 1] * 2
+    last = some[(some.rung == 2) & some.kept].set_index("community").recall
+    assert np.allclose(last, full.groupby("community").recall.max())
+    assert some[some.rung == 0].n_fit.max() < some[some.rung == 2].n_fit.min()

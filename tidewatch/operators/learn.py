@@ -9,6 +9,7 @@ grows with communities x folds and a task never holds more than one weekly serie
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,13 +24,15 @@ from tidewatch.session import cut_lineage, spread
 CALIBRATOR = "struct<type:string,coef:double,intercept:double,x:array<double>,y:array<double>>"
 FOLD_SCHEMA = (
     "community string, fold_i int, week_idx int, prob double, pred int, n_train int, n_crisis_train int, "
-    "crisis_rate_train double, calibrator string, skipped boolean, skip_reason string, actual int"
+    "crisis_rate_train double, calibrator string, skipped boolean, skip_reason string, actual int, converged boolean"
 )
 TABULAR_MODEL = f"community string, model struct<intercept:double,coef:array<double>>, calibrator {CALIBRATOR}"
 SEQUENCE_MODEL = f"community string, model struct<intercept:array<double>,coef:array<array<double>>>, calibrator {CALIBRATOR}"
 
-#: Penalties of the tabular search; the first one is taken where there are too few rows to search, and by sequence models.
+#: Penalties of the tabular search; the first one is taken where there are too few rows to search.
 L2_GRID = (1.0, 0.1, 10.0)
+#: Penalties of sequence models, whose loss is a mean; a fit takes the first, ``search_sequence`` chooses among all.
+SEQUENCE_GRID = (1e-2, 1e-3, 1e-1)
 
 
 def _rows(scored: DataFrame, features: Sequence[str], length: int | None, score: str) -> DataFrame:
@@ -70,10 +73,10 @@ def _fit_sequence(x, y4, opts):
     n_fit = len(y4) - _tail(len(y4), opts["fraction"], opts["min_samples"])
     if n_fit < opts["length"] + 2:
         return None
-    coef, b = fits.fit_classes(x[:n_fit], y4[:n_fit], l2=opts["grid"][0])
+    coef, b, converged = fits.fit_classes(x[:n_fit], y4[:n_fit], l2=opts["grid"][0])
     p = fits.softmax(x[n_fit:] @ coef.T + b)
     cal = fits.fit_calibrator(p[:, 2] + p[:, 3], (y4[n_fit:] >= 2).astype(float), opts["method"], opts["min_samples"], opts["min_class"])
-    return coef, b, cal
+    return coef, b, cal, converged
 
 
 def _fold_block(opts: dict):
@@ -105,7 +108,7 @@ def _fold_block(opts: dict):
             if fit is None:
                 out.append({**base, "skipped": True, "skip_reason": "insufficient_fit_window"})
                 continue
-            coef, b, cal = fit
+            coef, b, cal, *converged = fit
             if sequence:
                 p = fits.softmax((coef @ here + b)[None, :])[0]
                 raw, state = p[2] + p[3], int(np.argmax(p))
@@ -113,7 +116,7 @@ def _fold_block(opts: dict):
                 raw = 1.0 / (1.0 + np.exp(-np.clip(here @ coef + b, -35, 35)))
             prob = float(fits.calibrate(np.array([raw]), cal)[0])
             pred = state if sequence else int(prob >= opts["threshold"])
-            out.append({**base, "prob": prob, "pred": pred, "calibrator": cal["type"], "skipped": False})
+            out.append({**base, "prob": prob, "pred": pred, "calibrator": cal["type"], "skipped": False, "converged": converged[0] if sequence else None})
         names = [c.split()[0] for c in FOLD_SCHEMA.split(", ")]
         return pd.DataFrame({n: pd.Series([o.get(n) for o in out], dtype=object) for n in names})
 
@@ -122,19 +125,20 @@ def _fold_block(opts: dict):
 
 def _options(length, gap, threshold, fraction, method, min_samples, min_class, grid, compat) -> dict:
     return dict(length=length, gap=gap, threshold=threshold, fraction=fraction, method=method, min_samples=min_samples,
-                min_class=min_class, grid=tuple(grid), compat=compat)
+                min_class=min_class, grid=tuple(grid or (SEQUENCE_GRID if length else L2_GRID)), compat=compat)
 
 
 def walk_forward(
     scored: DataFrame, features: Sequence[str], *, cuts: Sequence[float] = STATE_CUTS, sequence_length: int | None = None,
     min_train: int = 26, gap: int = 1, holdout: int = 12, threshold: float = 0.3, fraction: float = 0.2,
-    method: str = "platt", min_samples: int = 20, min_class: int = 3, l2_grid: Sequence[float] = L2_GRID,
+    method: str = "platt", min_samples: int = 20, min_class: int = 3, l2_grid: Sequence[float] | None = None,
     compat: bool = False, folds_per_task: int = 16, score: str = "distress_score",
 ) -> DataFrame:
     """Fold records with the calibrated prediction and the actual class of every test week.
 
     Without ``sequence_length`` the binary tabular model (pred 0/1, actual 0/1), with it
     the 4-class model on the last L weeks (pred and actual 0..3, prob = P(state >= 2)).
+    ``converged`` tells of each sequence fit whether its gradient vanished; a fit that isn't finite is an error.
     """
     first = min_train + (sequence_length or 0) + gap
     rows = _with_dev(_rows(scored, features, sequence_length, score), holdout, first - gap, gap)
@@ -179,7 +183,7 @@ def _final(opts: dict):
         fit = _fit_sequence(x, y, opts) if sequence else _fit_tabular(x, (y >= 2).astype(float), opts, need_positive=True)
         if fit is None:
             return empty
-        coef, b, cal = fit
+        coef, b, cal = fit[:3]
         model = {"intercept": b.tolist() if sequence else float(b), "coef": coef.tolist()}
         return pd.DataFrame({"community": [rows["community"].iloc[0]], "model": [model], "calibrator": [cal]})
 
@@ -189,7 +193,7 @@ def _final(opts: dict):
 def final_models(
     scored: DataFrame, features: Sequence[str], *, cuts: Sequence[float] = STATE_CUTS, sequence_length: int | None = None,
     min_train: int = 26, gap: int = 1, holdout: int = 12, fraction: float = 0.2, method: str = "platt",
-    min_samples: int = 20, min_class: int = 3, l2_grid: Sequence[float] = L2_GRID, score: str = "distress_score",
+    min_samples: int = 20, min_class: int = 3, l2_grid: Sequence[float] | None = None, score: str = "distress_score",
 ) -> DataFrame:
     """One model and calibrator per community, fitted on its development weeks."""
     span = min_train + (sequence_length or 0)
@@ -395,6 +399,57 @@ def tune_gbt(rows: DataFrame, grid: Sequence[Mapping[str, float]], share: float
     return max(trials, key=lambda t: t["score"]), trials
 
 
+def search_sequence(
+    scored: DataFrame, features: Sequence[str], *, lengths: Sequence[int] = (4, 6, 8, 12), l2_grid: Sequence[float] = SEQUENCE_GRID,
+    cuts: Sequence[float] = STATE_CUTS, share: float = 0.8, rungs: int = 3, holdout: int = 12, min_train: int = 26, gap: int = 1,
+    score: str = "distress_score",
+) -> DataFrame:
+    """Trials of a search over window length and penalty by successive halving: community, length, l2, rung, n_fit, n_scored, recall, kept.
+
+    All candidates of all communities are rows of one job a rung.  Rung r fits on the last development weeks, a
+    2^-(rungs-1-r) part of them, and scores the mean recall of the classes in the last 1 - ``share`` of that part; the
+    better half of a community's candidates (rank by recall, then shorter windows, then larger penalties) goes on, one
+    from the last rung.  The row with ``kept`` on the last rung is the choice.
+    """
+    first = min_train + max(lengths) + gap
+    tables = [
+        _with_dev(_rows(scored, features, k, score), holdout, first - gap, gap).withColumn("length", F.lit(k)) for k in lengths
+    ]
+    rows = reduce(DataFrame.unionByName, tables).where("week_idx < dev_n")
+    past = Window.partitionBy("community", "length")
+    label = mathx.bucket(F.col("next_score"), [F.avg("score").over(past) + F.lit(float(k)) * F.stddev_samp("score").over(past) for k in cuts])
+    rows = rows.withColumn("label", label).where("x IS NOT NULL AND label IS NOT NULL AND week_idx < dev_n - 1")
+    rows = cut_lineage(rows.select("community", "length", "week_idx", "dev_n", "x", "label"))
+    penalties = F.explode(F.array(*[F.lit(float(v)) for v in l2_grid])).alias("l2")
+    alive = rows.select("community", "length").distinct().select("*", penalties)
+    trials = None
+    for rung in range(rungs):
+        part = rows.where(F.col("week_idx") >= F.col("dev_n") * (1 - 0.5 ** (rungs - 1 - rung)))
+        asked = spread(part.join(alive, ["community", "length"]).select("community", "length", "l2", "week_idx", "x", "label"), "community", "length", "l2")
+        scores = asked.groupBy("community", "length", "l2").applyInPandas(_trial(share), "community string, length int, l2 double, n_fit int, n_scored int, recall double")
+        place = F.row_number().over(Window.partitionBy("community").orderBy(F.desc_nulls_last("recall"), "length", F.desc("l2")))
+        most = F.lit(1) if rung == rungs - 1 else F.ceil(F.count("*").over(Window.partitionBy("community")) / 2)
+        done = cut_lineage(scores.select("community", "length", "l2", F.lit(rung).alias("rung"), "n_fit", "n_scored", "recall", (place <= most).alias("kept")))
+        alive = done.where("kept").select("community", "length", "l2")
+        trials = done if trials is None else trials.unionByName(done)
+    return trials
+
+
+def _trial(share: float):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("week_idx")
+        x, y = np.vstack([np.asarray(v, dtype=float) for v in rows["x"]]), rows["label"].to_numpy(dtype=int)
+        n = int(len(y) * share)
+        recall = None
+        if n >= 5 and n < len(y):
+            coef, b, _ = fits.fit_classes(x[:n], y[:n], l2=float(key[2]))
+            pred = np.argmax(x[n:] @ coef.T + b, axis=1)
+            recall = float(np.mean([(pred[y[n:] == c] == c).mean() for c in np.unique(y[n:])]))
+        return pd.DataFrame({"community": [key[0]], "length": [key[1]], "l2": [key[2]], "n_fit": [n], "n_scored": [len(y) - n], "recall": pd.Series([recall], dtype=float)})
+
+    return run
+
+
 def fit_topics(posts: DataFrame, k: int = 15, width: int = 1 << 15, rounds: int = 20, seed: int = 42, min_topic_size: int = 10):
     """Topic model on all posts; None with too few texts.
 

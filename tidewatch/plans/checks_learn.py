@@ -56,6 +56,12 @@ def sequence_classifier(spark, sf):
     return shown(learn.walk_forward(_raw(spark, sf), COLS, cuts=b.CUTS, sequence_length=6))
 
 
+@query("sequence_search")
+def sequence_search(spark, sf):
+    """Trials of the search over window length and penalty, by successive halving."""
+    return shown(learn.search_sequence(_raw(spark, sf), COLS, cuts=b.CUTS))
+
+
 @query("holdout_predictions")
 def holdout_predictions(spark, sf):
     raw = _raw(spark, sf)
