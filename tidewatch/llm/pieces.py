@@ -395,21 +395,21 @@ def row_key(doc_id: Column, seed: int) -> Column:
     return F.xxhash64(doc_id, F.lit(seed))
 
 
-def encode(docs: DataFrame, seed: int = 0, alpha: float = 0.5, model: str = MODEL) -> DataFrame:
-    """``docs`` with piece_ids, one sampled segmentation of ``text`` seeded by ``doc_id``.
+def encode(docs: DataFrame, seed: int = 0, alpha: float = 0.5, model: str = MODEL, into: str = "piece_ids") -> DataFrame:
+    """``docs`` with ``into``, one sampled segmentation of ``text`` seeded by ``doc_id``.
 
     A null text has null ids, an empty one no ids; repeated rows get the same segmentation, a null doc_id is one more
     key; an empty table stays empty.  A text may be as long as a row can be: it is worked on in blocks, and a stretch
     of over LONGEST bytes without space or line break is cut, so no piece spans such a cut.  Characters without a
-    piece, and a literal U+2581, are spelt in byte pieces.  Columns are kept, but for one named piece_ids, which is
+    piece, and a literal U+2581, are spelt in byte pieces.  Columns are kept, but for one named ``into``, which is
     replaced.
     """
-    return docs.withColumn("piece_ids", sampler(model, alpha)("text", row_key(F.col("doc_id"), seed)))
+    return docs.withColumn(into, sampler(model, alpha)("text", row_key(F.col("doc_id"), seed)))
 
 
-def decode(coded: DataFrame, model: str = MODEL, into: str = "decoded") -> DataFrame:
-    """``coded`` with column ``into``, the text of ``piece_ids``; equal to the text that was encoded.
+def decode(coded: DataFrame, model: str = MODEL, into: str = "decoded", ids: str = "piece_ids") -> DataFrame:
+    """``coded`` with column ``into``, the text of ``ids``; equal to the text that was encoded.
 
     Null ids give null, no ids the empty text.  Columns are kept, but for one named ``into``, which is replaced.
     """
-    return coded.withColumn(into, decoder(model)("piece_ids"))
+    return coded.withColumn(into, decoder(model)(ids))
