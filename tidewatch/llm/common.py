@@ -43,6 +43,13 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if fits(df, row_bytes) else df
 
 
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Has this session send at most ``rows`` rows to Python at once, for functions of whole texts; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else as it is; ``lower`` does just that to a text without other letters."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

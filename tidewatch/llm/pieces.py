@@ -22,6 +22,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewatch.llm.common import short_batches
+
 #: Where the vocabularies of public tokenizers lie on this box; a caller elsewhere gives its own path.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes that are worked on at once: it bounds the arrays of a task whatever its batch holds.
@@ -404,6 +406,7 @@ def encode(docs: DataFrame, seed: int = 0, alpha: float = 0.5, model: str = MODE
     piece, and a literal U+2581, are spelt in byte pieces.  Columns are kept, but for one named ``into``, which is
     replaced.
     """
+    short_batches(docs.sparkSession)
     return docs.withColumn(into, sampler(model, alpha)("text", row_key(F.col("doc_id"), seed)))
 
 
@@ -412,4 +415,5 @@ def decode(coded: DataFrame, model: str = MODEL, into: str = "decoded", ids: str
 
     Null ids give null, no ids the empty text.  Columns are kept, but for one named ``into``, which is replaced.
     """
+    short_batches(coded.sparkSession)
     return coded.withColumn(into, decoder(model)(ids))
