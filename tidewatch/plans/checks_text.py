@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions import dates, mathx, text
-from tidewatch.operators import features, monitor, scoring, temporal, topics, weekly
+from tidewatch.operators import density, features, monitor, scoring, temporal, topics, weekly
 from tidewatch.plans import bindings as b
 from tidewatch.plans import jobs
 from tidewatch.plans.registry import query, shown
@@ -295,3 +295,31 @@ def topic_model(spark, sf):
     if model is None:
         return topics.no_topics(weekly.weekly_panel(posts)).select("community", "week_start", "dominant_topic", "topic_entropy", "topic_shift_jsd")
     return shown(topics.topic_features(topics.topic_counts(learn.assign_topics(posts, model))))
+
+
+def _density(spark, sf):
+    """Documents with topics by density: hashed word vectors, one topic or -1 for each document with words."""
+    docs = b.clean_documents(spark, sf)
+    found = density.density_topics(density.hashed_vectors(docs, "post_id"), "post_id")
+    return docs, b.stored(found)
+
+
+@query("density_topics")
+def density_topics(spark, sf):
+    """Topic of every document, -1 for outliers; tested against a plain clustering of the complete graph."""
+    return _density(spark, sf)[1]
+
+
+@query("density_topic_terms")
+def density_topic_terms(spark, sf):
+    """The words of each topic by class-based weight."""
+    docs, found = _density(spark, sf)
+    return shown(density.topic_terms(docs.join(found, "post_id")))
+
+
+@query("density_topic_features")
+def density_topic_features(spark, sf):
+    """Fit, assign and attach: weekly topic features on the panel."""
+    docs, found = _density(spark, sf)
+    features = topics.topic_features(topics.topic_counts(docs.join(found, "post_id")))
+    return shown(topics.attach_topics(weekly.weekly_panel(docs).select("community", "week_start"), features))
