@@ -232,3 +232,12 @@ def test_nested_results(spark, tmp_path):
     assert rows(res, "community", "model", "recall") == [("anxiety", "tabular", None), ("lonely", "sequence", 0.25), ("lonely", "tabular", 0.5)]
     long = files.result_series(res)
     assert rows(long) == [("lonely", "sequence", 0, 2.0, 0.4, 3.0), ("lonely", "tabular", 0, None, None, 0.0), ("lonely", "tabular", 1, 1.0, 0.7, 1.0)]
+
+
+def test_status_tells_equal_names_apart(spark, tmp_path):
+    for folder, text in (("a", "id,body\n1,x\n2,y\n"), ("b", "id,body\n3,z\n"), ("c d", "id\n"), ("e", "id,body\n4,ä\n5,b\n6,c\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "posts.csv").write_text(text)
+    frames = files.read_files(spark, str(tmp_path))
+    got = {r.path.split("/")[-2]: (r.file, r.rows, r.status) for r in files.file_status(spark, str(tmp_path), frames).collect()}
+    assert got == {"a": ("posts.csv", 2, "read"), "b": ("posts.csv", 1, "read"), "c d": ("posts.csv", 0, "skipped"), "e": ("posts.csv", 3, "read")}

@@ -146,12 +146,17 @@ def _parquet_layout(spark: SparkSession, path: str) -> str:
 
 
 def file_status(spark: SparkSession, path: str, frames: Sequence[DataFrame], suffixes: Sequence[str] = SUFFIXES, name_glob: str = "") -> DataFrame:
-    """file, bytes, rows and status of every file with content below ``path``: read, or skipped (nothing in it could be read)."""
-    counts = [f.groupBy("file").agg(F.count("*").alias("rows")) for f in frames]
-    rows = reduce(DataFrame.unionByName, counts) if counts else spark.createDataFrame([], "file string, rows long")
+    """path, file, bytes, rows and status of every file with content below ``path``: read, or skipped (nothing in it could be read).
+
+    ``frames`` come from ``read_files``.  Rows are counted by path, so files of one name in several folders are told apart.
+    """
+    counts = [f.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows")) for f in frames]
+    rows = reduce(DataFrame.unionByName, counts) if counts else spark.createDataFrame([], "path string, rows long")
     status = F.when(F.coalesce("rows", F.lit(0)) > 0, "read").otherwise("skipped")
-    found = list_files(spark, path, suffixes, name_glob).join(rows.groupBy("file").agg(F.sum("rows").alias("rows")), "file", "left")
-    return found.select("file", "bytes", F.coalesce("rows", F.lit(0)).alias("rows"), status.alias("status"))
+    plain = lambda c: F.regexp_replace(F.col(c), "^file:/+", "file:/")  # noqa: E731  both spellings of a local path
+    found = list_files(spark, path, suffixes, name_glob).withColumn("_at", plain("path"))
+    found = found.join(rows.select(plain("path").alias("_at"), "rows").groupBy("_at").agg(F.sum("rows").alias("rows")), "_at", "left")
+    return found.select("path", "file", "bytes", F.coalesce("rows", F.lit(0)).alias("rows"), status.alias("status"))
 
 
 def selected_files(file: Column, community: str, timeframes: Sequence[str]) -> Column:
