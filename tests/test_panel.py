@@ -324,3 +324,9 @@ def test_requests(spark):
                               "request_id int, community string, week_start string, features map<string,double>")
     got = rows(serve.check_requests(r, ["a"], ["x"]), "request_id", "skip_reason")
     assert got == [(1, None), (2, "unknown_community"), (3, "bad_date"), (4, "non_finite_feature"), (5, "missing_features")]
+
+
+def test_collinear_pairs_need_eight_weeks(spark):
+    x = np.arange(7.0)
+    assert stats.collinear_pairs(panel(spark, x=x, y=x * 2), ["x", "y"]).collect() == []
+    assert len(stats.collinear_pairs(panel(spark, x=x, y=x * 2), ["x", "y"], min_weeks=7).collect()) == 1

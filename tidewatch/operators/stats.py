@@ -163,8 +163,11 @@ def with_p_value(rho: DataFrame) -> DataFrame:
     return rho.mapInPandas(tail, schema).withColumn("significant", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
 
 
-def _collinear(features: Sequence[str], cut: float):
+def _collinear(features: Sequence[str], cut: float, min_weeks: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.iloc[: len(pdf) if len(pdf) >= min_weeks else 0]
+        if not len(pdf):
+            return pd.DataFrame({"community": [], "feature_a": [], "feature_b": [], "spearman_rho": []})
         ranks = pdf[list(features)].to_numpy(float)
         ranks = np.where(np.isnan(ranks).all(axis=0), 0.0, ranks)  # features that are null throughout have no pairs; the others are filled
         moving = np.flatnonzero(ranks.std(axis=0) > mathx.FLAT_STD)
@@ -176,16 +179,18 @@ def _collinear(features: Sequence[str], cut: float):
     return run
 
 
-def collinear_pairs(panel: DataFrame, features: Sequence[str], cut: float = 0.9) -> DataFrame:
+def collinear_pairs(panel: DataFrame, features: Sequence[str], cut: float = 0.9, min_weeks: int = 8) -> DataFrame:
     """Feature pairs of a community whose absolute rank correlation reaches the cut.
 
+    A community with fewer than ``min_weeks`` weeks has none, as two or three weeks always correlate.
+
     Ranks are computed once per feature.  The rank matrix of a community, weeks by
     features and so bounded by the calendar, gives all its correlations in one product.
     """
     ranked = _filled(panel, features, ("community", "week_start")).withColumn("_r", average_rank(F.col("value"), *BY))
     wide = ranked.groupBy("community", "week_start").agg(*[F.max(F.when(F.col("feature") == f, F.col("_r"))).alias(f) for f in features])
     schema = "community string, feature_a string, feature_b string, spearman_rho double"
-    return wide.groupBy("community").applyInPandas(_collinear(features, cut), schema)
+    return wide.groupBy("community").applyInPandas(_collinear(features, cut, min_weeks), schema)
 
 
 def top_features(table: DataFrame, value: Column, n: int, name: str = "feature") -> DataFrame:
