@@ -211,3 +211,11 @@ def test_search_by_halving_finds_the_best_of_the_grid(planted):
     last = some[(some.rung == 2) & some.kept].set_index("community").recall
     assert np.allclose(last, full.groupby("community").recall.max())
     assert some[some.rung == 0].n_fit.max() < some[some.rung == 2].n_fit.min()
+
+
+def test_communities_with_too_little_have_no_model(spark, scored):
+    few = scored.where("community = 'a'").limit(6).withColumn("community", F.lit("few")).withColumn("distress_score", F.lit(1.0))
+    rws = learn.labeled_rows(few, COLS)
+    assert learn.fit_variants(rws, None, 3).collect() == []
+    flat = scored.where("community = 'a'").withColumn("distress_score", -F.abs("f3") * 0)
+    assert learn.final_models(flat, COLS, cuts=(1e9, 2e9, 3e9)).count() <= 1 and learn.final_models(few, COLS, min_train=1, holdout=1).count() <= 1

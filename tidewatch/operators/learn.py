@@ -175,7 +175,7 @@ def _final(opts: dict):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("week_idx")
         keep = rows["label"].notna() & rows["x"].notna()
-        empty = pd.DataFrame({"community": [], "model": [], "calibrator": []})
+        empty = pd.DataFrame({"community": [], "model": [], "calibrator": []}, dtype=object)
         if not keep.any():
             return empty
         x = np.vstack([np.asarray(v, dtype=float) for v in rows["x"][keep]])
@@ -254,7 +254,7 @@ def _whole_fit(l2: float, min_rows: int, min_positive: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         y = rows["y"].to_numpy(dtype=float)
         if len(y) < min_rows or y.sum() < min_positive:
-            return pd.DataFrame({"community": [], "variant": [], "model": []})
+            return pd.DataFrame({"community": [], "variant": [], "model": []}, dtype=object)
         x = np.vstack([np.asarray(v, dtype=float) for v in rows["x"]])
         coef, b = fits.fit_binary(x, y, l2)
         return pd.DataFrame({"community": [key[0]], "variant": [key[1]], "model": [{"intercept": float(b), "coef": coef.tolist()}]})

@@ -165,16 +165,13 @@ def with_p_value(rho: DataFrame) -> DataFrame:
 
 def _collinear(features: Sequence[str], cut: float, min_weeks: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.iloc[: len(pdf) if len(pdf) >= min_weeks else 0]
-        if not len(pdf):
-            return pd.DataFrame({"community": [], "feature_a": [], "feature_b": [], "spearman_rho": []})
         ranks = pdf[list(features)].to_numpy(float)
         ranks = np.where(np.isnan(ranks).all(axis=0), 0.0, ranks)  # features that are null throughout have no pairs; the others are filled
-        moving = np.flatnonzero(ranks.std(axis=0) > mathx.FLAT_STD)
+        moving = np.flatnonzero(ranks.std(axis=0) > mathx.FLAT_STD) if len(pdf) >= min_weeks else np.zeros(0, dtype=int)
         rho = np.atleast_2d(np.corrcoef(ranks[:, moving], rowvar=False)) if len(moving) > 1 else np.zeros((0, 0))
         i, j = np.nonzero(np.triu(np.abs(rho) >= cut, 1))
         names = np.array(features, dtype=object)[moving]
-        return pd.DataFrame({"community": pdf["community"].iloc[0], "feature_a": names[i] if len(i) else [], "feature_b": names[j] if len(j) else [], "spearman_rho": rho[i, j] if len(i) else []})
+        return pd.DataFrame({"community": pdf["community"].iloc[0], "feature_a": names[i], "feature_b": names[j], "spearman_rho": rho[i, j]})
 
     return run
 
