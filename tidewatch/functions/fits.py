@@ -68,12 +68,12 @@ def search_l2(x: np.ndarray, y: np.ndarray, grid: tuple[float, ...], splits: int
     return best
 
 
-def fit_classes(x: np.ndarray, y: np.ndarray, n_class: int = 4, l2: float = 1e-2, tolerance: float = 1e-6, rounds: int = 5000) -> tuple[np.ndarray, np.ndarray, bool]:
+def fit_classes(x: np.ndarray, y: np.ndarray, n_class: int = 4, l2: float = 1e-2, tolerance: float = 1e-4, rounds: int = 5000) -> tuple[np.ndarray, np.ndarray, bool]:
     """Softmax regression on min-max scaled inputs, classes weighted inversely to their count, and whether it converged.
 
     The loss is the weighted mean plus half of ``l2`` times the squared slopes.  Its curvature is at most half of the
     largest eigenvalue of the weighted second moments (with the intercept) plus ``l2``; steps of one over that, with
-    momentum that begins anew whenever the loss rises, can't diverge.  Converged: no entry of the gradient is over
+    momentum that begins anew whenever it points uphill, don't diverge.  Converged: no entry of the gradient is over
     ``tolerance``.
     """
     if not np.isfinite(x).all():
@@ -92,26 +92,24 @@ def fit_classes(x: np.ndarray, y: np.ndarray, n_class: int = 4, l2: float = 1e-2
     a = np.zeros((n_class, s.shape[1]))
     a[~seen, -1] = -20.0  # a class never seen is never predicted
 
-    def loss(a: np.ndarray) -> tuple[float, np.ndarray]:
+    def gradient(a: np.ndarray) -> np.ndarray:
         z = s @ a.T
-        z = z - z.max(axis=1, keepdims=True)
-        total = np.log(np.exp(z).sum(axis=1))
-        g = (np.exp(z - total[:, None]) - target) * w[:, None]
-        g = np.where(seen[:, None], g.T @ s, 0.0) + ridge * a * seen[:, None]
-        return float(w @ (total - z[np.arange(len(y)), y]) + 0.5 * (ridge * a * a).sum()), g
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        g = (p / p.sum(axis=1, keepdims=True) - target) * w[:, None]
+        return (g.T @ s + ridge * a) * seen[:, None]
 
-    ahead, t, (value, grad), converged = a, 1.0, loss(a), False
+    ahead, t, converged = a, 1.0, False
     for _ in range(rounds):
-        new = ahead - step * (grad if ahead is a else loss(ahead)[1])
-        new_value, new_grad = loss(new)
-        if np.abs(new_grad).max() <= tolerance:
-            a, converged = new, True
+        g = gradient(ahead)
+        if np.abs(g).max() <= tolerance:
+            a, converged = ahead, True
             break
-        if new_value > value and ahead is not a:
+        new = ahead - step * g
+        if (g * (new - a)).sum() > 0:
             ahead, t = a, 1.0
             continue
         nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead, a, value, grad, t = new + (t - 1) / nt * (new - a), new, new_value, new_grad, nt
+        ahead, a, t = new + (t - 1) / nt * (new - a), new, nt
     if not np.isfinite(a).all():
         raise ArithmeticError("the fit of a softmax model diverged")
     coef = a[:, :-1] / span
