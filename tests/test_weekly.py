@@ -124,3 +124,19 @@ def test_dedupe_and_merge(spark):
 def test_source_compatibility(spark):
     df = spark.createDataFrame([("a", "1"), ("a", "x"), ("b", "2")], "data_source string, created_utc string")
     assert rows(clean.source_compatibility(df), "data_source", "compatible") == [("a", False), ("b", True)]
+
+
+def test_keep_first_moves_only_repeated_rows(spark):
+    """Rows of single keys reach no exchange, copies of a hot key are combined before theirs; both ways agree."""
+    n = F.col("id")
+    df = spark.range(0, 20000, 1, 4).select(
+        F.when(n % 3 == 0, "hot").when(n % 1000 == 1, F.lit(None)).otherwise(n.cast("string")).alias("post_id"),
+        (20000 - n).cast("int").alias("created_utc"), F.concat(F.lit("text "), n.cast("string")).alias("selftext"))
+    want = df.groupBy("post_id").agg(F.min("created_utc").alias("t"))
+    small, large = (clean.keep_first(df, ["post_id"], [F.col("created_utc")], most) for most in (1 << 20, 0))
+    assert rows(small) == rows(large) and rows(small, "post_id", "created_utc") == rows(want)
+    plan = small._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "LeftAnti" in plan and plan.count("partial_min_by") == 1
+    single, repeated = plan.split("partial_min_by")[0], plan.split("partial_min_by")[1]
+    assert "Exchange hashpartitioning" in single and "LeftSemi" in repeated and "Exchange hashpartitioning" not in repeated
+    assert "LeftAnti" not in large._jdf.queryExecution().executedPlan().toString()

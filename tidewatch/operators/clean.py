@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions import dates, text
 from tidewatch.schemas import CONTRACTS, DELETED_BODIES, PANEL_KEYS
+from tidewatch.session import written
+
+#: Repeated keys that ``keep_first`` broadcasts at most, in bytes.
+REPEATED_BYTES = 32 << 20
 
 
 def community_key(c: Column, aliases: Mapping[str, str] | None = None) -> Column:
@@ -162,21 +166,29 @@ def source_compatibility(posts: DataFrame, source: str = "data_source", max_bad:
     )
 
 
-def keep_first(df: DataFrame, keys: Iterable[str], order: Iterable[Column]) -> DataFrame:
-    """One row per key: the first in ``order``.
+def keep_first(df: DataFrame, keys: Iterable[str], order: Iterable[Column], most_bytes: int = REPEATED_BYTES) -> DataFrame:
+    """One row per key: the first in ``order``; null keys are a key like any other.
 
-    Keys found more than once are told by a count of the keys alone.  Rows of all other
-    keys pass through a hash join as they are; only the repeated ones go through the
-    wide aggregate, which reduces copies of a hot key before its shuffle.
+    Keys found more than once are told by a count of the keys alone, which is stored.  While they take up to
+    ``most_bytes`` they are broadcast: rows of all other keys then pass as they are, without a shuffle, and only repeated
+    ones go through the wide aggregate.  Beyond that every row goes through it.  It combines in the map tasks either
+    way, so that of a hot key one row per task is shuffled.
     """
-    keys = list(keys)
+    keys, order = list(keys), list(order)
     rest = [c for c in df.columns if c not in keys]
+
+    def first_of(rows: DataFrame) -> DataFrame:
+        picked = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+        return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+
     again = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_again_{k}") for k in keys])
+    again = written(again, "repeated-keys")
+    size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(f"_again_{k}").cast("string")), F.lit(0)) + 32 for k in keys])
+    if again.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] > most_bytes:
+        return first_of(df)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_again_{k}")) for k in keys])
-    single = df.join(again.hint("shuffle_hash"), same, "left_anti")
-    several = df.join(again.hint("shuffle_hash"), same, "left_semi")
-    picked = several.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return single.unionByName(picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns))
+    single = df.join(F.broadcast(again), same, "left_anti")
+    return single.unionByName(first_of(df.join(F.broadcast(again), same, "left_semi")))
 
 
 def merge_with_fill(primary: DataFrame, fill: DataFrame, key: str = "post_id") -> DataFrame:
