@@ -134,7 +134,11 @@ NEGATORS = ("of", "in", "que")
 
 
 def document_posts(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    return posts_of_documents(table(spark, sf, "documents"))
+
+
+def posts_of_documents(d: DataFrame) -> DataFrame:
+    """The documents, a table or a stream, as posts."""
     day = (F.col("doc_id") * 37) % 364
     ts = F.timestamp_seconds(F.lit(1514764800) + day * 86400 + (F.col("doc_id") % 24) * 3600)
     return d.select(

@@ -12,7 +12,7 @@ from tidewatch.plans.checks_panel import DRIFT
 from tidewatch.plans.registry import query, shown
 from tidewatch.session import shared_folder
 from tidewatch.sources import ledger
-from tidewatch.streaming import jobs
+from tidewatch.streaming import authors, jobs
 
 
 def work_folder(spark) -> str:
@@ -91,3 +91,40 @@ def panel_drift_stream(spark, sf):
     panel = _panel_stream(spark, sf)
     path = _run(spark, panel, lambda folder: jobs.panel_update_sink(f"{folder}/panel", f"{folder}/drift", lambda p: monitor.drift(p, b.SIGNALS)), "drift")
     return shown(ledger.load_table(spark, path).select("community", "week_start", "aggregate_level", "dominant_signal"))
+
+
+_AUTHOR_WEEKS = "WITH " + b.DOCUMENTS.split(",\ncleaned AS")[0] + """,
+weeks AS (SELECT *, CAST(date_trunc('week', ts) AS DATE) AS week_start FROM posts),
+first_seen AS (SELECT community, author_hash, min(week_start) AS week_start FROM weeks GROUP BY ALL),
+newcomers AS (SELECT community, week_start, count(*) AS new_authors FROM first_seen GROUP BY ALL)
+SELECT w.community, w.week_start, count(*) AS post_count, round(avg(score), 6) AS avg_score, CAST(sum(num_comments) AS DOUBLE) AS total_comments,
+  count(DISTINCT author_hash) AS unique_authors, coalesce(any_value(new_authors), 0) AS new_authors,
+  round(coalesce(any_value(new_authors), 0)::DOUBLE / count(DISTINCT author_hash), 6) AS new_author_ratio
+FROM weeks w LEFT JOIN newcomers n USING (community, week_start)"""
+
+
+def _author_weeks(spark, posts, known=None):
+    """A drained run: the weeks it has closed and those that are open in its state."""
+    folder = work_folder(spark)
+    authors.start(authors.author_weeks(posts, known=known, shards=8), f"{folder}/checkpoint", f"{folder}/weeks").awaitTermination()
+    done = authors.read_weeks(spark, f"{folder}/weeks").unionByName(authors.open_weeks(spark, f"{folder}/checkpoint"))
+    return shown(done.drop("hour_counts"))
+
+
+def _document_stream(spark, sf):
+    """The documents, a file or a folder of files: a stream takes a plain file only by a pattern."""
+    schema = b.table(spark, sf, "documents").schema
+    return b.posts_of_documents(spark.readStream.schema(schema).parquet(f"{sf}/documents.parque[t]"))
+
+
+@query("author_weeks_stream", _AUTHOR_WEEKS + " GROUP BY w.community, w.week_start")
+def author_weeks_stream(spark, sf):
+    return _author_weeks(spark, _document_stream(spark, sf))
+
+
+@query("author_weeks_resumed", _AUTHOR_WEEKS + " WHERE w.week_start >= DATE '2018-07-02' GROUP BY w.community, w.week_start")
+def author_weeks_resumed(spark, sf):
+    """The second half of the year as a stream, whose first state is who posted in the first half (a batch table)."""
+    half = F.lit("2018-07-02").cast("timestamp")
+    known = authors.first_weeks(b.document_posts(spark, sf).where(F.col("ts") < half))
+    return _author_weeks(spark, _document_stream(spark, sf).where(F.col("ts") >= half), known)
