@@ -106,7 +106,8 @@ FROM weeks w LEFT JOIN newcomers n USING (community, week_start)"""
 def _author_weeks(spark, posts, known=None):
     """A drained run: the weeks it has closed and those that are open in its state."""
     folder = work_folder(spark)
-    authors.start(authors.author_weeks(posts, known=known, shards=8), f"{folder}/checkpoint", f"{folder}/weeks").awaitTermination()
+    parts = authors.author_weeks(posts, known=known, shards=8)
+    authors.start(parts, f"{folder}/checkpoint", f"{folder}/weeks", partitions=32).awaitTermination()  # four languages times eight shards
     done = authors.read_weeks(spark, f"{folder}/weeks").unionByName(authors.open_weeks(spark, f"{folder}/checkpoint"))
     return shown(done.drop("hour_counts"))
 

@@ -160,17 +160,28 @@ def read_weeks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("batch")
 
 
-def start(parts: DataFrame, checkpoint: str, path: str, once: bool = True):
-    """Runs ``author_weeks`` into ``week_sink``; the query keeps its state in RocksDB whatever the session's store is."""
-    name = "spark.sql.streaming.stateStore.providerClass"
+def start(parts: DataFrame, checkpoint: str, path: str, once: bool = True, partitions: int | None = None):
+    """Runs ``author_weeks`` into ``week_sink``; the query keeps its state in RocksDB whatever the session's store is.
+
+    A micro-batch uploads its changes, not the whole state.  ``partitions`` of the state (by default the session's shuffle
+    partitions) are settled by the first run of a checkpoint; each has a store of its own, some megabytes even when
+    it is empty, so more of them than communities times shards are of no use.
+    """
+    store = "spark.sql.streaming.stateStore."
+    wanted = {store + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+              store + "rocksdb.changelogCheckpointing.enabled": "true"}
+    if partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
     conf = parts.sparkSession.conf
-    before = conf.get(name, None)
-    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = {k: conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            conf.set(k, v)
         w = parts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(week_sink(path))
         return (w.trigger(availableNow=True) if once else w.trigger(processingTime="1 minute")).start()
     finally:
-        conf.set(name, before) if before else conf.unset(name)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
