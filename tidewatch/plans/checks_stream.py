@@ -11,7 +11,7 @@ from tidewatch.plans import bindings as b
 from tidewatch.plans.checks_panel import DRIFT
 from tidewatch.plans.registry import query, shown
 from tidewatch.session import shared_folder
-from tidewatch.sources import ledger
+from tidewatch.sources import buckets, ledger
 from tidewatch.streaming import authors, jobs
 
 
@@ -112,10 +112,10 @@ def _author_weeks(spark, posts, known=None):
     return shown(done.drop("hour_counts"))
 
 
-def _document_stream(spark, sf):
+def _document_stream(spark, sf, files=1000):
     """The documents, a file or a folder of files: a stream takes a plain file only by a pattern."""
     schema = b.table(spark, sf, "documents").schema
-    return b.posts_of_documents(spark.readStream.schema(schema).parquet(f"{sf}/documents.parque[t]"))
+    return b.posts_of_documents(spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files)).parquet(f"{sf}/documents.parque[t]"))
 
 
 @query("author_weeks_stream", _AUTHOR_WEEKS + " GROUP BY w.community, w.week_start")
@@ -129,3 +129,27 @@ def author_weeks_resumed(spark, sf):
     half = F.lit("2018-07-02").cast("timestamp")
     known = authors.first_weeks(b.document_posts(spark, sf).where(F.col("ts") < half))
     return _author_weeks(spark, _document_stream(spark, sf).where(F.col("ts") >= half), known)
+
+
+_LATEST = "WITH " + b.DOCUMENTS.split(",\ncleaned AS")[0] + """ SELECT community, data_source, author_hash, arg_max(post_id, doc_id) AS post_id, max(doc_id) AS at,
+ round(arg_max(score, doc_id), 6) AS score FROM posts GROUP BY ALL"""
+_AUTHOR = ("community", "data_source", "author_hash")
+
+
+@query("bucket_upsert_stream", _LATEST)
+def bucket_upsert_stream(spark, sf):
+    """Latest post of every author, kept by a stream in a table of buckets, a file of documents in each micro-batch."""
+    folder = work_folder(spark)
+    posts = _document_stream(spark, sf, 1).select(*_AUTHOR, "post_id", F.substring("post_id", 2, 20).cast("long").alias("at"), "score")
+    jobs.start(posts, f"{folder}/checkpoint", each=buckets.sink(f"{folder}/table", _AUTHOR, "at", "documents", 16)).awaitTermination()
+    return shown(buckets.load(spark, f"{folder}/table"))
+
+
+@query("bucket_lookup", _LATEST.replace("FROM posts GROUP", "FROM posts WHERE author_hash = 'u1' GROUP"))
+def bucket_lookup(spark, sf):
+    """Upsert of all documents, then the rows of one author, read from the buckets that may hold them."""
+    path = f"{work_folder(spark)}/table"
+    posts = b.document_posts(spark, sf).select(*_AUTHOR, "post_id", F.substring("post_id", 2, 20).cast("long").alias("at"), "score")
+    buckets.upsert(posts, path, _AUTHOR, "at", buckets=16)
+    wanted = posts.where("author_hash = 'u1'").select(*_AUTHOR)
+    return shown(buckets.lookup(spark, path, wanted, _AUTHOR))
