@@ -241,3 +241,19 @@ def test_status_tells_equal_names_apart(spark, tmp_path):
     frames = files.read_files(spark, str(tmp_path))
     got = {r.path.split("/")[-2]: (r.file, r.rows, r.status) for r in files.file_status(spark, str(tmp_path), frames).collect()}
     assert got == {"a": ("posts.csv", 2, "read"), "b": ("posts.csv", 1, "read"), "c d": ("posts.csv", 0, "skipped"), "e": ("posts.csv", 3, "read")}
+
+
+def test_manifest_status_writes_no_file_of_the_whole_input(spark, tmp_path, monkeypatch):
+    from tidewatch.plans import checks_files
+
+    rows_in = [(k, "text %d " % k * 20, "en", None if k % 7 else "web", 160) for k in range(600)] + [(None, None, None, None, None)] * 2
+    spark.createDataFrame(rows_in, "doc_id long, text string, lang string, source string, n_chars int").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    size = sum(os.path.getsize(f"{tmp_path}/documents.parquet/{f}") for f in os.listdir(f"{tmp_path}/documents.parquet") if f.endswith(".parquet"))
+    monkeypatch.setattr(checks_files, "work_folder", lambda _: f"{tmp_path}/work")
+    monkeypatch.setattr(checks_files, "FILE_BYTES", size // 8, raising=False)
+    assert rows(checks_files.manifest_status(spark, str(tmp_path))) == [(0, 1, 64)]
+    kept = spark.read.parquet(f"{tmp_path}/work/files")
+    copies = kept.groupBy(*kept.columns).count()
+    assert {(r.doc_id, r["count"]) for r in copies.collect()} == {(k, 2) for k in range(600)} | {(None, 4)}
+    late = max((f for f in os.scandir(f"{tmp_path}/work/files") if f.name.endswith(".parquet")), key=lambda f: f.stat().st_mtime_ns)
+    assert 0 < spark.read.parquet(late.path).count() < 200

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text
@@ -11,6 +13,9 @@ from tidewatch.plans.checks_stream import work_folder
 from tidewatch.plans.registry import query, shown
 from tidewatch.sources import files, ledger
 
+#: Bytes of the stored documents that a file of `manifest_status` holds, about.
+FILE_BYTES = 64 << 20
+
 
 def _documents(spark, sf):
     d = b.table(spark, sf, "documents")
@@ -77,13 +82,20 @@ def json_report(spark, sf):
 
 @query("manifest_status", "SELECT 0 AS n_changed, 1 AS n_new, 64 AS hash_chars FROM (SELECT count(*) AS n FROM documents) WHERE n > 0")
 def manifest_status(spark, sf):
-    """The manifest of the documents' files: nothing changes between two readings, one file more is one new file."""
+    """The manifest of the documents' files: nothing changes between two readings, one file more is one new file.
+
+    The folder ends up with the documents twice, in files of about FILE_BYTES; the new file is a share of the second copy.
+    """
     folder = f"{work_folder(spark)}/files"
     docs = b.table(spark, sf, "documents")
-    docs.repartition(3).write.parquet(folder)
+    stored = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf}/documents.parquet")
+    n = max(3, math.ceil((stored.agg(F.sum("length")).first()[0] or 0) / FILE_BYTES))
+    late = F.pmod(F.xxhash64(*docs.columns), F.lit(n)) == 0
+    docs.repartition(n).write.parquet(folder)
+    docs.where(~late).write.mode("append").parquet(folder)
     first = b.stored(ledger.file_manifest(spark, folder, "*.parquet"))
     again = b.stored(ledger.changed_files(ledger.file_manifest(spark, folder, "*.parquet"), first).agg(F.count("*").alias("n_changed")))
-    docs.coalesce(1).write.mode("append").parquet(folder)
+    docs.where(late).repartition(1).write.mode("append").parquet(folder)
     later = ledger.changed_files(ledger.file_manifest(spark, folder, "*.parquet"), first).agg(F.count("*").alias("n_new"), F.min(F.length("sha256")).alias("hash_chars"))
     return shown(again.withColumn("k", F.lit(1)).join(later.withColumn("k", F.lit(1)), "k").drop("k"))
 
