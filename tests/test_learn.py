@@ -219,3 +219,18 @@ def test_communities_with_too_little_have_no_model(spark, scored):
     assert learn.fit_variants(rws, None, 3).collect() == []
     flat = scored.where("community = 'a'").withColumn("distress_score", -F.abs("f3") * 0)
     assert learn.final_models(flat, COLS, cuts=(1e9, 2e9, 3e9)).count() <= 1 and learn.final_models(few, COLS, min_train=1, holdout=1).count() <= 1
+
+
+def test_topics_are_inferred_once_per_post(spark):
+    from tidewatch.operators import topics
+
+    words = ["storm rain cloud wind", "bread flour oven yeast", "goal match team ball"]
+    posts = spark.createDataFrame([(f"p{k}", "c", 1_600_000_000 + k, f"{words[k % 3]} {words[k % 3]} number{k % 5}") for k in range(60)], "post_id string, community string, t long, clean_text string")
+    posts = posts.select("post_id", "community", F.timestamp_seconds("t").alias("ts"), "clean_text").coalesce(1)
+    model = learn.fit_topics(posts, k=3, rounds=2)
+    plan = topics.topic_counts(learn.assign_topics(posts, model))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("+- Filter") + plan.count("Filter (") > 0 and not [x for x in plan.splitlines() if "Filter" in x and "UDF(" in x]
+    counted = learn.word_counts(posts).select("post_id", "features").localCheckpoint()  # the counts alone give the same topics
+    again = learn.fit_topics(counted, k=3, rounds=2)
+    assert rows(learn.assign_topics(counted, again), "post_id", "topic_id") == rows(learn.assign_topics(posts, model), "post_id", "topic_id")
+    assert learn.fit_topics(counted.limit(3)) is None

@@ -450,35 +450,54 @@ def _trial(share: float):
     return run
 
 
+def _topic_words(width: int):
+    """Texts to word counts in ``width`` hashed slots, so that no word is left out of a vocabulary."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import HashingTF, RegexTokenizer, StopWordsRemover
+
+    return PipelineModel(stages=[
+        RegexTokenizer(inputCol="clean_text", outputCol="_words", pattern=r"(?U)\W+", minTokenLength=1),
+        StopWordsRemover(inputCol="_words", outputCol="_kept"),
+        HashingTF(inputCol="_kept", outputCol="features", numFeatures=width),
+    ])
+
+
+def word_counts(posts: DataFrame, width: int = 1 << 15) -> DataFrame:
+    """Posts with a text long enough for a topic, and ``features``: stored, they serve fit and assignment without the texts."""
+    usable = posts.where(F.length("clean_text") > 10)
+    return _topic_words(width).transform(usable).select(*posts.columns, "features")
+
+
 def fit_topics(posts: DataFrame, k: int = 15, width: int = 1 << 15, rounds: int = 20, seed: int = 42, min_topic_size: int = 10):
     """Topic model on all posts; None with too few texts.
 
     Words are hashed to ``width`` slots, so none is left out of a vocabulary.  Online LDA keeps only the k x width
-    matrix and walks the posts in mini-batches.
+    matrix and walks the posts in mini-batches.  Posts that have ``word_counts`` are taken as they are.
     """
-    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml import PipelineModel
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import HashingTF, RegexTokenizer, StopWordsRemover
 
-    usable = posts.where(F.length("clean_text") > 10).select("clean_text")
+    counted = "features" in posts.columns
+    usable = posts.select("features") if counted else posts.where(F.length("clean_text") > 10).select("clean_text")
     if usable.limit(2 * min_topic_size).count() < 2 * min_topic_size:
         return None
-    words = Pipeline(stages=[
-        RegexTokenizer(inputCol="clean_text", outputCol="_words", pattern=r"(?U)\W+", minTokenLength=1),
-        StopWordsRemover(inputCol="_words", outputCol="_kept"),
-        HashingTF(inputCol="_kept", outputCol="features", numFeatures=width),
-    ]).fit(usable)
+    words = _topic_words(width)
     # Every round of the fit reads the word counts, not the texts; they are stored where a lost executor cannot take them.
-    counts = cut_lineage(words.transform(usable).select("features"))
+    counts = usable if counted else cut_lineage(words.transform(usable).select("features"))
     topics = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online", featuresCol="features").fit(counts)
     return PipelineModel(stages=[*words.stages, topics])
 
 
 def assign_topics(posts: DataFrame, model) -> DataFrame:
-    """``topic_id`` per post: the most probable topic, -1 for posts without known words."""
+    """``topic_id`` per post: the most probable topic, -1 for posts without known words.
+
+    Posts that have ``word_counts`` go to the model's last stage.  The distribution goes through a generator: a filter on
+    the topic would be pushed below the model and run it, from the tokenizer on, once more for each use of the distribution.
+    """
     from pyspark.ml.functions import vector_to_array
 
-    out = model.transform(posts.where(F.length("clean_text") > 10)).withColumn("_d", vector_to_array("topicDistribution"))
+    out = model.stages[-1].transform(posts) if "features" in posts.columns else model.transform(posts.where(F.length("clean_text") > 10))
+    out = out.select(*posts.columns, F.explode(F.array(vector_to_array("topicDistribution"))).alias("_d"))
     known = F.aggregate(F.col("_d"), F.lit(0.0), lambda a, v: a + v) > 0
     topic = F.when(known, F.array_position("_d", F.array_max("_d")).cast("int") - 1).otherwise(F.lit(-1))
     return out.select(*posts.columns, topic.alias("topic_id"))

@@ -291,10 +291,11 @@ def topic_model(spark, sf):
     from tidewatch.operators import learn
 
     posts = b.clean_documents(spark, sf)
-    model = learn.fit_topics(posts)
+    counted = b.stored(learn.word_counts(posts).select("community", "ts", "features"))
+    model = learn.fit_topics(counted)
     if model is None:
         return topics.no_topics(weekly.weekly_panel(posts)).select("community", "week_start", "dominant_topic", "topic_entropy", "topic_shift_jsd")
-    return shown(topics.topic_features(topics.topic_counts(learn.assign_topics(posts, model))))
+    return shown(topics.topic_features(topics.topic_counts(learn.assign_topics(counted, model))))
 
 
 def _density(spark, sf):
