@@ -1,6 +1,7 @@
 """Density topics against a plain top-down clustering of the complete graph."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,33 @@ def test_terms_and_features(spark):
     assert got == {(0, "cat"): (3, round(3 * np.log1p(mean / 3), 9)), (1, "bird"): (1, round(np.log1p(mean / 1), 9)) if np.log1p(3) > 2 * np.log1p(mean / 4) else (2, round(2 * np.log1p(mean / 4), 9)), (-1, "the"): (1, round(np.log1p(mean / 4), 9))}
     dated = posts.withColumn("community", F.lit("c")).withColumn("ts", F.timestamp_seconds(F.lit(1_600_000_000)))
     assert rows(topics.topic_counts(dated), "topic", "n") == [(0, 2), (1, 2)]
+
+
+def test_words_are_hashed_once_per_text(spark):
+    posts = spark.createDataFrame([("a", "one two two"), ("b", "..."), ("c", None), (None, "one two two")], "post_id string, clean_text string")
+    v = density.hashed_vectors(posts, "post_id")
+    plan = v._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "UDF(" in x] and plan.count("aggregate(") == 1
+    got = {r.post_id: np.array(r.embedding) for r in v.collect()}
+    assert got.keys() == {"a", None} and sorted(got["a"][got["a"] > 0]) == pytest.approx(sorted(np.log([2, 3]) / np.hypot(*np.log([2, 3])))) and (got["a"] == got[None]).all()
+
+
+def test_windows_hand_on_each_neighbour_once(monkeypatch):
+    """The k nearest that the two windows of a row show, ties by id, in one list; against the windows one by one."""
+    monkeypatch.setattr(density, "WINDOW", 16)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, (75, 3)).astype(float)  # many copies
+    ids = np.concatenate([np.arange(70), [66, 67, 68, 69, 3]])  # where one order ends and the next begins
+    k, want = 4, {}
+    for at in range(0, 75, 8):
+        i, v = ids[at : at + 16], x[at : at + 16]
+        norms = np.square(v).sum(axis=1)
+        d = np.maximum(norms[:, None] + norms - 2 * v @ v.T, 0.0)
+        d[i[:, None] == i] = np.inf
+        for row, near in enumerate(np.argsort(d, axis=1, kind="stable")[:, :k]):
+            want.setdefault((at + row), set()).update((float(np.sqrt(np.square(v[row] - v[n]).sum())), int(i[n])) for n in near if i[n] != i[row])
+        if at + 16 >= 75:
+            break
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[a : a + 20]), pa.array([r.tobytes() for r in x[a : a + 20]], pa.binary())], ["id", "x"]) for a in range(0, 75, 20)]
+    got = [(r["id"], r["d"], r["nb"]) for b in density._searched(k, 3)(iter(batches)) for r in b.to_pylist()]
+    assert sorted(got) == sorted((int(ids[p]), d, n) for p, found in want.items() for d, n in sorted(found)[:k])

@@ -22,15 +22,18 @@ from tidewatch.session import spread, written
 
 #: Rows of a window of the sorted order; windows overlap by half.
 WINDOW = 256
-#: Edges of a level of the condensed tree: what one task merges at most.
-LEVEL_EDGES = 200_000
+#: Edges of a level of the condensed tree: what one task merges at most.  Each level joins all points once, so few are wanted.
+LEVEL_EDGES = 800_000
 #: Clusters are at least this part of all points, so that their tree stays small enough for the driver.
 MOST_CLUSTERS = 100_000
 OUTLIER = -1
 
 
 def hashed_vectors(posts: DataFrame, key: str, text: str = "clean_text", dims: int = 64) -> DataFrame:
-    """``key`` and ``embedding``: log counts of words hashed to ``dims`` slots, scaled to length 1; texts without words have none."""
+    """``key`` and ``embedding``: log counts of words hashed to ``dims`` slots, scaled to length 1; texts without words have none.
+
+    Counts and length go through a generator each: a filter or a second use would run the tokenizer, or the sum, again.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import HashingTF, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
@@ -38,62 +41,101 @@ def hashed_vectors(posts: DataFrame, key: str, text: str = "clean_text", dims: i
     words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\W+", minTokenLength=1)
     rows = posts.where(F.col(text).isNotNull()).select(key, text)
     counts = Pipeline(stages=[words, HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims)]).fit(rows).transform(rows)
-    log = counts.select(key, F.transform(vector_to_array("_tf"), lambda v: F.log1p(v)).alias("_v"))
+    log = counts.select(key, F.explode(F.array(F.transform(vector_to_array("_tf"), lambda v: F.log1p(v)))).alias("_v"))
     size = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, v: a + v * v))
-    return log.select(key, "_v", size.alias("_n")).where("_n > 0").select(key, F.transform("_v", lambda v: v / F.col("_n")).alias("embedding"))
+    sized = log.select(key, "_v", F.explode(F.array(size)).alias("_n"))
+    return sized.where("_n > 0").select(key, F.transform("_v", lambda v: v / F.col("_n")).alias("embedding"))
 
 
 def _sorted_copies(tables: int, dims: int, seed: int):
-    """Each vector once per table with its place in that table's order: the signs of 16 projections, then one more projection."""
+    """Each vector once per table with its place in that table's order: the signs of 16 projections, then one more projection.
+
+    ``x`` goes on as the bytes of its doubles, which Spark copies as they are.
+    """
     planes = np.random.default_rng(seed).standard_normal((tables, dims, 17))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+            packed = pa.array([row.tobytes() for row in x], pa.binary())
             for t in range(tables):
                 p = x @ planes[t]
                 code = ((p[:, :16] > 0) @ (1 << np.arange(15, -1, -1))).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, dtype=np.int32)), pa.array(code), pa.array(p[:, 16]), batch.column(0), batch.column(1)], ["t", "code", "p", "id", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, dtype=np.int32)), pa.array(code), pa.array(p[:, 16]), batch.column(0), packed], ["t", "code", "p", "id", "x"])
 
     return run
 
 
+def _nearest(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` least values of each row; of equal values the first columns.  In no order."""
+    if k >= d.shape[1]:
+        return np.argsort(d, axis=1, kind="stable")
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    tied = np.flatnonzero((d <= np.take_along_axis(d, near[:, k - 1 :], axis=1)).sum(axis=1) > k)
+    near[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
+    return near
+
+
 def _searched(k: int, dims: int):
-    """The ``k`` nearest of each row within its windows; only the open window is held."""
+    """The ``k`` nearest of each row within its windows, two at most; only the open window is held."""
 
-    def best(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    def best(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the nearest of each row; a place that isn't taken is infinitely far."""
         norms = np.square(x).sum(axis=1)
         d = np.maximum(norms[:, None] + norms - 2 * x @ x.T, 0.0)
         d[ids[:, None] == ids] = np.inf  # where one order ends and the next begins a row may be there twice
-        near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
-        own, near = np.repeat(np.arange(len(ids)), near.shape[1]), near.ravel()
-        other = ids[own] != ids[near]
-        own, near = own[other], near[other]
-        exact = np.sqrt(np.square(x[own] - x[near]).sum(axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[near]), pa.array(exact)], ["id", "nb", "d"])
+        near = _nearest(d, min(k, len(ids) - 1))
+        exact = np.sqrt(np.square(x[:, None] - x[near]).sum(axis=2))
+        return ids[near], np.where(ids[near] == ids[:, None], np.inf, exact)
+
+    def both(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest of two windows' lists for the same rows, each neighbour once."""
+        nb, d = np.concatenate([one[0], two[0]], axis=1), np.concatenate([one[1], two[1]], axis=1)
+        order = np.lexsort((nb, d), axis=1)
+        nb, d = np.take_along_axis(nb, order, axis=1), np.take_along_axis(d, order, axis=1)
+        d[:, 1:][(nb[:, 1:] == nb[:, :-1]) & (d[:, 1:] == d[:, :-1])] = np.inf
+        return nb, np.where(np.cumsum(np.isfinite(d), axis=1) <= k, d, np.inf)
+
+    def out(ids: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        own, at = np.nonzero(np.isfinite(found[1]))
+        return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(found[0][own, at]), pa.array(found[1][own, at])], ["id", "nb", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x, fresh = np.zeros(0, dtype=np.int64), np.zeros((0, dims)), False
+        ids, x, fresh, half = np.zeros(0, dtype=np.int64), np.zeros((0, dims)), False, WINDOW // 2
+        held = None  # what the window before found for the first rows of the open one
         for batch in batches:
             ids = np.concatenate([ids, batch.column(0).to_numpy()])
-            x = np.concatenate([x, batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)])
+            x = np.concatenate([x, np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, dims)])
             fresh = True
             while len(ids) >= WINDOW:
-                yield best(ids[:WINDOW], x[:WINDOW])
-                ids, x, fresh = ids[WINDOW // 2 :], x[WINDOW // 2 :], len(ids) > WINDOW
+                nb, d = best(ids[:WINDOW], x[:WINDOW])
+                first = (nb[:half], d[:half])
+                yield out(ids[:half], first if held is None else both(held, first))
+                held = (nb[half:], d[half:])
+                ids, x, fresh = ids[half:], x[half:], len(ids) > WINDOW
         if fresh and len(ids) > 1:
-            yield best(ids, x)
+            nb, d = best(ids, x)
+            if held is not None:
+                n = len(held[0])
+                yield out(ids[:n], both(held, (nb[:n], d[:n])))
+                ids, nb, d = ids[n:], nb[n:], d[n:]
+            yield out(ids, (nb, d))
+        elif held is not None:
+            yield out(ids, held)
 
     return run
 
 
 def neighbours(vectors: DataFrame, k: int = 10, tables: int = 8, seed: int = 7) -> DataFrame:
-    """id, nb, d: the ``k`` nearest that the windows of ``tables`` orders show, of ``vectors`` (id long, x array<double>)."""
+    """id, nb, d: the ``k`` nearest that the windows of ``tables`` orders show, of ``vectors`` (id long, x array<double>).
+
+    What the orders found meets by id in one shuffle.
+    """
     first = vectors.select(F.size("x")).first()
     dims = first[0] if first else 1
-    copies = vectors.select("id", "x").mapInArrow(_sorted_copies(tables, dims, seed), "t int, code long, p double, id long, x array<double>")
+    copies = vectors.select("id", "x").mapInArrow(_sorted_copies(tables, dims, seed), "t int, code long, p double, id long, x binary")
     order = copies.repartitionByRange("t", "code", "p", "id").sortWithinPartitions("t", "code", "p", "id")
-    found = order.select("id", "x").mapInArrow(_searched(k, dims), "id long, nb long, d double").groupBy("id", "nb").agg(F.min("d").alias("d"))
+    found = order.select("id", "x").mapInArrow(_searched(k, dims), "id long, nb long, d double").repartition("id").groupBy("id", "nb").agg(F.min("d").alias("d"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("d", "nb"))
     return found.withColumn("_r", place).where(F.col("_r") <= k).drop("_r")
 
@@ -164,12 +206,12 @@ def _merged(min_size: int, level: int):
     """Merges of one component within a level, light edges first: its nodes' new place, the clusters that end, what stays open."""
 
     def run(key: tuple, edges: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-        size = dict(zip(nodes.node, nodes["size"]))
-        cluster = {n: c for n, c in zip(nodes.node, nodes.cluster) if c is not None}
-        total = dict(zip(nodes.node, nodes.total))
-        up = {n: n for n in size}
-        waiting = {n: [n] for n in size if n not in cluster}  # nodes without a cluster yet
-        out, given = [], {}
+        nodes, edges = nodes.sort_values("node"), edges.sort_values(["w", "a", "b"])
+        ids = nodes.node.to_numpy()
+        size, total, cluster = nodes["size"].tolist(), nodes.total.tolist(), nodes.cluster.tolist()
+        up, given = list(range(len(ids))), [None] * len(ids)
+        after, last = [-1] * len(ids), list(range(len(ids)))  # nodes without a cluster yet, as chains that begin at their root
+        out = []
 
         def find(n):
             while up[n] != n:
@@ -177,30 +219,34 @@ def _merged(min_size: int, level: int):
                 n = up[n]
             return n
 
-        for k, (a, b, w) in enumerate(edges.sort_values(["w", "a", "b"])[["na", "nb", "w"]].itertuples(index=False)):
+        def give(n, name):
+            while n >= 0:
+                given[n], n = name, after[n]
+
+        ends = zip(np.searchsorted(ids, edges.na.to_numpy()).tolist(), np.searchsorted(ids, edges.nb.to_numpy()).tolist(), edges.w.tolist())
+        for k, (a, b, w) in enumerate(ends):
             a, b, density = find(a), find(b), 1.0 / max(w, 1e-12)
             if size[a] < size[b]:
                 a, b = b, a
             name = f"{level}.{key[0]}.{k}"
-            if a in cluster and b in cluster:  # two clusters part here, seen from above
+            if cluster[a] is not None and cluster[b] is not None:  # two clusters part here, seen from above
                 out += [("cluster", None, cluster[c], name, size[c], total[c] - size[c] * density) for c in (a, b)]
                 cluster[a], total[a] = name, (size[a] + size[b]) * density
-            elif a in cluster:
+            elif cluster[a] is not None:
                 total[a] += size[b] * density
-                for n in waiting.pop(b):
-                    given[n] = cluster[a]
+                give(b, cluster[a])
             else:
-                waiting[a] += waiting.pop(b)
+                after[last[a]], last[a] = b, last[b]
                 if size[a] + size[b] >= min_size:
                     cluster[a], total[a] = name, (size[a] + size[b]) * density
-                    for n in waiting.pop(a):
-                        given[n] = name
+                    give(a, name)
             size[a] += size[b]
             up[b] = a
-        top = find(next(iter(up)))
-        out.append(("open", int(key[0]), cluster.get(top), None, size[top], total.get(top, 0.0)))
-        out += [("node", int(n), given.get(n), None, 0, 0.0) for n in up]
-        return pd.DataFrame(out, columns=["kind", "node", "cluster", "parent", "size", "stability"]).assign(comp=key[0])
+        top = find(0)
+        out.append(("open", int(key[0]), cluster[top], None, size[top], 0.0 if cluster[top] is None else total[top]))
+        made = pd.DataFrame(out, columns=["kind", "node", "cluster", "parent", "size", "stability"]).astype({"node": "Int64"})
+        kept = pd.DataFrame({"kind": "node", "node": pd.array(ids, dtype="Int64"), "cluster": given, "parent": None, "size": 0, "stability": 0.0})
+        return pd.concat([made, kept]).assign(comp=key[0])
 
     return run
 
