@@ -106,3 +106,14 @@ def test_later_weeks_do_not_change_earlier_folds(scored):
     late = scored.withColumn("f1", F.when(F.col("week_start") >= "2021-05-03", 99.0).otherwise(F.col("f1")))
     pick = lambda df: rows(boost.walk_forward(df, COLS, trees=1, holdout=0).where("week_idx < 60"), "fold_i", F.round("raw", 9))
     assert pick(early) == pick(late.where("week_start < date'2021-06-07'"))
+
+
+def test_tasks_follow_the_rows(spark, models):
+    """Few rows are not dealt over all partitions of a session: a tree is a dozen jobs."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        state, _ = boost.boost(models[1], ["m"], trees=1, depth=1, bins=8)
+        assert len(state.inputFiles()) == 1 and state.count() == len(models[0])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)

@@ -8,6 +8,7 @@ and the work of a level is spread by cells.  Trees are small tables; they meet t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -23,6 +24,8 @@ from tidewatch.session import spread, written
 BINS = 16
 #: Gains and weights are compared at this many digits, so that the order in which Spark adds decides nothing.
 DIGITS = 9
+#: Rows of a task.  A tree is a dozen jobs, so it is not cut into more tasks because the session has more partitions.
+TASK_ROWS = 12_000
 
 
 def _binned(rows: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
@@ -57,12 +60,12 @@ def _slopes(rows: DataFrame) -> DataFrame:
     return rows.withColumn("g", F.col("w") * (p - F.col("y"))).withColumn("h", F.col("w") * p * (1 - p))
 
 
-def _best_splits(placed: DataFrame, keys: Sequence[str], l2: float, min_weight: float) -> DataFrame:
+def _best_splits(placed: DataFrame, keys: Sequence[str], l2: float, min_weight: float, most: int | None = None) -> DataFrame:
     """keys, node, feature, threshold and gain: the best split of each node that has one; ties go to the first feature and bin."""
     place = F.sequence(F.lit(0), F.size("x") - 1)
     each = _slopes(placed).select(*keys, "node", "g", "h", F.inline(F.arrays_zip(place.alias("feature"), F.col("bins").alias("bin"), F.col("x").alias("value"))))
     cells = each.groupBy(*keys, "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.min("value").alias("threshold"))
-    cells = spread(cells, *keys, "node", "feature")  # few bytes, much work: not to be coalesced into a few tasks
+    cells = spread(cells, *keys, "node", most=most)  # few bytes, much work: not to be coalesced into a few tasks
     whole = Window.partitionBy(*keys, "node", "feature")
     below = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("*", *[F.sum(c).over(below).alias(f"{c}_low") for c in "gh"], *[F.sum(c).over(whole).alias(f"{c}_all") for c in "gh"])
@@ -86,18 +89,18 @@ def boost(rows: DataFrame, keys: Sequence[str], *, trees: int = 20, depth: int =
     """
     keys = list(keys)
     state = written(spread(_binned(rows, keys, bins).withColumn("margin", F.lit(0.0)), *keys, "row"), "boost-rows")
-    columns, grown = state.columns, []
+    columns, grown, most = state.columns, [], math.ceil(state.count() / TASK_ROWS) or 1
     for tree in range(trees):
         splits = None
         for level in range(depth):
             here = _placed(state.where("fit"), splits, keys, level).where(F.col("node") >= 2**level)
-            found = written(_best_splits(here, keys, l2, min_weight), "boost-splits")
+            found = written(_best_splits(here, keys, l2, min_weight, most), "boost-splits")
             splits = found if splits is None else splits.unionByName(found)
         placed = _placed(state, splits, keys, depth)
         leaves = _slopes(placed.where("fit")).groupBy(*keys, "node").agg((-rate * F.sum("g") / (F.sum("h") + l2)).alias("value"))
         leaves = written(leaves, "boost-leaves")
         moved = placed.join(leaves, [*keys, "node"], "left").withColumn("margin", F.col("margin") + F.coalesce("value", F.lit(0.0)))
-        state = written(spread(moved.select(*columns), *keys, "row"), "boost-rows")
+        state = written(spread(moved.select(*columns), *keys, "row", most=most), "boost-rows")
         grown.append(splits.unionByName(leaves, allowMissingColumns=True).withColumn("tree", F.lit(tree)))
     model = grown[0]
     for t in grown[1:]:

@@ -69,11 +69,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, most: int | None = None) -> DataFrame:
     """Hash-partition small rows that are expensive to work on.
 
     Adaptive execution sizes partitions by bytes and would put a whole panel into one
     task; a given number of partitions is kept as it is, and a grouped fit on the same
-    keys needs no further shuffle.
+    keys needs no further shuffle.  ``most`` bounds the number where the rows are too few for the session's.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(parts, most or parts), *keys)
