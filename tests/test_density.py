@@ -106,6 +106,64 @@ def test_equals_plain_clustering(spark, blobs, monkeypatch):
     assert ari(run(spark, x), got) == 1.0
 
 
+def walked(clusters):
+    """Cluster -> the chosen cluster that holds it, by a plain walk of the tree."""
+    below, score, own, out = {}, {}, set(), {}
+    for r in clusters:
+        below.setdefault(r.parent, []).append(r)
+
+    def up(r):
+        inner = sum(up(c) for c in below.get(r.cluster, []))
+        if r.stability >= inner and (r.parent or len(below[None]) > 1):
+            own.add(r.cluster)
+        score[r.cluster] = max(r.stability, inner)
+        return score[r.cluster]
+
+    def down(r, held):
+        held = held or (r.cluster if r.cluster in own else None)
+        out.update({r.cluster: held} if held else {})
+        for c in below.get(r.cluster, []):
+            down(c, held)
+
+    for r in below.get(None, []):
+        up(r)
+        down(r, None)
+    return out
+
+
+@pytest.mark.parametrize("cut", [800_000, 40])
+@pytest.mark.parametrize("gap", [0.0, 1000.0])
+def test_choice_follows_the_tree(spark, monkeypatch, cut, gap):
+    """Clusters of one and of several trees, in one level and in many, without a look at the whole tree by the driver."""
+    monkeypatch.setattr(density, "LEVEL_EDGES", cut)
+    rng = np.random.default_rng(8)
+    at = np.sort(rng.integers(0, 400, 120) / 4 + np.where(np.arange(120) < 50, 0, gap))  # many equal weights
+    edges = [(n, n + 1, float(at[n + 1] - at[n])) for n in range(119) if at[n + 1] - at[n] < 500]
+    forest, trees = density.spanning_forest(spark.createDataFrame(edges, "a long, b long, w double"))
+    places, clusters = density.condensed(forest, trees, spark.range(120), 3)
+    found = clusters.collect()
+    got = {r.cluster: r.topic for r in density.chosen(clusters).collect()}
+    assert len(found) > 10 and sum(r.parent is None for r in found) == (2 if gap else 1) and got == walked(found)
+    assert len(set(got.values())) > 2 and places.count() == 120
+
+
+def test_topics_do_not_depend_on_the_size_of_the_table(spark, blobs, monkeypatch):
+    """A topic has ``min_size`` points or more, whatever number of points or clusters there is."""
+    sizes, condensed = [], density.condensed
+    monkeypatch.setattr(density, "MOST_CLUSTERS", 10, raising=False)  # a bound that this small table would be over
+    monkeypatch.setattr(density, "condensed", lambda forest, trees, points, min_size: sizes.append(min_size) or condensed(forest, trees, points, min_size))
+    x = np.vstack([blobs[0], np.random.default_rng(2).normal(size=(12, 8)) * 0.1 + 40])
+    got = run(spark, x)
+    assert sizes == [10] and len(set(got[-12:])) == 1 and got[-1] > 0 and (got == got[-1]).sum() == 12
+
+
+def test_places_are_counted_over_all_partitions(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 11).alias("n"), F.col("id").alias("first"))
+    got = rows(density.numbered(df.repartition(5), "at", F.desc("n"), "first"), "at", "n", "first")
+    assert got == sorted(((k, n, f) for k, (n, f) in enumerate(sorted(((k * 7 % 11, k) for k in range(500)), key=lambda r: (-r[0], r[1])))), key=repr)
+    assert density.numbered(df.limit(0), "at", "n").collect() == []
+
+
 def test_forest_is_minimal(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 60, 200), rng.integers(60, 120, 200), rng.integers(1, 9, 200))]

@@ -5,12 +5,13 @@ one dense block, so a bucket of any size is cut into windows and no task holds m
 mutual-reachability distances; Boruvka rounds (joins of components with their lightest edge out) leave a spanning
 forest; its merges, light edges first, give the condensed tree in which a cluster is a component of ``min_size`` points
 or more.  The most stable clusters that don't hold each other are the topics, everything else is the outlier topic -1.
+They are chosen on the way: a merge knows the best choice within each side, and pointer jumping over the levels of the
+tree tells a cluster which chosen one holds it, so the tree may have any number of clusters.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,6 @@ from tidewatch.session import spread, written
 WINDOW = 256
 #: Edges of a level of the condensed tree: what one task merges at most.  Each level joins all points once, so few are wanted.
 LEVEL_EDGES = 800_000
-#: Clusters are at least this part of all points, so that their tree stays small enough for the driver.
-MOST_CLUSTERS = 100_000
 OUTLIER = -1
 
 
@@ -203,15 +202,20 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _merged(min_size: int, level: int):
-    """Merges of one component within a level, light edges first: its nodes' new place, the clusters that end, what stays open."""
+    """Merges of one component within a level, light edges first: its nodes' new place, the clusters that end, what stays open.
+
+    A cluster has ended when another begins above it, so the stability of the best choice within (``inner``) is known
+    as it begins.  ``held`` is the highest cluster of the level at or above one that is no less stable than that; all
+    of them lie below ``top``, which stays open.
+    """
 
     def run(key: tuple, edges: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         nodes, edges = nodes.sort_values("node"), edges.sort_values(["w", "a", "b"])
         ids = nodes.node.to_numpy()
-        size, total, cluster = nodes["size"].tolist(), nodes.total.tolist(), nodes.cluster.tolist()
+        size, total, inner, cluster = nodes["size"].tolist(), nodes.total.tolist(), nodes.inner.tolist(), nodes.cluster.tolist()
         up, given = list(range(len(ids))), [None] * len(ids)
         after, last = [-1] * len(ids), list(range(len(ids)))  # nodes without a cluster yet, as chains that begin at their root
-        out = []
+        ended = []
 
         def find(n):
             while up[n] != n:
@@ -230,8 +234,8 @@ def _merged(min_size: int, level: int):
                 a, b = b, a
             name = f"{level}.{key[0]}.{k}"
             if cluster[a] is not None and cluster[b] is not None:  # two clusters part here, seen from above
-                out += [("cluster", None, cluster[c], name, size[c], total[c] - size[c] * density) for c in (a, b)]
-                cluster[a], total[a] = name, (size[a] + size[b]) * density
+                ended += [(cluster[c], name, size[c], total[c] - size[c] * density, inner[c]) for c in (a, b)]
+                cluster[a], total[a], inner[a] = name, (size[a] + size[b]) * density, sum(max(e[3:]) for e in ended[-2:])
             elif cluster[a] is not None:
                 total[a] += size[b] * density
                 give(b, cluster[a])
@@ -242,28 +246,31 @@ def _merged(min_size: int, level: int):
                     give(a, name)
             size[a] += size[b]
             up[b] = a
-        top = find(0)
-        out.append(("open", int(key[0]), cluster[top], None, size[top], 0.0 if cluster[top] is None else total[top]))
-        made = pd.DataFrame(out, columns=["kind", "node", "cluster", "parent", "size", "stability"]).astype({"node": "Int64"})
-        kept = pd.DataFrame({"kind": "node", "node": pd.array(ids, dtype="Int64"), "cluster": given, "parent": None, "size": 0, "stability": 0.0})
+        top, held = find(0), {}
+        for name, parent, _, stability, within in reversed(ended):  # what is above ends later
+            held[name] = held.get(parent) or (name if stability >= within else None)
+        out = [("cluster", None, *e, held[e[0]], cluster[top]) for e in ended]
+        out.append(("open", int(key[0]), cluster[top], None, size[top], 0.0 if cluster[top] is None else total[top], inner[top], None, None))
+        made = pd.DataFrame(out, columns=["kind", "node", "cluster", "parent", "size", "stability", "inner", "held", "top"]).astype({"node": "Int64"})
+        kept = pd.DataFrame({"kind": "node", "node": pd.array(ids, dtype="Int64"), "cluster": given, "parent": None, "size": 0, "stability": 0.0, "inner": 0.0, "held": None, "top": None})
         return pd.concat([made, kept]).assign(comp=key[0])
 
     return run
 
 
 def condensed(forest: DataFrame, trees: DataFrame, points: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
-    """id, cluster of all ``points`` (id) and the clusters: cluster, parent, size, stability; ``trees`` has the forest's components.
+    """id, cluster of all ``points`` (id) and the clusters: cluster, parent, size, stability, inner, held, top (see ``_merged``).
 
-    The forest's edges go in levels of at most about LEVEL_EDGES by weight.  What a level joins is one node of the
-    next, with its size, its cluster and that cluster's sum of densities, so a task merges a level's edges of one
-    component and no more.
+    ``trees`` has the forest's components.  The forest's edges go in levels of at most about LEVEL_EDGES by weight.  What
+    a level joins is one node of the next, with its size, its cluster, that cluster's sum of densities and the best choice
+    within, so a task merges a level's edges of one component and no more.
     """
     forest = written(forest, "density")
     n = forest.count()
     steps = max(1, math.ceil(n / LEVEL_EDGES))
     bounds = [-1.0, *(forest.approxQuantile("w", [k / steps for k in range(1, steps)], 0.01) if steps > 1 else []), float("inf")]
     places = points.select("id", F.col("id").alias("node"), F.lit(None).cast("string").alias("cluster"))
-    state = points.select(F.col("id").alias("node"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("string").alias("cluster"), F.lit(0.0).alias("total"))
+    state = points.select(F.col("id").alias("node"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("string").alias("cluster"), F.lit(0.0).alias("total"), F.lit(0.0).alias("inner"))
     clusters = None
     for level, (low, high) in enumerate(zip(bounds, bounds[1:])):
         now = forest.where((F.col("w") > low) & (F.col("w") <= high))
@@ -273,44 +280,44 @@ def condensed(forest: DataFrame, trees: DataFrame, points: DataFrame, min_size:
         comp = trees if steps == 1 else spanning_forest(now.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "w"))[1]
         comp = comp.withColumnRenamed("id", "node")
         edges = spread(now.join(comp.withColumnRenamed("node", "na"), "na").select("comp", "a", "b", "na", "nb", "w"), "comp")
-        nodes = spread(state.join(comp, "node").select(F.col("comp").alias("own"), "node", "size", "cluster", "total"), "own")
-        schema = "kind string, node long, cluster string, parent string, size long, stability double, comp long"
+        nodes = spread(state.join(comp, "node").select(F.col("comp").alias("own"), "node", "size", "cluster", "total", "inner"), "own")
+        schema = "kind string, node long, cluster string, parent string, size long, stability double, inner double, held string, top string, comp long"
         out = written(edges.groupBy("comp").cogroup(nodes.groupBy("own")).applyInPandas(_merged(min_size, level), schema), "density")
-        ended = out.where("kind = 'cluster'").select("cluster", "parent", "size", "stability")
+        ended = out.where("kind = 'cluster'").select("cluster", "parent", "size", "stability", "inner", "held", "top")
         clusters = ended if clusters is None else clusters.unionByName(ended)
         moved = out.where("kind = 'node'").select("node", F.col("comp").alias("to"), F.col("cluster").alias("given"))
         places = written(places.join(moved, "node", "left").select("id", F.coalesce("to", "node").alias("node"), F.coalesce("cluster", "given").alias("cluster")), "density")
-        still = state.join(comp, "node", "left_anti").select("node", "size", "cluster", "total")
-        state = written(still.unionByName(out.where("kind = 'open'").select("node", "size", "cluster", F.col("stability").alias("total"))), "density")
-    roots = state.where("cluster IS NOT NULL").select("cluster", F.lit(None).cast("string").alias("parent"), "size", F.col("total").alias("stability"))
+        still = state.join(comp, "node", "left_anti").select("node", "size", "cluster", "total", "inner")
+        state = written(still.unionByName(out.where("kind = 'open'").select("node", "size", "cluster", F.col("stability").alias("total"), "inner")), "density")
+    none = F.lit(None).cast("string")
+    roots = state.where("cluster IS NOT NULL").select("cluster", none.alias("parent"), "size", F.col("total").alias("stability"), "inner", F.when(F.col("total") >= F.col("inner"), F.col("cluster")).alias("held"), none.alias("top"))
     return places.select("id", "cluster"), clusters.unionByName(roots)
 
 
-def chosen(clusters: DataFrame) -> dict[str, str]:
-    """Cluster -> the chosen cluster that holds it, for a tree of at most about MOST_CLUSTERS clusters.
+def chosen(clusters: DataFrame) -> DataFrame:
+    """cluster, topic: the chosen cluster that holds it, for each cluster that has one.
 
     A cluster is chosen if it is at least as stable as the best choice within it and nothing above it is chosen; the
-    only root isn't a topic but everything.
+    only root isn't a topic but everything.  Each round doubles the levels that ``held`` and ``top`` look up.
     """
-    rows = {r.cluster: r for r in clusters.collect()}
-    below = defaultdict(list)
-    for name, r in rows.items():
-        below[r.parent].append(name)
-    order = [None]
-    for name in order:
-        order += below[name]
-    single, score, own = len(below[None]) == 1, {}, set()
-    for name in reversed(order[1:]):
-        inner = sum(score[c] for c in below[name])
-        if not (single and rows[name].parent is None) and rows[name].stability >= inner:
-            own.add(name)
-        score[name] = max(rows[name].stability, inner) if name in own else inner
-    out: dict[str, str] = {}
-    for name in order[1:]:
-        held = out.get(rows[name].parent)
-        if held or name in own:
-            out[name] = held or name
-    return out
+    clusters = written(clusters, "density")
+    if clusters.where("parent IS NULL").limit(2).count() == 1:
+        clusters = clusters.withColumn("held", F.when(F.col("parent").isNotNull(), F.col("held")))
+    now = clusters.select("cluster", "held", "top")
+    while not now.where("top IS NOT NULL").isEmpty():
+        above = now.select(F.col("cluster").alias("top"), F.col("held").alias("_held"), F.col("top").alias("_top"))
+        up = now.join(above, "top").select("cluster", F.coalesce("_held", "held").alias("held"), F.col("_top").alias("top"))
+        now = written(now.where("top IS NULL").unionByName(up), "density")
+    return now.where("held IS NOT NULL").select("cluster", F.col("held").alias("topic"))
+
+
+def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
+    """``rows`` with their place by ``order`` as ``name``, from 0: the place within a sorted partition and the rows of those before."""
+    placed = written(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "density")
+    part = F.shiftright("_m", 33)
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
+    starts = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_n")).select("_p", F.coalesce(before, F.lit(0)).alias("_s"))
+    return placed.withColumn("_p", part).join(starts, "_p").withColumn(name, F.col("_s") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_p", "_m", "_s")
 
 
 def density_topics(vectors: DataFrame, key: str, vector: str = "embedding", min_size: int = 10, k: int = 10, tables: int = 8, seed: int = 7) -> DataFrame:
@@ -322,16 +329,13 @@ def density_topics(vectors: DataFrame, key: str, vector: str = "embedding", min_
     usable = F.col(vector).isNotNull() & ~F.coalesce(F.exists(vector, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))), F.lit(False))
     rows = written(vectors.select(F.monotonically_increasing_id().alias("id"), F.col(key), F.when(usable, F.col(vector).cast("array<double>")).alias("x")), "density")
     points = rows.where("x IS NOT NULL").select("id", "x")
-    min_size = max(min_size, points.count() // MOST_CLUSTERS)
     forest, trees = spanning_forest(reachability(written(neighbours(points, k, tables, seed), "density")))
     places, clusters = condensed(forest, trees, points, min_size)
     held = chosen(clusters)
-    spark = vectors.sparkSession
-    names = spark.createDataFrame(list(held.items()) or [("", "")], "cluster string, topic string")
-    placed = places.join(names, "cluster", "left")
-    sizes = placed.where("topic IS NOT NULL").groupBy("topic").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    ids = sizes.select("topic", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).alias("topic_id"))  # a row per topic
-    labels = placed.join(ids, "topic", "left").select("id", F.coalesce("topic_id", F.lit(OUTLIER)).cast("int").alias("topic_id"))
+    sizes = places.where("cluster IS NOT NULL").groupBy("cluster").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    sizes = sizes.join(held, "cluster").groupBy("topic").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    ids = numbered(sizes, "topic_id", F.desc("n"), "first").select("topic", F.col("topic_id").cast("int").alias("topic_id"))
+    labels = places.join(held.join(ids, "topic").select("cluster", "topic_id"), "cluster").select("id", "topic_id")
     return rows.select("id", key).join(labels, "id", "left").select(key, F.coalesce("topic_id", F.lit(OUTLIER)).alias("topic_id"))
 
 
