@@ -243,3 +243,23 @@ def test_windows_hand_on_each_neighbour_once(monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array(ids[a : a + 20]), pa.array([r.tobytes() for r in x[a : a + 20]], pa.binary())], ["id", "x"]) for a in range(0, 75, 20)]
     got = [(r["id"], r["d"], r["nb"]) for b in density._searched(k, 3)(iter(batches)) for r in b.to_pylist()]
     assert sorted(got) == sorted((int(ids[p]), d, n) for p, found in want.items() for d, n in sorted(found)[:k])
+
+
+@pytest.fixture
+def small_topics(spark, monkeypatch):
+    """Documents of three topics, one of 12, and no bound on clusters that this small table would be over."""
+    from tidewatch.plans import checks_text
+
+    monkeypatch.setattr(density, "MOST_CLUSTERS", 10, raising=False)
+    words = ["apple pear plum", "hammer nail saw", "river lake sea"]
+    kinds = [(0, 90), (1, 60), (2, 12)]
+    texts = [(t, f"{words[t]} {words[t]} word{n % 3}") for t, many in kinds for n in range(many)]
+    docs = spark.createDataFrame([(f"d{n}", "en" if t < 2 else "fr", text) for n, (t, text) in enumerate(texts)], "post_id string, community string, clean_text string")
+    docs = docs.withColumn("ts", F.timestamp_seconds(F.lit(1_600_000_000)))
+    monkeypatch.setattr(checks_text.b, "clean_documents", lambda spark, sf: docs)
+    return checks_text
+
+
+def test_terms_of_a_small_topic(spark, small_topics):
+    got = small_topics.density_topic_terms(spark, "").where("topic_id >= 0").collect()
+    assert {"river", "lake", "sea"} <= {r.word for r in got} and {r.n for r in got if r.word == "river"} == {24}
