@@ -263,3 +263,8 @@ def small_topics(spark, monkeypatch):
 def test_terms_of_a_small_topic(spark, small_topics):
     got = small_topics.density_topic_terms(spark, "").where("topic_id >= 0").collect()
     assert {"river", "lake", "sea"} <= {r.word for r in got} and {r.n for r in got if r.word == "river"} == {24}
+
+
+def test_features_of_a_small_topic(spark, small_topics):
+    got = {r.community: r for r in small_topics.density_topic_features(spark, "").collect()}
+    assert got.keys() == {"en", "fr"} and got["fr"].dominant_topic not in (0, got["en"].dominant_topic)
